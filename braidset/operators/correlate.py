@@ -18,26 +18,29 @@ FACTORS = ("context_len", "concern_count")
 METRICS = ("precision", "recall", "f1", "inference_time")
 
 
-def sums(cols: dict[str, Column], prefix: str = "") -> list[Column]:
-    """Aggregates over the rows where every column has a number.
+def moments(
+    df: DataFrame, specs: dict[str, dict[str, Column]], by: Sequence[str] = (), extra: Sequence[Column] = ()
+) -> DataFrame:
+    """One aggregate for several sets of columns, named by prefix.
 
-    ``n``, ``mean_a``, ``min_a``, ``max_a`` and ``s_a_b``, the centred sum of a times b.
+    Per set, over the rows where each of its columns has a number: ``n``, ``mean_a``,
+    ``min_a``, ``max_a`` and ``s_a_b``, the centred sum of a times b.
     """
-    valid = F.lit(True)
-    for c in cols.values():
-        valid = valid & c.isNotNull() & ~F.isnan(c.cast("double"))
-    v = {name: F.when(valid, c.cast("double")) for name, c in cols.items()}
-    out = [F.count_if(valid).alias(f"{prefix}n")]
-    for name, c in v.items():
-        out += [
-            F.avg(c).alias(f"{prefix}mean_{name}"),
-            F.min(c).alias(f"{prefix}min_{name}"),
-            F.max(c).alias(f"{prefix}max_{name}"),
-        ]
-    for a, b in combinations_with_replacement(cols, 2):
-        s = F.covar_pop(v[a], v[b]) * F.count_if(valid)
-        out.append(s.alias(f"{prefix}s_{a}_{b}"))
-    return out
+    values, aggs = {}, []
+    for prefix, cols in specs.items():
+        doubles = [c.cast("double") for c in cols.values()]
+        total = sum(doubles[1:], doubles[0])
+        whole = total.isNotNull() & ~F.isnan(total)
+        for name, c in zip(cols, doubles):
+            values[f"{prefix}{name}"] = F.when(whole, c)
+        first = f"{prefix}{next(iter(cols))}"
+        aggs.append(F.expr(f"count({first}) AS {prefix}n"))
+        for name in cols:
+            v = f"{prefix}{name}"
+            aggs += [F.expr(f"{f}({v}) AS {prefix}{n}_{name}") for f, n in (("avg", "mean"), ("min", "min"), ("max", "max"))]
+        for a, b in combinations_with_replacement(cols, 2):
+            aggs.append(F.expr(f"covar_pop({prefix}{a}, {prefix}{b}) * count({first}) AS {prefix}s_{a}_{b}"))
+    return df.withColumns(values).groupBy(*by).agg(*aggs, *extra)
 
 
 def _nz(c: Column) -> Column:
@@ -64,7 +67,7 @@ def p_of_r(r: Column, n: Column, df: Column | None = None) -> Column:
 def pearson(df: DataFrame, x: str | Column, y: str | Column, by: Sequence[str] = ()) -> DataFrame:
     """``by``, ``n``, ``r``; r is 0 below two rows, NULL for a constant column."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
-    row = df.groupBy(*by).agg(*sums({"x": x, "y": y}))
+    row = moments(df, {"": {"x": x, "y": y}}, by)
     r = pearson_from(F.col("s_x_y"), F.col("s_x_x"), F.col("s_y_y"))
     return row.select(*by, "n", F.when(F.col("n") < 2, F.lit(0.0)).otherwise(r).alias("r"))
 
@@ -88,7 +91,7 @@ def correlation_table(
 ) -> DataFrame:
     """``factor, metric, n, r, abs_r, slope, intercept`` for every pair, from one aggregate."""
     pairs = [(f, m) for f in factors for m in metrics]
-    aggs = [a for i, (f, m) in enumerate(pairs) for a in sums({"x": F.col(f), "y": F.col(m)}, f"p{i}_")]
+    specs = {f"p{i}_": {"x": F.col(f), "y": F.col(m)} for i, (f, m) in enumerate(pairs)}
     c = lambda i, n: F.col(f"p{i}_{n}")
 
     def entry(i, f, m):
@@ -104,7 +107,7 @@ def correlation_table(
             (c(i, "mean_y") - slope * c(i, "mean_x")).alias("intercept"),
         )
 
-    return _long(df.agg(*aggs), [entry(i, f, m) for i, (f, m) in enumerate(pairs)])
+    return _long(moments(df, specs), [entry(i, f, m) for i, (f, m) in enumerate(pairs)])
 
 
 def with_significance(table: DataFrame) -> DataFrame:
@@ -126,17 +129,16 @@ def stronger_factor(table: DataFrame, first: str = FACTORS[0], second: str = FAC
 
 def correlation_set(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """One row, one named r per pair."""
-    aggs = [a for n, (x, y) in pairs.items() for a in sums({"x": F.col(x), "y": F.col(y)}, f"{n}_")]
-    row = df.agg(*aggs)
+    row = moments(df, {f"{n}_": {"x": F.col(x), "y": F.col(y)} for n, (x, y) in pairs.items()})
     r = lambda n: pearson_from(F.col(f"{n}_s_x_y"), F.col(f"{n}_s_x_x"), F.col(f"{n}_s_y_y"))
     return row.select(*[r(n).alias(n) for n in pairs])
 
 
-def _solve(s, xs: Sequence[str], y: str) -> tuple[list[dict[str, Column]], dict[str, Column]]:
+def _solve(s, xs: Sequence[str], y: str) -> list[dict[str, Column]]:
     """Steps of Gaussian elimination on the normal equations, as columns of a single row.
 
     ``s(a, b)`` gives the centred sum of products. Returns the columns to add, step
-    by step, and the coefficients by name.
+    by step; the last ones are ``beta_<x>``.
     """
     steps, p = [], len(xs)
     m = {(i, j): s(xs[i], xs[j]) for i in range(p) for j in range(p)}
@@ -153,12 +155,10 @@ def _solve(s, xs: Sequence[str], y: str) -> tuple[list[dict[str, Column]], dict[
             for j in range(k + 1, p):
                 m[i, j] = F.col(f"_m{k}_{i}_{j}")
             v[i] = F.col(f"_v{k}_{i}")
-    beta = {}
     for i in reversed(range(p)):
         known = sum((m[i, j] * F.col(f"beta_{xs[j]}") for j in range(i + 1, p)), F.lit(0.0))
-        beta[xs[i]] = (v[i] - known) / _nz(m[i, i])
-        steps.append({f"beta_{xs[i]}": beta[xs[i]]})
-    return steps, beta
+        steps.append({f"beta_{xs[i]}": (v[i] - known) / _nz(m[i, i])})
+    return steps
 
 
 def ols(df: DataFrame, y: Column, xs: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
@@ -167,48 +167,61 @@ def ols(df: DataFrame, y: Column, xs: dict[str, Column], by: Sequence[str] = ())
     ``n``, ``intercept``, ``beta_<x>``, ``r2``, ``adj_r2``, ``mse`` (over n), ``rmse``.
     A predictor that is constant or a combination of others gives NULL.
     """
-    names = list(xs)
-    row = df.groupBy(*by).agg(*sums({**xs, "y": y}))
-    order = {c: i for i, c in enumerate([*names, "y"])}
+    row = moments(df, {"": {**xs, "y": y}}, by)
+    fitted = ols_from(row, list(xs), "y")
+    return fitted.select(*by, "n", "intercept", *[f"beta_{x}" for x in xs], "r2", "adj_r2", "mse", "rmse")
+
+
+def ols_from(row: DataFrame, names: Sequence[str], y: str) -> DataFrame:
+    """``ols`` from a row of ``moments`` that has all the columns in this order."""
+    order = {c: i for i, c in enumerate([*names, y])}
     s = lambda a, b: F.col("s_" + "_".join(sorted((a, b), key=order.get)))
-    steps, _ = _solve(s, names, "y")
-    for added in steps:
+    for added in _solve(s, names, y):
         row = row.withColumns(added)
     beta = {x: F.col(f"beta_{x}") for x in names}
-    explained = sum((beta[x] * s(x, "y") for x in names), F.lit(0.0))
-    r2 = explained / _nz(s("y", "y"))
+    explained = sum((beta[x] * s(x, y) for x in names), F.lit(0.0))
+    r2 = explained / _nz(s(y, y))
     n, p = F.col("n"), len(names)
-    mse = (s("y", "y") - explained) / n
+    mse = (s(y, y) - explained) / n
     return row.withColumns(
         {
-            "intercept": F.col("mean_y") - sum((beta[x] * F.col(f"mean_{x}") for x in names), F.lit(0.0)),
+            "intercept": F.col(f"mean_{y}") - sum((beta[x] * F.col(f"mean_{x}") for x in names), F.lit(0.0)),
             "r2": r2,
             "adj_r2": 1 - (1 - r2) * F.try_divide(n - 1, n - p - 1),
             "mse": mse,
             "rmse": F.sqrt(F.greatest(mse, F.lit(0.0))),
         }
-    ).select(*by, "n", "intercept", *[f"beta_{x}" for x in names], "r2", "adj_r2", "mse", "rmse")
+    )
 
 
 def simple_ols(df: DataFrame, x: str | Column, y: str | Column, by: Sequence[str] = ()) -> DataFrame:
     """Line through (x, y) with residual error on n − 2 degrees of freedom."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
-    row = df.groupBy(*by).agg(*sums({"x": x, "y": y}))
+    return line_from(moments(df, {"": {"x": x, "y": y}}, by)).select(*by, *LINE)
+
+
+LINE = ("n", "slope", "intercept", "r2", "standard_error", "mse", "x_mean", "ss_x", "x_min", "x_max")
+
+
+def line_from(row: DataFrame) -> DataFrame:
+    """Add the ``LINE`` columns and ``r`` to a row of ``moments`` over x and y."""
     slope = F.col("s_x_y") / _nz(F.col("s_x_x"))
     res = F.greatest(F.col("s_y_y") - slope * F.col("s_x_y"), F.lit(0.0))
     mse = F.when(F.col("n") > 2, res / (F.col("n") - 2))
-    return row.select(
-        *by,
-        "n",
-        slope.alias("slope"),
-        (F.col("mean_y") - slope * F.col("mean_x")).alias("intercept"),
-        (slope * F.col("s_x_y") / _nz(F.col("s_y_y"))).alias("r2"),
-        F.sqrt(mse).alias("standard_error"),
-        mse.alias("mse"),
-        F.col("mean_x").alias("x_mean"),
-        F.col("s_x_x").alias("ss_x"),
-        F.col("min_x").alias("x_min"),
-        F.col("max_x").alias("x_max"),
+    r = pearson_from(F.col("s_x_y"), F.col("s_x_x"), F.col("s_y_y"))
+    return row.withColumns(
+        {
+            "slope": slope,
+            "intercept": F.col("mean_y") - slope * F.col("mean_x"),
+            "r2": slope * F.col("s_x_y") / _nz(F.col("s_y_y")),
+            "standard_error": F.sqrt(mse),
+            "mse": mse,
+            "x_mean": F.col("mean_x"),
+            "ss_x": F.col("s_x_x"),
+            "x_min": F.col("min_x"),
+            "x_max": F.col("max_x"),
+            "r": F.when(F.col("n") < 2, F.lit(0.0)).otherwise(r),
+        }
     )
 
 
@@ -241,14 +254,11 @@ def partial_table(
 
     Plain r of ``first`` uses it as it is; all the rest uses its logarithm.
     """
-    parts = [
-        a
-        for i, m in enumerate(metrics)
-        for a in sums(
-            {"a": F.log2(F.col(first).cast("double")), "b": F.col(second), "o": F.col(first), "y": F.col(m)}, f"m{i}_"
-        )
-    ]
-    row = df.agg(*parts)
+    log = F.log2(F.col(first).cast("double"))
+    specs = {
+        f"m{i}_": {"a": log, "b": F.col(second), "o": F.col(first), "y": F.col(m)} for i, m in enumerate(metrics)
+    }
+    row = moments(df, specs)
 
     def entry(i, m):
         c = lambda n: F.col(f"m{i}_{n}")
@@ -304,7 +314,7 @@ def with_partial_p(table: DataFrame, first: str = "context_len", second: str = "
 def residual_table(df: DataFrame, x: Column, y: Column, z: Column, keep: Sequence[str]) -> DataFrame:
     """Per row the residuals of x and y given z, with the line through them."""
     work = df.select(*keep, x.cast("double").alias("_x"), y.cast("double").alias("_y"), z.cast("double").alias("_z"))
-    row = work.agg(*sums({"x": F.col("_x"), "y": F.col("_y"), "z": F.col("_z")}))
+    row = moments(work, {"": {"x": F.col("_x"), "y": F.col("_y"), "z": F.col("_z")}})
     bx, by_ = (F.col(f"s_{v}_z") / _nz(F.col("s_z_z")) for v in ("x", "y"))
     fit = row.select(
         bx.alias("bx"),

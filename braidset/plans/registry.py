@@ -501,8 +501,8 @@ def point_biserial(spark, root):
 
 
 def _line(spark, root, x):
-    s = scored(spark, root).withColumn("_x", F.col(x).cast("double"))
-    return r6(correlate.simple_ols(s, "_x", "inference_time"))
+    fit = correlate.simple_ols(scored(spark, root), F.expr(x), F.col("inference_time"))
+    return r6(fit.withColumn("ss_x", F.col("ss_x") / F.col("n")).withColumnRenamed("ss_x", "x_variance"))
 
 
 @query
@@ -517,7 +517,7 @@ def ols_by_concern(spark, root):
 
 @query
 def ols_by_message(spark, root):
-    return _line(spark, root, F.col("with_message").cast("int"))
+    return _line(spark, root, "CAST(with_message AS INT)")
 
 
 @query
@@ -552,8 +552,8 @@ def log_features(spark, root):
 
 @query
 def interaction_ols(spark, root):
-    rows, _ = reports.interaction_rows(scored(spark, root))
-    return r6(correlate.interaction_ols(rows))
+    rows = reports.interaction_rows(scored(spark, root))
+    return r6(correlate.interaction_ols(rows.where("NOT is_outlier")))
 
 
 @query
@@ -769,8 +769,9 @@ def write_summary(spark, root):
 @query
 def live_macro(spark, root):
     """All lines as a stream of scored cases, the same aggregate as in batch."""
+    # a pattern, so that the table may be one file or a folder of files
     schema = A.table(spark, root, "lineitem").schema
-    lines = live.result_stream(spark, f"{root}/lineitem.parquet", schema)
+    lines = live.result_stream(spark, f"{root}/lineitem.parque[t]", schema)
     name = f"live_{uuid.uuid4().hex}"
     run = live.start(live.live_macro(score.score(A.line_cases(lines))), name, once=True)
     run.awaitTermination()

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from braidset.functions import effects
 from braidset.operators import aggregate, correlate, groups, quantiles, score
 from braidset.operators.ranking import attach
+from braidset.plans.staging import stage
 from braidset.sources.names import experiment_id
 
 _MACRO = {
@@ -59,15 +60,26 @@ def run_summary(
     )
 
 
-def _round(c, n):
-    return F.bround(c, n)
+def _kept(remove: bool):
+    return ~F.col("is_outlier") if remove else F.lit(True)
 
 
-def _outliers(df: DataFrame, col: str, remove: bool) -> tuple[DataFrame, DataFrame]:
-    flagged = quantiles.flag_outliers(df, col)
-    report = quantiles.outlier_report(flagged, col, remove)
-    clean = flagged.where(~F.col("is_outlier")) if remove else flagged
-    return clean.drop("is_outlier"), report
+def _outlier_columns(remove: bool) -> list:
+    out = F.count_if("is_outlier")
+    percent = F.coalesce(F.bround(F.try_divide(out * 100.0, F.count(F.lit(1))), 1), F.lit(0.0))
+    return [out.alias("outlier_count"), ((out > 0) & F.lit(remove)).alias("removed"), percent.alias("outlier_percent")]
+
+
+def _sd(name: str):
+    return F.sqrt(F.try_divide(F.col(f"s_{name}_{name}"), F.col("n") - 1))
+
+
+def _outlier_analysis():
+    return F.struct(
+        F.col("outlier_count").alias("total_detected"),
+        F.col("removed").alias("removed_from_analysis"),
+        F.col("outlier_percent").alias("percentage_of_data"),
+    ).alias("outlier_analysis")
 
 
 def efficiency_report(
@@ -78,76 +90,76 @@ def efficiency_report(
     Ranges are the true least and greatest values. The outlying rows themselves
     come from ``quantiles.outlier_rows``.
     """
-    binary = dict(df.dtypes)[x] == "boolean"
-    clean, out = _outliers(df, y, remove_outliers)
-    xc = F.col(x).cast("int") if binary else F.col(x)
-    work = clean.withColumn("_x", xc.cast("double"))
-    fit = correlate.simple_ols(work, "_x", y)
-    r = correlate.with_p(correlate.pearson(work, "_x", y)) if p_values else correlate.pearson(work, "_x", y)
-    moments = work.agg(
-        F.avg("_x").alias("xm"), F.stddev_samp("_x").alias("xs"), F.min("_x").alias("xl"), F.max("_x").alias("xh"),
-        F.avg(y).alias("ym"), F.stddev_samp(y).alias("ys"), F.min(y).alias("yl"), F.max(y).alias("yh"),
-    )
+    return _efficiency(quantiles.flag_outliers(df, y), dict(df.dtypes)[x], x, y, remove_outliers, p_values)
+
+
+def _efficiency(flagged: DataFrame, x_type: str, x: str, y: str, remove: bool, p_values: bool) -> DataFrame:
+    """The report from rows with ``is_outlier``: one aggregate, the rest is arithmetic on its row."""
+    number = F.col(x).cast("int") if x_type == "boolean" else F.col(x)
+    kept = _kept(remove)
+    values = {"x": F.when(kept, number), "y": F.when(kept, F.col(y))}
+    row = correlate.line_from(correlate.moments(flagged, {"": values}, (), _outlier_columns(remove)))
     if p_values:
-        fit = correlate.with_t_value(fit)
-    row = attach(attach(attach(fit, r.drop("n"), ()), moments, ()), out, ())
+        row = correlate.with_t_value(correlate.with_p(row))
     digits = 6 if x == "context_len" else 4
     formula = F.concat(
         F.lit("y = "), F.format_string(f"%.{digits}f", "slope"), F.lit("x + "), F.format_string("%.4f", "intercept")
     )
+    rounded = lambda c, n, name: F.bround(c, n).alias(name)
     tests = [F.col("p").alias("p_value"), (F.col("p") < 0.05).alias("significant")] if p_values else []
-    interval = [F.struct(F.lit(95).alias("level"), _round("t_value", 4).alias("t_value")).alias("confidence_interval")] if p_values else []
+    interval = F.struct(F.lit(95).alias("level"), F.bround("t_value", 4).alias("t_value")) if p_values else None
     return row.select(
         F.struct(
             F.col("n").alias("total_samples"),
             F.col("outlier_count").alias("outliers_detected"),
             F.col("removed").alias("outliers_removed"),
-            F.struct(F.col("xl").alias("min"), F.col("xh").alias("max")).alias("x_range"),
+            F.struct(F.col("x_min").alias("min"), F.col("x_max").alias("max")).alias("x_range"),
         ).alias("data_summary"),
         F.struct(
-            _round("r", 4).alias("coefficient"),
+            rounded("r", 4, "coefficient"),
             *tests,
             effects.correlation_size(F.col("r")).alias("effect_size"),
             effects.correlation_direction(F.col("r")).alias("interpretation"),
             effects.correlation_sign(F.col("r")).alias("sign"),
         ).alias("correlation_analysis"),
         F.struct(
-            F.struct(_round("slope", digits).alias("slope"), _round("intercept", 4).alias("intercept"), formula.alias("formula")).alias("equation"),
             F.struct(
-                _round("r2", 4).alias("r_squared"),
-                _round("standard_error", 4).alias("standard_error"),
+                rounded("slope", digits, "slope"), rounded("intercept", 4, "intercept"), formula.alias("formula")
+            ).alias("equation"),
+            F.struct(
+                rounded("r2", 4, "r_squared"),
+                rounded("standard_error", 4, "standard_error"),
                 effects.fit_quality(F.col("r2")).alias("interpretation"),
             ).alias("model_fit"),
-            *interval,
+            *([interval.alias("confidence_interval")] if p_values else []),
         ).alias("linear_regression"),
         F.struct(
-            F.struct(_round("xm", 2).alias("mean"), _round("xs", 2).alias("std")).alias("x"),
+            F.struct(rounded("mean_x", 2, "mean"), rounded(_sd("x"), 2, "std")).alias("x"),
             F.struct(
-                _round("ym", 4).alias("mean"), _round("ys", 4).alias("std"), _round("yl", 4).alias("min"), _round("yh", 4).alias("max")
+                rounded("mean_y", 4, "mean"), rounded(_sd("y"), 4, "std"), rounded("min_y", 4, "min"), rounded("max_y", 4, "max")
             ).alias("y"),
         ).alias("descriptive_statistics"),
-        F.struct(
-            F.col("outlier_count").alias("total_detected"),
-            F.col("removed").alias("removed_from_analysis"),
-            F.col("outlier_percent").alias("percentage_of_data"),
-        ).alias("outlier_analysis"),
+        _outlier_analysis(),
     )
 
 
 def message_report(df: DataFrame, y: str = "inference_time", remove_outliers: bool = True) -> DataFrame:
-    """``efficiency_report`` on ``with_message`` with both groups and the tests between them."""
-    clean, _ = _outliers(df, y, remove_outliers)
-    row = efficiency_report(df, "with_message", y, remove_outliers)
+    """``efficiency_report`` on ``with_message`` with both groups and the tests between them.
+
+    The two columns it needs are written once, since several passes read them.
+    """
+    flagged = stage(quantiles.flag_outliers(df.select("with_message", y), y), "flagged")
+    clean = flagged.where(_kept(remove_outliers)).drop("is_outlier")
+    row = _efficiency(flagged, "boolean", "with_message", y, remove_outliers, True)
     stats = groups.group_stats(clean, y)
-    entry = F.struct("count", *[_round(c, 4).alias(c) for c in ("mean", "std", "median", "min", "max")])
+    entry = F.struct("count", *[F.bround(c, 4).alias(c) for c in ("mean", "std", "median", "min", "max")])
     pick = lambda on: F.max(F.when(F.col("with_message") == on, entry))
     both = stats.agg(F.struct(pick(True).alias("with_message"), pick(False).alias("without_message")).alias("group_comparison"))
     t = groups.with_t_p(groups.two_sample(clean, y)).drop("n1", "n0")
     u = groups.with_u_p(groups.mann_whitney(clean, y))
-    tests = attach(t, u, ())
     enough = (F.col("n1") > 1) & (F.col("n0") > 1)
     test = lambda s, p: F.struct(F.col(s).alias("statistic"), F.col(p).alias("p_value"), (F.col(p) < 0.05).alias("significant"))
-    tested = tests.select(
+    tested = attach(t, u, ()).select(
         F.when(
             enough,
             F.struct(
@@ -170,20 +182,26 @@ INTERACTION_PAIRS = {
 }
 
 
-def interaction_rows(df: DataFrame, remove_outliers: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rows the interaction model is fitted on (fences on the logarithm of time), and the outlier report."""
-    return _outliers(correlate.log_features(correlate.positive_domain(df)), "log_time", remove_outliers)
+_MODEL = ("log_tokens", "concern_count", "log_tokens_x_concern")
+
+
+def interaction_rows(df: DataFrame) -> DataFrame:
+    """Rows of the interaction model with their logarithms; ``is_outlier`` by fences on the log of time."""
+    return quantiles.flag_outliers(correlate.log_features(correlate.positive_domain(df)), "log_time")
 
 
 def interaction_report(df: DataFrame, remove_outliers: bool = True) -> DataFrame:
-    clean, out = interaction_rows(df, remove_outliers)
-    fit = correlate.interaction_ols(clean)
-    cors = correlate.correlation_set(clean, INTERACTION_PAIRS).select(F.struct("*").alias("pearson_correlations"))
-    cols = ("context_len", "inference_time", "concern_count")
-    desc = aggregate.descriptives(clean, cols).agg(
-        F.map_from_entries(F.collect_list(F.struct("column", F.struct("mean", "std", "min", "max")))).alias("d")
-    )
-    row = attach(attach(attach(fit, cors, ()), desc, ()), out, ())
+    """The interaction model, five correlations and descriptives, all from one aggregate."""
+    kept = _kept(remove_outliers)
+    names = ("context_len", "inference_time", *_MODEL, "log_time")
+    values = {c: F.when(kept, F.col(c)) for c in names}
+    row = correlate.moments(interaction_rows(df), {"": values}, (), _outlier_columns(remove_outliers))
+    s = lambda a, b: F.col("s_" + "_".join(sorted((a, b), key=names.index)))
+    row = correlate.ols_from(row, _MODEL, "log_time")
+    r = lambda a, b: correlate.pearson_from(s(a, b), s(a, a), s(b, b))
+    number = lambda c: F.struct(
+        F.col(f"mean_{c}").alias("mean"), _sd(c).alias("std"), F.col(f"min_{c}").alias("min"), F.col(f"max_{c}").alias("max")
+    ).alias(c)
     return row.select(
         F.struct(
             F.col("n").alias("total_samples"),
@@ -204,13 +222,9 @@ def interaction_report(df: DataFrame, remove_outliers: bool = True) -> DataFrame
                 effects.fit_quality(F.col("r2")).alias("interpretation"),
             ).alias("model_fit"),
         ).alias("regression_model"),
-        "pearson_correlations",
-        F.struct(*[F.col("d")[c].alias(c) for c in cols]).alias("descriptive_statistics"),
-        F.struct(
-            F.col("outlier_count").alias("total_detected"),
-            F.col("removed").alias("removed_from_analysis"),
-            F.col("outlier_percent").alias("percentage_of_data"),
-        ).alias("outlier_analysis"),
+        F.struct(*[r(a, b).alias(n) for n, (a, b) in INTERACTION_PAIRS.items()]).alias("pearson_correlations"),
+        F.struct(*[number(c) for c in ("context_len", "inference_time", "concern_count")]).alias("descriptive_statistics"),
+        _outlier_analysis(),
     )
 
 
