@@ -15,8 +15,12 @@ from braidset.schemas import TOKEN_RANGES
 CHARS_PER_TOKEN = 4
 
 
+def tokens_of(chars: Column) -> Column:
+    return F.floor(chars / CHARS_PER_TOKEN).cast("int")
+
+
 def token_count(text: Column) -> Column:
-    return F.floor(F.length(text) / CHARS_PER_TOKEN).cast("int")
+    return tokens_of(F.length(text))
 
 
 def first_tokens(text: Column, n: Column) -> Column:

@@ -90,13 +90,13 @@ def label_combinations(df: DataFrame, types: str = "types") -> DataFrame:
         .groupBy(F.array_join(F.array_sort("_t"), ", ").alias("combination"))
         .count()
     )
-    all_rows = Window.partitionBy()
-    return counts.withColumns(
-        {
-            "percentage": F.bround(F.col("count") * 100.0 / F.sum("count").over(all_rows), 1),
-            "unique_combinations": F.count(F.lit(1)).over(all_rows),
-        }
-    ).orderBy(F.desc("count"), "combination")
+    whole = counts.agg(F.sum("count").alias("_all"), F.count(F.lit(1)).alias("unique_combinations"))
+    share = F.bround(F.col("count") * 100.0 / F.col("_all"), 1)
+    return (
+        attach(counts, whole, ())
+        .select("combination", "count", share.alias("percentage"), "unique_combinations")
+        .orderBy(F.desc("count"), "combination")
+    )
 
 
 def tokens_by_concern(df: DataFrame, tokens: str = "token_length") -> DataFrame:
@@ -119,11 +119,21 @@ def tokens_by_concern(df: DataFrame, tokens: str = "token_length") -> DataFrame:
 
 
 def dataset_basics(df: DataFrame, tokens: str = "token_length") -> DataFrame:
-    """Rows per concern count beside the token range of the whole table."""
-    whole = df.agg(
-        F.min(tokens).alias("min_tokens"), F.max(tokens).alias("max_tokens"), F.avg(tokens).alias("mean_tokens")
+    """Rows per concern count beside the token range of the whole table, from one pass."""
+    per_count = df.groupBy("concern_count").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.min(tokens).alias("_min"),
+        F.max(tokens).alias("_max"),
+        F.sum(tokens).alias("_sum"),
     )
-    return attach(df.groupBy("concern_count").count(), whole, ()).orderBy("concern_count")
+    whole = Window.partitionBy()
+    return per_count.select(
+        "concern_count",
+        "count",
+        F.min("_min").over(whole).alias("min_tokens"),
+        F.max("_max").over(whole).alias("max_tokens"),
+        (F.sum("_sum").over(whole) / F.sum("count").over(whole)).alias("mean_tokens"),
+    ).orderBy("concern_count")
 
 
 def descriptives(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from braidset.functions.labels import normalize_type
-from braidset.functions.tokens import token_count
+from braidset.functions.tokens import tokens_of
 from braidset.operators.ranking import dense_index, seeded_key, seeded_split, seeded_take
 from braidset.schemas import LABELS, SAMPLES_PER_TYPE, SEED, TOKEN_LIMIT, TRAIN_SHARE
 
@@ -44,8 +44,9 @@ def exclude_existing(df: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def record_tokens(diff: Column, message: Column) -> Column:
-    text = F.concat(F.coalesce(diff, F.lit("")), F.lit(" "), F.coalesce(message, F.lit("")))
-    return token_count(text)
+    """Tokens of diff, a space and message, without building the joined text."""
+    chars = lambda c: F.length(F.coalesce(c, F.lit("")))
+    return tokens_of(chars(diff) + 1 + chars(message))
 
 
 def within_token_limit(df: DataFrame, limit: int = TOKEN_LIMIT, diff="git_diff", message="masked_commit_message"):

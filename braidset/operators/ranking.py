@@ -70,12 +70,15 @@ def order_statistics(
     ranks: Callable[[Column], Column],
     by: Sequence[str] = (),
     extra: DataFrame | None = None,
+    broadcast: bool = True,
 ) -> DataFrame:
     """Exact values at zero-based ``ranks(n)`` in each group.
 
     Returns ``by``, ``n``, ``rank``, ``value``, ``below`` (rows strictly less) and
     ``ties`` (rows equal). ``extra`` has one row per group; its columns can be
-    used by ``ranks``. One narrow pass per level, each shuffling only counts.
+    used by ``ranks``. One narrow pass per level, each shuffling only counts. The
+    few buckets that hold a rank are broadcast after a check of their number; with
+    very many groups pass ``broadcast=False`` and they are joined by shuffle.
     """
     by = list(by)
     names = [f"_l{i}" for i in range(len(levels))]
@@ -97,7 +100,9 @@ def order_statistics(
     carried = ["n", "_below", "_ranks"]
     for depth in range(1, len(levels)):
         path, name = by + names[:depth], names[depth]
-        hits = checked_small(hits.select(*path, *carried), "order statistics")
+        hits = hits.select(*path, *carried)
+        if broadcast:
+            hits = checked_small(hits, "order statistics")
         fine = (
             leveled.join(hits, path)
             .groupBy(*path, name, *carried)

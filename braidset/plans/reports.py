@@ -5,18 +5,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from braidset.functions import effects
-from braidset.operators import aggregate, correlate, groups, quantiles, score
+from braidset.operators import correlate, groups, quantiles, score
 from braidset.operators.ranking import attach
 from braidset.plans.staging import stage
 from braidset.sources.names import experiment_id
 
-_MACRO = {
-    "accuracy": "macro_accuracy",
-    "precision": "macro_precision",
-    "recall": "macro_recall",
-    "f1": "macro_f1",
-    "hamming_loss": "macro_hamming_loss",
-    "inference_time_avg": "inference_time_avg",
+_SUMMARY = {
+    "accuracy": "exact_match",
+    "precision": "precision",
+    "recall": "recall",
+    "f1": "f1",
+    "hamming_loss": "hamming_loss",
+    "inference_time_avg": "inference_time",
 }
 
 
@@ -26,35 +26,36 @@ def run_summary(
     """Per run: macro metrics, metrics by concern count and the number of empty predictions.
 
     Rows without a prediction are left out of the metrics (``num_scored``) but
-    counted in ``num_samples``; ``score.empty_predictions`` lists them.
+    counted in ``num_samples``; ``score.empty_predictions`` lists them. The rows are
+    read once, into sums per run and concern count.
     """
     run = list(run)
     empty = score.is_empty_prediction(F.col("predicted_types"))
-    counts = df.groupBy(*run).agg(
-        F.count(F.lit(1)).alias("num_samples"), F.count_if(empty).alias("outlier_count")
-    )
-    scored = score.drop_empty_predictions(df)
-    macro = aggregate.macro_metrics(scored, run)
-    fields = lambda extra: F.struct(*extra, *[F.col(c).alias(n) for n, c in _MACRO.items()])
-    whole = macro.select(*run, F.col("num_samples").alias("num_scored"), fields([]).alias("metrics_macro"))
-    one = fields([F.col("concern_count"), F.col("num_samples")])
-    by_concern = (
-        aggregate.macro_metrics(scored, [*run, "concern_count"])
-        .groupBy(*run)
-        .agg(F.array_sort(F.collect_list(one)).alias("metrics_by_concern"))
+    kept_sum = lambda c: F.sum(F.when(~empty, F.col(c).cast("double")))
+    cells = df.groupBy(*run, "concern_count").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(~empty).alias("_kept"),
+        *[kept_sum(c).alias(n) for n, c in _SUMMARY.items()],
     )
+    means = lambda n, extra, total: F.struct(*extra, *[F.try_divide(total(c), n).alias(c) for c in _SUMMARY])
+    one = means(F.col("_kept"), [F.col("concern_count"), F.col("_kept").alias("num_samples")], F.col)
     ident = experiment_id(F.col("model"), F.col("context_len"), F.col("with_message"), date)
     return (
-        counts.join(whole, run, "left")
-        .join(by_concern, run, "left")
+        cells.groupBy(*run)
+        .agg(
+            F.sum("_rows").alias("num_samples"),
+            F.sum("_kept").alias("num_scored"),
+            means(F.sum("_kept"), [], F.sum).alias("metrics_macro"),
+            F.array_sort(F.collect_list(F.when(F.col("_kept") > 0, one))).alias("metrics_by_concern"),
+        )
         .select(
             ident.alias("experiment_id"),
             *run,
             "num_samples",
-            F.coalesce("num_scored", F.lit(0).cast("bigint")).alias("num_scored"),
+            "num_scored",
             "metrics_macro",
             "metrics_by_concern",
-            F.struct(F.col("outlier_count").alias("count")).alias("outliers"),
+            F.struct((F.col("num_samples") - F.col("num_scored")).alias("count")).alias("outliers"),
             F.lit(date).alias("created_at"),
         )
     )
