@@ -65,8 +65,13 @@ def _salt(case, type_, copies):
 def draw_candidates(pool, sizes, counts: Sequence[int], seed: int) -> DataFrame:
     """``split, k, case, members, n_chars``: k records of k distinct types each."""
     many = [k for k in counts if k > 1]
+    # Narrow rows become many candidates: spread them first, over a stated number of
+    # partitions, since by their size alone they would be drawn together into few.
+    spark = pool.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     seeds = (
-        pool.join(checked_small(sizes, "splits"), "split")
+        pool.repartition(parts, "type", "sha")
+        .join(checked_small(sizes, "splits"), "split")
         .withColumn("k", F.explode(F.array(*map(F.lit, many))))
         .where(F.col("k") <= F.size("sizes"))
         .withColumn("try", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)))

@@ -47,10 +47,15 @@ def _nz(c: Column) -> Column:
     return F.nullif(c, F.lit(0.0))
 
 
+def _not_below_zero(c: Column) -> Column:
+    """Rounding can push a sum of squares under zero; NULL stays NULL."""
+    return F.when(c < 0, F.lit(0.0)).otherwise(c)
+
+
 def pearson_from(sxy: Column, sxx: Column, syy: Column) -> Column:
     """r, NULL for a constant column."""
     r = sxy / _nz(F.sqrt(sxx * syy))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when(F.abs(r) > 1, F.signum(r)).otherwise(r)
 
 
 def t_of_r(r: Column, n: Column) -> Column:
@@ -182,14 +187,14 @@ def ols_from(row: DataFrame, names: Sequence[str], y: str) -> DataFrame:
     explained = sum((beta[x] * s(x, y) for x in names), F.lit(0.0))
     r2 = explained / _nz(s(y, y))
     n, p = F.col("n"), len(names)
-    mse = (s(y, y) - explained) / n
+    mse = F.try_divide(s(y, y) - explained, n)
     return row.withColumns(
         {
             "intercept": F.col(f"mean_{y}") - sum((beta[x] * F.col(f"mean_{x}") for x in names), F.lit(0.0)),
             "r2": r2,
             "adj_r2": 1 - (1 - r2) * F.try_divide(n - 1, n - p - 1),
             "mse": mse,
-            "rmse": F.sqrt(F.greatest(mse, F.lit(0.0))),
+            "rmse": F.sqrt(_not_below_zero(mse)),
         }
     )
 
@@ -206,8 +211,8 @@ LINE = ("n", "slope", "intercept", "r2", "standard_error", "mse", "x_mean", "ss_
 def line_from(row: DataFrame) -> DataFrame:
     """Add the ``LINE`` columns and ``r`` to a row of ``moments`` over x and y."""
     slope = F.col("s_x_y") / _nz(F.col("s_x_x"))
-    res = F.greatest(F.col("s_y_y") - slope * F.col("s_x_y"), F.lit(0.0))
-    mse = F.when(F.col("n") > 2, res / (F.col("n") - 2))
+    res = _not_below_zero(F.col("s_y_y") - slope * F.col("s_x_y"))
+    mse = F.when(F.col("n") > 2, F.try_divide(res, F.col("n") - 2))
     r = pearson_from(F.col("s_x_y"), F.col("s_x_x"), F.col("s_y_y"))
     return row.withColumns(
         {

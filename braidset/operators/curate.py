@@ -2,17 +2,14 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from braidset.functions.labels import normalize_type
 from braidset.functions.tokens import tokens_of
 from braidset.operators.ranking import dense_index, seeded_key, seeded_split, seeded_take
+from braidset.plans.staging import stage
 from braidset.schemas import LABELS, SAMPLES_PER_TYPE, SEED, TOKEN_LIMIT, TRAIN_SHARE
 
-# Below this many rows per type Spark keeps only the best rows of each input
-# partition before the shuffle, so a plain ranking is the cheaper plan.
-RANK_PUSHDOWN_ROWS = 1000
-
 # Column names of raw records and their short forms.
 SHORT_NAMES = {
     "masked_commit_message": "message",
@@ -75,24 +72,17 @@ def topup_sample(
     target: int = SAMPLES_PER_TYPE,
     seed: int = SEED,
     type_col: str = "annotated_type",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Per type, as many records as ``target`` lacks, in seeded order.
 
-    ``existing_counts`` has ``type_col`` and ``count``.
+    ``existing_counts`` has ``type_col`` and ``count``. Texts are only read to be
+    written: the cut is found in the keys (``keys``: the pool's type and sha).
     """
     have = existing_counts.select(type_col, F.col("count").alias("_have"))
     need = F.greatest(F.lit(0), F.lit(target) - F.coalesce(F.col("_have"), F.lit(0)))
-    if target > RANK_PUSHDOWN_ROWS:
-        return seeded_take(pool, seeded_key(F.col("sha"), seed=seed), lambda n: need, [type_col], have)
-    first = Window.partitionBy(type_col).orderBy("_key", "sha")
-    return (
-        pool.withColumn("_key", seeded_key(F.col("sha"), seed=seed))
-        .withColumn("_rank", F.row_number().over(first))
-        .where(F.col("_rank") <= target)
-        .join(have, type_col, "left")
-        .where(F.col("_rank") <= need)
-        .select(*pool.columns)
-    )
+    key = seeded_key(F.col("sha"), seed=seed)
+    return seeded_take(pool, key, lambda _: need, [type_col], have, keys)
 
 
 def curate(
@@ -107,13 +97,16 @@ def curate(
     """The whole curation: exclusions, normalising, limits, balanced top-up.
 
     Cheap tests come first: the label test needs no text and trims the rows the
-    joins and the length test see.
+    joins and the length test see. The survivors' keys are written once, so the
+    texts are read twice: for their lengths, and for the sample.
     """
     if existing_counts is None:
         existing_counts = type_counts(valid_types(normalize(existing)))
     clean = valid_types(normalize(pool))
     clean = exclude_existing(exclude_by_sha(clean, excluded), existing)
-    return topup_sample(within_token_limit(clean, limit), existing_counts, target, seed)
+    clean = within_token_limit(clean, limit)
+    keys = stage(clean.select("annotated_type", "sha"), "keys")
+    return topup_sample(clean, existing_counts, target, seed, keys=keys)
 
 
 def curation_counts(pool, excluded, existing, limit: int = TOKEN_LIMIT) -> DataFrame:

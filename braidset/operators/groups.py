@@ -30,14 +30,15 @@ def two_sample(df: DataFrame, value: str = "inference_time", flag: str = "with_m
     )
     n1, n0 = F.col("n1"), F.col("n0")
     enough = (n1 > 1) & (n0 > 1)
-    pooled = F.when(enough, ((n1 - 1) * F.col("var1") + (n0 - 1) * F.col("var0")) / (n1 + n0 - 2))
+    spread = (n1 - 1) * F.col("var1") + (n0 - 1) * F.col("var0")
+    pooled = F.when(enough, F.try_divide(spread, n1 + n0 - 2))
     diff = F.col("mean1") - F.col("mean0")
     sd = F.nullif(F.sqrt(pooled), F.lit(0.0))
     d = diff / sd
     return row.select(
         "n1",
         "n0",
-        (d / F.sqrt(1 / n1 + 1 / n0)).alias("t_statistic"),
+        (d / F.sqrt(F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n0))).alias("t_statistic"),
         (n1 + n0 - 2).alias("df"),
         d.alias("cohens_d"),
         F.when(d.isNotNull(), group_effect(d)).alias("effect"),

@@ -101,7 +101,9 @@ def order_statistics(
     for depth in range(1, len(levels)):
         path, name = by + names[:depth], names[depth]
         hits = hits.select(*path, *carried)
-        if broadcast:
+        if not by:  # no more rows than ranks
+            hits = F.broadcast(hits)
+        elif broadcast:
             hits = checked_small(hits, "order statistics")
         fine = (
             leveled.join(hits, path)
@@ -157,16 +159,21 @@ def seeded_split(
     by: Sequence[str] = (),
     extra: DataFrame | None = None,
     flag: str = "chosen",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Flag the first ``want(n)`` rows of each group in the order of a md5 ``key``.
 
     The key at the cut is found from histograms; then every row is flagged where it
     lies, so the wide columns are not shuffled. Rows that share the key at the cut
     are told apart by count: identical ones are interchangeable.
+
+    ``keys`` may hold the same rows with only ``by`` and the columns of ``key``, for
+    when ``df`` is dear to compute more than once.
     """
     by = list(by)
     keyed = df.withColumn("_key", key)
-    cuts = _cuts(keyed, F.col("_key"), want, by, extra).select(
+    narrow = keyed if keys is None else keys.withColumn("_key", key)
+    cuts = _cuts(narrow, F.col("_key"), want, by, extra).select(
         *by,
         F.col("value").alias("_cut"),
         (F.col("rank") + 1 - F.col("below")).alias("_take"),
@@ -205,9 +212,9 @@ def seeded_split(
     )
 
 
-def seeded_take(df, key, want, by=(), extra=None) -> DataFrame:
+def seeded_take(df, key, want, by=(), extra=None, keys=None) -> DataFrame:
     """Only the rows ``seeded_split`` flags."""
-    return seeded_split(df, key, want, by, extra, "_chosen").where("_chosen").drop("_chosen")
+    return seeded_split(df, key, want, by, extra, "_chosen", keys).where("_chosen").drop("_chosen")
 
 
 def dense_index(

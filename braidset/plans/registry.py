@@ -12,7 +12,7 @@ from braidset.operators import aggregate, combine, compare, correlate, curate, g
 from braidset.operators.predict import predict
 from braidset.plans import adapters as A
 from braidset.plans import reports
-from braidset.plans.staging import scratch_path
+from braidset.plans.staging import scratch_path, stage
 from braidset.sources import names, readers, sinks
 from braidset.streaming import live
 
@@ -46,6 +46,11 @@ def scored(spark, root, predicted_by="l_partkey") -> DataFrame:
     return score.score(A.results(spark, root, predicted_by))
 
 
+def stored(df: DataFrame, *cols: str) -> DataFrame:
+    """The columns as a table on disk, as result logs are, for operators of several passes."""
+    return stage(df.select(*cols), "stored")
+
+
 # --- scoring and macro metrics
 
 
@@ -126,34 +131,34 @@ def export_evaluation(spark, root):
 
 @query
 def iqr_fences(spark, root):
-    return r6(quantiles.iqr_fences(A.results(spark, root), "inference_time"))
+    return r6(quantiles.iqr_fences(stored(A.results(spark, root), "row_id", "context_len", "inference_time"), "inference_time"))
 
 
 @query
 def iqr_fences_by_context(spark, root):
-    return r6(quantiles.iqr_fences(A.results(spark, root), "inference_time", by=["context_len"]))
+    return r6(quantiles.iqr_fences(stored(A.results(spark, root), "row_id", "context_len", "inference_time"), "inference_time", by=["context_len"]))
 
 
 @query
 def iqr_filter(spark, root):
-    kept = quantiles.drop_outliers(A.results(spark, root), "inference_time", k=0.4)
+    kept = quantiles.drop_outliers(stored(A.results(spark, root), "row_id", "context_len", "inference_time"), "inference_time", k=0.4)
     return r6(kept.select("row_id", "context_len", "inference_time"))
 
 
 @query
 def outlier_rows(spark, root):
-    out = quantiles.outlier_rows(A.results(spark, root), "inference_time", k=0.4)
+    out = quantiles.outlier_rows(stored(A.results(spark, root), "row_id", "context_len", "inference_time"), "inference_time", k=0.4)
     return r6(out.select("row_id", "inference_time"))
 
 
 @query
 def outlier_report(spark, root):
-    flagged = quantiles.flag_outliers(A.results(spark, root), "inference_time", k=0.4)
+    flagged = quantiles.flag_outliers(stored(A.results(spark, root), "row_id", "context_len", "inference_time"), "inference_time", k=0.4)
     return r6(quantiles.outlier_report(flagged, "inference_time"))
 
 
 def _boxes(spark, root, by):
-    return r6(quantiles.box_summary(scored(spark, root), "inference_time", [by]))
+    return r6(quantiles.box_summary(stored(scored(spark, root), by, "inference_time"), "inference_time", [by]))
 
 
 @query
@@ -174,7 +179,7 @@ def box_by_message(spark, root):
 @query
 def describe(spark, root):
     discrete = ("context_len", "concern_count", "precision", "recall", "f1")
-    return r6(quantiles.describe(scored(spark, root), ["inference_time"], discrete))
+    return r6(quantiles.describe(stored(scored(spark, root), "inference_time", *discrete), ["inference_time"], discrete))
 
 
 @query
@@ -564,7 +569,7 @@ def prediction_grid(spark, root):
 
 @query
 def group_stats(spark, root):
-    return r6(groups.group_stats(A.results(spark, root)))
+    return r6(groups.group_stats(stored(A.results(spark, root), "with_message", "inference_time")))
 
 
 @query
@@ -579,7 +584,7 @@ def mann_whitney_u(spark, root):
 
 @query
 def p_values(spark, root):
-    r = A.results(spark, root)
+    r = stored(A.results(spark, root), "with_message", "inference_time")
     t = groups.with_t_p(groups.two_sample(r)).select(F.lit("t").alias("test"), F.col("t_statistic").alias("statistic"), F.col("t_p_value").alias("p"))
     u = groups.with_u_p(groups.mann_whitney(r)).select(F.lit("u").alias("test"), F.col("u_statistic").alias("statistic"), F.col("u_p_value").alias("p"))
     c = correlate.with_p(correlate.point_biserial(r, "with_message", "inference_time")).select(F.lit("r").alias("test"), F.col("r").alias("statistic"), "p")

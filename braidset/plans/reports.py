@@ -89,9 +89,11 @@ def efficiency_report(
     """How ``y`` depends on ``x`` (a number, or a true/false column): one nested row.
 
     Ranges are the true least and greatest values. The outlying rows themselves
-    come from ``quantiles.outlier_rows``.
+    come from ``quantiles.outlier_rows``. The two columns are written once, since
+    the fences take several passes.
     """
-    return _efficiency(quantiles.flag_outliers(df, y), dict(df.dtypes)[x], x, y, remove_outliers, p_values)
+    narrow = stage(df.select(x, y), "pairs")
+    return _efficiency(quantiles.flag_outliers(narrow, y), dict(df.dtypes)[x], x, y, remove_outliers, p_values)
 
 
 def _efficiency(flagged: DataFrame, x_type: str, x: str, y: str, remove: bool, p_values: bool) -> DataFrame:
@@ -149,7 +151,8 @@ def message_report(df: DataFrame, y: str = "inference_time", remove_outliers: bo
 
     The two columns it needs are written once, since several passes read them.
     """
-    flagged = stage(quantiles.flag_outliers(df.select("with_message", y), y), "flagged")
+    flagged = quantiles.flag_outliers(stage(df.select("with_message", y), "pairs"), y)
+    flagged = stage(flagged, "flagged")
     clean = flagged.where(_kept(remove_outliers)).drop("is_outlier")
     row = _efficiency(flagged, "boolean", "with_message", y, remove_outliers, True)
     stats = groups.group_stats(clean, y)
@@ -188,7 +191,8 @@ _MODEL = ("log_tokens", "concern_count", "log_tokens_x_concern")
 
 def interaction_rows(df: DataFrame) -> DataFrame:
     """Rows of the interaction model with their logarithms; ``is_outlier`` by fences on the log of time."""
-    return quantiles.flag_outliers(correlate.log_features(correlate.positive_domain(df)), "log_time")
+    narrow = stage(df.select("context_len", "inference_time", "concern_count"), "triples")
+    return quantiles.flag_outliers(correlate.log_features(correlate.positive_domain(narrow)), "log_time")
 
 
 def interaction_report(df: DataFrame, remove_outliers: bool = True) -> DataFrame:

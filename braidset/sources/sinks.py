@@ -11,9 +11,19 @@ from braidset.operators.curate import type_documents
 from braidset.operators.score import export_view
 
 
+# Without the last two the writer would trim texts.
+CSV_WRITE_OPTIONS = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def _writer(df: DataFrame, mode: str, fmt: str):
     writer = df.write.mode(mode).format(fmt)
-    return writer.options(header="true", quote='"', escape='"') if fmt == "csv" else writer
+    return writer.options(**CSV_WRITE_OPTIONS) if fmt == "csv" else writer
 
 
 def write_split(cases: DataFrame, path: str, fmt: str = "csv") -> None:
