@@ -53,7 +53,11 @@ def outer_object(text: Column) -> Column:
 
 
 def parse_type_response(text: Column) -> Column:
-    return F.coalesce(_types_of(text), _types_of(outer_object(text)), empty_labels())
+    """Labels of the answer's object, which may stand in prose; anything else gives ``[]``.
+
+    A text that is an object is its own outer object, so one parse serves both.
+    """
+    return F.coalesce(_types_of(outer_object(text)), empty_labels())
 
 
 def valid_response(text: Column) -> Column:

@@ -26,9 +26,22 @@ def sha_of(id_: Column) -> Column:
     return F.md5(id_.cast("string"))
 
 
+# Label sets as bits, in alphabetical order so that unpacking needs no sort.
+_SORTED = sorted(LABELS)
+
+
 def labels_in(mask: Column) -> Column:
     """The labels whose bit is set, sorted."""
-    return F.array_sort(F.filter(label_array(), lambda _, i: F.getbit(mask, i) == 1))
+    return F.filter(F.array(*map(F.lit, _SORTED)), lambda _, i: F.getbit(mask, i) == 1)
+
+
+def canonical_bits(mask: Column) -> Column:
+    """Bits by position in ``LABELS``, moved to alphabetical positions."""
+    moved = [
+        F.call_function("shiftleft", F.getbit(mask, F.lit(i)).cast("int"), F.lit(_SORTED.index(x)))
+        for i, x in enumerate(LABELS)
+    ]
+    return sum(moved[1:], moved[0])
 
 
 def _message() -> Column:
@@ -72,9 +85,10 @@ def existing(spark, root) -> DataFrame:
 def tangled(spark, root) -> DataFrame:
     """Documents as multi-label cases: the text in 1 to 5 equal parts, as many labels."""
     n = (F.col("doc_id") % 5 + 1).cast("int")
-    width = F.greatest(F.ceil(F.length("text") / n), F.lit(1)).cast("int")
+    wide = F.greatest(F.ceil(F.length("text") / n), F.lit(1)).cast("int")
+    width = F.col("width")
     each = lambda f: F.transform(F.sequence(F.lit(0), n - 1), f)
-    return table(spark, root, "documents").select(
+    return table(spark, root, "documents").withColumn("width", wide).select(
         "doc_id",
         _message().alias("commit_message"),
         each(lambda i: F.substring(F.col("text"), i * width + 1, width)).alias("diff"),
@@ -85,7 +99,8 @@ def tangled(spark, root) -> DataFrame:
 
 
 def _bit(n: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1), F.pmod(n, F.lit(len(LABELS))).cast("int"))
+    bits = F.array(*[F.lit(1 << _SORTED.index(x)) for x in LABELS])
+    return bits[F.pmod(n, F.lit(len(LABELS))).cast("int")]
 
 
 def results(spark, root, predicted_by: str = "l_partkey", model: str = "alpha") -> DataFrame:
@@ -102,7 +117,7 @@ def results(spark, root, predicted_by: str = "l_partkey", model: str = "alpha")
     return joined.select(
         key.alias("row_id"),
         F.when(key % 50 == 0, empty_labels())
-        .when(key % 53 == 0, F.array_sort(F.array_append(guess, F.lit("junk"))))
+        .when(key % 53 == 0, F.sort_array(F.array_append(guess, F.lit("junk"))))
         .otherwise(guess)
         .alias("predicted_types"),
         actual.alias("actual_types"),
@@ -117,8 +132,8 @@ def results(spark, root, predicted_by: str = "l_partkey", model: str = "alpha")
 def line_cases(lines: DataFrame) -> DataFrame:
     """One answered case per line, row by row: works on a stream of lines as well."""
     return lines.select(
-        labels_in(F.col("l_suppkey") % 128).alias("predicted_types"),
-        labels_in(F.col("l_partkey") % 127 + 1).alias("actual_types"),
+        labels_in(canonical_bits(F.col("l_suppkey") % 128)).alias("predicted_types"),
+        labels_in(canonical_bits(F.col("l_partkey") % 127 + 1)).alias("actual_types"),
         (F.col("l_extendedprice") / SCALE).alias("inference_time"),
     )
 
