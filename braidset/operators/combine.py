@@ -23,12 +23,25 @@ class Combined:
     report: DataFrame
 
 
+@dataclass
+class Chosen:
+    """Cases by their keys, the report, the split sizes, and whether any sha repeats."""
+
+    cases: DataFrame
+    report: DataFrame
+    sizes: DataFrame
+    repeats: bool
+
+
 def pool_of(atomics: DataFrame) -> DataFrame:
     """One narrow row per record: copies of a sha within a type count once."""
     return (
         atomics.where(F.col("type").isin(*LABELS))
         .groupBy("split", "type", "sha")
-        .agg(F.min(F.length(F.coalesce("diff", F.lit("")))).cast("bigint").alias("n_chars"))
+        .agg(
+            F.min(F.length(F.coalesce("diff", F.lit("")))).cast("bigint").alias("n_chars"),
+            F.count(F.lit(1)).alias("records"),
+        )
     )
 
 
@@ -113,14 +126,16 @@ def choose_cases(
     oversample: float = 2,
     target: int | None = None,
     seed: int = SEED,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The chosen cases (keys only), the report of rejections, and the split sizes.
+) -> Chosen:
+    """The chosen cases (keys only) and the report of rejections.
 
     Per split and k: cases over the token limit are dropped, each set of shas is
     kept once, then the first ``target`` by seeded order stay (default: as many as
     the split has records). A single-label case is drawn for every record.
     """
     pool = stage(pool_of(atomics), "pool")
+    repeats = not pool.where("records > 1").isEmpty()
+    pool = pool.drop("records")
     sizes = _sizes(pool, counts, oversample, target)
     drawn = draw_candidates(pool, sizes, counts, seed)
     if 1 in counts:
@@ -168,19 +183,21 @@ def choose_cases(
             F.greatest(zero, F.col("target") - F.col("distinct_cases")).alias("shortfall"),
         )
     )
-    return chosen, report, sizes
+    return Chosen(chosen, report, sizes, repeats)
 
 
-def with_texts(chosen: DataFrame, atomics: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Bring the texts of the chosen members in: messages join with commas, the rest are lists."""
-    texts = (
-        atomics.where(F.col("type").isin(*LABELS))
-        .withColumn("_text", F.struct(F.length("diff").alias("n"), "diff", "message"))
-        .groupBy("split", "type", "sha")
-        .agg(F.min("_text").alias("_text"))
-    )
+def with_texts(chosen: Chosen, atomics: DataFrame) -> DataFrame:
+    """Bring the texts of the chosen members in: messages join with commas, the rest are lists.
+
+    Only when some sha repeats are its texts brought down to one, the shortest.
+    """
+    sizes = chosen.sizes
+    text = F.struct(F.length("diff").alias("n"), "diff", "message").alias("_text")
+    texts = atomics.where(F.col("type").isin(*LABELS)).select("split", "type", "sha", text)
+    if chosen.repeats:
+        texts = texts.groupBy("split", "type", "sha").agg(F.min("_text").alias("_text"))
     members = (
-        chosen.join(checked_small(sizes.select("split", "copies"), "splits"), "split")
+        chosen.cases.join(checked_small(sizes.select("split", "copies"), "splits"), "split")
         .select("split", "k", "case", "copies", F.explode("members").alias("m"))
         .select("split", "k", "case", "m.*", _salt(F.col("case"), F.col("m.type"), F.col("copies")).alias("salt"))
     )
@@ -200,17 +217,17 @@ def with_texts(chosen: DataFrame, atomics: DataFrame, sizes: DataFrame) -> DataF
 
 def combine_cases(atomics: DataFrame, **options) -> Combined:
     """Cases with texts, and the report. ``atomics``: split, type, sha, message, diff."""
-    chosen, report, sizes = choose_cases(atomics, **options)
-    return Combined(with_texts(chosen, atomics, sizes), report)
+    chosen = choose_cases(atomics, **options)
+    return Combined(with_texts(chosen, atomics), chosen.report)
 
 
 def combine_to_target(atomics: DataFrame, rounds: int = 3, oversample: float = 2, **options) -> Combined:
     """``combine_cases`` with the oversampling doubled while some count falls short."""
     for attempt in range(rounds):
-        result = combine_cases(atomics, oversample=oversample * 2**attempt, **options)
-        if result.report.where("shortfall > 0").isEmpty():
+        chosen = choose_cases(atomics, oversample=oversample * 2**attempt, **options)
+        if chosen.report.where("shortfall > 0").isEmpty():
             break
-    return result
+    return Combined(with_texts(chosen, atomics), chosen.report)
 
 
 def as_text_columns(cases: DataFrame) -> DataFrame:

@@ -538,6 +538,80 @@ FROM fit CROSS JOIN st CROSS JOIN o"""
 for x, name, digits in (("context_len", "context", 6), ("concern_count", "concern", 4), ("with_message::INT", "message", 4)):
     SQL[f"efficiency_by_{name}"] = f"WITH {SCORED.strip()},{efficiency(x, digits)}"
 
+# --- p-values: the density integrated by Simpson's rule from 0 to the statistic
+
+
+def area(top: str, density: str, scale: str) -> str:
+    weight = "CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    x = f"(abs({top}) * i / 4000.0::DOUBLE)"
+    return f"greatest(0, 1 - 2 * abs({top}) / 12000 * {scale} * (SELECT sum({weight} * {density.format(x=x)}) FROM range(4001) g(i)))"
+
+
+def t_p(t: str, v: str) -> str:
+    scale = f"exp(lgamma(({v} + 1) / 2.0::DOUBLE) - lgamma({v} / 2.0::DOUBLE)) / sqrt({v} * pi())"
+    return area(t, f"exp(-({v} + 1) / 2.0::DOUBLE * ln(1 + {{x}} * {{x}} / {v}))", scale)
+
+
+def z_p(z: str) -> str:
+    return area(z, "exp(-{x} * {x} / 2)", "(1 / sqrt(2 * pi()))")
+
+
+STARS = "CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' ELSE '' END"
+add("correlation_report", TABLE + f""",
+tt AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS v FROM tab),
+pp AS (SELECT *, {t_p('t', 'v')} AS p FROM tt)""", f"""
+SELECT a.metric, a.factor, a.n, {r6('a.r AS r', 'abs(a.r) AS abs_r', 'a.slope AS slope', 'a.intercept AS intercept', 'a.p AS p')}, a.p < 0.05 AS significant,
+       {STARS.format(p='a.p')} AS stars, CASE WHEN abs(c.r) > abs(b.r) THEN 'context_len' ELSE 'concern_count' END AS stronger
+FROM pp a JOIN pp c ON c.metric = a.metric AND c.factor = 'context_len' JOIN pp b ON b.metric = a.metric AND b.factor = 'concern_count'""")
+RS = {
+    "pearson_p_context_len": ("r_oy", 2), "pearson_p_concern_count": ("rby", 2),
+    "partial_p_context_len": ("pa", 2), "partial_p_concern_count": ("pb", 2),
+    "partial_p_df3_context_len": ("pa", 3), "partial_p_df3_concern_count": ("pb", 3),
+}
+add("partial_p_values", PARTIAL + """,
+rs AS (SELECT *, (ray - rab * rby) / sqrt((1 - rab * rab) * (1 - rby * rby)) AS pa, (rby - rab * ray) / sqrt((1 - rab * rab) * (1 - ray * ray)) AS pb FROM full_fit),
+ts AS (SELECT metric, n, n - 2 AS v2, n - 3 AS v3, """ + ", ".join(f"{r} * sqrt((n - {k}) / (1 - {r} * {r})) AS t_{name}" for name, (r, k) in RS.items()) + " FROM rs)",
+    "SELECT metric, n, " + r6(*[f"{t_p('t_' + name, 'v' + str(k))} AS {name}" for name, (_, k) in RS.items()]) + " FROM ts")
+
+
+def two_groups(source: str) -> str:
+    """t and U of the rows with a message, with what their p-values need."""
+    return f"""
+g AS (
+  SELECT count(*) FILTER (with_message) AS n1, count(*) FILTER (NOT with_message) AS n0,
+         avg(inference_time) FILTER (with_message) AS m1, avg(inference_time) FILTER (NOT with_message) AS m0,
+         var_samp(inference_time) FILTER (with_message) AS v1, var_samp(inference_time) FILTER (NOT with_message) AS v0,
+         corr(with_message::INT, inference_time) AS r, count(*) AS n FROM {source}),
+d AS (SELECT *, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS d FROM g),
+vals AS (SELECT inference_time AS x, count(*) FILTER (with_message) AS k1, count(*) AS k FROM {source} GROUP BY 1),
+ranks AS (SELECT *, coalesce(sum(k) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k + 1) / 2.0::DOUBLE AS rk FROM vals),
+s AS (SELECT sum(k1 * rk) AS rank_sum, sum(k::DOUBLE ** 3 - k) AS ties FROM ranks),
+u AS (SELECT d.*, rank_sum - n1 * (n1 + 1) / 2.0::DOUBLE AS u, ties FROM s CROSS JOIN d),
+st AS (
+  SELECT *, d / sqrt(1.0::DOUBLE / n1 + 1.0::DOUBLE / n0) AS t, n - 2 AS v, r * sqrt((n - 2) / (1 - r * r)) AS tr,
+         (greatest(u, n1 * n0 - u) - n1 * n0 / 2.0::DOUBLE - 0.5) / sqrt(n1 * n0 / 12.0::DOUBLE * (n + 1 - ties / (n * (n - 1)))) AS z FROM u),
+st_p AS (SELECT *, {t_p('t', 'v')} AS tp, {z_p('z')} AS zp, {t_p('tr', 'v')} AS rp FROM st)"""
+
+
+add("p_values", RESULTS + "," + two_groups("results"), " UNION ALL ".join(
+    f"SELECT '{n}' AS test, {r6(s + ' AS statistic', p + ' AS p')} FROM st_p" for n, s, p in (("t", "t", "tp"), ("u", "u", "zp"), ("r", "r", "rp"))))
+SIDES = ", ".join(
+    f"count(*) FILTER ({c}) AS {g}_count, avg(inference_time) FILTER ({c}) AS {g}_mean, stddev_samp(inference_time) FILTER ({c}) AS {g}_std, quantile_cont(inference_time, 0.5) FILTER ({c}) AS {g}_median"
+    for g, c in (("with_message", "with_message"), ("without_message", "NOT with_message")))
+EVEN4 = lambda *cs: ", ".join(f"round_even({c.rsplit(' AS ', 1)[0]}, 4)::DOUBLE AS {c.rsplit(' AS ', 1)[-1]}" for c in cs)
+add("message_report", RESULTS + f""",
+q AS (SELECT {Q.format(x='inference_time')} FROM results),
+fl AS (SELECT results.*, inference_time < q1 - 1.5 * (q3 - q1) OR inference_time > q3 + 1.5 * (q3 - q1) AS is_out FROM results CROSS JOIN q),
+clean AS (SELECT * FROM fl WHERE NOT is_out),
+o AS (SELECT count(*) FILTER (is_out) AS k FROM fl),
+sides AS (SELECT {SIDES} FROM clean),""" + two_groups("clean"), f"""
+SELECT n AS total_samples, k AS outliers_detected, {EVEN4('r AS coefficient')}, {r6('rp AS p_value')}, rp < 0.05 AS significant,
+       with_message_count, {EVEN4('with_message_mean', 'with_message_std', 'with_message_median')},
+       without_message_count, {EVEN4('without_message_mean', 'without_message_std', 'without_message_median')},
+       {r6('t AS t_statistic', 'tp AS t_p_value', 'u AS u_statistic', 'zp AS u_p_value', 'd AS cohens_d')},
+       CASE WHEN abs(d) >= 0.8 THEN 'Large' WHEN abs(d) >= 0.5 THEN 'Medium' WHEN abs(d) >= 0.2 THEN 'Small' ELSE 'Negligible' END AS effect
+FROM st_p CROSS JOIN o CROSS JOIN sides""")
+
 # --- comparison of two models
 
 FOUR = ("precision", "recall", "f1", "exact_match")

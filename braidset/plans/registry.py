@@ -297,7 +297,7 @@ def combine_cases(spark, root):
 
 @query
 def rejection_counts(spark, root):
-    return combine.choose_cases(_splits(spark, root), limit=CASE_LIMIT)[1]
+    return combine.choose_cases(_splits(spark, root), limit=CASE_LIMIT).report
 
 
 # --- model input
@@ -588,17 +588,18 @@ def p_values(spark, root):
     t = groups.with_t_p(groups.two_sample(r)).select(F.lit("t").alias("test"), F.col("t_statistic").alias("statistic"), F.col("t_p_value").alias("p"))
     u = groups.with_u_p(groups.mann_whitney(r)).select(F.lit("u").alias("test"), F.col("u_statistic").alias("statistic"), F.col("u_p_value").alias("p"))
     c = correlate.with_p(correlate.point_biserial(r, "with_message", "inference_time")).select(F.lit("r").alias("test"), F.col("r").alias("statistic"), "p")
-    return t.unionByName(u).unionByName(c)
+    return r6(t.unionByName(u).unionByName(c))
 
 
 @query
 def partial_p_values(spark, root):
-    return correlate.with_partial_p(correlate.partial_table(scored(spark, root)))
+    table = correlate.with_partial_p(correlate.partial_table(scored(spark, root)))
+    return r6(table.select("metric", "n", *[c for c in table.columns if "_p_" in c]))
 
 
 @query
 def correlation_report(spark, root):
-    return reports.correlation_report(scored(spark, root))
+    return r6(reports.correlation_report(scored(spark, root)))
 
 
 def _efficiency(spark, root, x):
@@ -634,7 +635,18 @@ def efficiency_by_message(spark, root):
 
 @query
 def message_report(spark, root):
-    return reports.message_report(A.results(spark, root))
+    d = reports.message_report(A.results(spark, root))
+    tests, both = "statistical_tests", "group_comparison"
+    return r6(
+        d.select(
+            "data_summary.total_samples", "data_summary.outliers_detected",
+            "correlation_analysis.coefficient", "correlation_analysis.p_value", "correlation_analysis.significant",
+            *[F.col(f"{both}.{g}.{c}").alias(f"{g}_{c}") for g in ("with_message", "without_message") for c in ("count", "mean", "std", "median")],
+            F.col(f"{tests}.t_test.statistic").alias("t_statistic"), F.col(f"{tests}.t_test.p_value").alias("t_p_value"),
+            F.col(f"{tests}.mann_whitney_u.statistic").alias("u_statistic"), F.col(f"{tests}.mann_whitney_u.p_value").alias("u_p_value"),
+            F.col(f"{tests}.effect_size.cohens_d").alias("cohens_d"), F.col(f"{tests}.effect_size.interpretation").alias("effect"),
+        )
+    )
 
 
 @query

@@ -133,18 +133,19 @@ def read_results(
     paths = [r.path for r in result_files(spark, root, analysis_dir).collect()]
     if not paths:
         raise FileNotFoundError(f"no result files below {root}")
-    headers = check_headers(spark, paths)
-    usable = headers.where("usable")
-    if usable.isEmpty():
+    headers = check_headers(spark, paths).collect()
+    usable = [h for h in headers if h.usable]
+    if not usable:
         raise ValueError("no result file has the required columns")
-    whole = _by_layout(spark, usable)
-    return whole, headers.where("NOT usable").select("path", "missing")
+    left_out = [(h.path, h.missing) for h in headers if not h.usable]
+    report = spark.createDataFrame(left_out, "path string, missing array<string>")
+    return _by_layout(spark, usable), report
 
 
-def _by_layout(spark, headers: DataFrame) -> DataFrame:
+def _by_layout(spark, headers) -> DataFrame:
     layouts: dict[tuple, list[str]] = {}
-    for r in headers.select("columns", "path").collect():
-        layouts.setdefault(tuple(r["columns"]), []).append(r["path"])
+    for h in headers:
+        layouts.setdefault(tuple(h.columns), []).append(h.path)
     types = {f.name: f.dataType for f in schemas.RESULTS.fields}
     parts = [_layout(spark, cols, files, types) for cols, files in sorted(layouts.items())]
     whole = parts[0]
@@ -169,14 +170,16 @@ def union_with_lineage(spark: SparkSession, paths: Sequence[str], cols: Sequence
     """Named columns of many result files plus ``source_file``; raises on a missing column."""
     if not paths:
         raise ValueError("no files given")
-    bad = check_headers(spark, paths, cols).where("NOT usable").select("path", "missing").collect()
+    headers = check_headers(spark, paths, cols).collect()
+    bad = [f"{h.path}: {h.missing}" for h in headers if not h.usable]
     if bad:
-        raise ValueError("missing columns: " + "; ".join(f"{b.path}: {b.missing}" for b in bad))
-    return _by_layout(spark, check_headers(spark, paths, ())).select(*cols, "source_file")
+        raise ValueError("missing columns: " + "; ".join(bad))
+    return _by_layout(spark, headers).select(*cols, "source_file")
 
 
 def concat_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Result files one under the other, without lineage."""
     if not paths:
         raise ValueError("no files given")
-    return _by_layout(spark, check_headers(spark, paths, ())).drop("source_file", "source_path")
+    headers = check_headers(spark, paths, ()).collect()
+    return _by_layout(spark, headers).drop("source_file", "source_path")

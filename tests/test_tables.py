@@ -208,8 +208,8 @@ def test_names(spark):
     assert got[files[1]].types[-1] == "style" and got[files[1]].ensure_different_types is False
     assert got[files[2]] is None
     runs = {
-        "/r/Phi-4_zero/Phi-4_12288_zs_msg1.csv": ("Phi-4", 12288, "Zero-shot", True),
-        "/r/gpt/202508/msg0/2048_os.csv": ("202508", 2048, "One-shot", False),
+        "/r/alpha_zero/alpha-4_12288_zs_msg1.csv": ("alpha-4", 12288, "Zero-shot", True),
+        "/r/beta/run7/msg0/2048_os.csv": ("run7", 2048, "One-shot", False),
         "results/diff_only/a_b_Two_shot_1024.csv": ("a_b", 1024, "Two-shot", False),
     }
     df = spark.createDataFrame([(p,) for p in [*runs, "x.csv"]], "p string")
