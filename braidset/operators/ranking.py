@@ -20,7 +20,8 @@ _OCTAVES = 1100
 def number_level(x: Column, bits: int) -> Column:
     """An order-preserving bucket with ``2**bits`` steps for each doubling of ``|x|``."""
     x = x.cast("double")
-    size = F.floor(F.log2(F.abs(x)) * float(1 << bits)) + (_OCTAVES << bits)
+    octave = F.least(F.log2(F.abs(x)), F.lit(float(_OCTAVES)))
+    size = F.floor(octave * float(1 << bits)) + (_OCTAVES << bits)
     return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("bigint"))
 
 
@@ -140,7 +141,7 @@ def repeat_rows(df: DataFrame, times: str, chunk: int = 100_000) -> DataFrame:
     )
 
 
-def _cuts(df, key, want, by, extra):
+def _cuts(df, key, want, by, extra, broadcast):
     least = lambda n: F.least(want(n).cast("bigint"), n)
     none = F.array().cast("array<bigint>")
     return order_statistics(
@@ -149,6 +150,7 @@ def _cuts(df, key, want, by, extra):
         lambda n: F.when(least(n) > 0, F.array(least(n) - 1)).otherwise(none),
         by,
         extra,
+        broadcast,
     )
 
 
@@ -160,6 +162,7 @@ def seeded_split(
     extra: DataFrame | None = None,
     flag: str = "chosen",
     keys: DataFrame | None = None,
+    broadcast: bool = True,
 ) -> DataFrame:
     """Flag the first ``want(n)`` rows of each group in the order of a md5 ``key``.
 
@@ -168,18 +171,19 @@ def seeded_split(
     are told apart by count: identical ones are interchangeable.
 
     ``keys`` may hold the same rows with only ``by`` and the columns of ``key``, for
-    when ``df`` is dear to compute more than once.
+    when ``df`` is dear to compute more than once. With very many groups pass
+    ``broadcast=False``: the cuts are then joined by shuffle.
     """
     by = list(by)
     keyed = df.withColumn("_key", key)
     narrow = keyed if keys is None else keys.withColumn("_key", key)
-    cuts = _cuts(narrow, F.col("_key"), want, by, extra).select(
+    cuts = _cuts(narrow, F.col("_key"), want, by, extra, broadcast).select(
         *by,
         F.col("value").alias("_cut"),
         (F.col("rank") + 1 - F.col("below")).alias("_take"),
         F.col("ties").alias("_ties"),
     )
-    placed = attach(keyed, cuts, by)
+    placed = attach(keyed, cuts, by, broadcast=broadcast)
     at_cut = F.col("_key") == F.col("_cut")
     torn = at_cut & (F.col("_take") < F.col("_ties"))
     whole = placed.where(~F.coalesce(torn, F.lit(False))).withColumn(
@@ -188,7 +192,7 @@ def seeded_split(
     columns = df.columns
     torn_cuts = cuts.where(F.col("_take") < F.col("_ties")).withColumnRenamed("_cut", "_key")
     copies = (
-        keyed.join(checked_small(torn_cuts, "cuts"), by + ["_key"])
+        keyed.join(checked_small(torn_cuts, "cuts") if broadcast else torn_cuts, by + ["_key"])
         .groupBy(*columns, "_take")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -212,9 +216,9 @@ def seeded_split(
     )
 
 
-def seeded_take(df, key, want, by=(), extra=None, keys=None) -> DataFrame:
+def seeded_take(df, key, want, by=(), extra=None, keys=None, broadcast=True) -> DataFrame:
     """Only the rows ``seeded_split`` flags."""
-    return seeded_split(df, key, want, by, extra, "_chosen", keys).where("_chosen").drop("_chosen")
+    return seeded_split(df, key, want, by, extra, "_chosen", keys, broadcast).where("_chosen").drop("_chosen")
 
 
 def dense_index(

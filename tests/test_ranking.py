@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from braidset.operators import curate, quantiles
-from braidset.operators.ranking import dense_index, number_level, seeded_key, seeded_split
+from braidset.operators.ranking import checked_small, dense_index, number_level, seeded_key, seeded_split
 
 
 def key(v, seed=42):
@@ -77,6 +77,29 @@ def test_split_without_groups(spark):
     assert sorted(r.sha for r in got.where("chosen").collect()) == sorted(sorted(map(str, range(50)), key=key)[:7])
 
 
+def test_split_by_shuffle_join(spark):
+    rows = [(f"t{i % 9}", f"s{i}") for i in range(90)] + [("t0", "s0")] * 20
+    df = spark.createDataFrame(rows, "type string, sha string")
+    want = lambda n: F.floor(n * 0.3)
+    split = lambda b: seeded_split(df, seeded_key(F.col("sha")), want, ["type"], broadcast=b)
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(split(True)) == key(split(False)) and split(False).count() == len(rows)
+
+
+def test_broadcast_bound_is_enforced(spark):
+    small = spark.range(10)
+    assert checked_small(small, "ids", 10).count() == 10
+    with pytest.raises(Exception, match="too many rows to broadcast"):
+        spark.range(5).join(checked_small(small, "ids", 9), "id").collect()
+
+
+def test_infinite_values_have_a_place(spark):
+    df = spark.createDataFrame([(x,) for x in (float("-inf"), -1e308, -5e-324, 0.0, 5e-324, 1e308, float("inf"))], "x double")
+    levels = df.select("x", number_level(F.col("x"), 24).alias("l")).orderBy("l").collect()
+    assert [r.x for r in levels] == [float("-inf"), -1e308, -5e-324, 0.0, 5e-324, 1e308, float("inf")]
+    assert quantiles.exact_quantiles(df, "x", {"m": 0.5}).first().m == 0.0
+
+
 def test_topup(spark):
     pool = spark.createDataFrame([("feat", f"a{i}") for i in range(30)] + [("fix", f"b{i}") for i in range(3)], "annotated_type string, sha string")
     have = spark.createDataFrame([("feat", 4), ("docs", 9)], "annotated_type string, count bigint")
