@@ -185,8 +185,8 @@ def _encode(path: str, end: int):
     def run(batches):
         enc = tokens.encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 ids, counts = enc.encode_all(part.column(1).cast(pa.binary()).to_pylist(), end)
                 data, ends = ids.astype("<u4").tobytes(), (counts.cumsum() * 4).tolist()
                 pieces = [data[a:b] for a, b in zip([0, *ends], ends)]

@@ -19,8 +19,8 @@ def _encode(path: str, end: int):
     def run(batches):
         enc, row, start = tokens.encoder(path), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 ids, counts = enc.encode_all(texts, end)
                 ends = counts.cumsum()

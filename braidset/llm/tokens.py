@@ -15,14 +15,12 @@ import os
 import numpy as np
 
 from braidset.llm.common import worker_cache
+from braidset.llm.units import UnitHasher
 
 #: Units that a worker remembers (about 40 bytes each); on overflow it starts afresh.
 UNITS = 4_000_000
 #: Bytes of text that are worked on at once; a longer text is one piece of its own.
-CHUNK = 2 << 20
-
-SPACE, LETTER, DIGIT, MARK, LATIN, OTHER = range(6)
-
+CHUNK = 1 << 19
 
 def default_path() -> str:
     """The public word tokenizer of the contracts."""
@@ -31,18 +29,6 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _classes() -> np.ndarray:
-    kind = np.full(256, OTHER, np.uint8)
-    kind[0x21:0x7F] = MARK
-    kind[ord("0") : ord("9") + 1] = DIGIT
-    for a, z in ("az", "AZ"):
-        kind[ord(a) : ord(z) + 1] = LETTER
-    kind[[ord("'"), ord("<")]] = OTHER
-    kind[[0x20, *range(0x09, 0x0E)]] = SPACE
-    kind[0xC3] = LATIN
-    return kind
-
-
 class UnitEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,67 +38,28 @@ class UnitEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.kind = _classes()
-        rng = np.random.default_rng(20240)
-        self.byte = rng.integers(1, 2**63, 256, np.uint64)
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.hasher = UnitHasher()
         self._fresh()
 
     def _fresh(self):
-        self.hashes = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.int32)
-
-    def _units(self, raw: np.ndarray):
-        """Starts, ends, whole-word flags and lowered bytes of a buffer's units."""
-        kind = self.kind[raw]
-        lead = np.flatnonzero(kind == LATIN)
-        low = raw.copy()
-        upper = (raw >= 65) & (raw <= 90)
-        low[upper] += 32
-        if len(lead):
-            # 0xC3 and its second byte are a Latin-1 letter, but for the signs of times and division.
-            second = raw[lead + 1]
-            good = (second != 0x97) & (second != 0xB7)
-            kind[lead] = np.where(good, LETTER, OTHER)
-            kind[lead + 1] = kind[lead]
-            capital = lead[good & (second >= 0x80) & (second <= 0x9E)] + 1
-            low[capital] += 32
-        space = kind == SPACE
-        odd = np.flatnonzero(kind == OTHER)
-        change = np.empty(len(raw) + 1, bool)
-        change[0] = change[-1] = True
-        change[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
-        if len(odd):
-            # Words with anything else in them are one unit: no edge inside them.
-            edges = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
-            word = np.unique(np.searchsorted(edges[0::2], odd, "right") - 1)
-            a, b = edges[0::2][word], edges[1::2][word]
-            size = len(raw) + 1
-            inner = np.cumsum(np.bincount(a + 1, minlength=size) - np.bincount(b, minlength=size)) > 0
-            change &= ~inner
-            covered = inner[:-1]
-            covered[a] = True
-            low[covered] = raw[covered]
-        cuts = np.flatnonzero(change)
-        starts, ends = cuts[:-1], cuts[1:]
-        keep = ~space[starts]
-        starts, ends = starts[keep], ends[keep]
-        whole = np.zeros(len(starts), bool)
-        if len(odd):
-            whole[np.unique(np.searchsorted(starts, odd, "right") - 1)] = True
-        return starts, ends, whole, low
-
-    def _powers(self, n: int):
-        while len(self.powers) < n:
-            k = np.uint64(pow(int(self.base), len(self.powers), 1 << 64))
-            j = np.uint64(pow(int(self.inverse), len(self.powers), 1 << 64))
-            self.powers = np.concatenate([self.powers, self.powers * k])
-            self.inverses = np.concatenate([self.inverses, self.inverses * j])
-        return self.powers[:n], self.inverses
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # Sorted hashes with the place and number of each unit's ids: a large level and a small, recent one.
+        self.levels = [empty, empty]
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def known(self) -> int:
+        return sum(len(level[0]) for level in self.levels)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the (sorted) hashes are known, and the place and number of their ids."""
+        found, starts, sizes = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int32)
+        for keys, places, numbers in self.levels:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                same = keys[at] == hashes
+                found |= same
+                starts[same], sizes[same] = places[at[same]], numbers[at[same]]
+        return found, starts, sizes
 
     def _learn(self, hashes, units: list[bytes], whole: np.ndarray) -> None:
         """Ids of units that are new, found by the library."""
@@ -134,41 +81,42 @@ class UnitEncoder:
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
             ids[i] = e.ids
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, np.array([x for t in ids for x in t], np.int32)])
-        joined = np.concatenate([self.hashes, hashes])
-        order = np.argsort(joined, kind="stable")
-        self.hashes = joined[order]
-        self.starts = np.concatenate([self.starts, starts])[order]
-        self.sizes = np.concatenate([self.sizes, sizes])[order]
+        end = self.used + int(sizes.sum())
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat)) // 2 + end - len(self.flat), np.int32)])
+        self.flat[self.used : end] = np.fromiter((x for t in ids for x in t), np.int32, end - self.used)
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used = end
+        self.levels[1] = self._merged(self.levels[1], (hashes, starts, sizes))
+        if len(self.levels[1][0]) * 8 > len(self.levels[0][0]):
+            self.levels = [self._merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
+
+    @staticmethod
+    def _merged(a, b):
+        joined = [np.concatenate(pair) for pair in zip(a, b)]
+        order = np.argsort(joined[0], kind="stable")
+        return tuple(x[order] for x in joined)
 
     def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = b" ".join(texts) + b" "
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        raw = np.frombuffer(data, np.uint8)
-        starts, ends, whole, low = self._units(raw)
+        units = self.hasher.units(data)
+        starts, ends, whole, low = units.starts, units.ends, units.whole, units.low
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        powers, inverses = self._powers(len(raw) + 1)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.byte[low] * powers[: len(raw)], dtype=np.uint64)])
-        hashes = (prefix[ends] - prefix[starts]) * inverses[starts]
-        hashes ^= hashes >> np.uint64(29)
-        hashes = hashes * np.uint64(0xBF58476D1CE4E5B9) + whole
+        hashes = units.hashes() + whole
         known, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(known) > UNITS:
+        if self.known() + len(known) > UNITS:
             self._fresh()
-        at = np.searchsorted(self.hashes, known)
-        have = np.zeros(len(known), bool)
-        inside = at < len(self.hashes)
-        have[inside] = self.hashes[at[inside]] == known[inside]
+        have, places, sizes = self._find(known)
         if not have.all():
             new = first[~have]
             lowered = low.tobytes()
             self._learn(known[~have], [lowered[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())], whole[new])
-            at = np.searchsorted(self.hashes, known)
-        sizes = self.sizes[at][back]
+            have, places, sizes = self._find(known)
+        sizes, places = sizes[back], places[back]
         stops = np.cumsum(sizes, dtype=np.int64)
-        shift = np.repeat(self.starts[at][back] - (stops - sizes), sizes)
+        shift = np.repeat(places - (stops - sizes), sizes)
         out = self.flat[shift + np.arange(int(stops[-1]))]
         text_ends = np.searchsorted(starts, np.cumsum(lengths))
         total = np.concatenate([np.zeros(1, np.int64), stops])[text_ends]
