@@ -286,11 +286,14 @@ def _crc(batches):
         sums = [zlib.crc32(x) for x in batch.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:3], pa.array(sums, pa.int64()), *batch.columns[4:]],
-            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            names=["doc_id", "start", "length", "ids_crc32", *batch.schema.names[4:]],
         )
 
 
-def digests(packed: DataFrame) -> DataFrame:
-    """The pieces with the crc32 of their ids in place of the ids."""
-    rows = packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-    return rows.mapInArrow(_crc, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+def digests(packed: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """The pieces with the crc32 of their ids, beside or in place of the ids."""
+    kept = ["doc_tokens", "sequence_id", "offset"]
+    rows = packed.select("doc_id", "start", "length", "ids", *kept, *([F.col("ids").alias("piece")] if keep_ids else []))
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    out = rows.mapInArrow(_crc, schema + (", piece binary" if keep_ids else ""))
+    return out.withColumnRenamed("piece", "ids")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidset.llm import mixing, packing, simhash, tokenfiles, toxicity
+from braidset.llm import mixing, packing, pii, quality, simhash, tokenfiles, toxicity
 from braidset.llm.common import shared_path, table
 
 
@@ -25,6 +25,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(docs))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +48,8 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }

@@ -91,10 +91,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def starts(table: DataFrame) -> DataFrame:
     """``start`` (ids of all documents before it in the table) added; it reads narrow columns only."""
     per = table.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
-    # One row per shard.
+    # One row per shard, and shards are no more than spark.sql.shuffle.partitions: a bounded broadcast.
     before = F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     per = per.select("shard", F.coalesce(before, F.lit(0)).alias("_before"))
-    return table.join(per, "shard").withColumn("start", F.col("_before") + F.col("local_start")).drop("_before")
+    return table.join(F.broadcast(per), "shard").withColumn("start", F.col("_before") + F.col("local_start")).drop("_before")
 
 
 def _crc(batches):
