@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidset.llm import mixing, packing, pii, quality, simhash, tokenfiles, toxicity
+from braidset.llm import ann, mixing, packing, pii, quality, simhash, tokenfiles, toxicity
 from braidset.llm.common import shared_path, table
 
 
@@ -21,6 +21,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -47,6 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
+    "op4_nearest": op4_nearest,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op8_quality": op8_quality,
