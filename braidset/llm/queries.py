@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidset.llm import ann, mixing, packing, pii, quality, simhash, tokenfiles, toxicity
+from braidset.llm import ann, mixing, packing, perplexity, pii, quality, repeats, simhash, tokenfiles, toxicity
 from braidset.llm.common import shared_path, table
 
 
+def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "op2-tokens")
     tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path)
@@ -34,6 +38,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.train(docs))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
@@ -49,11 +57,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_perplexity": op1_perplexity,
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
     "op4_nearest": op4_nearest,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
+    "op7_repeats": op7_repeats,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
