@@ -115,7 +115,9 @@ def mix_sizes(sizes: DataFrame, seed: int = 7, block: int = 8, shard_docs: int =
     """``mix`` over columns doc_id, source and size."""
     sizes = sizes.withColumn("_seeded", seeded(F.col("doc_id"), seed))
     targets = source_targets(sizes)
-    all_seats = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
+    # The targets add up to the share of all words; in whole numbers, so that no rounding of sums decides a seat.
+    words = F.sum("source_size").over(Window.partitionBy())
+    all_seats = F.floor((words * (2 * SHARE[0]) + SHARE[1] * block) / F.lit(2 * SHARE[1] * block)).cast("long")
     seated = sainte_lague(targets.withColumn("_seats", all_seats), [], ["source"], "target", "_seats", "_blocks").drop("_seats")
     seated = seated.withColumn("_shards", F.ceil(F.col("docs") / shard_docs).cast("long"))
     # A row per source: small beside the documents, whose shuffle by source this spares where it fits.
@@ -141,14 +143,12 @@ def apply_mix(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str = "
     Keys must be unique; rows that share a key share its copies.
     """
     plan = mix(docs, seed, key=key, text=text, source=source).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    plan = plan.withColumnRenamed("doc_id", "_key")
-    rows = docs.join(plan, docs[key].eqNullSafe(plan["_key"]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = rows.join(plan, F.col("_key").eqNullSafe(F.col("doc_id")))
     copies = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_taken") / F.col("_size")))
     part = F.when(F.col("_size") == 0, 0).otherwise(F.col("_taken") % F.col("_size"))
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    pieces = F.regexp_extract_all(F.col("_text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(pieces, 1, F.col("_part").cast("int")), "")
-    rows = rows.withColumn("_part", part).withColumn(
-        "_text",
-        F.explode(F.concat(F.array_repeat(F.col(text), copies.cast("int")), F.when(F.col("_part") > 0, F.array(head)).otherwise(F.array().cast("array<string>")))),
-    )
-    return rows.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in docs.columns])
+    rest = F.when(F.col("_part") > 0, F.array(head)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("_part", part).withColumn("_taken_text", F.explode(F.concat(F.array_repeat(F.col("_text"), copies.cast("int")), rest)))
+    return rows.select(*[(F.col("_taken_text") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -250,11 +250,12 @@ def fit_field(texts: list[str], epochs: int = 60, rate: float = 0.3, decay: floa
 
 def train(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Field:
     """A field fit on the documents of the least hashed ids, at most ``sample``, that hold a digit or an at sign."""
-    some = docs.where(F.col(key).isNotNull() & F.col(text).rlike("[0-9@]")).select(F.col(key).cast("long").alias("_id")).distinct()
+    pairs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    some = pairs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select(F.col("doc_id").alias("_id")).distinct()
     some = some.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(some), docs[key].cast("long") == F.col("_id"), "left_semi")
+    rows = pairs.join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "left_semi")
     # Only what tokens and their neighbours hold leaves the executors: the lines around digits and at signs.
-    near = F.regexp_extract_all(F.col(text), F.lit(r"[^\n]{0,200}[0-9@][^\n]{0,200}"), F.lit(0))
+    near = F.regexp_extract_all(F.col("text"), F.lit(r"[^\n]{0,200}[0-9@][^\n]{0,200}"), F.lit(0))
     texts = sorted(r[0] for r in rows.select(F.array_join(F.slice(near, 1, 50), "\n")).collect() if r[0])
     return fit_field(texts)
 

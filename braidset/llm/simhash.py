@@ -227,5 +227,5 @@ def near_duplicates(docs: DataFrame, radius: int = 2, key: str = "doc_id", text:
 
 def keep_one(docs: DataFrame, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the least id; keys must be unique."""
-    kept = near_duplicates(docs, radius, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept.distinct(), docs[key].eqNullSafe(F.col("_kept")), "left_semi")
+    kept = near_duplicates(docs, radius, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__llm_kept"))
+    return docs.join(kept.distinct(), docs[key].eqNullSafe(F.col("__llm_kept")), "left_semi")

@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
     known = known.where(learn & F.col("_label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("_label").alias("_label"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(F.broadcast(taken), docs[key].cast("long") == F.col("_id")).select(F.col(text).alias("text"), "_label")
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(F.broadcast(taken), F.col("_key") == F.col("_id")).select("text", "_label")
     got = rows.mapInArrow(_buckets(bits), "label int, buckets binary").toArrow()
     found = [np.frombuffer(b, np.int32) for b in got.column("buckets").to_pylist()]
     y = np.array(got.column("label").to_pylist(), float)
@@ -185,18 +185,17 @@ def held_out(key: Column) -> Column:
     return key_crc(key, 3) == 1
 
 
-def _reject(model: Machine, threshold: float, bits: int):
+def _reject(model: Machine, threshold: float, bits: int, text: str):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(part.schema.get_field_index("_scored")).cast(pa.binary()).to_pylist()
-                keep = model.scores(*terms(texts, bits)) < threshold
-                yield part.filter(pa.array(keep)).drop_columns(["_scored"])
+                texts = part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
+                yield part.filter(pa.array(model.scores(*terms(texts, bits)) < threshold))
 
     return run
 
 
 def keep_civil(docs: DataFrame, model: Machine, threshold: float = 0.7, bits: int = BITS, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, in one pass without a shuffle."""
-    return docs.withColumn("_scored", F.col(text)).mapInArrow(_reject(model, threshold, bits), docs.schema)
+    return docs.mapInArrow(_reject(model, threshold, bits, text), docs.schema)
