@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidset.llm.common import key_crc, worker_cache
+from braidset.llm.common import key_crc, worker_cache, written
 from braidset.llm.units import UnitHasher
 
 STATISTICS = (
@@ -114,31 +114,51 @@ def discriminant(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shr
     return Discriminant(means, np.array(covariances), (counts + 1) / (total + 2))
 
 
+def _measure(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            x = statistics(part.column(1).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and x, the statistics of every whole text, written once: the texts are read once and never shuffled.
+
+    Null and empty texts have the statistics of no words; null and repeated keys keep a row each;
+    an empty table gives no row; other columns play no part.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return written(rows.mapInArrow(_measure, "doc_id long, x array<double>"), "quality")
+
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _moments(batches):
     d = len(STATISTICS)
     counts, sums, products = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
     for batch in batches:
-        labels = batch.column(1).to_numpy(zero_copy_only=False)
-        for at in range(0, batch.num_rows, 512):
-            x = statistics(batch.column(0).slice(at, 512).cast(pa.binary()).to_pylist())
-            for k in (0, 1):
-                own = x[labels[at : at + 512] == k]
-                counts[k] += len(own)
-                sums[k] += own.sum(axis=0)
-                products[k] += own.T @ own
+        labels, x = batch.column(1).to_numpy(zero_copy_only=False), _matrix(batch.column(0))
+        for k in (0, 1):
+            own = x[labels == k]
+            counts[k] += len(own)
+            sums[k] += own.sum(axis=0)
+            products[k] += own.T @ own
     flat = np.concatenate([counts, sums.ravel(), products.ravel()])
     yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array(flat)], names=["at", "value"])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", key: str = "doc_id", text: str = "text") -> Discriminant:
-    """Fit on all labelled rows for which ``learn`` (over ``doc_id``) holds, from sums that tasks add up.
+def train(rows: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", key: str = "doc_id") -> Discriminant:
+    """Fit on all labelled ``rows`` (of ``measured``) for which ``learn`` (over ``doc_id``) holds, from sums that tasks add up.
 
     Rows with a null or other label or a null id are left out; of repeated labels of one id the least counts.
     """
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
     known = known.where(learn & F.col("_label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("_label").alias("_label"))
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(known, F.col("_key") == F.col("_id"))
-    parts = rows.select("text", "_label").mapInArrow(_moments, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    joined = rows.join(known, F.col("doc_id") == F.col("_id")).select("x", "_label")
+    parts = joined.mapInArrow(_moments, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
     # As many rows as the classes have moments.
     d = len(STATISTICS)
     flat = np.zeros(2 + 2 * d + 2 * d * d)
@@ -150,23 +170,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
 def _score(model: Discriminant):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = model.scores(statistics(part.column(1).cast(pa.binary()).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(_matrix(batch.column(1))))], names=["doc_id", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: Discriminant, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score and predicted (1 from ``threshold``) of every whole text.
-
-    Only the text enters the score. Null and empty texts have the statistics of no words; null and
-    repeated keys keep a row each; an empty table gives no row; other columns play no part.
-    """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(_score(model), "doc_id long, score double")
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def score(rows: DataFrame, model: Discriminant, threshold: float = 0.3) -> DataFrame:
+    """doc_id, score and predicted (1 from ``threshold``) of ``rows`` (of ``measured``). Only the text entered the score."""
+    scored = rows.mapInArrow(_score(model), "doc_id long, score double")
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def held_out(key: Column) -> Column:

@@ -43,9 +43,9 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = quality.train(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
-    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    rows = quality.measured(table(spark, sf_dir, "documents"))
+    model = quality.train(rows, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
+    return quality.score(rows, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,51 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+def _sainte_lague(name: str, rows: str, by: str, party: str, weight: str) -> str:
+    """SQL tables: every quotient that could win, and the seats won."""
+    group = f"PARTITION BY {by}" if by else ""
+    keys = f"{by}, {party}" if by else party
+    return f"""{name}_a AS (
+    SELECT *, sum({weight}) OVER ({group})::DOUBLE AS all_votes, count(*) OVER ({group}) AS parties FROM {rows}
+), {name}_b AS (
+    SELECT *, unnest(range(0, CASE WHEN all_votes > 0 THEN ceil({weight} * (seats + parties / 2) / all_votes)::BIGINT + 1 ELSE 0 END)) AS k FROM {name}_a
+), {name}_c AS (
+    SELECT *, row_number() OVER ({group} ORDER BY {weight}::DOUBLE / (2 * k + 1) DESC, {party} NULLS LAST, k) AS place FROM {name}_b WHERE {weight} > 0
+), {name} AS (
+    SELECT {keys}, count(*) AS won FROM {name}_c WHERE place <= seats GROUP BY {keys}
+)"""
+
+
+SQL: dict[str, str] = {
+    "op10_mixing": rf"""WITH s AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+    FROM documents
+), p AS (
+    SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM s GROUP BY source
+), w AS (
+    SELECT *, CASE (n - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS cap FROM p
+), l AS (
+    SELECT *, (sum(source_size) OVER ()::DOUBLE * 3 / 2 - coalesce(sum(cap) OVER b, 0)::DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+    FROM w WINDOW b AS (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+    SELECT *, (SELECT level FROM l WHERE cap / weight >= level ORDER BY cap / weight, n LIMIT 1) AS common FROM l
+), t AS (
+    SELECT source, docs, source_size, CASE WHEN common IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, common * weight) END AS target,
+        ((sum(source_size) OVER () * 6 + 16) // 32)::BIGINT AS seats, ceil(docs / 2048)::BIGINT AS shards
+    FROM f
+), {_sainte_lague("sources", "t", "", "source", "target")}, d AS (
+    SELECT s.*, t.source_size, t.target, coalesce(o.won, 0) AS seats, ('0x' || substr(h, 1, 8))::BIGINT % t.shards AS shard
+    FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN sources o ON t.source IS NOT DISTINCT FROM o.source
+), q AS (
+    SELECT source, shard, sum(size)::BIGINT AS words, any_value(seats) AS seats FROM d GROUP BY source, shard
+), {_sainte_lague("quotas", "q", "source", "shard", "words")}, r AS (
+    SELECT d.*, words, least(coalesce(u.won, 0) * 8, words * 2)::BIGINT AS budget,
+        coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard
+    LEFT JOIN quotas u ON d.source IS NOT DISTINCT FROM u.source AND d.shard = u.shard
+)
+SELECT doc_id, source, size, source_size, target,
+    (CASE WHEN words > 0 THEN budget // words ELSE 0 END * size
+        + least(greatest(budget - CASE WHEN words > 0 THEN budget // words ELSE 0 END * words - before, 0), size))::BIGINT AS taken
+FROM r""",
+}
