@@ -5,13 +5,13 @@ see one row per statistic, never one row per record.
 """
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 _TINY = 1e-300
-EXACT_CELLS = 2_000_000
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -81,23 +81,42 @@ def normal_two_sided(z: float) -> float:
     return math.nan if math.isnan(z) else math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def rank_sum_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of the U statistic without ties.
+def _tail_count(excess: int, small: int, large: int) -> int:
+    """Arrangements whose U is at most ``excess``: a coefficient of a generating function.
 
-    The number of arrangements for each U is a Gaussian binomial coefficient;
-    whole-number arithmetic keeps it exact.
+    It is prod(1 - q**(large + i)) / (prod(1 - q**i) * (1 - q)), i = 1..small, at q**excess. The
+    numerator has at most 2**small terms. With step the least common multiple of 1..small, the
+    denominator becomes (1 - q**step)**(small + 1) over a polynomial of fixed degree, so that the work
+    does not depend on ``large``.
     """
-    small, large = sorted((int(n1), int(n2)))
-    cells = small * large + 1
-    ways = [1] + [0] * (cells - 1)
+    step = math.lcm(*range(1, small + 1))
+    fixed = [1]
+    for i in [*range(1, small + 1), 1]:
+        repeated = [0] * (len(fixed) + step - i)
+        for at, c in enumerate(fixed):
+            for k in range(0, step, i):
+                repeated[at + k] += c
+        fixed = repeated
+    numerator = {0: 1}
     for i in range(1, small + 1):
-        for j in range(cells - 1, large + i - 1, -1):
-            ways[j] -= ways[j - large - i]
-        for j in range(i, cells):
-            ways[j] += ways[j - i]
+        for at, c in list(numerator.items()):
+            numerator[at + large + i] = numerator.get(at + large + i, 0) - c
+    total = 0
+    for at, c in numerator.items():
+        left = excess - at
+        if c and left >= 0:
+            first = left % step
+            for d in range(first, min(left, len(fixed) - 1) + 1, step):
+                total += c * fixed[d] * math.comb((left - d) // step + small, small)
+    return total
+
+
+def rank_sum_exact(u: float, n1: int, n2: int) -> float:
+    """Two-sided exact p of the U statistic without ties, in whole numbers, for any sizes."""
+    small, large = sorted((int(n1), int(n2)))
     upper = max(u, n1 * n2 - u)
-    tail = sum(ways[int(math.ceil(upper)) :])
-    return min(1.0, 2.0 * tail / math.comb(small + large, small))
+    tail = _tail_count(small * large - int(math.ceil(upper)), small, large)
+    return float(min(Fraction(1), Fraction(2 * tail, math.comb(small + large, small))))
 
 
 def _over_rows(fn, *series):
@@ -135,11 +154,7 @@ def normal_p_value(z: Column) -> Column:
 
 
 def rank_sum_p_value(u: Column, n1: Column, n2: Column, z: Column, has_ties: Column) -> Column:
-    """Exact when one sample has at most eight rows and nothing is tied, else normal.
-
-    Past ``EXACT_CELLS`` possible values of U the two agree to more digits than a
-    double holds usefully, so the normal form is used there as well.
-    """
+    """Exact when one sample has at most eight rows and nothing is tied, else normal."""
 
     @F.pandas_udf("double")
     def p(us: pd.Series, a: pd.Series, b: pd.Series, zs: pd.Series, ties: pd.Series) -> pd.Series:
@@ -147,7 +162,7 @@ def rank_sum_p_value(u: Column, n1: Column, n2: Column, z: Column, has_ties: Col
         for u_, n1_, n2_, z_, t_ in zip(us, a, b, zs, ties):
             if u_ is None or u_ != u_ or not n1_ or not n2_:
                 out.append(None)
-            elif min(n1_, n2_) <= 8 and not t_ and n1_ * n2_ <= EXACT_CELLS:
+            elif min(n1_, n2_) <= 8 and not t_:
                 out.append(rank_sum_exact(u_, n1_, n2_))
             else:
                 # z is signed: below the middle the two tails overlap and p is 1

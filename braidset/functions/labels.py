@@ -37,9 +37,18 @@ def parseable_labels(col: Column) -> Column:
     return F.from_json(col, "array<string>").isNotNull()
 
 
+def _sole_types(text: Column) -> Column:
+    """``types`` of a text that is one object; NULL if anything follows it.
+
+    The reader stops behind the first complete value. As the only entry of a list, an object
+    with more behind it is either broken or not the only one.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<struct<types:array<string>>>", _STRICT_JSON)
+    return F.when(F.size(listed) == 1, F.element_at(listed, 1)["types"])
+
+
 def _types_of(text: Column) -> Column:
-    parsed = F.from_json(text, "struct<types:array<string>>", _STRICT_JSON)["types"]
-    return F.filter(parsed, lambda x: x.isNotNull())
+    return F.filter(_sole_types(text), lambda x: x.isNotNull())
 
 
 def outer_object(text: Column) -> Column:
@@ -62,7 +71,7 @@ def parse_type_response(text: Column) -> Column:
 
 def valid_response(text: Column) -> Column:
     """True when the answer is one object that holds only ``types``, all of them known."""
-    types = F.from_json(text, "struct<types:array<string>>", _STRICT_JSON)["types"]
+    types = _sole_types(text)
     keys = F.json_object_keys(text)
     known = F.size(F.array_except(types, label_array())) == 0
     return F.coalesce((keys == F.array(F.lit("types"))) & known, F.lit(False))

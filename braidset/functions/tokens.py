@@ -8,6 +8,7 @@ generation. A real tokenizer can be plugged in through ``encoder_count`` and
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from braidset.schemas import TOKEN_RANGES
@@ -47,7 +48,8 @@ _ENCODERS: dict = {}
 
 
 def _encoder(factory: Callable):
-    key = f"{factory.__module__}.{factory.__qualname__}"
+    # Closures of one function share its name: what they hold tells them apart.
+    key = cloudpickle.dumps(factory)
     if key not in _ENCODERS:
         _ENCODERS[key] = factory()
     return _ENCODERS[key]

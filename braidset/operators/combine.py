@@ -9,11 +9,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from braidset.operators.ranking import checked_small, dense_index, hash_number, seeded_key, seeded_take
+from braidset.operators.ranking import dense_index, hash_number, seeded_key, seeded_take
 from braidset.plans.staging import stage
 from braidset.schemas import CONCERN_COUNTS, LABELS, SEED, TOKEN_LIMIT
 
 # A record drawn more often than this gets its draws spread over several copies.
+TRY_CHUNK = 100_000
 DRAWS_PER_COPY = 10_000
 
 
@@ -53,10 +54,10 @@ def _sizes(pool, counts, oversample, target):
         F.sum("n").alias("n_pool"),
     )
     goal = F.col("n_pool") if target is None else F.lit(target).cast("bigint")
-    tries = F.ceil(goal * oversample / F.col("n_pool")).cast("int")
+    tries = F.ceil(goal * oversample / F.col("n_pool")).cast("bigint")
     draws = tries * F.col("n_pool") * sum(k for k in counts if k > 1) / F.size("sizes")
     copies = F.transform_values(
-        "sizes", lambda _, n: F.ceil(draws / n / DRAWS_PER_COPY).cast("int")
+        "sizes", lambda _, n: F.ceil(draws / n / DRAWS_PER_COPY).cast("bigint")
     )
     return sizes.withColumns({"target": goal, "tries": tries, "copies": copies})
 
@@ -65,8 +66,8 @@ def _spread(df, sizes):
     """Repeat the records of rare types so that no single one draws everything."""
     last = F.greatest(F.col("copies")[F.col("type")], F.lit(1)) - 1
     return (
-        df.join(checked_small(sizes.select("split", "copies"), "splits"), "split")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), last)))
+        df.join(sizes.select("split", "copies"), "split")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
         .drop("copies")
     )
 
@@ -84,10 +85,13 @@ def draw_candidates(pool, sizes, counts: Sequence[int], seed: int) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     seeds = (
         pool.repartition(parts, "type", "sha")
-        .join(checked_small(sizes, "splits"), "split")
+        .join(sizes, "split")
         .withColumn("k", F.explode(F.array(*map(F.lit, many))))
         .where(F.col("k") <= F.size("sizes"))
-        .withColumn("try", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)))
+        # In chunks: no row holds the list of all its tries.
+        .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tries") - 1, F.lit(TRY_CHUNK))))
+        .withColumn("try", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + TRY_CHUNK, F.col("tries")) - 1)))
+        .drop("_from")
         .withColumn("case", seeded_key(*map(F.col, ("k", "type", "sha", "try")), seed=seed))
     )
     order = F.transform(
@@ -197,7 +201,7 @@ def with_texts(chosen: Chosen, atomics: DataFrame) -> DataFrame:
     if chosen.repeats:
         texts = texts.groupBy("split", "type", "sha").agg(F.min("_text").alias("_text"))
     members = (
-        chosen.cases.join(checked_small(sizes.select("split", "copies"), "splits"), "split")
+        chosen.cases.join(sizes.select("split", "copies"), "split")
         .select("split", "k", "case", "copies", F.explode("members").alias("m"))
         .select("split", "k", "case", "m.*", _salt(F.col("case"), F.col("m.type"), F.col("copies")).alias("salt"))
     )

@@ -5,7 +5,9 @@ scan however many metrics are asked for.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -343,7 +345,10 @@ LOG_EPSILON = 1e-6
 
 
 def positive_domain(df: DataFrame) -> DataFrame:
-    return df.where("context_len > 0 AND inference_time > 0 AND concern_count >= 0")
+    """Rows whose logarithms exist; NaN, which Spark orders above every number, is not one of them."""
+    numbers = ("context_len", "inference_time", "concern_count")
+    known = reduce(and_, [~F.isnan(F.col(c).cast("double")) for c in numbers])
+    return df.where("context_len > 0 AND inference_time > 0 AND concern_count >= 0").where(known)
 
 
 def log_features(df: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ def group_stats(df: DataFrame, value: str = "inference_time", group: str = "with
         F.max(x).alias("max"),
     )
     medians = exact_quantiles(df, value, {"median": 0.5}, [group]).drop("n")
-    return moments.join(medians, group)
+    # A group of NULLs alone has no median but stays, and so does the group without a name.
+    medians = medians.withColumnRenamed(group, "_group")
+    return moments.join(medians, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def two_sample(df: DataFrame, value: str = "inference_time", flag: str = "with_message") -> DataFrame:

@@ -10,7 +10,7 @@ IQR_FACTOR = 1.5
 
 
 def exact_quantiles(
-    df: DataFrame, col: str, probs: dict[str, float], by: Sequence[str] = (), broadcast: bool = True
+    df: DataFrame, col: str, probs: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """One row per group: ``by``, ``n`` and a column per entry of ``probs``.
 
@@ -25,7 +25,7 @@ def exact_quantiles(
         ends = [f(spot(n, p)).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]
         return F.array_distinct(F.array(*ends))
 
-    found = order_statistics(clean, number_levels(x), ranks, by, broadcast=broadcast)
+    found = order_statistics(clean, number_levels(x), ranks, by)
     found = found.groupBy(*by).agg(
         F.first("n").alias("n"),
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"),
@@ -39,9 +39,9 @@ def exact_quantiles(
     return found.withColumns(out).drop("_at")
 
 
-def iqr_fences(df, col, k: float = IQR_FACTOR, by: Sequence[str] = (), broadcast: bool = True) -> DataFrame:
+def iqr_fences(df, col, k: float = IQR_FACTOR, by: Sequence[str] = ()) -> DataFrame:
     """``by``, ``q1``, ``q3``, ``low``, ``high``."""
-    q = exact_quantiles(df, col, {"q1": 0.25, "q3": 0.75}, by, broadcast)
+    q = exact_quantiles(df, col, {"q1": 0.25, "q3": 0.75}, by)
     iqr = F.col("q3") - F.col("q1")
     return q.select(
         *by, "q1", "q3", (F.col("q1") - k * iqr).alias("low"), (F.col("q3") + k * iqr).alias("high")
@@ -54,13 +54,13 @@ def flag_outliers(
     k: float = IQR_FACTOR,
     by: Sequence[str] = (),
     flag: str = "is_outlier",
-    broadcast: bool = True,
 ) -> DataFrame:
     """Mark values strictly outside the fences, which span all rows (or each group)."""
-    fences = iqr_fences(df, col, k, by, broadcast).select(*by, F.col("low").alias("_lo"), F.col("high").alias("_hi"))
+    fences = iqr_fences(df, col, k, by).select(*by, F.col("low").alias("_lo"), F.col("high").alias("_hi"))
     x = F.col(col)
-    outside = F.coalesce((x < F.col("_lo")) | (x > F.col("_hi")), F.lit(False))
-    return attach(df, fences, by, broadcast=broadcast).withColumn(flag, outside).drop("_lo", "_hi")
+    # NaN is above every number in Spark's order, but no outlier.
+    outside = F.coalesce(~F.isnan(x.cast("double")) & ((x < F.col("_lo")) | (x > F.col("_hi"))), F.lit(False))
+    return attach(df, fences, by).withColumn(flag, outside).drop("_lo", "_hi")
 
 
 def drop_outliers(df, col, k: float = IQR_FACTOR, by: Sequence[str] = ()) -> DataFrame:
@@ -91,23 +91,26 @@ def outlier_report(flagged: DataFrame, col: str, removed: bool = True) -> DataFr
 
 
 def box_summary(
-    df: DataFrame, x: str, by: Sequence[str], k: float = IQR_FACTOR, broadcast: bool = True
+    df: DataFrame, x: str, by: Sequence[str], k: float = IQR_FACTOR
 ) -> DataFrame:
     """Quartiles, whisker ends (the last values inside the fences) and count of fliers."""
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    q = exact_quantiles(df, x, probs, by, broadcast)
+    q = exact_quantiles(df, x, probs, by)
     reach = k * (F.col("q3") - F.col("q1"))
-    inside = F.col(x).between(F.col("q1") - reach, F.col("q3") + reach)
+    known = ~F.isnan(F.col(x).cast("double"))
+    inside = known & F.col(x).between(F.col("q1") - reach, F.col("q3") + reach)
     whiskers = (
-        attach(df.select(*by, x), q, by, "inner", broadcast)
+        attach(df.select(*by, x), q, by)
         .groupBy(*by)
         .agg(
             F.min(F.when(inside, F.col(x))).alias("whisker_low"),
             F.max(F.when(inside, F.col(x))).alias("whisker_high"),
-            F.count_if(~inside).alias("fliers"),
+            F.count_if(known & ~inside).alias("fliers"),
         )
     )
-    return q.join(whiskers, list(by))
+    # Groups whose values are all NULL have no box but stay.
+    ends = ("whisker_low", "whisker_high", "fliers")
+    return whiskers.join(q, list(by), "left").select(*by, *[c for c in q.columns if c not in by], *ends)
 
 
 def fliers(df: DataFrame, x: str, by: Sequence[str], k: float = IQR_FACTOR) -> DataFrame:

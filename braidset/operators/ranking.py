@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from braidset.schemas import SEED
 
-BROADCAST_ROWS = 100_000
 _PREFIX = 4
 _OCTAVES = 1100
 
@@ -43,23 +42,11 @@ def hash_number(key: Column, start: int = 17, digits: int = 15) -> Column:
     return F.conv(F.substring(key, start, digits), 16, 10).cast("bigint")
 
 
-def checked_small(df: DataFrame, what: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast; the job stops with a message if it has over ``max_rows``."""
-    rows = F.count(F.lit(1)).over(Window.partitionBy())
-    stop = F.raise_error(F.lit(f"{what}: too many rows to broadcast, pass broadcast=False"))
-    checked = df.withColumn("_rows", rows).where(
-        F.when(F.col("_rows") <= max_rows, F.lit(True)).otherwise(stop.cast("boolean"))
-    )
-    return F.broadcast(checked.drop("_rows"))
-
-
-def attach(
-    df: DataFrame, small: DataFrame, by: Sequence[str], how: str = "left", broadcast: bool = True
-) -> DataFrame:
+def attach(df: DataFrame, small: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
     """Add one row of ``small`` per group (or its only row) to every row of ``df``."""
     by = list(by)
     if by:
-        return df.join(checked_small(small, "groups") if broadcast else small, by, how)
+        return df.join(small, by, how)
     names = small.columns
     only = small.select(F.struct(*names).alias("s")).scalar()
     return df.withColumns({n: only[n] for n in names})
@@ -71,15 +58,14 @@ def order_statistics(
     ranks: Callable[[Column], Column],
     by: Sequence[str] = (),
     extra: DataFrame | None = None,
-    broadcast: bool = True,
 ) -> DataFrame:
     """Exact values at zero-based ``ranks(n)`` in each group.
 
     Returns ``by``, ``n``, ``rank``, ``value``, ``below`` (rows strictly less) and
     ``ties`` (rows equal). ``extra`` has one row per group; its columns can be
-    used by ``ranks``. One narrow pass per level, each shuffling only counts. The
-    few buckets that hold a rank are broadcast after a check of their number; with
-    very many groups pass ``broadcast=False`` and they are joined by shuffle.
+    used by ``ranks``. One narrow pass per level, each shuffling only counts. Without
+    groups the buckets that hold a rank are no more than the ranks and are broadcast; with
+    groups Spark chooses the join by their size.
     """
     by = list(by)
     names = [f"_l{i}" for i in range(len(levels))]
@@ -104,8 +90,6 @@ def order_statistics(
         hits = hits.select(*path, *carried)
         if not by:  # no more rows than ranks
             hits = F.broadcast(hits)
-        elif broadcast:
-            hits = checked_small(hits, "order statistics")
         fine = (
             leveled.join(hits, path)
             .groupBy(*path, name, *carried)
@@ -141,7 +125,7 @@ def repeat_rows(df: DataFrame, times: str, chunk: int = 100_000) -> DataFrame:
     )
 
 
-def _cuts(df, key, want, by, extra, broadcast):
+def _cuts(df, key, want, by, extra):
     least = lambda n: F.least(want(n).cast("bigint"), n)
     none = F.array().cast("array<bigint>")
     return order_statistics(
@@ -150,7 +134,6 @@ def _cuts(df, key, want, by, extra, broadcast):
         lambda n: F.when(least(n) > 0, F.array(least(n) - 1)).otherwise(none),
         by,
         extra,
-        broadcast,
     )
 
 
@@ -162,7 +145,6 @@ def seeded_split(
     extra: DataFrame | None = None,
     flag: str = "chosen",
     keys: DataFrame | None = None,
-    broadcast: bool = True,
 ) -> DataFrame:
     """Flag the first ``want(n)`` rows of each group in the order of a md5 ``key``.
 
@@ -171,19 +153,18 @@ def seeded_split(
     are told apart by count: identical ones are interchangeable.
 
     ``keys`` may hold the same rows with only ``by`` and the columns of ``key``, for
-    when ``df`` is dear to compute more than once. With very many groups pass
-    ``broadcast=False``: the cuts are then joined by shuffle.
+    when ``df`` is dear to compute more than once.
     """
     by = list(by)
     keyed = df.withColumn("_key", key)
     narrow = keyed if keys is None else keys.withColumn("_key", key)
-    cuts = _cuts(narrow, F.col("_key"), want, by, extra, broadcast).select(
+    cuts = _cuts(narrow, F.col("_key"), want, by, extra).select(
         *by,
         F.col("value").alias("_cut"),
         (F.col("rank") + 1 - F.col("below")).alias("_take"),
         F.col("ties").alias("_ties"),
     )
-    placed = attach(keyed, cuts, by, broadcast=broadcast)
+    placed = attach(keyed, cuts, by)
     at_cut = F.col("_key") == F.col("_cut")
     torn = at_cut & (F.col("_take") < F.col("_ties"))
     whole = placed.where(~F.coalesce(torn, F.lit(False))).withColumn(
@@ -192,7 +173,7 @@ def seeded_split(
     columns = df.columns
     torn_cuts = cuts.where(F.col("_take") < F.col("_ties")).withColumnRenamed("_cut", "_key")
     copies = (
-        keyed.join(checked_small(torn_cuts, "cuts") if broadcast else torn_cuts, by + ["_key"])
+        keyed.join(torn_cuts, by + ["_key"])
         .groupBy(*columns, "_take")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -216,9 +197,9 @@ def seeded_split(
     )
 
 
-def seeded_take(df, key, want, by=(), extra=None, keys=None, broadcast=True) -> DataFrame:
+def seeded_take(df, key, want, by=(), extra=None, keys=None) -> DataFrame:
     """Only the rows ``seeded_split`` flags."""
-    return seeded_split(df, key, want, by, extra, "_chosen", keys, broadcast).where("_chosen").drop("_chosen")
+    return seeded_split(df, key, want, by, extra, "_chosen", keys).where("_chosen").drop("_chosen")
 
 
 def dense_index(

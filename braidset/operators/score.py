@@ -34,7 +34,10 @@ def empty_predictions(df: DataFrame, id_col: str = "row_id") -> DataFrame:
 def evaluation_view(df: DataFrame, key: str = "row_id") -> DataFrame:
     """One line per case for people to read; ``Test_Index`` counts from 1 by ``key``."""
     shown = lambda c: F.when(F.size(c) == 0, F.lit("None")).otherwise(joined(F.col(c)))
-    levels = [number_level(F.col(key), 10), number_level(F.col(key), 20)]
+    if dict(df.dtypes)[key] == "string":
+        levels = [F.substring(key, 1, 3), F.substring(key, 1, 12)]
+    else:
+        levels = [number_level(F.col(key), 10), number_level(F.col(key), 20)]
     indexed = dense_index(df, levels, [key], name="_at")
     return indexed.select(
         (F.col("_at") + 1).alias("Test_Index"),

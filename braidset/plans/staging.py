@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only if unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of local threads gets a temporary folder; a cluster must name one.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
@@ -16,6 +19,8 @@ def scratch_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="scratch-")
     spark.sparkContext.setCheckpointDir(root)
     return spark.sparkContext.getCheckpointDir()

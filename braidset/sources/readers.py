@@ -1,7 +1,9 @@
 """Readers with declared schemas and contract checks. CSV or any columnar format."""
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -20,18 +22,38 @@ def missing_columns(have: Sequence[str], required: Sequence[str]) -> list[str]:
     return [c for c in required if c not in have]
 
 
-def _read(spark, path, schema: T.StructType, required, fmt: str) -> DataFrame:
-    reader = spark.read
+def _by_name(spark, path, schema: T.StructType, required, fmt: str) -> DataFrame:
+    """The columns of ``path`` by name; raises when a file lacks a required one.
+
+    CSV files of one header are read together, each with its own columns in its own order.
+    """
     if fmt == "csv":
-        have = reader.options(**CSV_OPTIONS).csv(path, inferSchema=False).columns
         types = {f.name: f.dataType for f in schema.fields}
-        layout = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in have])
-        df = spark.read.schema(layout).options(**CSV_OPTIONS).csv(path)
-    else:
-        df = reader.format(fmt).load(path)
+        layouts: dict[tuple, list[str]] = {}
+        for h in _headers(spark, path).collect():
+            missing = missing_columns(h.columns, required)
+            if missing:
+                raise ValueError(f"missing required columns: {missing} in {h.path}")
+            layouts.setdefault(tuple(h.columns), []).append(h.path)
+        if not layouts:
+            raise ValueError(f"dataset is empty: {path}")
+        parts = []
+        for columns, files in sorted(layouts.items()):
+            layout = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in columns])
+            reader = spark.read.schema(layout).options(**CSV_OPTIONS)
+            if len(layouts) > 1 and isinstance(path, str):
+                reader = reader.option("basePath", path)  # folders named column=value stay columns
+            parts.append(reader.csv(path if len(layouts) == 1 else files))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    df = spark.read.format(fmt).load(path)
     missing = missing_columns(df.columns, required)
     if missing:
         raise ValueError(f"missing required columns: {missing}")
+    return df
+
+
+def _read(spark, path, schema: T.StructType, required, fmt: str) -> DataFrame:
+    df = _by_name(spark, path, schema, required, fmt)
     if df.isEmpty():
         raise ValueError(f"dataset is empty: {path}")
     return df
@@ -56,17 +78,15 @@ def read_parquet_split(spark: SparkSession, root: str, split: str) -> DataFrame:
 
 
 def read_excluded(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
-    if fmt == "csv":
-        return spark.read.schema(schemas.EXCLUDED).option("header", "true").csv(path).distinct()
-    return spark.read.format(fmt).load(path).select("sha").distinct()
+    """Distinct values of the column ``sha``, wherever it stands."""
+    return _by_name(spark, path, schemas.EXCLUDED, ["sha"], fmt).select("sha").distinct()
 
 
 def existing_samples(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
     """Records sampled before; an empty table when there are none yet."""
     try:
-        if fmt == "csv":
-            return spark.read.schema(schemas.ATOMIC).options(**CSV_OPTIONS).csv(path)
-        return spark.read.format(fmt).load(path)
+        names = schemas.ATOMIC.fieldNames()
+        return _by_name(spark, path, schemas.ATOMIC, names, fmt).select(*names)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return spark.createDataFrame([], schemas.ATOMIC)
@@ -104,22 +124,34 @@ def result_files(spark: SparkSession, root: str, analysis_dir: str | None = None
     return files.where(keep)
 
 
-def check_headers(spark: SparkSession, paths: Sequence[str], required=REQUIRED_RESULTS) -> DataFrame:
-    """``path, columns, missing, usable`` for every file, from one distributed text pass."""
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"),
-        "value",
-    )
-    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    columns = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '["﻿\r]', "")))
-    lack = F.array_except(F.array(*map(F.lit, required)), F.col("columns"))
-    return (
-        first.select("path", columns.alias("columns"))
-        .withColumn("missing", lack)
-        .withColumn("usable", F.size("missing") == 0)
+def _headers(spark: SparkSession, path) -> DataFrame:
+    """``path, columns`` of every CSV file at ``path``, from the first line of each."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
     )
+    first = lines.mapInArrow(_first_rows, "path string, header string")
+    columns = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '["\ufeff\r]', "")))
+    return first.select("path", columns.alias("columns"))
+
+
+def _first_rows(batches):
+    """The first line of each file of a task: lines come in order, and a file's first block starts at zero."""
+    seen = set()
+    for batch in batches:
+        paths, starts, values = (c.to_pylist() for c in batch.columns)
+        out = []
+        for p, s, v in zip(paths, starts, values):
+            if s == 0 and p not in seen:
+                seen.add(p)
+                out.append((p, v))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out]), pa.array([v for _, v in out])], names=["path", "header"])
+
+
+def check_headers(spark: SparkSession, paths: Sequence[str], required=REQUIRED_RESULTS) -> DataFrame:
+    """``path, columns, missing, usable`` for every file."""
+    lack = F.array_except(F.array(*map(F.lit, required)) if required else F.array().cast("array<string>"), F.col("columns"))
+    return _headers(spark, list(paths)).withColumn("missing", lack).withColumn("usable", F.size("missing") == 0)
 
 
 def read_results(

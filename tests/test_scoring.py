@@ -51,8 +51,9 @@ RESPONSES = [
     (None, []),
     ("{'types': ['feat']}", []),
     ('{"types":["feat", 3]}', ["feat", "3"]),
+    # the outer object is not one object
+    ('{"types":["a"]} {"types":["b"]}', []),
     # read more leniently than a strict parser would
-    ('{"types":["a"]} {"types":["b"]}', ["a"]),
     ('{"types":[null,"x"]}', ["x"]),
 ]
 
@@ -87,3 +88,10 @@ def test_label_texts(spark):
 def test_normalize(spark):
     df = spark.createDataFrame([("\t FEAT\n",), (" Docs ",)], "t string")
     assert [r.v for r in df.select(L.normalize_type(F.col("t")).alias("v")).collect()] == ["feat", "docs"]
+
+
+def test_answers_are_one_object(spark):
+    texts = ['{"types":["a"]} {"types":["b"]}', '{"types":["feat"]} junk', ' {"types":["feat"]} ', 'Sure: {"types":["ci"]} done', '{"types":["feat"]},{"types":["fix"]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    got = [(r.p, r.v) for r in df.select(L.parse_type_response(F.col("t")).alias("p"), L.valid_response(F.col("t")).alias("v")).collect()]
+    assert got == [([], False), (["feat"], False), (["feat"], True), (["ci"], False), ([], False)]

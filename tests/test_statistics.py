@@ -178,3 +178,18 @@ def test_reports(table):
     assert n == m.data_summary.total_samples and m.statistical_tests.t_test.p_value < 0.05
     report = {(r.factor, r.metric): r for r in reports.correlation_report(df).collect()}
     assert report["context_len", "inference_time"].stars == "***" and len(report) == 8
+
+
+def test_exact_rank_sum_of_any_size():
+    from itertools import combinations
+
+    from braidset.functions.distributions import rank_sum_exact
+
+    for n1, n2 in ((1, 5), (2, 3), (3, 6), (4, 4)):
+        us = [sum(c) - n1 * (n1 - 1) // 2 for c in combinations(range(n1 + n2), n1)]
+        for u in set(us):
+            upper = max(u, n1 * n2 - u)
+            assert abs(rank_sum_exact(u, n1, n2) - min(1, 2 * sum(x >= upper for x in us) / len(us))) < 1e-12
+    n = 2_000_001
+    assert abs(rank_sum_exact(n, 1, n) - 2 / (n + 1)) < 1e-18
+    assert rank_sum_exact(0, 8, 250_001) == pytest.approx(5.284e-39, rel=1e-3)

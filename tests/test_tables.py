@@ -225,3 +225,22 @@ def test_small_columns(spark):
     assert (first.Predicted_Types, first.Actual_Types, first.Status, first.SHAs) == ("None", "ci, fix", "No Match", "b, c")
     assert math.isclose(score.evaluation_metrics(shown).first().type_f1_macro, 1 / 3)
     assert [r.Test_Index for r in score.recent_cases(shown, 2).collect()] == [2, 3]
+
+
+def test_files_of_two_layouts_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("annotated_type,masked_commit_message,git_diff,sha\nfeat,m1,d1,s1\n")
+    (tmp_path / "b.csv").write_text("sha,git_diff,annotated_type,masked_commit_message\ns2,d2,fix,m2\n")
+    got = sorted(tuple(r) for r in readers.read_atomic(spark, str(tmp_path)).select("sha", "annotated_type", "git_diff").collect())
+    assert got == [("s1", "feat", "d1"), ("s2", "fix", "d2")]
+    assert readers.existing_samples(spark, str(tmp_path)).where("sha = 's2'").first().annotated_type == "fix"
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "skip.csv").write_text("id,sha\n1,s1\n2,s2\n")
+    assert sorted(r.sha for r in readers.read_excluded(spark, str(tmp_path / "x")).collect()) == ["s1", "s2"]
+
+
+def test_evaluation_view_by_text_key(spark):
+    from braidset.operators.score import evaluation_view
+
+    df = spark.createDataFrame([(f"k{i:03}", ["feat"], ["feat"], True, 1.0, 1.0, 1.0, ["s"]) for i in range(30)],
+        "sha string, predicted_types array<string>, actual_types array<string>, exact_match boolean, precision double, recall double, f1 double, shas array<string>")
+    assert sorted(r.Test_Index for r in evaluation_view(df, "sha").collect()) == list(range(1, 31))
