@@ -2,16 +2,20 @@
 
 from pyspark.sql import Column, functions as F
 
-from braidset.functions.labels import label_array
 from braidset.schemas import LABELS
 
 
+def label_bits(labels: Column) -> Column:
+    """A bit for each known label in the list; NULL for a NULL list."""
+    bits = [F.when(F.array_contains(labels, x), 1 << i).otherwise(0) for i, x in enumerate(LABELS)]
+    return F.when(labels.isNotNull(), sum(bits[1:], bits[0]))
+
+
 def confusion(predicted: Column, actual: Column) -> dict[str, Column]:
     """Sizes over the sets of known labels; unknown labels and repeats do not count."""
-    p = F.array_intersect(predicted, label_array())
-    a = F.array_intersect(actual, label_array())
-    tp = F.size(F.array_intersect(p, a))
-    return {"tp": tp, "fp": F.size(p) - tp, "fn": F.size(a) - tp}
+    p, a = label_bits(predicted), label_bits(actual)
+    tp = F.bit_count(p.bitwiseAND(a))
+    return {"tp": tp, "fp": F.bit_count(p) - tp, "fn": F.bit_count(a) - tp}
 
 
 def ratio(num: Column, den: Column) -> Column:

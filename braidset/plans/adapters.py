@@ -30,9 +30,14 @@ def sha_of(id_: Column) -> Column:
 _SORTED = sorted(LABELS)
 
 
+_SETS = [[x for i, x in enumerate(_SORTED) if m >> i & 1] for m in range(1 << len(LABELS))]
+
+
 def labels_in(mask: Column) -> Column:
-    """The labels whose bit is set, sorted."""
-    return F.filter(F.array(*map(F.lit, _SORTED)), lambda _, i: F.getbit(mask, i) == 1)
+    """The labels whose bit is set, sorted: one look into the list of all sets, which Spark folds to a constant."""
+    sets = F.array(*[F.array(*map(F.lit, s)).cast("array<string>") for s in _SETS])
+    at = mask.cast("int").bitwiseAND(F.lit(len(_SETS) - 1))
+    return F.coalesce(F.element_at(sets, at + 1), F.array().cast("array<string>"))
 
 
 def canonical_bits(mask: Column) -> Column:

@@ -426,10 +426,16 @@ SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS interce
 for x, name in (("context_len", "context"), ("concern_count", "concern"), ("with_message::INT", "message")):
     add(f"ols_by_{name}", SCORED + f",\nxy AS (SELECT {x} AS x, inference_time AS y FROM scored),\nfit AS ({FIT} FROM xy)",
         f"SELECT n, {r6('slope', 'intercept', 'r2', 'sqrt(mse) AS standard_error', 'mse', 'x_mean', 'ss_x / n AS x_variance', 'x_min', 'x_max')} FROM fit")
+# The t quantile from the normal one, by its series in the degrees of freedom (here over a thousand).
+_Z = T_95
+T_QUANTILE = (
+    f"({_Z} + {_Z**3 + _Z} / (4.0::DOUBLE * v) + {5 * _Z**5 + 16 * _Z**3 + 3 * _Z} / (96.0::DOUBLE * v * v)"
+    f" + {3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z} / (384.0::DOUBLE * v * v * v))"
+)
 add("ci_band", SCORED + f",\nxy AS (SELECT concern_count AS x, inference_time AS y FROM scored),\nfit AS ({FIT} FROM xy)" + """,
 pts AS (SELECT i::INT AS point, x_min + (x_max - x_min) * (i / 99.0::DOUBLE) AS x, fit.* FROM fit CROSS JOIN (SELECT unnest(range(100)) AS i)),
-line AS (SELECT point, x, slope * x + intercept AS y, sqrt(mse * (1.0::DOUBLE / n + (x - x_mean) ** 2 / ss_x)) AS se FROM pts)""",
-    f"SELECT point, {r6('x', 'y', f'y - {T_95} * se AS ci_low', f'y + {T_95} * se AS ci_high')} FROM line")
+line AS (SELECT point, x, slope * x + intercept AS y, sqrt(mse * (1.0::DOUBLE / n + (x - x_mean) ** 2 / ss_x)) AS se, (n - 2)::DOUBLE AS v FROM pts)""",
+    f"SELECT point, {r6('x', 'y', f'y - {T_QUANTILE} * se AS ci_low', f'y + {T_QUANTILE} * se AS ci_high')} FROM line")
 
 
 def two_factor(m: str) -> str:

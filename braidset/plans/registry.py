@@ -528,7 +528,7 @@ def ols_by_message(spark, root):
 @query
 def ci_band(spark, root):
     fit = correlate.simple_ols(scored(spark, root), "concern_count", "inference_time")
-    return r6(correlate.ci_band(fit, F.lit(T_95)))
+    return r6(correlate.ci_band(fit))
 
 
 @query
