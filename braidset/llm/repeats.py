@@ -1,10 +1,10 @@
 """Exact removal of repeated byte strings by suffix arrays of content-defined shards.
 
 A byte goes if a string of ``SIZE`` bytes that covers it also starts elsewhere. Each such window
-holds the least hash of its 50-byte grams at one place, its anchor; equal windows have equal
+holds the least hash of its 32-byte grams at one place, its anchor; equal windows have equal
 anchors at equal places. Runs of windows that share an anchor are therefore dealt out by the
-anchor's hash, so that windows which may be equal meet in one shard, and anchors that occur once
-go nowhere. A shard's segments are put into a suffix array (Larsson-Sadakane), neighbours' common
+anchor's hash, so that windows which may be equal meet in one shard; anchors that occur once go
+nowhere, and equal segments of an anchor go as one. A shard's segments are put into a suffix array (Larsson-Sadakane), neighbours' common
 prefixes (Kasai) show the repeated windows, and where one anchor's segments need several arrays,
 these are merged by binary search. The windows' places go back to their documents.
 """
@@ -15,6 +15,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from braidset.llm.common import written
 
 #: Fixed value of the contract: bytes of a repeated string.
 SIZE = 200
-GRAM = 50
+GRAM = 32
 SPAN = SIZE - GRAM + 1
 #: Bytes of a text that are anchored at once; windows of a longer text belong to the part they start in.
 PART = 1 << 22
@@ -99,7 +101,7 @@ def _find_runs(batches):
         at = 0
         while at < batch.num_rows:
             owner, offset, data, total = [], [], [], 0
-            while at < batch.num_rows and (not data or total < 1 << 20):
+            while at < batch.num_rows and (not data or total < 1 << 19):
                 for o, x in _parts(texts[at].as_py()):
                     owner.append(at)
                     offset.append(o)
@@ -117,30 +119,54 @@ def _find_runs(batches):
                 )
 
 
-_SEGMENT = "anchor long, lead int, windows int, segment binary, hash long, bytes long, first long"
+def _pack(batches):
+    """Texts compressed, for two shuffles."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([packer.compress(t) for t in part.column(2).to_pylist()], pa.binary())], names=["hash", "bytes", "packed"])
 
 
-def _cut(batches):
-    """A row for each run of a document: its segment, the bytes of all its windows."""
+def _unpacked(batch):
+    opener = zstandard.ZstdDecompressor()
+    for i in range(batch.num_rows):
+        yield i, opener.decompress(batch.column(2)[i].as_py()), batch.column(3)[i].as_py()
+
+
+_PLACE = "anchor long, lead int, windows int, content long, hash long, bytes long, first long"
+_SEGMENT = "anchor long, content long, windows int, segment binary, count long, lead int"
+
+
+def _places(batches):
+    """A row for each run of a document, with the hash of its segment: the bytes of all its windows."""
     for batch in batches:
         hashes, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i in range(batch.num_rows):
-            text = batch.column(2)[i].as_py()
-            runs = batch.column(3)[i].as_py()
-            if not runs:
-                continue
+        for i, text, runs in _unpacked(batch):
             columns = [[r[k] for r in runs] for k in ("anchor", "lead", "windows", "first")]
-            segments = [text[a : a + w + SIZE - 1] for w, a in zip(columns[2], columns[3])]
+            content = [xxhash.xxh64_intdigest(text[a : a + w + SIZE - 1], lead) for lead, w, a in zip(*columns[1:])]
             n = len(runs)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(segments, pa.binary()),
+                    pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(np.array(content, np.uint64).view(np.int64)),
                     pa.array(np.full(n, hashes[i])), pa.array(np.full(n, sizes[i])), pa.array(columns[3], pa.int64()),
                 ],
-                names=["anchor", "lead", "windows", "segment", "hash", "bytes", "first"],
+                names=["anchor", "lead", "windows", "content", "hash", "bytes", "first"],
             )
 
 
+def _cut(batches):
+    """The segments that a document stands for."""
+    for batch in batches:
+        for _, text, runs in _unpacked(batch):
+            columns = [[r[k] for r in runs] for k in ("anchor", "content", "windows", "first", "count", "lead")]
+            segments = [text[a : a + w + SIZE - 1] for w, a in zip(columns[2], columns[3])]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip((*columns[:3], segments, *columns[4:]), kinds)], names=["anchor", "content", "windows", "segment", "count", "lead"]
+            )
+
+
 def _intervals(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -178,9 +204,8 @@ def _shard(budget: int):
             for anchor, content, many, _, copies in shard:
                 own = mask[at : at + many]
                 at += many
-                if copies > 1:
-                    out.append((anchor, content, 0, many))
-                else:
+                # Segments of several places are repeated as a whole, which the caller knows.
+                if copies == 1:
                     out += [(anchor, content, int(a), int(b)) for a, b in zip(*_intervals(own))]
             if out:
                 yield pa.RecordBatch.from_arrays(
@@ -213,42 +238,50 @@ def _explode(batches):
             )
 
 
-def repeated(docs: DataFrame, shard_bytes: int = 1 << 20, hot: int = 8192) -> tuple[DataFrame, DataFrame]:
-    """Of texts (columns hash, bytes, text as binary): runs of repeated windows (hash, bytes, from, to), and the texts they may lie in.
+def repeated(docs: DataFrame, shard_bytes: int = 1 << 19, hot: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """Of texts (columns hash, bytes, text as binary): runs of repeated windows (hash, bytes, from, to), and the texts (packed) they may lie in.
 
     Equal texts are one here; their copies are the caller's.
     """
     long = docs.where(F.col("bytes") >= SIZE)
     runs = written(long.mapInArrow(_find_runs, _RUN), "repeats-runs")
-    place = F.struct("hash", "bytes", "first")
-    # Counts alone are shuffled first. The least and greatest place differ if an anchor has two.
+    # Places are counted first, as hashes: the least and the greatest differ if an anchor has two.
+    place = F.xxhash64("hash", "bytes", "first")
     twice = runs.groupBy("anchor").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select(F.col("anchor").alias("_anchor"))
     kept = runs.join(twice, F.col("anchor") == F.col("_anchor"), "left_semi").dropDuplicates(["hash", "bytes", "first"])
-    lists = kept.groupBy("hash", "bytes").agg(F.collect_list(F.struct("anchor", "lead", "windows", "first")).alias("runs"))
-    lists = lists.withColumnsRenamed({"hash": "_hash", "bytes": "_bytes"})
     same = (F.col("hash") == F.col("_hash")) & (F.col("bytes") == F.col("_bytes"))
-    texts = written(long.join(lists, same).select("hash", "bytes", "text", "runs").dropDuplicates(["hash", "bytes"]), "repeats-texts")
-    segments = texts.mapInArrow(_cut, _SEGMENT).withColumn("content", F.xxhash64("lead", "segment"))
-    segments = written(segments, "repeats-segments")
-    distinct = segments.groupBy("anchor", "content", "lead", "windows", "segment").count()
-    distinct = written(distinct, "repeats-distinct")
-    busy = distinct.groupBy("anchor").count().where(F.col("count") > hot).select(F.col("anchor").alias("_anchor"))
-    row = ["anchor", "content", "windows", "segment", "count"]
-    found_schema = "anchor long, content long, `from` int, `to` int"
-    usual = distinct.join(busy, F.col("anchor") == F.col("_anchor"), "left_anti").select(*row)
-    found = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shard(shard_bytes), found_schema)
+    whose = {"hash": "_hash", "bytes": "_bytes"}
+    lists = kept.groupBy("hash", "bytes").agg(F.collect_list(F.struct("anchor", "lead", "windows", "first")).alias("runs")).withColumnsRenamed(whose)
+    packed = long.mapInArrow(_pack, "hash long, bytes long, packed binary")
+    texts = written(packed.join(lists, same).select("hash", "bytes", "packed", "runs").dropDuplicates(["hash", "bytes"]), "repeats-texts")
+    places = written(texts.mapInArrow(_places, _PLACE), "repeats-places")
+    # Equal segments are one, with the number of their places; the least place stands for them.
+    groups = places.groupBy("anchor", "content").agg(
+        F.count(F.lit(1)).alias("count"), F.min(F.struct("hash", "bytes", "first", "windows", "lead")).alias("at")
+    )
+    groups = written(groups.select("anchor", "content", "count", "at.*"), "repeats-groups")
+    many = groups.groupBy("anchor").count().select(F.col("anchor").alias("_anchor"), F.col("count").alias("_n")).where("_n > 1")
+    mixed = groups.join(many, F.col("anchor") == F.col("_anchor"))
+    wanted = mixed.groupBy("hash", "bytes").agg(F.collect_list(F.struct("anchor", "content", "windows", "first", "count", "lead", "_n")).alias("runs")).withColumnsRenamed(whose)
+    held = texts.select("hash", "bytes", "packed").join(wanted, same)
+
+    def segments(crowded: bool) -> DataFrame:
+        chosen = F.filter("runs", lambda r: (r["_n"] > hot) if crowded else (r["_n"] <= hot))
+        rows = held.select("hash", "bytes", "packed", chosen.alias("runs")).where(F.size("runs") > 0)
+        return rows.mapInArrow(_cut, _SEGMENT)
+
+    whole = groups.where("count > 1").select("anchor", "content", F.lit(0).alias("from"), F.col("windows").alias("to"))
+    usual = segments(False).select("anchor", "content", "windows", "segment", "count").repartition("anchor").sortWithinPartitions("anchor")
+    found = usual.mapInArrow(_shard(shard_bytes), "anchor long, content long, `from` int, `to` int")
     # An anchor of very many different segments, as at the edge of a passage that very many documents share:
     # its windows are counted by content, which spreads over all tasks.
-    crowd = distinct.join(busy, F.col("anchor") == F.col("_anchor"), "left_semi")
-    spread = crowd.select(*row, "lead").mapInArrow(_explode, "anchor long, place int, window binary, content long, at int")
+    spread = written(segments(True).mapInArrow(_explode, "anchor long, place int, window binary, content long, at int"), "repeats-crowd")
     counted = spread.groupBy("anchor", "place", "window").count().where(F.col("count") > 1)
     counted = counted.select(F.col("anchor").alias("_a"), F.col("place").alias("_p"), F.col("window").alias("_w"))
     again = spread.join(counted, (F.col("anchor") == F.col("_a")) & (F.col("place") == F.col("_p")) & (F.col("window") == F.col("_w")), "left_semi")
     single = again.select("anchor", "content", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
-    whole = crowd.where(F.col("count") > 1).select("anchor", "content", F.lit(0).alias("from"), F.col("windows").alias("to"))
     found = found.unionAll(single).unionAll(whole).withColumnsRenamed({"anchor": "_anchor", "content": "_content"})
-    places = segments.select("anchor", "content", "hash", "bytes", "first")
-    met = places.join(found, (F.col("anchor") == F.col("_anchor")) & (F.col("content") == F.col("_content")))
+    met = places.select("anchor", "content", "hash", "bytes", "first").join(found, (F.col("anchor") == F.col("_anchor")) & (F.col("content") == F.col("_content")))
     spans = met.select("hash", "bytes", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + (SIZE - 1)).alias("to"))
     return spans, texts.drop("runs")
 
@@ -258,8 +291,8 @@ _KEPT = "hash long, bytes long, n_removed long, n_spans long, kept_sha256 string
 
 def _remove(batches):
     for batch in batches:
-        for i in range(batch.num_rows):
-            text, spans = batch.column(2)[i].as_py(), sorted((s["from"], s["to"]) for s in batch.column(3)[i].as_py())
+        for i, text, spans in _unpacked(batch):
+            spans = sorted((s["from"], s["to"]) for s in spans)
             out, last, removed, n = [], 0, 0, 0
             start, end = spans[0]
             for a, b in [*spans[1:], (len(text) + 1, 0)]:
@@ -289,7 +322,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("hash", F.xxhash64("_text")).withColumn("bytes", F.octet_length("_text").cast("long"))
     spans, texts = repeated(rows.select("hash", "bytes", F.col("_text").cast("binary").alias("text")))
     per = spans.groupBy("hash", "bytes").agg(F.collect_set(F.struct("from", "to")).alias("spans")).withColumnsRenamed({"hash": "_hash", "bytes": "_bytes"})
-    partly = texts.join(per, (F.col("hash") == F.col("_hash")) & (F.col("bytes") == F.col("_bytes"))).select("hash", "bytes", "text", "spans")
+    partly = texts.join(per, (F.col("hash") == F.col("_hash")) & (F.col("bytes") == F.col("_bytes"))).select("hash", "bytes", "packed", "spans")
     partly = partly.mapInArrow(_remove, _KEPT).withColumnsRenamed({"hash": "_hash", "bytes": "_bytes"})
     narrow = rows.select("doc_id", "hash", "bytes", F.sha2("_text", 256).alias("_sha"))
     copies = narrow.groupBy("hash", "bytes").count().where(F.col("count") > 1).select(F.col("hash").alias("_h"), F.col("bytes").alias("_b"))

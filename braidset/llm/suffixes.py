@@ -82,7 +82,7 @@ def windows(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` bytes from each position as rows of big-endian words, which compare as bytes do."""
     width = -(-size // 8) * 8
     rows = np.zeros((len(at), width), np.uint8)
-    rows[:, :size] = text[at[:, None] + np.arange(size)]
+    rows[:, :size] = np.lib.stride_tricks.sliding_window_view(text, size)[at]
     return rows.view(">u8").astype(np.uint64)
 
 
