@@ -11,6 +11,7 @@ these are merged by binary search. The windows' places go back to their document
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -117,6 +118,7 @@ def _find_runs(batches):
                     [pa.array(anchor), pa.array(hashes[own]), pa.array(sizes[own]), pa.array(first + base), pa.array(many.astype(np.int32)), pa.array(lead.astype(np.int32))],
                     names=["anchor", "hash", "bytes", "first", "windows", "lead"],
                 )
+    _trim()
 
 
 def _pack(batches):
@@ -129,42 +131,52 @@ def _pack(batches):
 
 
 def _unpacked(batch):
+    """Row number, text, and the fields of its list of structs as lists."""
     opener = zstandard.ZstdDecompressor()
+    lists = batch.column(3)
+    edges = lists.offsets.to_pylist()
+    fields = [f.to_numpy(zero_copy_only=False) for f in lists.values.flatten()] if isinstance(lists.values, pa.StructArray) else []
     for i in range(batch.num_rows):
-        yield i, opener.decompress(batch.column(2)[i].as_py()), batch.column(3)[i].as_py()
+        yield i, opener.decompress(batch.column(2)[i].as_py()), [f[edges[i] : edges[i + 1]] for f in fields]
 
 
-_PLACE = "anchor long, lead int, windows int, content long, hash long, bytes long, first long"
+def _trim():
+    """Give freed memory back at a task's end: the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
+_PLACE = "anchor long, lead int, windows int, first long, content long, hash long, bytes long"
 _SEGMENT = "anchor long, content long, windows int, segment binary, count long, lead int"
 
 
 def _places(batches):
     """A row for each run of a document, with the hash of its segment: the bytes of all its windows."""
+    names = ["anchor", "lead", "windows", "first", "content", "hash", "bytes"]
     for batch in batches:
         hashes, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i, text, runs in _unpacked(batch):
-            columns = [[r[k] for r in runs] for k in ("anchor", "lead", "windows", "first")]
-            content = [xxhash.xxh64_intdigest(text[a : a + w + SIZE - 1], lead) for lead, w, a in zip(*columns[1:])]
-            n = len(runs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(np.array(content, np.uint64).view(np.int64)),
-                    pa.array(np.full(n, hashes[i])), pa.array(np.full(n, sizes[i])), pa.array(columns[3], pa.int64()),
-                ],
-                names=["anchor", "lead", "windows", "content", "hash", "bytes", "first"],
-            )
+        parts, total = [], 0
+        for i, text, (anchor, lead, many, first) in _unpacked(batch):
+            content = [xxhash.xxh64_intdigest(text[a:e], k) for k, a, e in zip(lead.tolist(), first.tolist(), (first + many + (SIZE - 1)).tolist())]
+            n = len(content)
+            parts.append((anchor, lead, many, first, np.array(content, np.uint64).view(np.int64), np.full(n, hashes[i]), np.full(n, sizes[i])))
+            total += n
+            if total > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
+                parts, total = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
+    _trim()
 
 
 def _cut(batches):
     """The segments that a document stands for."""
     for batch in batches:
-        for _, text, runs in _unpacked(batch):
-            columns = [[r[k] for r in runs] for k in ("anchor", "content", "windows", "first", "count", "lead")]
-            segments = [text[a : a + w + SIZE - 1] for w, a in zip(columns[2], columns[3])]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip((*columns[:3], segments, *columns[4:]), kinds)], names=["anchor", "content", "windows", "segment", "count", "lead"]
-            )
+        for _, text, (anchor, content, many, first, count, lead) in _unpacked(batch):
+            segments = [text[a:e] for a, e in zip(first.tolist(), (first + many + (SIZE - 1)).tolist())]
+            columns = [pa.array(anchor), pa.array(content), pa.array(many), pa.array(segments, pa.binary()), pa.array(count), pa.array(lead)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "windows", "segment", "count", "lead"])
+    _trim()
 
 
 def _intervals(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,6 +235,7 @@ def _shard(budget: int):
                 size += len(row[3])
         if held:
             yield from solve(held)
+        _trim()
 
     return run
 
@@ -268,7 +281,8 @@ def repeated(docs: DataFrame, shard_bytes: int = 1 << 19, hot: int = 2048) -> tu
     def segments(crowded: bool) -> DataFrame:
         chosen = F.filter("runs", lambda r: (r["_n"] > hot) if crowded else (r["_n"] <= hot))
         rows = held.select("hash", "bytes", "packed", chosen.alias("runs")).where(F.size("runs") > 0)
-        return rows.mapInArrow(_cut, _SEGMENT)
+        fields = F.transform("runs", lambda r: F.struct(*[r[c].alias(c) for c in ("anchor", "content", "windows", "first", "count", "lead")]))
+        return rows.withColumn("runs", fields).mapInArrow(_cut, _SEGMENT)
 
     whole = groups.where("count > 1").select("anchor", "content", F.lit(0).alias("from"), F.col("windows").alias("to"))
     usual = segments(False).select("anchor", "content", "windows", "segment", "count").repartition("anchor").sortWithinPartitions("anchor")
@@ -291,8 +305,8 @@ _KEPT = "hash long, bytes long, n_removed long, n_spans long, kept_sha256 string
 
 def _remove(batches):
     for batch in batches:
-        for i, text, spans in _unpacked(batch):
-            spans = sorted((s["from"], s["to"]) for s in spans)
+        for i, text, (begins, ends) in _unpacked(batch):
+            spans = sorted(zip(begins.tolist(), ends.tolist()))
             out, last, removed, n = [], 0, 0, 0
             start, end = spans[0]
             for a, b in [*spans[1:], (len(text) + 1, 0)]:

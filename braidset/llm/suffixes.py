@@ -8,15 +8,19 @@ import numpy as np
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions of ``text`` (bytes) in the order of their suffixes.
 
-    Suffixes are first sorted by seven bytes. Then each group of equal ones, and no others, is
+    Suffixes are first sorted by as many bytes as fit into 63 bits. Then each group of equal ones, and no others, is
     refined by the rank of the suffix behind what is already compared, which doubles that length.
     """
     n = len(text)
-    # Nine bits a byte, so that the end of the text is less than any byte.
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
+    # Bytes by their rank among those that occur, from one: the end of the text is less than any.
+    occurs = np.bincount(text, minlength=256) > 0
+    code = np.cumsum(occurs).astype(np.uint64)
+    bits = int(code[-1]).bit_length()
+    first = 63 // bits
+    padded = np.concatenate([code[text], np.zeros(first, np.uint64)])
     keys = np.zeros(n, np.uint64)
-    for i in range(7):
-        keys = (keys << np.uint64(9)) | padded[i : i + n]
+    for i in range(first):
+        keys = (keys << np.uint64(bits)) | padded[i : i + n]
     order = np.argsort(keys)
     keys = keys[order]
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -24,7 +28,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.zeros(n + 1, np.int64)
     rank[order] = head + 1
-    at, h = np.arange(n), 7
+    at, h = np.arange(n), first
     while True:
         # Only members of groups of more than one are still to be placed.
         group = head[at]
