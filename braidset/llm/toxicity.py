@@ -86,17 +86,22 @@ def fit_machine(
     share = np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
     seen = np.bincount(buckets, minlength=1)
-    marked = np.bincount(buckets, np.repeat(labels, counts), minlength=1)
+    some = labels != 0
+    marked = np.bincount(buckets[np.repeat(some, counts)], np.repeat(labels[some], counts[some]), minlength=len(seen))
     odd = (marked - share * seen) ** 2 / np.maximum(share * (1 - share) * seen * np.maximum(1 - seen / max(n, 1), 1e-9), 1e-9)
     kept = np.flatnonzero((seen >= least) & (odd >= chance)).astype(np.int32)
     rng = np.random.default_rng(seed)
     model = Machine(kept, bias, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), rank)))
     if not len(kept) or labels.min() == labels.max():
         return model
-    at = np.minimum(np.searchsorted(kept, buckets), len(kept) - 1)
-    known = kept[at] == buckets
-    owner = np.repeat(np.arange(n), counts)[known]
+    # Narrow types and a table of places: the sample's buckets are the most that the driver holds.
+    place = np.full(len(seen), -1, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    at = place[buckets]
+    known = at >= 0
+    owner = np.repeat(np.arange(n, dtype=np.int32), counts)[known]
     items = at[known]
+    del seen, marked, odd, place, at, known
     ends = np.cumsum(np.bincount(owner, minlength=n))
     starts = np.concatenate([[0], ends[:-1]])
     sums = [1e-6, np.full(len(kept), 1e-6), np.full((len(kept), rank), 1e-6)]
