@@ -261,6 +261,8 @@ def repeated(docs: DataFrame, shard_bytes: int = 1 << 19, hot: int = 2048) -> tu
     # Places are counted first, as hashes: the least and the greatest differ if an anchor has two.
     place = F.xxhash64("hash", "bytes", "first")
     twice = runs.groupBy("anchor").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select(F.col("anchor").alias("_anchor"))
+    # Written, so that both sides of the join are plain exchanges, whose hot anchors Spark can split; so below.
+    twice = written(twice, "repeats-anchors")
     kept = runs.join(twice, F.col("anchor") == F.col("_anchor"), "left_semi").dropDuplicates(["hash", "bytes", "first"])
     same = (F.col("hash") == F.col("_hash")) & (F.col("bytes") == F.col("_bytes"))
     whose = {"hash": "_hash", "bytes": "_bytes"}
@@ -274,6 +276,7 @@ def repeated(docs: DataFrame, shard_bytes: int = 1 << 19, hot: int = 2048) -> tu
     )
     groups = written(groups.select("anchor", "content", "count", "at.*"), "repeats-groups")
     many = groups.groupBy("anchor").count().select(F.col("anchor").alias("_anchor"), F.col("count").alias("_n")).where("_n > 1")
+    many = written(many, "repeats-mixed")
     mixed = groups.join(many, F.col("anchor") == F.col("_anchor"))
     wanted = mixed.groupBy("hash", "bytes").agg(F.collect_list(F.struct("anchor", "content", "windows", "first", "count", "lead", "_n")).alias("runs")).withColumnsRenamed(whose)
     held = texts.select("hash", "bytes", "packed").join(wanted, same)
@@ -292,6 +295,7 @@ def repeated(docs: DataFrame, shard_bytes: int = 1 << 19, hot: int = 2048) -> tu
     spread = written(segments(True).mapInArrow(_explode, "anchor long, place int, window binary, content long, at int"), "repeats-crowd")
     counted = spread.groupBy("anchor", "place", "window").count().where(F.col("count") > 1)
     counted = counted.select(F.col("anchor").alias("_a"), F.col("place").alias("_p"), F.col("window").alias("_w"))
+    counted = written(counted, "repeats-windows")
     again = spread.join(counted, (F.col("anchor") == F.col("_a")) & (F.col("place") == F.col("_p")) & (F.col("window") == F.col("_w")), "left_semi")
     single = again.select("anchor", "content", F.col("at").alias("from"), (F.col("at") + 1).alias("to"))
     found = found.unionAll(single).unionAll(whole).withColumnsRenamed({"anchor": "_anchor", "content": "_content"})
