@@ -2,8 +2,10 @@
 
 Three rounds of random signs and a Hadamard transform turn a unit vector pseudo-randomly; its hash
 is the nearest signed axis. A table joins as many such hashes as its number of buckets needs, which
-follows the number of vectors. A query probes, in each table, the buckets that its turned vector
-comes nearest to, and what it meets there is ranked by exact distance.
+follows the number of vectors until a query's probes would meet less than a stated share of them; from
+there on buckets grow. A query probes, in each table, the buckets that its turned vector comes nearest
+to, and what it meets there is ranked by exact distance. Directions tell little about vectors of unlike
+lengths: those are compared exactly, block by block.
 """
 
 from __future__ import annotations
@@ -83,6 +85,11 @@ class Tables:
             gaps, codes, last = (np.take_along_axis(z, best, 1) for z in (sums, prefix, hashes))
         return codes, last
 
+def _length(vector: Column) -> Column:
+    """The Euclidean length, scaled first, so that squares neither overflow nor vanish."""
+    most = F.array_max(F.transform(vector, F.abs))
+    return most * F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + (v / most) * (v / most)))
+
 
 def _vectors(column) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -166,6 +173,56 @@ def _rank(nearest: int, hashes: int):
     return run
 
 
+def _compare(nearest: int):
+    """Each query of a cell against each of its points, by products of blocks; the nearest get their exact distance."""
+
+    def run(batches):
+        # Rows come by cell, queries first, so only a cell's queries are held.
+        now, held = None, []
+        for batch in batches:
+            cells, shares, roles, ids = (batch.column(i).to_numpy() for i in range(4))
+            change = np.flatnonzero((cells[1:] != cells[:-1]) | (shares[1:] != shares[:-1]) | (roles[1:] != roles[:-1])) + 1
+            edges = [0, *change.tolist(), len(cells)]
+            for s, e in zip(edges[:-1], edges[1:]):
+                if s == e:
+                    continue
+                if (cells[s], shares[s]) != now:
+                    now, held = (cells[s], shares[s]), []
+                x = _vectors(batch.slice(s, e - s).column(4))
+                if roles[s] == 0:
+                    held += [(ids[s + at : min(e, s + at + 256)], x[at : at + 256]) for at in range(0, len(x), 256)]
+                    continue
+                for queries, y in held:
+                    # One scale for both, so that squares stay finite; what the products round is let in.
+                    scale = max(np.abs(x).max(), np.abs(y).max())
+                    a, b = y / scale, x / scale
+                    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+                    near = aa[:, None] + bb - 2 * (a @ b.T)
+                    k = min(nearest, len(x)) - 1
+                    slack = 1e-13 * x.shape[1] * (aa + bb.max())
+                    q, r = np.nonzero(near <= (np.partition(near, k, axis=1)[:, k] + slack)[:, None])
+                    d = np.concatenate([np.sqrt(((y[q[i : i + 16384]] - x[r[i : i + 16384]]) ** 2).sum(axis=1)) for i in range(0, len(q), 16384)])
+                    order = np.lexsort((ids[s:e][r], d, q))
+                    q, r, d = q[order], r[order], d[order]
+                    best = np.arange(len(q)) - np.searchsorted(q, q) < nearest
+                    yield pa.RecordBatch.from_arrays([pa.array(queries[q[best]]), pa.array(ids[s:e][r[best]]), pa.array(d[best])], names=["query_id", "id", "score"])
+
+    return run
+
+
+def compared(points: DataFrame, asks: DataFrame, nearest: int, block: int) -> DataFrame:
+    """query_id, id, score: from each cell of about ``block`` queries and ``8 * block`` points each query's nearest."""
+    groups, shares = (math.ceil(df.count() / n) for df, n in ((asks, block), (points, 8 * block)))
+    if not groups or not shares:
+        return points.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    points = points.select(every(groups).alias("cell"), own(shares).alias("share"), F.lit(1).alias("role"), "id", "vector")
+    asks = asks.select(own(groups).alias("cell"), every(shares).alias("share"), F.lit(0).alias("role"), "id", "vector")
+    dealt = points.unionAll(asks).repartition("cell", "share").sortWithinPartitions("cell", "share", "role")
+    return dealt.mapInArrow(_compare(nearest), "query_id long, id long, score double")
+
+
 def search(
     vectors: DataFrame,
     queries: Column,
@@ -173,6 +230,8 @@ def search(
     tables: int = 16,
     probes: int = 128,
     share: int = 8192,
+    met: float = 0.1,
+    like: float = 1.1,
     seed: int = 11,
     key: str = "vec_id",
     vector: str = "embedding",
@@ -181,7 +240,10 @@ def search(
 
     ``queries`` is a condition over the input's columns; every other row of another id is a candidate.
     Equal vectors are one node that carries its least ids, so that copies cost one comparison; a
-    bucket of more than ``share`` vectors is split, and its queries go to every part.
+    bucket of more than ``share`` vectors is split, and its queries go to every part. All probes of a
+    query together reach at least ``met`` of the buckets of a table, whatever the number of vectors. A
+    vector whose length is over ``like`` times, or less than one ``like``-th of, the median length is
+    compared exactly with every query, and as a query with every vector.
 
     Vectors that are null, zero, or hold null or non-finite numbers take no part, nor do rows of null
     ids or of another length than the most common one. Ties go to the smaller id; fewer candidates
@@ -202,10 +264,17 @@ def search(
     nodes = rows.select("id", "vector").withColumn("_r", rank).where(F.col("_r") <= nearest + 1)
     nodes = nodes.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "vector", "ids")
     nodes = written(nodes, "ann-nodes")
-    hashed = Tables(int(dimension), nodes.count(), tables, seed)
+    middle = nodes.agg(F.percentile_approx(_length(F.col("vector")), 0.5, 10000)).first()[0]
+    alike = _length(F.col("vector")).between(middle / like, middle * like)
+    count = nodes.where(alike).count()
+    hashed = Tables(int(dimension), min(count, math.ceil(2 * tables * probes / met)), tables, seed)
     width = 2 * hashed.axes[-1]
-    points = nodes.select("id", "vector").mapInArrow(_rows(hashed, tables), "key long, id long, vector array<double>, last int")
-    asks = rows.where("asks").select("id", "vector").mapInArrow(_probes(hashed, tables, probes), "key long, id long, vector array<double>, probes array<int>")
+    asked = rows.where("asks").select("id", "vector")
+    unlike = compared(nodes.where(~alike).select("id", "vector"), asked, nearest + 1, share)
+    if count < nodes.count():
+        unlike = unlike.unionAll(compared(nodes.where(alike).select("id", "vector"), asked.where(~alike), nearest + 1, share))
+    points = nodes.where(alike).select("id", "vector").mapInArrow(_rows(hashed, tables), "key long, id long, vector array<double>, last int")
+    asks = asked.where(alike).mapInArrow(_probes(hashed, tables, probes), "key long, id long, vector array<double>, probes array<int>")
     large = points.groupBy("key").count().where(F.col("count") > share).select(F.col("key").alias("_key"), F.ceil(F.col("count") / share).cast("int").alias("_n"))
     n = F.coalesce(F.col("_n"), F.lit(1))
     points = points.join(large, F.col("key") == F.col("_key"), "left").select(
@@ -215,11 +284,11 @@ def search(
         "key", F.explode(F.sequence(F.lit(0), n - 1)).alias("share"), F.lit(0).alias("role"), "id", "vector", F.col("probes").alias("last")
     )
     dealt = points.unionAll(asks).repartition("key", "share").sortWithinPartitions("key", "share", "role")
-    met = dealt.mapInArrow(_rank(nearest + 1, width), "query_id long, id long, score double").distinct()
+    found = dealt.mapInArrow(_rank(nearest + 1, width), "query_id long, id long, score double").unionAll(unlike).distinct()
     # A query has at most (tables * probes * shares) * (nearest + 1) rows here; the filter applies before the shuffle too.
     order = Window.partitionBy("query_id").orderBy("score", "id")
-    met = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= nearest + 1).drop("_r")
+    found = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= nearest + 1).drop("_r")
     members = nodes.select(F.col("id").alias("_id"), F.explode("ids").alias("vec_id"))
-    found = met.join(members, F.col("id") == F.col("_id")).where(F.col("vec_id") != F.col("query_id"))
+    found = found.join(members, F.col("id") == F.col("_id")).where(F.col("vec_id") != F.col("query_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

@@ -158,6 +158,32 @@ def test_nearest_against_brute_force(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def _recall(spark, x, every, **options):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % every == 0, **options).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), every):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got.get(q, set()) & set(np.argsort(d)[:10].tolist()))
+    return hits / (10 * len(range(0, len(x), every)))
+
+
+def test_nearest_probes_keep_their_share_of_a_growing_table(spark):
+    """With few probes a table of 20,000 is as large for them as millions are for the stated ones."""
+    x = np.random.default_rng(4).normal(size=(20_000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert _recall(spark, x, 400, tables=8, probes=8) >= 0.8
+
+
+def test_nearest_of_unlike_lengths_is_exact(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6_000, 24)) * np.exp(r.uniform(-1.5, 1.5, 6_000))[:, None]
+    assert _recall(spark, x, 100, tables=4, probes=4, share=64) >= 0.9
+
+
 def test_nearest_edge_tables(spark):
     _, df = vectors(spark, 3)
     got = rows(ann.search(df.where("vec_id < 3"), F.col("vec_id") == 0), "query_id", "rank", "vec_id")
