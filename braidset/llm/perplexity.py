@@ -2,8 +2,8 @@
 
 The model predicts each character of a word, and its end, from up to four characters before it.
 Spark counts the n-grams of the whole corpus; the counts' discounts and interpolation weights are
-aggregates too. What a task needs of them is held in sorted hash arrays, whose size the number of
-hash values bounds. A document's verdict compares its log perplexity with the band of its language.
+aggregates too. A task holds them in sorted arrays keyed by 62-bit hashes, one entry for each n-gram
+of the corpus. A document's verdict compares its log perplexity with the band of its language.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from braidset.llm.common import worker_cache, written
 
 ORDER = 5
-#: Hash values of n-grams, a prime: no order's array holds more entries, whatever the corpus.
-SLOTS = 2_097_143
-BASE = 1_000_003
+#: Primes and bases of the two halves of an n-gram's hash; each step fits into 63 bits.
+HALVES = ((2_147_483_647, 1_000_003), (2_147_483_629, 1_618_033_989))
 #: Marks before and after a word; neither occurs in a word.
 BEGIN, END = "\x0a", "\x0d"
 #: Words whose score a worker remembers.
@@ -51,11 +50,14 @@ def _grams(batches):
 
 
 def _slot(gram: Column, length: int) -> Column:
-    """The hash of a gram of known length, the same polynomial that tasks use."""
-    h = F.lit(0).cast("long")
-    for i in range(1, length + 1):
-        h = (h * BASE + F.ascii(F.substring(gram, i, 1))) % SLOTS
-    return h
+    """The hash of a gram of known length, the same polynomials that tasks use."""
+    halves = []
+    for prime, base in HALVES:
+        h = F.lit(0).cast("long")
+        for i in range(1, length + 1):
+            h = (h * base + F.ascii(F.substring(gram, i, 1))) % prime
+        halves.append(h)
+    return halves[0] * (1 << 31) + halves[1]
 
 
 def _discounts(level: DataFrame) -> list[float]:
@@ -91,17 +93,21 @@ class Model:
         p = np.full(len(codes), 1.0 / (self.vocabulary + 1))
         for n in range(1, ORDER + 1):
             at = np.flatnonzero(place >= max(1, n - 1))
-            context = np.zeros(len(at), np.int64)
-            for back in range(n - 1, 0, -1):
-                context = (context * BASE + codes[at - back]) % SLOTS
-            share = self._get(self.grams[n - 1], (context * BASE + codes[at]) % SLOTS, 0.0)
-            p[at] = share + self._get(self.contexts[n - 1], context, 1.0) * p[at]
+            contexts, grams = [], []
+            for prime, base in HALVES:
+                h = np.zeros(len(at), np.int64)
+                for back in range(n - 1, 0, -1):
+                    h = (h * base + codes[at - back]) % prime
+                contexts.append(h)
+                grams.append((h * base + codes[at]) % prime)
+            share = self._get(self.grams[n - 1], grams[0] * (1 << 31) + grams[1], 0.0)
+            p[at] = share + self._get(self.contexts[n - 1], contexts[0] * (1 << 31) + contexts[1], 1.0) * p[at]
         logs = np.where(place > 0, np.log(p), 0.0)
         return np.add.reduceat(logs, np.cumsum(sizes) - sizes), sizes - 1
 
 
 def _array(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and values; of n-grams that share a hash the most frequent stands."""
+    """Sorted hashes and values, one of each n-gram; a shared hash, of odds 2**-62 a pair, keeps the more frequent."""
     got = rows.groupBy("slot").agg(F.max_by("value", F.struct("weight", "value")).alias("value")).toArrow()
     keys, values = got.column("slot").to_numpy(), got.column("value").to_numpy()
     order = np.argsort(keys)
@@ -111,8 +117,8 @@ def _array(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Count the n-grams of all documents and derive the model.
 
-    The n-grams are shuffled once, as one row for each task and n-gram. The driver receives at most
-    ``SLOTS`` entries for each order.
+    The n-grams are shuffled once, as one row for each task and n-gram. The driver and
+    each task hold 16 bytes for every distinct n-gram and context of the corpus.
     """
     counts = docs.select(text).mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("a"))
     counts = written(counts, "ngrams")

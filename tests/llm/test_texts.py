@@ -211,6 +211,16 @@ def test_perplexity_model_against_definitions(spark):
     assert np.allclose(logs, [want(w) for w in tests])
 
 
+def test_perplexity_model_keeps_every_ngram(spark):
+    r = random.Random(7)
+    words = sorted({"".join(chr(0x4E00 + r.randrange(3000)) for _ in range(5)) for _ in range(30_000)})
+    model = perplexity.train(spark.createDataFrame([(" ".join(words[i : i + 500]),) for i in range(0, len(words), 500)], "text string"))
+    marked = ["\n" + w + "\r" for w in words]
+    for n in (4, 5):
+        want = {x[j : j + n] for x in marked for j in range(len(x) - n + 1)}
+        assert len(model.grams[n - 1][0]) == len(want)
+
+
 def test_perplexity_bands_reject_strange_text(spark):
     r = random.Random(8)
     plain = [" ".join(r.choice("the house stands near water under green trees while people walk along slowly".split()) + str(i % 9) for _ in range(80)) for i in range(60)]
