@@ -6,9 +6,11 @@ Only keys and lengths travel until the cases are chosen; texts join last.
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from braidset.operators import unrank
 from braidset.operators.ranking import dense_index, hash_number, seeded_key, seeded_take
 from braidset.plans.staging import stage
 from braidset.schemas import CONCERN_COUNTS, LABELS, SEED, TOKEN_LIMIT
@@ -205,7 +207,11 @@ def with_texts(chosen: Chosen, atomics: DataFrame) -> DataFrame:
         .select("split", "k", "case", "copies", F.explode("members").alias("m"))
         .select("split", "k", "case", "m.*", _salt(F.col("case"), F.col("m.type"), F.col("copies")).alias("salt"))
     )
-    joined = members.join(_spread(texts, sizes), ["split", "type", "sha", "salt"])
+    return _cases(members.join(_spread(texts, sizes), ["split", "type", "sha", "salt"]))
+
+
+def _cases(joined: DataFrame) -> DataFrame:
+    """The stored form of cases, from a row per member with its text."""
     part = F.struct("pos", F.col("_text.message").alias("message"), F.col("_text.diff").alias("diff"), "sha", "type")
     cases = joined.groupBy("split", "k", "case").agg(F.array_sort(F.collect_list(part)).alias("p"))
     text = lambda f: F.transform(F.col(f"p.{f}"), lambda x: F.coalesce(x, F.lit("")))
@@ -225,13 +231,115 @@ def combine_cases(atomics: DataFrame, **options) -> Combined:
     return Combined(with_texts(chosen, atomics), chosen.report)
 
 
-def combine_to_target(atomics: DataFrame, rounds: int = 3, oversample: float = 2, **options) -> Combined:
-    """``combine_cases`` with the oversampling doubled while some count falls short."""
-    for attempt in range(rounds):
-        chosen = choose_cases(atomics, oversample=oversample * 2**attempt, **options)
-        if chosen.report.where("shortfall > 0").isEmpty():
-            break
-    return Combined(with_texts(chosen, atomics), chosen.report)
+def _goals(pool: DataFrame, target: int | dict[str, int]) -> DataFrame:
+    """``split, target``: one target for all splits of the pool, or one for each named split."""
+    wanted = F.lit(target) if isinstance(target, int) else F.lit(0)
+    for split, n in target.items() if isinstance(target, dict) else ():
+        wanted = F.when(F.col("split") == split, n).otherwise(wanted)
+    return pool.select("split").distinct().withColumn("target", wanted.cast("bigint"))
+
+
+def _new_sets(found: DataFrame, lots: Sequence[DataFrame]) -> DataFrame:
+    """One row per set of ``found`` and its tries; ``members`` is NULL where the set is over the limit or in an earlier lot.
+
+    A number comes up once, but the same shas may stand under other types.
+    """
+    sets = found.groupBy("split", "k", "_set").agg(F.min("members").alias("members"), F.count(F.lit(1)).alias("tries"))
+    for lot in lots:
+        met = lot.where("_set IS NOT NULL").select("split", "k", "_set", F.lit(True).alias("_met"))
+        sets = sets.join(met, ["split", "k", "_set"], "left")
+        sets = sets.withColumn("members", F.when(F.col("_met").isNull(), F.col("members"))).drop("_met")
+    return stage(sets, "drawn")
+
+
+def draw_to_target(
+    pool: DataFrame, goal: DataFrame, counts: Sequence[int], limit: int, oversample: float, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """All sets drawn (``split, k, _set, members, tries``), and ``split, k, exhausted``.
+
+    Each round doubles the draws of the splits and counts that lack cases. One ends when its target
+    is met or its numbers are used up.
+    """
+    plan = unrank.numbered(pool, counts, limit, seed)
+    one = F.array(F.struct(F.lit(0).alias("pos"), "type", "sha"))
+    fits = F.col("n_chars") <= unrank.chars_of(limit)
+    single = pool.select("split", F.lit(1).alias("k"), F.when(fits, F.col("sha")).alias("_set"), F.when(fits, one).alias("members"))
+    lots = [_new_sets(single.where(F.lit(1 in counts)), [])]
+    every = goal.select("split", F.explode(F.array(*map(F.lit, counts))).alias("k"), "target")
+    left = plan.combos.withColumn("since", F.lit(0).cast("bigint"))
+    unmet = [every.select("split", "k").limit(0)]
+    while not left.isEmpty():
+        part = stage(unrank.reach(left, goal, oversample * 2 ** (len(unmet) - 1)), "reach")
+        lots.append(_new_sets(unrank.drawn_sets(plan.records, part, limit, seed), lots))
+        have = reduce(DataFrame.unionByName, lots).where("members IS NOT NULL").groupBy("split", "k").agg(F.count(F.lit(1)).alias("have"))
+        short = every.join(have, ["split", "k"], "left").where(F.coalesce("have", F.lit(0)) < F.col("target")).select("split", "k")
+        unused = part.where("until < sets").select("split", "k").distinct()
+        unmet.append(unused.join(short, ["split", "k"], "left_anti"))
+        left = part.join(short.join(unused, ["split", "k"]), ["split", "k"]).withColumn("since", F.col("until")).drop("until")
+    # Not exhausted are those that met their target with numbers left.
+    stopped = reduce(DataFrame.unionByName, unmet).withColumn("_open", F.lit(True))
+    done = every.join(stopped, ["split", "k"], "left").select("split", "k", F.col("_open").isNull().alias("exhausted"))
+    return reduce(DataFrame.unionByName, lots), done
+
+
+def with_few_texts(cases: DataFrame, atomics: DataFrame, repeats: bool) -> DataFrame:
+    """``with_texts`` for cases of few records: texts that are in no case go first, and copies follow a record's uses."""
+    keys = ["split", "type", "sha"]
+    members = cases.select("split", "k", "case", F.explode("members").alias("m")).select("split", "k", "case", "m.*")
+    copies = F.ceil(F.count(F.lit(1)) / DRAWS_PER_COPY).cast("int").alias("copies")
+    uses = stage(members.groupBy(*keys).agg(copies), "uses")
+    text = F.struct(F.length("diff").alias("n"), "diff", "message").alias("_text")
+    texts = atomics.where(F.col("type").isin(*LABELS)).select(*keys, text).join(uses, keys)
+    if repeats:
+        texts = texts.groupBy(*keys, "copies").agg(F.min("_text").alias("_text"))
+    spread = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    salted = members.join(uses, keys).withColumn("salt", F.pmod(F.hash("case"), F.col("copies"))).drop("copies")
+    return _cases(salted.join(spread, [*keys, "salt"]))
+
+
+def combine_to_target(
+    atomics: DataFrame,
+    target: int | dict[str, int],
+    counts: Sequence[int] = CONCERN_COUNTS,
+    limit: int = TOKEN_LIMIT,
+    oversample: float = 2,
+    seed: int = SEED,
+) -> Combined:
+    """``target`` cases for every split and count, or all there are.
+
+    Sets are drawn by number, without replacement (``unrank``), until a count has its cases or no set is
+    left; there is no limit of rounds. Of more cases than the target the first by seeded order stay. The report
+    has ``exhausted``: no other set exists. ``atomics`` as in ``combine_cases``; copies of a sha
+    within a type count once, and sets of the same shas are one case.
+    """
+    pool = stage(pool_of(atomics), "pool")
+    repeats = not pool.where("records > 1").isEmpty()
+    pool = pool.drop("records")
+    goal = _goals(pool, target)
+    sets, done = draw_to_target(pool, goal, counts, limit, oversample, seed)
+    kept = sets.where("members IS NOT NULL").withColumn("case", seeded_key(F.col("k"), F.col("_set"), seed=seed)).drop("_set", "tries")
+    wanted = goal.withColumn("k", F.explode(F.array(*map(F.lit, counts))))
+    chosen = seeded_take(kept, F.col("case"), lambda n: F.col("target"), ["split", "k"], wanted)
+    tally = sets.groupBy("split", "k").agg(
+        F.sum("tries").alias("attempts"),
+        F.sum(F.when(F.col("_set").isNull(), F.col("tries")).otherwise(0)).alias("token_rejected"),
+        F.count("members").alias("distinct_cases"),
+    )
+    zero = F.lit(0).cast("bigint")
+    report = wanted.join(tally, ["split", "k"], "left").join(done, ["split", "k"])
+    report = report.withColumns({c: F.coalesce(c, zero) for c in ("attempts", "token_rejected", "distinct_cases")})
+    report = report.select(
+        "split",
+        F.col("k").alias("concern_count"),
+        "attempts",
+        "token_rejected",
+        (F.col("attempts") - F.col("token_rejected") - F.col("distinct_cases")).alias("duplicate_rejected"),
+        "distinct_cases",
+        "target",
+        F.greatest(zero, F.col("target") - F.col("distinct_cases")).alias("shortfall"),
+        "exhausted",
+    )
+    return Combined(with_few_texts(stage(chosen, "chosen"), atomics, repeats), report)
 
 
 def as_text_columns(cases: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries as plain SQL over the same tables, written independently."""
 
-from braidset.plans.registry import CASE_LIMIT, RECORD_LIMIT, SAMPLE, SYSTEM, T_95, TOP_UP
+from braidset.plans.registry import CASE_LIMIT, CASE_TARGET, RECORD_LIMIT, SAMPLE, SYSTEM, T_95, TOP_UP
 
 SQL: dict[str, str] = {}
 
@@ -283,6 +283,78 @@ SELECT split, d.k::INT AS concern_count, count(*) AS attempts, count(*) FILTER (
 FROM drawn d JOIN goal USING (split) GROUP BY split, d.k""")
 add("write_split", RECORDS, "SELECT split, message AS commit_message, 1 AS concern_count, sha AS shas, type AS types, md5(diff) AS diff_md5 FROM splits")
 
+ROUNDS = 6
+ROOM = 4 * CASE_LIMIT + 3
+
+
+def visited(k: int) -> str:
+    """Tables of the numbers of all k-sets, each digit moved in turn by a hash of the others."""
+    digit = lambda j: f"(number // {' // '.join(f'radix[{i}]' for i in range(1, j)) or '1'}) % radix[{j}]"
+    out = [f"v{k}_0 AS (SELECT *, {', '.join(f'{digit(j)} AS d{j}' for j in range(1, k + 1))} FROM numbers WHERE k = {k})"]
+    for s in range(2 * k):
+        j = s % k + 1
+        rest = " || ',' || ".join(f"d{i}" for i in range(1, k + 1) if i != j)
+        h = f"('0x' || substr({key('split', str(k), 'kinds', str(s), rest)}, 17, 15))::BIGINT"
+        out.append(f"v{k}_{s + 1} AS (SELECT * REPLACE ((d{j} + {h}) % radix[{j}] AS d{j}) FROM v{k}_{s})")
+    places = ", ".join(f"d{j}" for j in range(1, k + 1))
+    out.append(f"m{k} AS (SELECT split, k, combo, number, round, unnest(range({k})) AS pos, unnest(types) AS type, unnest([{places}]) AS idx FROM v{k}_{2 * k})")
+    return ",\n".join(out)
+
+
+TARGETED = RECORDS + f""",
+pool AS (SELECT split, type, sha, length(diff) AS n_chars FROM splits),
+goal AS (SELECT DISTINCT split, CASE split {' '.join(f"WHEN '{s}' THEN {n}" for s, n in CASE_TARGET.items())} END AS target FROM pool),
+least AS (SELECT split, type, min(n_chars) AS least FROM pool GROUP BY 1, 2),
+others AS (SELECT a.split, a.type, list_sort(list(b.least)) AS o FROM least a JOIN least b ON a.split = b.split AND a.type <> b.type GROUP BY 1, 2),
+fitting AS (
+  SELECT p.*, k FROM pool p JOIN others USING (split, type) CROSS JOIN (SELECT unnest([2, 3, 4, 5]) AS k)
+  WHERE len(o) >= k - 1 AND n_chars + list_sum(o[1:(k - 1)]) <= {ROOM}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY split, k, type ORDER BY {key('sha')}, sha) - 1 AS idx FROM fitting),
+kinds AS (SELECT split, k, type, count(*) AS n, min(n_chars) AS least, row_number() OVER (PARTITION BY split, k ORDER BY type) - 1 AS i FROM placed GROUP BY 1, 2, 3),
+combos AS (
+  SELECT split, k, combo, list(type ORDER BY i) AS types, list(n ORDER BY i) AS radix, product(n)::BIGINT AS sets
+  FROM kinds CROSS JOIN (SELECT unnest(range(1, 128)) AS combo) WHERE (combo >> i::INT) & 1 = 1 AND bit_count(combo) = k
+  GROUP BY 1, 2, 3 HAVING count(*) = k AND sum(least) <= {ROOM}),
+whole AS (SELECT split, k, sum(sets)::DOUBLE AS every FROM combos GROUP BY 1, 2),
+reach AS (
+  SELECT c.*, target, [{', '.join(f'least(sets, ceil(target * {2.0 * 2**r}::DOUBLE / every * sets)::BIGINT)' for r in range(ROUNDS))}] AS until
+  FROM combos c JOIN whole USING (split, k) JOIN goal USING (split)),
+numbers AS (
+  SELECT split, k, combo, types, radix, array_to_string(types, ',') AS kinds, number, len(list_filter(until, lambda u: u <= number)) AS round
+  FROM (SELECT *, unnest(range(0, until[{ROUNDS}])) AS number FROM reach)),
+{(',' + chr(10)).join(visited(k) for k in (2, 3, 4, 5))},
+members AS (
+  SELECT m.*, sha, n_chars FROM ({' UNION ALL '.join(f'SELECT * FROM m{k}' for k in (2, 3, 4, 5))}) m
+  JOIN placed USING (split, k, type, idx)
+  UNION ALL SELECT split, 1, 0, row_number() OVER (), 0, 0, type, 0, sha, n_chars FROM pool),
+tried AS (
+  SELECT split, k, combo, number, any_value(round) AS round, sum(n_chars) <= {ROOM} AS fits, array_to_string(list_sort(list(sha)), ',') AS set_key
+  FROM members GROUP BY 1, 2, 3, 4),
+met AS (SELECT split, k, set_key, min(round) AS round, min({{'combo': combo, 'number': number}}) AS first FROM tried WHERE fits GROUP BY 1, 2, 3),
+after AS (
+  SELECT split, k, r, count(*) FILTER (round <= r) AS have, any_value(target) AS target
+  FROM goal CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) CROSS JOIN (SELECT unnest(range({ROUNDS})) AS r) LEFT JOIN met USING (split, k) GROUP BY 1, 2, 3),
+last AS (SELECT split, k, any_value(target) AS target, coalesce(min(r) FILTER (have >= target), {ROUNDS - 1}) AS r FROM after GROUP BY 1, 2),
+chosen AS (
+  SELECT * FROM (
+    SELECT m.*, target, row_number() OVER (PARTITION BY m.split, m.k ORDER BY {key('m.k', 'set_key')}) AS rn FROM met m JOIN last l ON m.split = l.split AND m.k = l.k AND round <= r)
+  WHERE rn <= target)"""
+add("combine_to_target", TARGETED, """
+SELECT m.split, m.k::INT AS concern_count, string_agg(s.message, ',' ORDER BY pos) AS commit_message,
+       string_agg(m.sha, ',' ORDER BY pos) AS shas, string_agg(m.type, ',' ORDER BY pos) AS types,
+       md5(string_agg(s.diff, '|' ORDER BY pos)) AS diff_md5
+FROM chosen c JOIN members m ON m.split = c.split AND m.k = c.k AND m.combo = c.first.combo AND m.number = c.first.number
+JOIN splits s ON s.sha = m.sha GROUP BY m.split, m.k, m.combo, m.number""")
+add("target_report", TARGETED + """,
+tally AS (
+  SELECT split, k, count(*) AS attempts, count(*) FILTER (NOT fits) AS rejected, count(DISTINCT set_key) FILTER (fits) AS sets
+  FROM tried JOIN last USING (split, k) WHERE round <= r GROUP BY 1, 2),
+unused AS (SELECT DISTINCT c.split, c.k FROM reach c JOIN last l ON c.split = l.split AND c.k = l.k WHERE until[r + 1] < sets)""", """
+SELECT l.split, l.k::INT AS concern_count, coalesce(attempts, 0)::BIGINT AS attempts, coalesce(rejected, 0)::BIGINT AS token_rejected,
+       coalesce(attempts - rejected - sets, 0)::BIGINT AS duplicate_rejected, coalesce(sets, 0)::BIGINT AS distinct_cases, l.target::BIGINT AS target,
+       greatest(0, l.target - coalesce(sets, 0))::BIGINT AS shortfall, u.split IS NULL AS exhausted
+FROM last l LEFT JOIN tally t ON t.split = l.split AND t.k = l.k LEFT JOIN unused u ON u.split = l.split AND u.k = l.k""")
+
 # --- model input
 
 GRID = TANGLED + f""",

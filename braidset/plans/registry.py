@@ -23,6 +23,7 @@ RECORD_LIMIT = 1024
 CASE_LIMIT = 4000
 TOP_UP = 200
 SAMPLE = 100
+CASE_TARGET = {"train": 280, "test": 70}
 T_95 = 1.959963984540054
 SYSTEM = "Name every label that fits."
 EXAMPLES = (("first message", "<commit_diff id=1>a</commit_diff>"), ("second message", "<commit_diff id=2>b</commit_diff>"))
@@ -300,6 +301,23 @@ def rejection_counts(spark, root):
     return combine.choose_cases(_splits(spark, root), limit=CASE_LIMIT).report
 
 
+def _to_target(spark, root):
+    return combine.combine_to_target(_splits(spark, root), CASE_TARGET, limit=CASE_LIMIT)
+
+
+@query
+def combine_to_target(spark, root):
+    return _to_target(spark, root).cases.select(
+        "split", "concern_count", "commit_message", text("shas"), text("types"),
+        F.md5(F.array_join("diff", "|")).alias("diff_md5"),
+    )
+
+
+@query
+def target_report(spark, root):
+    return _to_target(spark, root).report
+
+
 # --- model input
 
 

@@ -1,11 +1,14 @@
 """Generated cases against brute force on small pools."""
 
+import math
 from collections import Counter
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
 
-from braidset.operators import combine
+from braidset.operators import combine, unrank
+from braidset.schemas import LABELS
 
 
 def pool(spark, sizes, chars=8):
@@ -76,13 +79,80 @@ def test_rare_type_is_spread(spark, monkeypatch):
 
 def test_more_tries_reach_the_target(spark):
     df, rows = pool(spark, {"feat": 5, "fix": 5})
-    out = combine.combine_to_target(df, rounds=4, oversample=1, counts=(2,), target=20)
+    out = combine.combine_to_target(df, oversample=1, counts=(2,), target=20)
     assert out.report.first().shortfall == 0 and out.cases.count() == 20
-    full = combine.combine_to_target(df, rounds=2, oversample=1, counts=(2,), target=26)
-    assert full.report.first().shortfall >= 1
+    full = combine.combine_to_target(df, oversample=1, counts=(2,), target=26)
+    assert full.report.first().shortfall == 1 and full.cases.count() == 25
 
 
 def test_same_result_on_any_partitioning(spark):
     df, _ = pool(spark, {"feat": 9, "fix": 9, "docs": 9})
     key = lambda d: sorted((c.concern_count, tuple(c.shas)) for c in combine.combine_cases(d, counts=(1, 3)).cases.collect())
     assert key(df.repartition(1)) == key(df.repartition(7))
+
+
+# --- drawing to a target, without replacement
+
+
+def test_target_is_met_or_every_set_is_drawn(spark):
+    """Three records that fit among forty, in each of seven labels."""
+    rows = [("train", f"m{t}{i}", "x" * (8 if i < 3 else 400), f"{t}-{i}", t) for t in LABELS for i in range(40)]
+    df = spark.createDataFrame(rows, "split string, message string, diff string, sha string, type string")
+    out = combine.combine_to_target(df, 280, limit=40)
+    cases = out.cases.collect()
+    report = {r.concern_count: r for r in out.report.collect()}
+    exist = {k: sum(1 for _ in combinations(LABELS, k)) * 3**k for k in range(1, 6)}
+    assert exist[2] == 189
+    for k, r in report.items():
+        assert Counter(c.concern_count for c in cases)[k] == min(280, exist[k])
+        assert r.shortfall == max(0, 280 - exist[k]) and r.distinct_cases <= exist[k]
+        assert r.exhausted == (r.distinct_cases == exist[k])
+    assert len({(c.concern_count, frozenset(c.shas)) for c in cases}) == len(cases)
+    by_sha = {r[3]: r for r in rows}
+    for c in cases:
+        assert [by_sha[s][4] for s in c.shas] == c.types and len(set(c.types)) == c.concern_count
+        assert [by_sha[s][2] for s in c.shas] == c.diff and sum(map(len, c.diff)) // 4 <= 40
+
+
+def test_numbers_are_permuted_one_to_one(spark):
+    sizes = {"feat": 5, "fix": 3, "docs": 4, "ci": 1}
+    df, _ = pool(spark, sizes)
+    plan = unrank.numbered(combine.pool_of(df).drop("records"), (2, 3), 100, 7)
+    whole = plan.combos.withColumns({"since": F.lit(0).cast("bigint"), "until": F.col("sets")})
+    got = unrank.visits(whole, 7).groupBy("k", "combo", "number").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat("type", F.lit(":"), "idx")))).alias("s")).collect()
+    want = sum(math.prod(sizes[t] for t in c) for k in (2, 3) for c in combinations(sizes, k))
+    assert len(got) == want and len({(r.k, r.s) for r in got}) == want
+    first = {(r.k, r.combo): r.s for r in got if r.number == 0}
+    again = unrank.visits(whole, 8).where("number = 0").groupBy("k", "combo").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat("type", F.lit(":"), "idx")))).alias("s")).collect()
+    assert any(first[r.k, r.combo] != r.s for r in again)
+
+
+def test_sets_that_cannot_fit_are_not_numbered(spark):
+    rows = [("train", "m", "x" * n, f"{t}{n}", t) for t, ns in {"feat": (10, 30, 90), "fix": (10, 95), "docs": (50,)}.items() for n in ns]
+    df = spark.createDataFrame(rows, "split string, message string, diff string, sha string, type string")
+    plan = unrank.numbered(combine.pool_of(df).drop("records"), (2, 3), 16, 1)
+    kept = {k: sorted(r.sha for r in plan.records.where(F.col("k") == k).collect()) for k in (2, 3)}
+    # 67 characters: beside the shortest of another type, or of both.
+    assert kept == {2: ["docs50", "feat10", "feat30", "fix10"], 3: []}
+    out = combine.combine_to_target(df, 50, counts=(2, 3), limit=16)
+    assert sorted(tuple(sorted(c.shas)) for c in out.cases.collect()) == [("docs50", "feat10"), ("docs50", "fix10"), ("feat10", "fix10"), ("feat30", "fix10")]
+    assert {(r.concern_count, r.shortfall, r.exhausted) for r in out.report.collect()} == {(2, 46, True), (3, 50, True)}
+
+
+def test_hot_records_copies_and_shared_shas(spark, monkeypatch):
+    """One record of a rare label is in a third of all sets; a sha under two types makes equal sets; copies count once."""
+    monkeypatch.setattr(unrank, "DRAWS_PER_COPY", 5)
+    monkeypatch.setattr(combine, "DRAWS_PER_COPY", 5)
+    df, rows = pool(spark, {"feat": 10, "fix": 10, "ci": 1})
+    same = spark.createDataFrame([("train", "mm", "xxxxxxxxxfeat0", "fix-3", "feat")] + [rows[0]] * 3, df.schema)
+    out = combine.combine_to_target(df.unionByName(same), {"train": 10_000, "other": 3}, counts=(1, 2, 3), limit=100)
+    cases = out.cases.collect()
+    report = {r.concern_count: r for r in out.report.collect()}
+    feat, fix = [f"feat-{i}" for i in range(10)] + ["fix-3"], [f"fix-{i}" for i in range(10)]
+    want = {1: {(s,) for s in feat + fix + ["ci-0"]}, 2: {tuple(sorted(x)) for x in [*product(feat, fix), *product(feat + fix, ["ci-0"])]}, 3: {tuple(sorted(x)) for x in product(feat, fix, ["ci-0"])}}
+    for k in want:
+        got = [tuple(sorted(c.shas)) for c in cases if c.concern_count == k]
+        assert len(got) == len(set(got)) and set(got) == want[k]
+        r = report[k]
+        assert r.exhausted and r.attempts == r.token_rejected + r.duplicate_rejected + r.distinct_cases and r.distinct_cases == len(want[k])
+    assert combine.combine_to_target(df.limit(0), 5).cases.count() == 0
