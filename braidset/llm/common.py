@@ -53,6 +53,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def identified(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number for each row, and that column's name, which no column of ``docs`` has.
+
+    Rows are told apart by it whatever their keys are: null, repeated, or the same in every column.
+    """
+    name = "_row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), tag), name
+
+
 def key_crc(key: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids count as the text 'null'."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")) % F.lit(mod)

@@ -13,7 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidset.llm.common import WORD, written
+from braidset.llm.common import WORD, identified, written
 
 #: Fixed values of the contract: weights of sources in code point order, share of all words, cap per source.
 WEIGHTS = (3, 1, 2)
@@ -25,9 +25,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def seeded(key: Column, seed: int) -> Column:
-    """32 hex digits that order rows by seed and key; null keys sort as the text 'null'."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+def seeded(key: Column, text: Column, seed: int) -> Column:
+    """32 hex digits that order rows by seed, key and text, so that rows of one key, or of none, are spread too."""
+    of_text = F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")), of_text).cast("binary"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
@@ -97,54 +98,65 @@ def mix(
     """Per document: its key, source, size, source_size, target and the words ``taken``.
 
     A source's blocks are split over shards of about ``shard_docs`` documents (by hash of the
-    key), so that a source with a third of all rows is worked on in as many tasks as it needs.
+    key and the text), so that a source with a third of all rows is worked on in as many tasks as it needs.
     A shard whose blocks exceed its words gives every document again before any a third time:
     no document gives more than twice its words. ``taken`` div ``size`` is the number of whole
     copies, the rest the words of one more, cut one.
 
     Null and empty texts have size 0 and give 0; a null source is a source of its own, the last;
-    null or repeated keys are rows like others (equal rows share their order and may swap);
+    null or repeated keys are rows like others (rows equal in key and text share their order and may swap);
     an empty table gives no row. Other columns play no part.
     """
-    sizes = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    # The texts are read once; what follows goes over three narrow columns.
-    return mix_sizes(written(sizes, "mix-sizes"), seed, block, shard_docs)
+    return mix_sizes(_sizes(docs, seed, key, text, source), block, shard_docs).drop("_row")
 
 
-def mix_sizes(sizes: DataFrame, seed: int = 7, block: int = 8, shard_docs: int = 2048) -> DataFrame:
-    """``mix`` over columns doc_id, source and size."""
-    sizes = sizes.withColumn("_seeded", seeded(F.col("doc_id"), seed))
+def _sizes(docs: DataFrame, seed: int, key: str, text: str, source: str, row: Column | None = None) -> DataFrame:
+    """The narrow columns of the mix; the texts are read once for them."""
+    sizes = docs.select(
+        (F.lit(0) if row is None else row).cast("long").alias("_row"), F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"),
+        word_count(F.col(text)).alias("size"), seeded(F.col(key), F.col(text), seed).alias("_seeded"),
+    )
+    return written(sizes, "mix-sizes")
+
+
+def mix_sizes(sizes: DataFrame, block: int = 8, shard_docs: int = 2048) -> DataFrame:
+    """``mix`` over columns _row, doc_id, source, size and _seeded.
+
+    Small tables, with a row for each source or shard, are written, so that later steps read them and plan anew.
+    """
     targets = source_targets(sizes)
     # The targets add up to the share of all words; in whole numbers, so that no rounding of sums decides a seat.
     words = F.sum("source_size").over(Window.partitionBy())
     all_seats = F.floor((words * (2 * SHARE[0]) + SHARE[1] * block) / F.lit(2 * SHARE[1] * block)).cast("long")
     seated = sainte_lague(targets.withColumn("_seats", all_seats), [], ["source"], "target", "_seats", "_blocks").drop("_seats")
-    seated = seated.withColumn("_shards", F.ceil(F.col("docs") / shard_docs).cast("long"))
+    seated = written(seated.withColumn("_shards", F.ceil(F.col("docs") / shard_docs).cast("long")), "mix-sources")
     # A row per source: small beside the documents, whose shuffle by source this spares where it fits.
     placed = sizes.join(seated.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "inner")
     placed = placed.withColumn("_shard", F.conv(F.substring("_seeded", 1, 8), 16, 10).cast("long") % F.col("_shards"))
-    shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
+    shards = written(placed.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks")), "mix-shards")
     quotas = sainte_lague(shards, ["source"], ["_shard"], "_words", "_blocks", "_quota")
-    quotas = quotas.select(F.col("source").alias("_qs"), F.col("_shard").alias("_qk"), "_words", "_quota")
+    quotas = written(quotas.select(F.col("source").alias("_qs"), F.col("_shard").alias("_qk"), "_words", "_quota"), "mix-quotas")
     rows = placed.join(quotas, F.col("source").eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qk")))
-    order = Window.partitionBy("source", "_shard").orderBy("_seeded", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "_shard").orderBy("_seeded", "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     budget = F.least(F.col("_quota") * block, F.col("_words") * CAP)
     whole = F.when(F.col("_words") > 0, F.floor(budget / F.col("_words"))).otherwise(0).cast("long")
     rest = budget - whole * F.col("_words") - F.col("_before")
     taken = whole * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("_row", "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed documents, with the columns of ``docs``: each as many times as it was taken whole,
     and once more cut after its last taken word where a part was taken. Documents of no words stay once.
 
-    Keys must be unique; rows that share a key share its copies.
+    Every row follows its own plan: null and repeated keys, and rows equal in all columns, are told apart by the row. Null
+    and empty texts stay once; an empty table gives no row; all columns stay, whatever their names.
     """
-    plan = mix(docs, seed, key=key, text=text, source=source).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    rows = rows.join(plan, F.col("_key").eqNullSafe(F.col("doc_id")))
+    numbered, row = identified(docs, "mix-docs")
+    plan = mix_sizes(_sizes(numbered, seed, key, text, source, F.col(row))).select(F.col("_row").alias("_at"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = numbered.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(row).alias("_number"), F.col(text).alias("_text"))
+    rows = rows.join(plan, F.col("_number") == F.col("_at"))
     copies = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_taken") / F.col("_size")))
     part = F.when(F.col("_size") == 0, 0).otherwise(F.col("_taken") % F.col("_size"))
     pieces = F.regexp_extract_all(F.col("_text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidset.llm.common import written
+from braidset.llm.common import identified, written
 from braidset.llm.components import components
 
 #: Fixed values of the contract: words per shingle, seed of XXH64.
@@ -56,15 +56,16 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        found = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+        *kept, texts = batch.columns
+        found = np.array([fingerprint(t.as_py()) for t in texts.cast(pa.binary())], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long)."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a long), and ``row`` where a column with the rows' numbers is named."""
+    kept = [F.col(key).cast("long").alias("doc_id"), *([F.col(row).alias("row")] if row else [])]
+    rows = docs.select(*kept, F.col(text).alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, row long, fp long" if row else "doc_id long, fp long")
 
 
 def _cells(fps: np.ndarray) -> np.ndarray:
@@ -215,17 +216,30 @@ def near_duplicates(docs: DataFrame, radius: int = 2, key: str = "doc_id", text:
     empty table gives no row. Other columns play no part.
     """
     rows = written(fingerprints(docs, key, text), "simhash")
+    out = _joined(rows, radius)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _joined(rows: DataFrame, radius: int) -> DataFrame:
+    """``rows`` (doc_id, fp) with ``root``, their component, and ``component_id``, its least id."""
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(links(distinct, radius))
     rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
     # Fingerprints without links are their own; only the others meet in a group.
-    named = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
-    out = rows.join(named, F.col("fp") == F.col("_fp"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id")
+    return rows.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def keep_one(docs: DataFrame, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; keys must be unique."""
-    kept = near_duplicates(docs, radius, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__llm_kept"))
-    return docs.join(kept.distinct(), docs[key].eqNullSafe(F.col("__llm_kept")), "left_semi")
+    """``docs`` with one row of each component: that of the least id (nulls last), of repeated ids the first.
+
+    Null, empty and blank texts are one component with what is near them. Null and repeated keys are told apart by the
+    row, so rows that are equal in all columns leave one as well. An empty table gives no row. All columns stay,
+    whatever their names.
+    """
+    rows, row = identified(docs, "simhash-docs")
+    found = _joined(written(fingerprints(rows, key, text, row), "simhash"), radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = found.groupBy("root").agg(first).select(F.col("first.row").alias("__llm_kept"))
+    return rows.join(kept, F.col(row) == F.col("__llm_kept"), "left_semi").drop(row)

@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidset.llm.common import key_crc, worker_cache
+from braidset.llm.common import key_crc, worker_cache, written
 from braidset.llm.units import UnitHasher
 
 BITS = 22
 #: The bound of the labelled sample that the model is fit on.
 SAMPLE = 20_000
+#: The screens: texts a bucket is in, chi-square of its labels, standard errors of a pair's interaction, buckets whose pairs are tested.
+LEAST, CHANCE, SURE, CANDIDATES = 4, 10.8, 6.0, 1024
 
 
 def terms(texts: list[bytes | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -73,35 +75,68 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(at[known], owner, len(counts)), -40, 40)))
 
 
-def fit_machine(
-    buckets: np.ndarray, counts: np.ndarray, labels: np.ndarray, rank: int = 4, least: int = 4, chance: float = 10.8, epochs: int = 30, rate: float = 0.2, decay: float = 1e-5, seed: int = 5
+def odd_terms(seen, marked, n: int, share: float):
+    """Chi-square of terms' counts under the labels: ``seen`` and ``marked`` may be numpy arrays or columns."""
+    return (marked - share * seen) ** 2 / (share * (1 - share) * seen * (1 - seen / max(n, 1)) + 1e-9)
+
+
+def interactions(present: np.ndarray, labels: np.ndarray, block: slice, sure: float = SURE) -> list[tuple[int, int, float]]:
+    """Pairs (i, j, log odds) of a column in ``block`` with a later one, that no sum of two weights explains.
+
+    The log odds of the label are taken in the four cells of a pair; what is left of them beyond a
+    sum is the interaction, kept if it is over ``sure`` standard errors from zero.
+    """
+    x = present.astype(np.float32)
+    some = labels != 0
+    tables = []
+    for rows, y in ((x, len(labels)), (x[some], int(some.sum()))):
+        both = rows[:, block].T @ rows
+        one, other = rows[:, block].sum(axis=0)[:, None], rows.sum(axis=0)[None, :]
+        tables.append([both, one - both, other - both, y - one - other + both])
+    theta, spread = 0.0, 0.0
+    for n, p, sign in zip(*tables, (1, -1, -1, 1)):
+        p, q = p + 0.5, n - p + 0.5
+        theta = theta + sign * np.log(p / q)
+        spread = spread + 1 / p + 1 / q
+    first = np.arange(x.shape[1])[block][:, None]
+    i, j = np.nonzero((np.abs(theta) >= sure * np.sqrt(spread)) & (np.arange(x.shape[1])[None, :] > first))
+    return [(int(first[a, 0]), int(b), float(theta[a, b])) for a, b in zip(i, j)]
+
+
+def paired_factors(size: int, pairs: list[tuple[int, int, float]], rank: int) -> np.ndarray:
+    """Vectors whose products come near the pairs' log odds: the leading eigenvectors of their matrix.
+
+    Its diagonal, which no text uses, is set so that all eigenvalues are positive.
+    """
+    used = sorted({k for i, j, _ in pairs for k in (i, j)})
+    at = {k: n for n, k in enumerate(used)}
+    table = np.zeros((len(used), len(used)))
+    for i, j, theta in pairs:
+        table[at[i], at[j]] = table[at[j], at[i]] = theta
+    table[np.diag_indices(len(used))] = np.abs(table).sum(axis=1)
+    values, vectors = np.linalg.eigh(table)
+    lead = vectors[:, ::-1][:, :rank] * np.sqrt(np.maximum(values[::-1][:rank], 0))
+    out = np.zeros((size, rank))
+    out[used, : lead.shape[1]] = lead
+    return out
+
+
+def fit_kept(
+    kept: np.ndarray, pairs: list[tuple[int, int, float]], items: np.ndarray, owner: np.ndarray, labels: np.ndarray, rank: int = 4, epochs: int = 30, rate: float = 0.2, decay: float = 1e-5, seed: int = 5
 ) -> Machine:
-    """Logistic loss by mini-batches with AdaGrad steps.
+    """Logistic loss by mini-batches with AdaGrad steps, over the ``kept`` buckets.
 
-    Buckets in fewer than ``least`` texts are left out, and those whose counts under the two labels
-    differ by no more than chance (chi-square below ``chance``): a text's many common terms would
-    otherwise drown its telling ones.
+    ``items`` are positions in ``kept``, ``owner`` their texts, in rising order; ``pairs`` hold positions too,
+    and where the vectors of their buckets start.
     """
     n = len(labels)
     share = np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3)
-    bias = float(np.log(share / (1 - share)))
-    seen = np.bincount(buckets, minlength=1)
-    some = labels != 0
-    marked = np.bincount(buckets[np.repeat(some, counts)], np.repeat(labels[some], counts[some]), minlength=len(seen))
-    odd = (marked - share * seen) ** 2 / np.maximum(share * (1 - share) * seen * np.maximum(1 - seen / max(n, 1), 1e-9), 1e-9)
-    kept = np.flatnonzero((seen >= least) & (odd >= chance)).astype(np.int32)
     rng = np.random.default_rng(seed)
-    model = Machine(kept, bias, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), rank)))
+    model = Machine(kept, float(np.log(share / (1 - share))), np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), rank)))
     if not len(kept) or labels.min() == labels.max():
         return model
-    # Narrow types and a table of places: the sample's buckets are the most that the driver holds.
-    place = np.full(len(seen), -1, np.int32)
-    place[kept] = np.arange(len(kept), dtype=np.int32)
-    at = place[buckets]
-    known = at >= 0
-    owner = np.repeat(np.arange(n, dtype=np.int32), counts)[known]
-    items = at[known]
-    del seen, marked, odd, place, at, known
+    if pairs:
+        model.factors += paired_factors(len(kept), pairs, rank)
     ends = np.cumsum(np.bincount(owner, minlength=n))
     starts = np.concatenate([[0], ends[:-1]])
     sums = [1e-6, np.full(len(kept), 1e-6), np.full((len(kept), rank), 1e-6)]
@@ -130,37 +165,128 @@ def fit_machine(
     return model
 
 
+def fit_machine(
+    buckets: np.ndarray, counts: np.ndarray, labels: np.ndarray, rank: int = 4, least: int = LEAST, chance: float = CHANCE, sure: float = SURE, candidates: int = CANDIDATES, **options
+) -> Machine:
+    """A machine over a sample in memory, with the screens of ``train``."""
+    n = len(labels)
+    share = float(np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3))
+    owner = np.repeat(np.arange(n), counts)
+    seen = np.bincount(buckets, minlength=1)
+    marked = np.bincount(buckets, labels[owner], minlength=1)
+    odd = np.flatnonzero((seen >= least) & (odd_terms(seen, marked, n, share) >= chance))
+    even = np.array(sorted(np.flatnonzero(seen >= least).tolist(), key=lambda k: (-int(seen[k]) * (n - int(seen[k])), k))[:candidates], np.int64)
+    present = np.zeros((n, len(even)), bool)
+    place = np.full(len(seen), -1)
+    place[even] = np.arange(len(even))
+    present[owner[place[buckets] >= 0], place[buckets][place[buckets] >= 0]] = True
+    pairs = [(even[i], even[j], t) for i, j, t in interactions(present, labels, slice(0, len(even)), sure)]
+    kept = np.array(sorted({*odd.tolist(), *(int(k) for i, j, _ in pairs for k in (i, j))}), np.int32)
+    place = np.full(len(seen), -1)
+    place[kept] = np.arange(len(kept))
+    known = place[buckets] >= 0
+    return fit_kept(kept, [(int(place[i]), int(place[j]), t) for i, j, t in pairs], place[buckets][known], owner[known], labels, rank, **options)
+
+
 def _buckets(bits: int):
     def run(batches):
         for batch in batches:
-            found, counts = terms(batch.column(0).cast(pa.binary()).to_pylist(), bits)
-            ends = (counts.cumsum() * 4).tolist()
-            data = found.tobytes()
-            rows = [data[a:b] for a, b in zip([0, *ends], ends)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], names=["label", "buckets"])
+            found, counts = terms(batch.column(2).cast(pa.binary()).to_pylist(), bits)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(found, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "label", "buckets"])
+
+    return run
+
+
+def _places(lists: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's buckets those in ``wanted`` (sorted), as positions in it, and their texts."""
+    flat, counts = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
+    at = np.minimum(np.searchsorted(wanted, flat), len(wanted) - 1) if len(wanted) else np.zeros(len(flat), np.int64)
+    known = wanted[at] == flat if len(wanted) else np.zeros(len(flat), bool)
+    return at[known], np.repeat(np.arange(len(counts)), counts)[known]
+
+
+def _present(wanted: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            at, owner = _places(batch.column(1), wanted)
+            grid = np.zeros((batch.num_rows, len(wanted)), bool)
+            grid[owner, at] = True
+            rows = [r.tobytes() for r in np.packbits(grid, axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["label", "present"])
+
+    return run
+
+
+def _only(wanted: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            at, owner = _places(batch.column(1), wanted)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))], names=["label", "items"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = SAMPLE, bits: int = BITS, key: str = "doc_id", text: str = "text") -> Machine:
+def _tested(sample, width: int, block: int, sure: float):
+    def run(batches):
+        rows, labels = sample.value
+        present = np.unpackbits(np.frombuffer(rows, np.uint8).reshape(len(labels), -1), axis=1)[:, :width].astype(bool)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                found = interactions(present, labels, slice(k * block, min(width, (k + 1) * block)), sure)
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], names=["i", "j", "theta"])
+
+    return run
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = SAMPLE, bits: int = BITS, key: str = "doc_id", text: str = "text",
+    least: int = LEAST, chance: float = CHANCE, sure: float = SURE, candidates: int = CANDIDATES,
+) -> Machine:
     """A machine fit on labelled rows for which ``learn`` (over the labels' ``doc_id``) holds.
 
-    Of more than ``sample`` such rows those of the least hashed ids are taken: the bound of
-    what the driver receives. Rows with a null label or id are left out; of repeated labels of one
-    id the least counts; an empty sample gives a score of one half.
+    Of more than ``sample`` such ids those of the least hashes are taken: the bound of what is learnt from.
+    Rows with a null label or id are left out; of repeated labels of one id the least counts, and of repeated
+    rows one; an empty sample gives a score of one half.
+
+    Spark counts the sample's buckets. Kept are those in ``least`` texts whose counts under the two labels differ by
+    more than chance (chi-square ``chance``), as a text's many common terms would drown its telling ones; and the buckets of
+    pairs with an interaction (``sure`` standard errors), which may tell nothing alone. Pairs are those of the ``candidates``
+    buckets nearest to half of the texts, where there are cells to compare. The driver receives the kept buckets of the sample.
     """
+    spark = docs.sparkSession
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("_label"))
     known = known.where(learn & F.col("_label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("_label").alias("_label"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(F.broadcast(taken), F.col("_key") == F.col("_id")).select("text", "_label")
-    got = rows.mapInArrow(_buckets(bits), "label int, buckets binary").toArrow()
-    found = [np.frombuffer(b, np.int32) for b in got.column("buckets").to_pylist()]
-    y = np.array(got.column("label").to_pylist(), float)
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(F.broadcast(taken), F.col("_key") == F.col("_id")).select("_id", "_label", "text")
+    found = rows.mapInArrow(_buckets(bits), "id long, label int, buckets array<int>")
+    found = written(found.groupBy("id", "label").agg(F.min("buckets").alias("buckets")), "toxicity-terms")
+    n, share = found.agg(F.count(F.lit(1)), F.avg("label")).first()
+    share = float(np.clip(share if n else 0.5, 1e-3, 1 - 1e-3))
+    counts = found.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("marked"))
+    counts = written(counts.where(F.col("seen") >= least), "toxicity-counts")
+    ids = lambda df: np.asarray(df.select("bucket").toArrow().column(0), dtype=np.int32)
+    odd = ids(counts.where(odd_terms(F.col("seen"), F.col("marked"), n, share) >= chance))
+    even = np.sort(ids(counts.orderBy((F.col("seen") * (F.lit(n) - F.col("seen"))).desc(), "bucket").limit(candidates)))
+    pairs = []
+    if len(even) > 1:
+        got = found.select("label", "buckets").mapInArrow(_present(even), "label int, present binary").toArrow()
+        # The sample's candidates as bits: sample x candidates / 8 bytes.
+        bits_of = spark.sparkContext.broadcast((b"".join(got.column("present").to_pylist()), np.asarray(got.column("label"))))
+        blocks = -(-len(even) // 64)
+        tested = spark.range(blocks).repartition(blocks).mapInArrow(_tested(bits_of, len(even), 64, sure), "i int, j int, theta double")
+        pairs = [(int(even[r.i]), int(even[r.j]), r.theta) for r in tested.orderBy("i", "j").collect()]
+    kept = np.array(sorted({*odd.tolist(), *(k for i, j, _ in pairs for k in (i, j))}), np.int32)
+    place = {int(k): at for at, k in enumerate(kept)}
+    got = found.select("label", "buckets").mapInArrow(_only(kept), "label int, items array<int>").toArrow()
+    items = [np.asarray(x.values) for x in got.column("items")]
+    y = np.asarray(got.column("label"), dtype=float)
     # The rows' order is Spark's; the fit takes them in an order of their own.
-    order = sorted(range(len(found)), key=lambda i: (len(found[i]), found[i].tobytes(), y[i]))
-    found = [found[i] for i in order]
-    joined = np.concatenate(found) if found else np.zeros(0, np.int32)
-    return fit_machine(joined, np.array([len(f) for f in found], np.int64), y[order] if len(order) else y)
+    order = sorted(range(len(items)), key=lambda i: (y[i], items[i].tolist()))
+    owner = np.repeat(np.arange(len(order)), [len(items[i]) for i in order])
+    flat = np.concatenate([items[i] for i in order]) if order else np.zeros(0, np.int32)
+    return fit_kept(kept, [(place[i], place[j], t) for i, j, t in pairs], flat, owner, y[order] if order else y)
 
 
 def _score(model: Machine, bits: int):

@@ -233,12 +233,57 @@ def test_mixing_edge_table(spark):
         assert size == own and abs(taken - target) <= 40
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs(spark).repartition(5), shard_docs=4).collect()))
     assert mixing.mix(docs(spark).limit(0)).count() == 0
-    words = mixing.mix(docs(spark, texts()[6:20]))
-    applied = mixing.apply_mix(docs(spark, texts()[6:20]))
-    assert applied.columns == docs(spark).columns
-    of_unique = F.col("doc_id").isNotNull() & (F.col("doc_id") != 3)
-    want = words.where(of_unique).agg(F.sum("taken")).first()[0]
-    assert applied.where(of_unique).agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == want
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_mixed_words_are_the_planned_words(spark, seed):
+    """Null ids, repeated ids and equal rows each follow their own plan."""
+    some = docs(spark, texts()[4:28])
+    some = some.unionByName(some.where("doc_id IS NULL OR doc_id = 3 OR doc_id = 7")).unionByName(some.withColumn("doc_id", F.lit(None).cast("long"))).withColumn("_row", F.lit("clash"))
+    planned = mixing.mix(some, seed=seed).groupBy("source").agg(F.sum("taken")).collect()
+    mixed = mixing.apply_mix(some, seed=seed)
+    assert mixed.columns == some.columns
+    got = mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text")))).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, planned)))
+
+
+def test_null_and_repeated_ids_are_spread_over_shards(spark):
+    """A third of all ids null, a third one id: no shard gets more than three times the median."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, F.lit(7)).alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    placed = mixing._sizes(df, 7, "doc_id", "text", "source").select(F.conv(F.substring("_seeded", 1, 8), 16, 10).cast("long") % 30)
+    sizes = sorted(r["count"] for r in placed.toDF("shard").groupBy("shard").count().collect())
+    assert len(sizes) == 30 and sizes[-1] <= 3 * sizes[15]
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = "one two three four five six seven", "an entirely different text of eight words here"
+    some = spark.createDataFrame([(1, a), (1, b), (None, b), (None, b), (None, a + "!")], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("_row", "row", "fp", "root", "first")})
+    kept = simhash.keep_one(some)
+    assert kept.columns == some.columns
+    assert sorted(map(str, rows(kept, "doc_id", "text"))) == sorted(map(str, [(1, a), (1, b), (None, a + "!")]))
+    nothing = spark.createDataFrame([(None, b), (None, b), (None, None), (3, ""), (2, " ")], "doc_id long, text string")
+    assert sorted(map(str, rows(simhash.keep_one(nothing), "doc_id", "text"))) == sorted(map(str, [(None, b), (2, " ")]))
+    assert simhash.keep_one(some.limit(0)).count() == 0
+
+
+def edge_docs(spark):
+    return docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def test_stages_on_edge_tables(spark):
+    """Null ids and texts, repeats and long texts go through all stages; so does no document at all."""
+    import corpus_pipeline
+
+    root = "/root/testdata/sf0.001"
+    for start in (edge_docs(spark).unionByName(edge_docs(spark).limit(9)), edge_docs(spark).limit(0)):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES:
+            before, kept = kept, stage(spark, kept, root)
+            if name != "packing":
+                assert kept.columns == start.columns, name
+            if name == "near_copies":
+                assert kept.count() == len(set(brute_components([brute_fingerprint(t) for (t,) in rows(before, "text")])))
+        assert (kept.count() > 0) == (not start.isEmpty())
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))

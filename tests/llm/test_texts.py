@@ -1,6 +1,7 @@
 """Token files, packing, perplexity rules, personal data and classifiers over whole texts."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -303,6 +304,68 @@ def test_machine_learns_an_interaction():
     assert score[2] > 0.9 and (score[:2] < 0.3).all()
 
 
+def test_margins_equal_the_sum_over_pairs():
+    r = np.random.default_rng(1)
+    model = toxicity.Machine(np.arange(9, dtype=np.int32), 0.3, r.normal(size=9), r.normal(size=(9, 3)))
+    items, owner = np.array([0, 3, 8, 2, 5]), np.array([0, 0, 0, 2, 2])
+    got = model.margins(items, owner, 3)
+    for i in range(3):
+        own = items[owner == i]
+        want = 0.3 + model.weights[own].sum() + sum(model.factors[a] @ model.factors[b] for a, b in itertools.combinations(own, 2))
+        assert got[i] == pytest.approx(want)
+
+
+def area(score, y):
+    order = np.argsort(score)
+    ranks = np.empty(len(y))
+    ranks[order] = np.arange(1, len(y) + 1)
+    pos = y == 1
+    return (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+def both_or_neither(n, seed):
+    """A label that no sum of weights can tell: one term alone says nothing, whichever it is."""
+    r = np.random.default_rng(seed)
+    buckets, counts, y = [], [], []
+    for _ in range(n):
+        a, b = r.random(2) < 0.5
+        items = sorted({*([1] if a else []), *([2] if b else []), *r.integers(10, 60, 8).tolist()})
+        buckets += items
+        counts.append(len(items))
+        y.append(float((a == b) != (r.random() < 0.05)))
+    return np.array(buckets, np.int32), np.array(counts), np.array(y)
+
+
+def test_machine_learns_what_no_additive_model_can():
+    train, test = both_or_neither(4000, 1), both_or_neither(2000, 2)
+    model = toxicity.fit_machine(*train)
+    # The pair was screened in, though neither term stands out alone.
+    assert {1, 2} <= set(model.buckets.tolist())
+    whole = area(model.scores(*test[:2]), test[2])
+    plain = area(toxicity.Machine(model.buckets, model.bias, model.weights, 0 * model.factors).scores(*test[:2]), test[2])
+    assert whole > 0.9 and plain < 0.6
+
+
+def test_training_in_spark_screens_pairs(spark):
+    r = random.Random(3)
+    some, flags = [], []
+    for _ in range(900):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(20)] + ["stoat"] * a + ["them"] * b
+        r.shuffle(words)
+        some.append(" ".join(words))
+        flags.append(int(a == b))
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").withColumn("buckets", F.lit("clash"))
+    df = df.unionByName(df.limit(3))  # repeated rows count once
+    marks = spark.createDataFrame(list(enumerate(flags)), "doc_id long, toxic int")
+    model = toxicity.train(df, marks, ~toxicity.held_out(F.col("doc_id")))
+    got = {x.doc_id: x.score for x in toxicity.score(df, model).collect()}
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert area(np.array([got[i] for i in held]), np.array([flags[i] for i in held])) > 0.9
+    again = toxicity.train(df.repartition(7), marks.repartition(3), ~toxicity.held_out(F.col("doc_id")))
+    assert np.array_equal(again.buckets, model.buckets) and np.allclose(again.weights, model.weights)
+
+
 def insults(n=400):
     r = random.Random(5)
     plain = [" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60)) for _ in range(n)]
