@@ -20,6 +20,8 @@ from braidset.llm.scan import Texts, coded, gaps, lowered, steps
 
 #: Fixed values of the contract: the scale of shares, the documents a kept term is in, the ranks of terms.
 SCALE, LEAST_DOCS, RANKS = 1_000_000_000, 3, 200
+#: Bytes of texts of a step, and rows of counts a task holds.
+STEP, HELD = 4 << 20, 500_000
 _LETTERS = lowered(gaps("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 
 
@@ -28,27 +30,49 @@ def _pairs_once(owner: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndar
     return both // size, both % size
 
 
+def _counted(part: pa.RecordBatch) -> pa.Table | None:
+    """Occurrences and documents of each term in each group of one step."""
+    texts = Texts(part.column(2))
+    words, n = texts.words(_LETTERS)
+    code, terms = coded(words)
+    if not len(terms):
+        return None
+    lang, langs = coded(part.column(0))
+    source, sources = coded(part.column(1))
+    group = lang * len(sources) + source
+    owner = np.repeat(np.arange(len(texts)), n)
+    keys, seen = np.unique(group[owner] * len(terms) + code, return_counts=True)
+    doc, term = _pairs_once(owner, code, len(terms))
+    # The same keys, as every occurrence is in some document.
+    docs = np.unique(group[doc] * len(terms) + term, return_counts=True)[1]
+    of, term = keys // len(terms), keys % len(terms)
+    columns = [langs.take(pa.array(of // len(sources))), sources.take(pa.array(of % len(sources))), terms.take(pa.array(term)), pa.array(seen, pa.int64()), pa.array(docs, pa.int64())]
+    return pa.table(columns, names=["lang", "source", "term", "n", "docs"])
+
+
 def _counts(batches):
+    """Counts of a task's documents, added up where they are until their rows are too many to hold."""
+    held, rows = [], 0
     for batch in batches:
-        for part in steps(batch, 2):
-            texts = Texts(part.column(2))
-            words, n = texts.words(_LETTERS)
-            code, terms = coded(words)
-            if not len(terms):
+        for part in steps(batch, 2, STEP):
+            found = _counted(part)
+            if found is None:
                 continue
-            lang, langs = coded(part.column(0))
-            source, sources = coded(part.column(1))
-            group = lang * len(sources) + source
-            owner = np.repeat(np.arange(len(texts)), n)
-            keys, seen = np.unique(group[owner] * len(terms) + code, return_counts=True)
-            doc, term = _pairs_once(owner, code, len(terms))
-            # The same keys, as every occurrence is in some document.
-            docs = np.unique(group[doc] * len(terms) + term, return_counts=True)[1]
-            of, term = keys // len(terms), keys % len(terms)
-            yield pa.RecordBatch.from_arrays(
-                [langs.take(pa.array(of // len(sources))), sources.take(pa.array(of % len(sources))), terms.take(pa.array(term)), pa.array(seen, pa.int64()), pa.array(docs, pa.int64())],
-                names=["lang", "source", "term", "n", "docs"],
-            )
+            held.append(found)
+            rows += len(found)
+            if rows > 2 * HELD:
+                held = [_added(held)]
+                rows = len(held[0])
+                if rows > HELD:
+                    yield from held[0].to_batches(1 << 16)
+                    held, rows = [], 0
+    if held:
+        yield from _added(held).to_batches(1 << 16)
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    whole = pa.concat_tables(tables).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return whole.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
 
 
 def share(count: str, total: str, kept: str) -> Column:
