@@ -53,17 +53,32 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def identified(docs: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """``docs`` written once with a number for each row, and that column's name, which no column of ``docs`` has.
+def identified(docs: DataFrame, tag: str, rows: Column | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with a column that no two rows share, and its name, which no column of ``docs`` has.
 
-    Rows are told apart by it whatever their keys are: null, repeated, or the same in every column.
+    Rows are told apart by it whatever their keys are: null, repeated, or the same in every column. ``rows`` may
+    give it (``file_rows``); else ``docs`` is written once with a number for each row.
     """
     name = "_row"
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
+    if rows is not None:
+        return docs.withColumn(name, rows), name
     return written(docs.withColumn(name, F.monotonically_increasing_id()), tag), name
 
 
+def file_rows(docs: DataFrame) -> Column | None:
+    """File and row number of every row of a table as it is read from Parquet files; None for any other table.
+
+    Behind a join or a generator two rows may come from one row of a file, so the plan must be the read itself.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.nodeName() != "LogicalRelation" or not plan.toString().rstrip().endswith("parquet"):
+        return None
+    at = docs.metadataColumn("_metadata")
+    return F.struct(at["file_path"].alias("file"), at["row_index"].alias("at"))
+
+
 def key_crc(key: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null ids count as the text 'null'."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")) % F.lit(mod)

@@ -113,7 +113,7 @@ def mix(
 def _sizes(docs: DataFrame, seed: int, key: str, text: str, source: str, row: Column | None = None) -> DataFrame:
     """The narrow columns of the mix; the texts are read once for them."""
     sizes = docs.select(
-        (F.lit(0) if row is None else row).cast("long").alias("_row"), F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"),
+        (F.lit(0) if row is None else row).alias("_row"), F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"),
         word_count(F.col(text)).alias("size"), seeded(F.col(key), F.col(text), seed).alias("_seeded"),
     )
     return written(sizes, "mix-sizes")
@@ -146,21 +146,21 @@ def mix_sizes(sizes: DataFrame, block: int = 8, shard_docs: int = 2048) -> DataF
     return rows.select("_row", "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def apply_mix(docs: DataFrame, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", rows: Column | None = None) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: each as many times as it was taken whole,
     and once more cut after its last taken word where a part was taken. Documents of no words stay once.
 
-    Every row follows its own plan: null and repeated keys, and rows equal in all columns, are told apart by the row. Null
-    and empty texts stay once; an empty table gives no row; all columns stay, whatever their names.
+    Every row follows its own plan: null and repeated keys, and rows equal in all columns, are told apart by the row
+    (``rows``, see ``identified``). Null and empty texts stay once; an empty table gives no row; all columns stay, whatever their names.
     """
-    numbered, row = identified(docs, "mix-docs")
+    numbered, row = identified(docs, "mix-docs", rows)
     plan = mix_sizes(_sizes(numbered, seed, key, text, source, F.col(row))).select(F.col("_row").alias("_at"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = numbered.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(row).alias("_number"), F.col(text).alias("_text"))
-    rows = rows.join(plan, F.col("_number") == F.col("_at"))
+    texts = numbered.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(row).alias("_number"), F.col(text).alias("_text"))
+    texts = texts.join(plan, F.col("_number") == F.col("_at"))
     copies = F.when(F.col("_size") == 0, 1).otherwise(F.floor(F.col("_taken") / F.col("_size")))
     part = F.when(F.col("_size") == 0, 0).otherwise(F.col("_taken") % F.col("_size"))
     pieces = F.regexp_extract_all(F.col("_text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(pieces, 1, F.col("_part").cast("int")), "")
     rest = F.when(F.col("_part") > 0, F.array(head)).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("_part", part).withColumn("_taken_text", F.explode(F.concat(F.array_repeat(F.col("_text"), copies.cast("int")), rest)))
-    return rows.select(*[(F.col("_taken_text") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns])
+    texts = texts.withColumn("_part", part).withColumn("_taken_text", F.explode(F.concat(F.array_repeat(F.col("_text"), copies.cast("int")), rest)))
+    return texts.select(*[(F.col("_taken_text") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns])

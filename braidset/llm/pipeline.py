@@ -1,4 +1,8 @@
-"""Stages of the corpus pipeline: each applies one operator and lets its decisions take effect."""
+"""Stages of the corpus pipeline: each applies one operator and lets its decisions take effect.
+
+All stages take null, empty and very long texts, null and repeated ids, rows that are equal in every column, and no
+rows at all, as their operators state. Rows of a table read from files are told apart by their place there.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidset.llm import mixing, packing, pii, simhash, toxicity
-from braidset.llm.common import table
+from braidset.llm.common import file_rows, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, that of the least id."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, rows=file_rows(docs))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +32,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as far, as the mix takes them; lengths follow the text."""
-    out = mixing.apply_mix(docs)
+    out = mixing.apply_mix(docs, rows=file_rows(docs))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -12,7 +12,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidset.llm.common import identified, written
@@ -65,7 +65,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", row:
     """doc_id and fp (the fingerprint's 64 bits as a long), and ``row`` where a column with the rows' numbers is named."""
     kept = [F.col(key).cast("long").alias("doc_id"), *([F.col(row).alias("row")] if row else [])]
     rows = docs.select(*kept, F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, row long, fp long" if row else "doc_id long, fp long")
+    schema = rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
+    return rows.mapInArrow(_fingerprints, schema)
 
 
 def _cells(fps: np.ndarray) -> np.ndarray:
@@ -231,15 +232,15 @@ def _joined(rows: DataFrame, radius: int) -> DataFrame:
     return rows.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 2, key: str = "doc_id", text: str = "text", rows: Column | None = None) -> DataFrame:
     """``docs`` with one row of each component: that of the least id (nulls last), of repeated ids the first.
 
     Null, empty and blank texts are one component with what is near them. Null and repeated keys are told apart by the
-    row, so rows that are equal in all columns leave one as well. An empty table gives no row. All columns stay,
-    whatever their names.
+    row, so rows that are equal in all columns leave one as well; ``rows`` may tell them apart (``identified``). An empty
+    table gives no row. All columns stay, whatever their names.
     """
-    rows, row = identified(docs, "simhash-docs")
-    found = _joined(written(fingerprints(rows, key, text, row), "simhash"), radius)
+    whole, row = identified(docs, "simhash-docs", rows)
+    found = _joined(written(fingerprints(whole, key, text, row), "simhash"), radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     kept = found.groupBy("root").agg(first).select(F.col("first.row").alias("__llm_kept"))
-    return rows.join(kept, F.col(row) == F.col("__llm_kept"), "left_semi").drop(row)
+    return whole.join(kept, F.col(row) == F.col("__llm_kept"), "left_semi").drop(row)

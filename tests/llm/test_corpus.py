@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braidset.llm import ann, components, mixing, queries, repeats, simhash, suffixes
+from braidset.llm import ann, common, components, mixing, queries, repeats, simhash, suffixes
 from compare import connect, difference
 from llm.helpers import docs, rows, texts
 
@@ -270,15 +270,29 @@ def edge_docs(spark):
     return docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
 
 
-def test_stages_on_edge_tables(spark):
+def test_rows_of_files(spark, tmp_path):
+    """Rows just read are told apart by file and place; behind a join or an explode they are not."""
+    edge_docs(spark).withColumn("_metadata", F.lit("clash")).repartition(3).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    seen = read.select(common.file_rows(read).alias("r")).distinct().count()
+    assert seen == read.count() == len(texts())
+    assert common.file_rows(read.withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(2))))) is None
+    assert common.file_rows(edge_docs(spark)) is None
+    whole, row = common.identified(read.withColumn("_row", F.lit(1)), "t", None)
+    assert row == "_row_" and whole.select(row).distinct().count() == len(texts())
+
+
+def test_stages_on_edge_tables(spark, tmp_path):
     """Null ids and texts, repeats and long texts go through all stages; so does no document at all."""
     import corpus_pipeline
 
     root = "/root/testdata/sf0.001"
-    for start in (edge_docs(spark).unionByName(edge_docs(spark).limit(9)), edge_docs(spark).limit(0)):
+    for n, start in enumerate((edge_docs(spark).unionByName(edge_docs(spark).limit(9)), edge_docs(spark).limit(0))):
         kept = start
         for name, stage in corpus_pipeline.STAGES:
-            before, kept = kept, stage(spark, kept, root)
+            before, path = kept, str(tmp_path / f"{name}{n}")
+            stage(spark, kept, root).write.parquet(path)
+            kept = spark.read.parquet(path)
             if name != "packing":
                 assert kept.columns == start.columns, name
             if name == "near_copies":
