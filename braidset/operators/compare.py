@@ -1,13 +1,18 @@
 """Row-by-row comparison of two models on the same cases."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 # The outcomes of a comparison, and the metrics compared.
 RELATIONS = ("LLM>SLM", "Equal", "SLM>LLM")
 UNKNOWN = "Unknown"
 METRICS = ("precision", "recall", "f1", "exact_match")
+# What tells the cases of a result log apart.
+LOG_KEY = ("context_len", "with_message", "shas")
+COPY_CHUNK = 100_000
 
 
 def numeric(df: DataFrame, col: str) -> Column:
@@ -26,12 +31,52 @@ def numeric(df: DataFrame, col: str) -> Column:
 def pair_models(
     slm: DataFrame, llm: DataFrame, key: Sequence[str] = ("row_id",), metrics: Sequence[str] = METRICS
 ) -> DataFrame:
-    """The cases both models answered, with ``<metric>_SLM`` and ``<metric>_LLM``."""
+    """The cases both models answered, with ``<metric>_SLM`` and ``<metric>_LLM``. ``key`` tells the cases apart; logs without one go through ``pair_logs``."""
     key = list(key)
     side = lambda df, tag: df.select(*key, *[numeric(df, m).alias(f"{m}_{tag}") for m in metrics])
     return side(slm, "SLM").join(side(llm, "LLM"), key)
 
 
+def pair_logs(
+    slm: DataFrame,
+    llm: DataFrame,
+    key: Sequence[str] = LOG_KEY,
+    metrics: Sequence[str] = METRICS,
+    counts: Observation | None = None,
+) -> DataFrame:
+    """``pair_models`` for result logs, whose rows have no id: paired by ``key``, and copies one to one.
+
+    Rows that agree in the key are told apart by ``copy``, their number among them in the order of their
+    metrics; what one log has more of stays unpaired. Rows equal in key and metrics are counted, not numbered: each
+    such group is a range of copies, and ranges that overlap pair. ``counts`` receives ``pairs`` and ``repeats`` (pairs
+    beyond the first of a key) when the job runs. NULLs in the key are equal to each other.
+    """
+    key = list(key)
+
+    def side(df, tag, names):
+        values = [f"{m}_{tag}" for m in metrics]
+        rows = df.select(*[F.col(c).alias(n) for c, n in zip(key, names)], *[numeric(df, m).alias(v) for m, v in zip(metrics, values)])
+        groups = rows.groupBy(*names, *values).agg(F.count(F.lit(1)).alias("_n"))
+        # As many rows as a key has different outcomes.
+        upto = Window.partitionBy(*names).orderBy(*values).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        last = F.sum("_n").over(upto)
+        return groups.withColumns({f"_to_{tag}": last, f"_from_{tag}": last - F.col("_n")}).drop("_n")
+
+    other = [f"_{c}" for c in key]
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(key, other)])
+    first, last = F.greatest("_from_SLM", "_from_LLM"), F.least("_to_SLM", "_to_LLM")
+    met = side(slm, "SLM", key).join(side(llm, "LLM", other), same & (first < last))
+    # In chunks: no row holds the list of all its copies.
+    pairs = (
+        met.withColumn("_at", F.explode(F.sequence(first, last - 1, F.lit(COPY_CHUNK))))
+        .withColumn("copy", F.explode(F.sequence("_at", F.least(F.col("_at") + COPY_CHUNK, last) - 1)))
+        .select(*key, "copy", *[f"{m}_{tag}" for tag in ("SLM", "LLM") for m in metrics])
+    )
+    if counts is not None:
+        pairs = pairs.observe(counts, F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("copy") > 0).alias("repeats"))
+    return pairs
+
+
 def relation(llm: Column, slm: Column) -> Column:
     return (
         F.when(llm.isNull() | slm.isNull(), F.lit(UNKNOWN))

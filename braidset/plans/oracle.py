@@ -125,18 +125,21 @@ FROM scored""")
 add("macro_metrics", SCORED, f"SELECT {MACRO} FROM scored")
 add("macro_by_concern", SCORED, f"SELECT concern_count, {MACRO} FROM scored GROUP BY 1")
 add("macro_by_setting", SCORED, f"SELECT context_len, with_message, {MACRO} FROM scored GROUP BY 1, 2")
-RUNS = SCORED + """,
-runs AS (SELECT 'alpha_' || context_len || CASE WHEN with_message THEN '_yes_' ELSE '_no_' END || '20240101' AS experiment_id, * FROM scored),
+RUN_ID = "|| '_' || context_len || CASE WHEN with_message THEN '_yes_' ELSE '_no_' END || '20240101' AS experiment_id"
+WHOLE = """,
 whole AS (
   SELECT experiment_id, count(*) AS num_samples, count(*) FILTER (len(predicted) > 0) AS num_scored,
          count(*) FILTER (len(predicted) = 0) AS outlier_count,
          avg(f1) FILTER (len(predicted) > 0) AS macro_f1, avg(exact_match::INT) FILTER (len(predicted) > 0) AS macro_accuracy
   FROM runs GROUP BY 1)"""
-add("run_summary", RUNS, f"""
+RUNS = SCORED + f""",
+runs AS (SELECT 'alpha' {RUN_ID}, * FROM scored)""" + WHOLE
+SUMMARY = f"""
 SELECT experiment_id, any_value(num_samples) AS num_samples, any_value(num_scored) AS num_scored,
        any_value(outlier_count) AS outlier_count, {r6('any_value(macro_f1) AS macro_f1', 'any_value(macro_accuracy) AS macro_accuracy')},
        concern_count, count(*) AS concern_samples, {r6('avg(f1) AS concern_f1', 'avg(inference_time) AS concern_time')}
-FROM runs JOIN whole USING (experiment_id) WHERE len(predicted) > 0 GROUP BY experiment_id, concern_count""")
+FROM runs JOIN whole USING (experiment_id) WHERE len(predicted) > 0 GROUP BY experiment_id, concern_count"""
+add("run_summary", RUNS, SUMMARY)
 add("write_summary", RUNS, f"SELECT experiment_id, num_samples, {r6('macro_f1 AS f1')} FROM whole")
 add("drop_empty_predictions", RESULTS, f"SELECT row_id, {text('predicted', 'predicted_types')} FROM results WHERE len(predicted) > 0")
 add("empty_predictions", RESULTS, "SELECT row_id FROM results WHERE len(predicted) = 0")
@@ -721,6 +724,20 @@ add("read_results", SCORED, f"""
 SELECT 'with_message_dir=' || with_message || '/context_len_dir=' || context_len AS setting, context_len, with_message, count(*) AS n,
        {r6('avg(f1) AS macro_f1')}, sum(len(predicted))::BIGINT AS labels, sum(concern_count)::BIGINT AS concerns
 FROM scored GROUP BY 1, 2, 3""")
+add("read_results_parquet", SCORED, f"""
+SELECT context_len, with_message, count(*) AS n, {r6('avg(f1) AS macro_f1')}, sum(len(predicted))::BIGINT AS labels, sum(len(actual))::BIGINT AS shas, 0 AS skipped
+FROM scored GROUP BY 1, 2""")
+add("skipped_files", SCORED, """
+SELECT 'precision,exact_match,hamming_loss,inference_time,concern_count' AS missing, 1::BIGINT AS files, count(*) AS rows_read FROM scored""")
+add("union_with_lineage", SCORED, f"""
+SELECT with_message, count(*) AS n, {r6('avg(f1) AS f1', 'avg(inference_time) AS inference_time')}, sum(len(predicted))::BIGINT AS labels FROM scored GROUP BY 1""")
+add("concat_results", SCORED, f"SELECT concern_count, exact_match, count(*) AS n, {r6('avg(hamming_loss) AS hamming_loss')} FROM scored GROUP BY 1, 2")
+add("summary_from_files", SCORED + "," + OTHER + f""",
+runs AS (SELECT 'alpha' {RUN_ID}, * FROM scored UNION ALL SELECT 'beta' {RUN_ID}, * FROM scored2)""" + WHOLE, SUMMARY)
+add("compare_from_files", PAIRED, "SELECT context_len, with_message, array_to_string(list_transform(actual, lambda t: md5(p.row_id || '|' || t)), ',') AS shas, unnest(range(CASE WHEN p.row_id % 10 = 0 THEN 2 ELSE 1 END)) AS copy, "
+    + ", ".join(f"{r6(m + '_SLM', m + '_LLM')}, relation_{m}" for m in FOUR) + " FROM pairs p JOIN scored s ON s.row_id = p.row_id")
+add("read_two_layouts", ATOMIC, "SELECT sha, annotated_type, masked_commit_message, md5(git_diff) AS diff_md5 FROM atomic")
+add("existing_samples", ATOMIC, "SELECT sha, raw_type AS annotated_type FROM atomic WHERE raw_type = 'fix'")
 add("live_macro", f"""
 cases AS (
   SELECT list_filter({L}, lambda x, i: ((l_suppkey % 128) >> (i - 1)::INT) & 1 = 1) AS predicted,

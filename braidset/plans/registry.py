@@ -10,6 +10,7 @@ from braidset.functions import labels as L
 from braidset.functions import tokens as tok
 from braidset.operators import aggregate, combine, compare, correlate, curate, groups, prepare, quantiles, score
 from braidset.operators.predict import predict
+from braidset.operators.ranking import attach
 from braidset.plans import adapters as A
 from braidset.plans import reports
 from braidset.plans.staging import scratch_path, stage
@@ -747,6 +748,128 @@ def read_results(spark, root):
     )
 
 
+def _logs(spark, root, predicted_by="l_partkey"):
+    """Scored rows as a log has them, every tenth case twice."""
+    rows = scored(spark, root, predicted_by)
+    return rows.unionByName(rows.where("row_id % 10 = 0"))
+
+
+@query
+def read_results_parquet(spark, root):
+    """Logs in committed runs: one appended again after a broken try, one of a later day."""
+    path = scratch_path(spark, "runs")
+    rows = scored(spark, root)
+    even = rows.where("row_id % 2 = 0")
+    sinks.append_results(even.limit(3), path, "parquet", run="first")
+    sinks.append_results(even, path, "parquet", by=["context_len"], run="first")
+    sinks.append_results(rows.where("row_id % 2 = 1"), path, "parquet", run="second")
+    # Files of a try that was never committed.
+    even.select("f1").write.parquet(f"{path}/run=first/attempt=2")
+    back, skipped = readers.read_results(spark, path, fmt="parquet")
+    counted = back.groupBy("context_len", "with_message").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("f1").alias("macro_f1"), F.sum(F.size("predicted_types")).alias("labels"),
+        F.sum(F.size("shas")).alias("shas"),
+    )
+    return r6(counted.withColumn("skipped", F.lit(skipped.count())))
+
+
+@query
+def skipped_files(spark, root):
+    """Files that lack columns are reported, the others read."""
+    path = scratch_path(spark, "mixed")
+    rows = scored(spark, root)
+    sinks.append_results(rows, f"{path}/good")
+    rows.select("row_id", "f1", "recall").coalesce(1).write.options(**sinks.CSV_WRITE_OPTIONS).csv(f"{path}/short")
+    back, skipped = readers.read_results(spark, path)
+    report = skipped.select(text("missing")).groupBy("missing").agg(F.count(F.lit(1)).alias("files"))
+    return attach(report, back.agg(F.count(F.lit(1)).alias("rows_read")), ())
+
+
+def _two_files(spark, root):
+    path = scratch_path(spark, "pair")
+    rows = scored(spark, root)
+    for flag in (True, False):
+        part = rows.where(F.col("with_message") == flag).select(*schemas.RESULTS.fieldNames())
+        lists = {c: F.to_json(c) for c in ("predicted_types", "actual_types", "shas")}
+        # The second file has its columns in another order.
+        part = part.withColumns(lists).select(*(part.columns if flag else reversed(part.columns)))
+        part.coalesce(1).write.mode("append").options(**sinks.CSV_WRITE_OPTIONS).csv(path)
+    return [r.path for r in readers.discover(spark, path).collect()]
+
+
+@query
+def union_with_lineage(spark, root):
+    rows = readers.union_with_lineage(spark, _two_files(spark, root), ["with_message", "f1", "inference_time", "predicted_types"])
+    per_file = rows.groupBy("source_file").agg(
+        F.max("with_message").alias("with_message"), F.count(F.lit(1)).alias("n"), F.avg("f1").alias("f1"),
+        F.avg("inference_time").alias("inference_time"), F.sum(F.size("predicted_types")).alias("labels"),
+    )
+    return r6(per_file.drop("source_file"))
+
+
+@query
+def concat_results(spark, root):
+    rows = readers.concat_results(spark, _two_files(spark, root))
+    return r6(rows.groupBy("concern_count", "exact_match").agg(F.count(F.lit(1)).alias("n"), F.avg("hamming_loss").alias("hamming_loss")))
+
+
+@query
+def summary_from_files(spark, root):
+    """Logs of two models, written by setting, to one summary for each run."""
+    path = scratch_path(spark, "models")
+    sinks.append_results(scored(spark, root), f"{path}/alpha", by=["with_message", "context_len"])
+    sinks.append_results(scored(spark, root, "l_suppkey"), f"{path}/beta", by=["context_len"])
+    docs = reports.summaries_from_files(spark, path, "20240101")
+    stored = scratch_path(spark, "summaries")
+    sinks.write_summary_json(docs, stored)
+    back = spark.read.schema(docs.schema).json(stored)
+    flat = back.select(
+        "experiment_id", "num_samples", "num_scored", F.col("outliers.count").alias("outlier_count"),
+        F.col("metrics_macro.f1").alias("macro_f1"), F.col("metrics_macro.accuracy").alias("macro_accuracy"),
+        F.explode("metrics_by_concern").alias("m"),
+    )
+    return r6(
+        flat.select(
+            "experiment_id", "num_samples", "num_scored", "outlier_count", "macro_f1", "macro_accuracy",
+            "m.concern_count", F.col("m.num_samples").alias("concern_samples"), F.col("m.f1").alias("concern_f1"),
+            F.col("m.inference_time_avg").alias("concern_time"),
+        )
+    )
+
+
+@query
+def compare_from_files(spark, root):
+    """Two logs, with copies, from files to the comparison: rows have no id, copies pair one to one."""
+    path = scratch_path(spark, "compared")
+    sinks.append_results(_logs(spark, root), f"{path}/slm")
+    sinks.append_results(_logs(spark, root, "l_suppkey"), f"{path}/llm")
+    slm, llm = [readers.read_results(spark, f"{path}/{side}")[0] for side in ("slm", "llm")]
+    return r6(compare.compare_models(compare.pair_logs(slm, llm)).withColumn("shas", F.array_join("shas", ",")))
+
+
+@query
+def read_two_layouts(spark, root):
+    """Records in files of different column orders, one with more columns, read by name."""
+    path = scratch_path(spark, "layouts")
+    whole = A.atomic(spark, root)
+    sinks.append_samples(whole.where("annotated_type = 'fix'"), path)
+    rest = whole.where("annotated_type <> 'fix'").select("git_diff", F.lit('a "note", long').alias("a, note"), "sha", "annotated_type", "masked_commit_message")
+    rest.write.mode("append").options(**sinks.CSV_WRITE_OPTIONS).csv(path)
+    back = readers.read_atomic(spark, path)
+    return curate.normalize(back).select("sha", "annotated_type", "masked_commit_message", F.md5("git_diff").alias("diff_md5"))
+
+
+@query
+def existing_samples(spark, root):
+    """What a first sample left is not sampled again; where nothing was sampled yet, nothing is left out."""
+    path = scratch_path(spark, "samples")
+    pool = A.atomic(spark, root)
+    none = readers.existing_samples(spark, path)
+    sinks.append_samples(curate.exclude_existing(pool, none).where("annotated_type <> 'fix'"), path)
+    left = curate.exclude_existing(pool, readers.existing_samples(spark, path))
+    return left.select("sha", "annotated_type")
+
+
 @query
 def read_atomic(spark, root):
     """Records with line breaks and quotes through CSV and back, appended in two lots."""

@@ -1,14 +1,16 @@
 """Documents put together from several operators: one nested row each."""
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from braidset.functions import effects
 from braidset.operators import correlate, groups, quantiles, score
 from braidset.operators.ranking import attach
 from braidset.plans.staging import stage
-from braidset.sources.names import experiment_id
+from braidset.sources import readers
+from braidset.sources.names import experiment_id, parse_run_name
 
 _SUMMARY = {
     "accuracy": "exact_match",
@@ -61,6 +63,28 @@ def run_summary(
     )
 
 
+def with_model(results: DataFrame, root: str) -> DataFrame:
+    """``results`` of ``read_results`` with ``model``: from the name of the file or run, else the folder below ``root``, else the start of the file name."""
+    path = F.col("source_path")
+    run = F.regexp_extract(path, r"/run=([^/]+)/", 1)
+    below = F.regexp_extract(path, "/" + re.escape(root.rstrip("/").rpartition("/")[2]) + r"/([^/=]+)/", 1)
+    stem = F.regexp_extract("source_file", r"^([^_.]+)", 1)
+    named = [parse_run_name(path)["model"], parse_run_name(F.concat(run, F.lit(".csv")))["model"]]
+    filled = [F.nullif(c, F.lit("")) for c in (run, below, stem)]
+    return results.withColumn("model", F.coalesce(*named, *filled))
+
+
+def summaries_from_files(
+    spark: SparkSession, root: str, date: str, analysis_dir: str | None = None, fmt: str = "csv"
+) -> DataFrame:
+    """A summary of every run whose logs lie below ``root``, as ``run_summary`` gives, in one plan over all logs.
+
+    ``sinks.write_summary_json`` stores them. Rows without a prediction count as samples but not in the metrics.
+    """
+    results, _ = readers.read_results(spark, root, analysis_dir, fmt)
+    return run_summary(with_model(results, root), date=date)
+
+
 def _kept(remove: bool):
     return ~F.col("is_outlier") if remove else F.lit(True)
 

@@ -1,14 +1,15 @@
 """Readers with declared schemas and contract checks. CSV or any columnar format."""
 
 from collections.abc import Sequence
-from functools import reduce
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from braidset import schemas
 from braidset.functions.labels import parse_labels
+from braidset.plans.staging import stage
+from braidset.sources.headers import header_table, listed
+from braidset.sources.logs import only_committed
 
 # Diffs hold line breaks and quotes.
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -22,29 +23,61 @@ def missing_columns(have: Sequence[str], required: Sequence[str]) -> list[str]:
     return [c for c in required if c not in have]
 
 
-def _by_name(spark, path, schema: T.StructType, required, fmt: str) -> DataFrame:
-    """The columns of ``path`` by name; raises when a file lacks a required one.
+def check_headers(headers: DataFrame, required=REQUIRED_RESULTS) -> DataFrame:
+    """``path, columns, missing, usable`` for every file of a header table."""
+    wanted = F.array(*map(F.lit, required)) if required else F.array().cast("array<string>")
+    lack = F.array_except(wanted, F.col("columns"))
+    return headers.withColumn("missing", lack).withColumn("usable", F.size("missing") == 0)
+
 
-    CSV files of one header are read together, each with its own columns in its own order.
+def _csv_by_name(spark, path, headers: DataFrame, types: dict, every: bool, recursive: bool = False, pattern: str | None = None) -> DataFrame:
+    """Rows of the CSV files in ``headers`` with the columns in ``types`` by name, and ``_path``.
+
+    Files of one layout are read with it. Else every file is read by position in one pass, and each row's
+    values are looked up by the names of its file; ``every`` says that ``headers`` has all files at ``path``.
     """
+    layouts, width, names = headers.agg(F.count_distinct("columns"), F.max(F.size("columns")), F.min("columns")).first()
+    one = layouts == 1
+    columns = names if one else [f"_{i}" for i in range(width or 0)]
+    layout = T.StructType([T.StructField(c, types.get(c, T.StringType()) if one else T.StringType()) for c in columns])
+    reader = spark.read.schema(layout).options(**CSV_OPTIONS)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    df = reader.csv(path)
+    folders = [c for c in df.columns if c not in columns]
+    df = df.withColumn("_path", F.col("_metadata.file_path"))
+    if not (one and every):
+        df = df.join(headers.select(F.col("path").alias("_path"), F.col("columns").alias("_names")), "_path")
+    if one:
+        value = lambda c: F.col(f"`{c}`") if c in columns else F.lit(None)
+    else:
+        values = F.array(*[F.col(c) for c in columns])
+        value = lambda c: F.try_element_at(values, F.nullif(F.array_position("_names", F.lit(c)), F.lit(0)).cast("int"))
+    cast = lambda c: value(c).try_cast(types[c]) if not one else value(c).cast(types[c])
+    return df.select(*[cast(c).alias(c) for c in types], *folders, "_path")
+
+
+def _types(schema: T.StructType) -> dict:
+    return {f.name: f.dataType for f in schema.fields}
+
+
+def _refuse_incomplete(checked: DataFrame) -> None:
+    """Raise for the first files that lack a column."""
+    bad = checked.where("NOT usable").orderBy("path").limit(5).collect()
+    if bad:
+        raise ValueError("missing required columns: " + "; ".join(f"{list(h.missing)} in {h.path}" for h in bad))
+
+
+def _by_name(spark, path, schema: T.StructType, required, fmt: str) -> DataFrame:
+    """The columns of ``path`` by name; raises when a file lacks a required one."""
     if fmt == "csv":
-        types = {f.name: f.dataType for f in schema.fields}
-        layouts: dict[tuple, list[str]] = {}
-        for h in _headers(spark, path).collect():
-            missing = missing_columns(h.columns, required)
-            if missing:
-                raise ValueError(f"missing required columns: {missing} in {h.path}")
-            layouts.setdefault(tuple(h.columns), []).append(h.path)
-        if not layouts:
+        headers = stage(check_headers(header_table(listed(spark, path), path), required), "headers")
+        if headers.isEmpty():
             raise ValueError(f"dataset is empty: {path}")
-        parts = []
-        for columns, files in sorted(layouts.items()):
-            layout = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in columns])
-            reader = spark.read.schema(layout).options(**CSV_OPTIONS)
-            if len(layouts) > 1 and isinstance(path, str):
-                reader = reader.option("basePath", path)  # folders named column=value stay columns
-            parts.append(reader.csv(path if len(layouts) == 1 else files))
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        _refuse_incomplete(headers)
+        return _csv_by_name(spark, path, headers, _types(schema), every=True).drop("_path")
     df = spark.read.format(fmt).load(path)
     missing = missing_columns(df.columns, required)
     if missing:
@@ -95,14 +128,7 @@ def existing_samples(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
 
 def discover(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """Files below ``root`` with their sizes, sorted; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select("path", F.col("length").alias("bytes"))
-        .orderBy("path")
-    )
+    return listed(spark, root, pattern, recursive=True).orderBy("path")
 
 
 def missing_files(found: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -112,106 +138,75 @@ def missing_files(found: DataFrame, required: Sequence[str]) -> DataFrame:
     return wanted.join(names, "file", "left_anti")
 
 
-def result_files(spark: SparkSession, root: str, analysis_dir: str | None = None) -> DataFrame:
-    """Raw result logs below ``root``: no summaries, nothing from the analysis folder."""
-    files = discover(spark, root)
-    stem = F.regexp_extract("path", r"([^/]+)\.csv$", 1)
+def _log_files(path: Column, fmt: str, analysis_dir: str | None) -> Column:
+    """True for raw result logs: no summaries, nothing from the analysis folder."""
+    stem = F.regexp_extract(path, rf"([^/]+)\.{fmt}$", 1)
     keep = F.lit(True)
     for suffix in SUMMARY_SUFFIXES:
         keep = keep & ~stem.endswith(suffix)
     if analysis_dir:
-        keep = keep & ~F.contains(F.col("path"), F.lit(f"/{analysis_dir.strip('/')}/"))
-    return files.where(keep)
+        keep = keep & ~F.contains(path, F.lit(f"/{analysis_dir.strip('/')}/"))
+    return keep
 
 
-def _headers(spark: SparkSession, path) -> DataFrame:
-    """``path, columns`` of every CSV file at ``path``, from the first line of each."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value"
-    )
-    first = lines.mapInArrow(_first_rows, "path string, header string")
-    columns = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '["\ufeff\r]', "")))
-    return first.select("path", columns.alias("columns"))
+def result_files(spark: SparkSession, root: str, analysis_dir: str | None = None, fmt: str = "csv") -> DataFrame:
+    """Raw result logs below ``root``; of committed runs the last attempt."""
+    files = discover(spark, root, f"*.{fmt}").where(_log_files(F.col("path"), fmt, analysis_dir))
+    return only_committed(spark, files, root)
 
 
-def _first_rows(batches):
-    """The first line of each file of a task: lines come in order, and a file's first block starts at zero."""
-    seen = set()
-    for batch in batches:
-        paths, starts, values = (c.to_pylist() for c in batch.columns)
-        out = []
-        for p, s, v in zip(paths, starts, values):
-            if s == 0 and p not in seen:
-                seen.add(p)
-                out.append((p, v))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out]), pa.array([v for _, v in out])], names=["path", "header"])
+def _parse_lists(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: parse_labels(F.col(c)) for c in ("predicted_types", "actual_types", "shas")})
 
 
-def check_headers(spark: SparkSession, paths: Sequence[str], required=REQUIRED_RESULTS) -> DataFrame:
-    """``path, columns, missing, usable`` for every file."""
-    lack = F.array_except(F.array(*map(F.lit, required)) if required else F.array().cast("array<string>"), F.col("columns"))
-    return _headers(spark, list(paths)).withColumn("missing", lack).withColumn("usable", F.size("missing") == 0)
+def _with_lineage(df: DataFrame) -> DataFrame:
+    name = F.element_at(F.split("_path", "/"), -1)
+    return _parse_lists(df).withColumns({"source_file": name, "source_path": F.col("_path")}).drop("_path")
 
 
 def read_results(
-    spark: SparkSession, root: str, analysis_dir: str | None = None
+    spark: SparkSession, root: str, analysis_dir: str | None = None, fmt: str = "csv"
 ) -> tuple[DataFrame, DataFrame]:
-    """All result logs below ``root`` in one table, and a report of the files left out.
+    """All result logs below ``root`` in one table, and a report of the files left out (``path, missing``).
 
-    Files with the same header are read together, so the number of reads is the
-    number of layouts. Adds ``source_file`` (name) and ``source_path``.
+    Logs in folders of runs (``append_results``) are read by the manifest. Columns are found by name in each file;
+    those a file lacks are NULL. Adds ``source_file`` (name) and ``source_path``.
     """
-    paths = [r.path for r in result_files(spark, root, analysis_dir).collect()]
-    if not paths:
+    pattern = f"*.{fmt}"
+    files = result_files(spark, root, analysis_dir, fmt)
+    headers = stage(check_headers(header_table(files, root, fmt, recursive=True)), "headers")
+    counts = headers.agg(F.count(F.lit(1)).alias("found"), F.count_if("usable").alias("usable")).first()
+    if not counts.found:
         raise FileNotFoundError(f"no result files below {root}")
-    headers = check_headers(spark, paths).collect()
-    usable = [h for h in headers if h.usable]
-    if not usable:
+    if not counts.usable:
         raise ValueError("no result file has the required columns")
-    left_out = [(h.path, h.missing) for h in headers if not h.usable]
-    report = spark.createDataFrame(left_out, "path string, missing array<string>")
-    return _by_layout(spark, usable), report
-
-
-def _by_layout(spark, headers) -> DataFrame:
-    layouts: dict[tuple, list[str]] = {}
-    for h in headers:
-        layouts.setdefault(tuple(h.columns), []).append(h.path)
-    types = {f.name: f.dataType for f in schemas.RESULTS.fields}
-    parts = [_layout(spark, cols, files, types) for cols, files in sorted(layouts.items())]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
-    return whole
-
-
-def _layout(spark, cols, files, types) -> DataFrame:
-    layout = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in cols])
-    df = spark.read.schema(layout).options(**CSV_OPTIONS).csv(files)
-    keep = [c for c in cols if c in types]
-    listed = {c: parse_labels(F.col(c)) for c in ("predicted_types", "actual_types", "shas") if c in keep}
-    return df.select(
-        *keep,
-        F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_path").alias("source_path"),
-    ).withColumns(listed)
+    usable = headers.where("usable")
+    types = _types(schemas.RESULTS)
+    if fmt == "csv":
+        rows = _csv_by_name(spark, root, usable, types, every=False, recursive=True, pattern=pattern)
+    else:
+        reader = spark.read.schema(schemas.RESULTS).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+        rows = reader.format(fmt).load(root).withColumn("_path", F.col("_metadata.file_path"))
+        rows = rows.join(usable.select(F.col("path").alias("_path")), "_path", "left_semi").select(*types, "_path")
+    # As a test of constant paths this also spares the files themselves.
+    rows = rows.where(_log_files(F.col("_path"), fmt, analysis_dir))
+    return _with_lineage(rows), headers.where("NOT usable").select("path", "missing")
 
 
 def union_with_lineage(spark: SparkSession, paths: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Named columns of many result files plus ``source_file``; raises on a missing column."""
-    if not paths:
-        raise ValueError("no files given")
-    headers = check_headers(spark, paths, cols).collect()
-    bad = [f"{h.path}: {h.missing}" for h in headers if not h.usable]
-    if bad:
-        raise ValueError("missing columns: " + "; ".join(bad))
-    return _by_layout(spark, headers).select(*cols, "source_file")
+    return _named_files(spark, paths, cols).select(*cols, "source_file")
 
 
 def concat_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Result files one under the other, without lineage."""
+    return _named_files(spark, paths, ()).drop("source_file", "source_path")
+
+
+def _named_files(spark, paths, required) -> DataFrame:
+    paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no files given")
-    headers = check_headers(spark, paths, ()).collect()
-    return _by_layout(spark, headers).drop("source_file", "source_path")
+    headers = stage(check_headers(header_table(listed(spark, paths), paths), required), "headers")
+    _refuse_incomplete(headers)
+    return _with_lineage(_csv_by_name(spark, paths, headers, _types(schemas.RESULTS), every=True))

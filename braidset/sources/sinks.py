@@ -9,6 +9,7 @@ from braidset import schemas
 from braidset.operators.combine import as_text_columns
 from braidset.operators.curate import type_documents
 from braidset.operators.score import export_view
+from braidset.sources.logs import append_run
 
 
 # Without the last two the writer would trim texts.
@@ -38,17 +39,27 @@ def append_samples(df: DataFrame, path: str, fmt: str = "csv") -> None:
         _writer(df.select(*schemas.ATOMIC.fieldNames()), "append", fmt).save(path)
 
 
-def append_results(scored: DataFrame, path: str, fmt: str = "csv", by: Sequence[str] = ()) -> None:
+def append_results(scored: DataFrame, path: str, fmt: str = "csv", by: Sequence[str] = (), run: str | None = None) -> None:
     """Append scored rows with the declared result columns, in folders by ``by``.
 
-    Readers of folders named by setting prune the files they do not need.
+    Readers of folders named by setting prune the files they do not need. With ``run``, and always in a columnar
+    format, the rows are committed as that run (``logs``): appended twice they count once. Lists are stored as text.
     """
     lists = ("predicted_types", "actual_types", "shas")
     text = {c: F.to_json(c) for c in lists if dict(scored.dtypes)[c].startswith("array")}
     copies = {f"{c}_dir": F.col(c) for c in by}
-    stored = scored.withColumns({**text, **copies}).select(*schemas.RESULTS.fieldNames(), *copies)
-    writer = _writer(stored, "append", fmt)
-    (writer.partitionBy(*copies) if copies else writer).save(path)
+    stored = scored.withColumns({**text, **copies})
+    declared = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RESULTS.fields]
+
+    def writer_of(df):
+        writer = _writer(df, "append", fmt)
+        return writer.partitionBy(*copies) if copies else writer
+
+    stored = stored.select(*declared, *copies)
+    if fmt == "csv" and run is None:
+        writer_of(stored).save(path)
+    else:
+        append_run(writer_of, stored, path, run)
 
 
 def export_type_documents(df: DataFrame, path: str, layout: str = "table") -> None:
