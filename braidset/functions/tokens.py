@@ -2,12 +2,12 @@
 
 The native counter is four characters to a token, which stays inside code
 generation. A real tokenizer can be plugged in through ``encoder_count`` and
-``encoder_truncate`` (Arrow batches, one encoder per Python worker).
+``encoder_cuts`` (Arrow batches, one encoder per Python worker).
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
@@ -55,35 +55,73 @@ def _encoder(factory: Callable):
     return _ENCODERS[key]
 
 
+def _count(encoder, text: str) -> int:
+    """Tokens of ``text``; one the encoder rejects falls back to characters."""
+    try:
+        return len(encoder.encode(text))
+    except Exception:
+        return len(text) // CHARS_PER_TOKEN
+
+
 def encoder_count(text: Column, factory: Callable) -> Column:
     """Tokens by ``factory().encode``; a row the encoder rejects falls back to characters."""
 
-    @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def count(texts: pa.Array) -> pa.Array:
         encoder = _encoder(factory)
+        return pa.array([None if t is None else _count(encoder, t) for t in texts.to_pylist()], pa.int32())
 
-        def one(t):
-            if t is None:
-                return None
-            try:
-                return len(encoder.encode(t))
-            except Exception:
-                return len(t) // CHARS_PER_TOKEN
+    return count(text)
 
-        return texts.map(one).astype("Int32")
 
-    return count(text)
+def encoder_counter(factory: Callable) -> Callable[[Column], Column]:
+    """A counter for the operators that take one, instead of ``token_count``."""
+    return lambda text: encoder_count(text, factory)
+
+
+class _Cutter:
+    """A text's first tokens at many lengths, from encoding it once."""
+
+    def __init__(self, encoder, text: str):
+        self.encoder, self.text = encoder, text
+        try:
+            self.ids = encoder.encode(text)
+        except Exception:
+            self.ids = None
+
+    def first(self, n: int) -> str:
+        if self.ids is None:
+            return self.text[: n * CHARS_PER_TOKEN]
+        return self.text if n >= len(self.ids) else self.encoder.decode(self.ids[:n])
+
+
+def encoder_cuts(message: Column, diffs: Column, settings: Sequence[tuple[int, bool]], factory: Callable) -> Column:
+    """For each (context, include message) of ``settings`` the diffs cut to equal shares of the budget, joined with newlines.
 
+    One pass over the row's texts: each diff is encoded once, however many settings there are, and a cut that
+    several settings share is made once. The message's tokens come off the budget where it is included.
+    """
+    settings = list(settings)
 
-def encoder_truncate(text: Column, n: Column, factory: Callable) -> Column:
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, limits: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def cuts(messages: pa.Array, lists: pa.Array) -> pa.Array:
         encoder = _encoder(factory)
-        return pd.Series(
-            [
-                None if t is None else encoder.decode(encoder.encode(t)[: int(k)])
-                for t, k in zip(texts, limits)
-            ]
-        )
-
-    return cut(text, n)
+        out = []
+        for message, texts in zip(messages.to_pylist(), lists.to_pylist()):
+            taken = _count(encoder, message or "") if any(flag for _, flag in settings) else 0
+            cutters = [_Cutter(encoder, t) for t in texts or [] if t is not None]
+            made: dict[int, str] = {}
+            row = []
+            for context, flag in settings:
+                budget = max(context - taken, 0) if flag else context
+                share = budget // len(texts) if texts else 0
+                if budget <= 0 or not texts:
+                    row.append("")
+                    continue
+                if share not in made:
+                    made[share] = "\n".join(c.first(share) for c in cutters)
+                row.append(made[share])
+            out.append(row)
+        return pa.array(out, pa.list_(pa.string()))
+
+    return cuts(message, diffs)

@@ -1,12 +1,14 @@
 """Macro metrics, token histograms and label distributions."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from braidset.functions.labels import parse_labels
 from braidset.functions.tokens import token_count, token_range
-from braidset.operators.ranking import attach
+from braidset.operators.ranking import attach, dense_index, number_level
+from braidset.plans.staging import stage
 from braidset.schemas import RESULT_METRICS, TOKEN_RANGES
 
 RANGE_NAMES = tuple(name for _, name in TOKEN_RANGES)
@@ -37,10 +39,12 @@ def macro_by_concern(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return macro_metrics(df, keys).orderBy(*keys)
 
 
-def token_table(df: DataFrame, text: str, row_id: str) -> DataFrame:
-    """``row_idx, token_count, token_range`` of every row whose text is not NULL."""
+def token_table(
+    df: DataFrame, text: str, row_id: str, count: Callable[[Column], Column] = token_count
+) -> DataFrame:
+    """``row_idx, token_count, token_range`` of every row whose text is not NULL; ``count`` counts a text's tokens."""
     counted = df.where(F.col(text).isNotNull()).select(
-        F.col(row_id).alias("row_idx"), token_count(F.col(text)).alias("token_count")
+        F.col(row_id).alias("row_idx"), count(F.col(text)).alias("token_count")
     )
     return counted.withColumn("token_range", token_range(F.col("token_count")))
 
@@ -159,6 +163,31 @@ def sorted_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols])
 
 
+def level_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``column, position, level``: the sorted distinct values of numeric factors as rows, however many there are."""
+    parts = []
+    for c in cols:
+        levels = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("level")).distinct()
+        x = F.col("level")
+        placed = dense_index(levels, [number_level(x, 10), number_level(x, 20)], ["level"], name="position")
+        parts.append(placed.select(F.lit(c).alias("column"), "position", "level"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def level_product(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Every level of ``first`` with every level of ``second``: the pairs are numbered and looked up, dealt by range."""
+    levels = stage(level_table(df, (first, second)), "levels")
+    sizes = levels.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["column"]: r["n"] for r in sizes.collect()}
+    n, m = counts.get(first, 0), counts.get(second, 0)
+    numbers = df.sparkSession.range(n * m)
+    side = lambda c, at: levels.where(F.col("column") == c).select(F.col("position").alias(at), F.col("level").alias(f"_{at}"))
+    placed = numbers.select(F.expr(f"id div {max(m, 1)}").alias("a"), (F.col("id") % max(m, 1)).alias("b"))
+    found = placed.join(side(first, "a"), "a").join(side(second, "b"), "b")
+    types = dict(df.dtypes)
+    return found.select(F.col("_a").cast(types[first]).alias(first), F.col("_b").cast(types[second]).alias(second))
+
+
 def dataset_manifest(configurations: dict[str, DataFrame]) -> DataFrame:
     """Row count and column names of every configuration."""
     parts = [
@@ -167,10 +196,26 @@ def dataset_manifest(configurations: dict[str, DataFrame]) -> DataFrame:
         )
         for name, df in configurations.items()
     ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return reduce(DataFrame.unionByName, parts)
+
+
+def manifest_with_files(configurations: dict[str, DataFrame], files: DataFrame, folders: dict[str, str]) -> DataFrame:
+    """``dataset_manifest`` with ``files`` and ``bytes`` of each configuration and whether any are ``missing``.
+
+    ``files`` has ``path, bytes`` (a listing, contents unread); ``folders`` says in which folder a configuration lies. A
+    configuration without files stays in the table, with no rows.
+    """
+    inside = F.lit(None).cast("string")
+    for name, folder in folders.items():
+        inside = F.when(F.contains(F.col("path"), F.lit(f"/{folder.strip('/')}/")), F.lit(name)).otherwise(inside)
+    sizes = files.select(inside.alias("configuration"), "bytes").groupBy("configuration").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes")
+    )
+    zero = F.lit(0).cast("bigint")
+    wanted = files.sparkSession.createDataFrame([(n,) for n in folders], "configuration string")
+    rows = wanted.join(dataset_manifest(configurations), "configuration", "left").join(sizes, "configuration", "left")
+    rows = rows.withColumns({c: F.coalesce(c, zero) for c in ("num_rows", "files", "bytes")})
+    return rows.withColumn("missing", F.col("files") == 0)
 
 
 def parsed_types(df: DataFrame, col: str = "types") -> DataFrame:

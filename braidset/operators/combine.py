@@ -10,7 +10,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from braidset.functions.tokens import CHARS_PER_TOKEN
 from braidset.operators import unrank
+from braidset.operators.curate import Counter
 from braidset.operators.ranking import dense_index, hash_number, seeded_key, seeded_take
 from braidset.plans.staging import stage
 from braidset.schemas import CONCERN_COUNTS, LABELS, SEED, TOKEN_LIMIT
@@ -36,18 +38,28 @@ class Chosen:
     repeats: bool
 
 
-def pool_of(atomics: DataFrame) -> DataFrame:
-    """One narrow row per record: copies of a sha within a type count once."""
+def pool_of(atomics: DataFrame, count: Counter | None = None) -> DataFrame:
+    """One narrow row per record: copies of a sha within a type count once.
+
+    ``n_chars`` is the length of the text, or its tokens where ``count`` counts them.
+    """
+    text = F.coalesce("diff", F.lit(""))
     return (
         atomics.where(F.col("type").isin(*LABELS))
+        .select("split", "type", "sha", (F.length(text) if count is None else count(text)).alias("_n"))
         .groupBy("split", "type", "sha")
         .agg(
-            F.min(F.length(F.coalesce("diff", F.lit("")))).cast("bigint").alias("n_chars"),
+            F.min("_n").cast("bigint").alias("n_chars"),
             F.count(F.lit(1)).alias("records"),
         )
     )
 
 
+def room_of(limit: int, count: Counter | None = None) -> int:
+    """The most that the texts of a case within ``limit`` tokens have, in the unit of ``pool_of``."""
+    return limit if count is not None else CHARS_PER_TOKEN * limit + CHARS_PER_TOKEN - 1
+
+
 def _sizes(pool, counts, oversample, target):
     """Per split: records of each type, copies per record, and case target."""
     per_type = pool.groupBy("split", "type").agg(F.count(F.lit(1)).alias("n"))
@@ -132,14 +144,15 @@ def choose_cases(
     oversample: float = 2,
     target: int | None = None,
     seed: int = SEED,
+    count: Counter | None = None,
 ) -> Chosen:
-    """The chosen cases (keys only) and the report of rejections.
+    """The chosen cases (keys only) and the report of rejections. ``count`` counts a text's tokens.
 
     Per split and k: cases over the token limit are dropped, each set of shas is
     kept once, then the first ``target`` by seeded order stay (default: as many as
     the split has records). A single-label case is drawn for every record.
     """
-    pool = stage(pool_of(atomics), "pool")
+    pool = stage(pool_of(atomics, count), "pool")
     repeats = not pool.where("records > 1").isEmpty()
     pool = pool.drop("records")
     sizes = _sizes(pool, counts, oversample, target)
@@ -153,7 +166,7 @@ def choose_cases(
             "n_chars",
         )
         drawn = single.unionByName(drawn)
-    fits = F.floor(F.col("n_chars") / 4) <= limit
+    fits = F.col("n_chars") <= room_of(limit, count)
     by_set = (
         drawn.withColumn("_fits", fits)
         .withColumn("_set", F.when(F.col("_fits"), F.concat_ws(",", F.array_sort(F.col("members.sha")))))
@@ -253,16 +266,16 @@ def _new_sets(found: DataFrame, lots: Sequence[DataFrame]) -> DataFrame:
 
 
 def draw_to_target(
-    pool: DataFrame, goal: DataFrame, counts: Sequence[int], limit: int, oversample: float, seed: int
+    pool: DataFrame, goal: DataFrame, counts: Sequence[int], room: int, oversample: float, seed: int
 ) -> tuple[DataFrame, DataFrame]:
     """All sets drawn (``split, k, _set, members, tries``), and ``split, k, exhausted``.
 
     Each round doubles the draws of the splits and counts that lack cases. One ends when its target
     is met or its numbers are used up.
     """
-    plan = unrank.numbered(pool, counts, limit, seed)
+    plan = unrank.numbered(pool, counts, room, seed)
     one = F.array(F.struct(F.lit(0).alias("pos"), "type", "sha"))
-    fits = F.col("n_chars") <= unrank.chars_of(limit)
+    fits = F.col("n_chars") <= room
     single = pool.select("split", F.lit(1).alias("k"), F.when(fits, F.col("sha")).alias("_set"), F.when(fits, one).alias("members"))
     lots = [_new_sets(single.where(F.lit(1 in counts)), [])]
     every = goal.select("split", F.explode(F.array(*map(F.lit, counts))).alias("k"), "target")
@@ -270,7 +283,7 @@ def draw_to_target(
     unmet = [every.select("split", "k").limit(0)]
     while not left.isEmpty():
         part = stage(unrank.reach(left, goal, oversample * 2 ** (len(unmet) - 1)), "reach")
-        lots.append(_new_sets(unrank.drawn_sets(plan.records, part, limit, seed), lots))
+        lots.append(_new_sets(unrank.drawn_sets(plan.records, part, room, seed), lots))
         have = reduce(DataFrame.unionByName, lots).where("members IS NOT NULL").groupBy("split", "k").agg(F.count(F.lit(1)).alias("have"))
         short = every.join(have, ["split", "k"], "left").where(F.coalesce("have", F.lit(0)) < F.col("target")).select("split", "k")
         unused = part.where("until < sets").select("split", "k").distinct()
@@ -304,6 +317,7 @@ def combine_to_target(
     limit: int = TOKEN_LIMIT,
     oversample: float = 2,
     seed: int = SEED,
+    count: Counter | None = None,
 ) -> Combined:
     """``target`` cases for every split and count, or all there are.
 
@@ -312,11 +326,11 @@ def combine_to_target(
     has ``exhausted``: no other set exists. ``atomics`` as in ``combine_cases``; copies of a sha
     within a type count once, and sets of the same shas are one case.
     """
-    pool = stage(pool_of(atomics), "pool")
+    pool = stage(pool_of(atomics, count), "pool")
     repeats = not pool.where("records > 1").isEmpty()
     pool = pool.drop("records")
     goal = _goals(pool, target)
-    sets, done = draw_to_target(pool, goal, counts, limit, oversample, seed)
+    sets, done = draw_to_target(pool, goal, counts, room_of(limit, count), oversample, seed)
     kept = sets.where("members IS NOT NULL").withColumn("case", seeded_key(F.col("k"), F.col("_set"), seed=seed)).drop("_set", "tries")
     wanted = goal.withColumn("k", F.explode(F.array(*map(F.lit, counts))))
     chosen = seeded_take(kept, F.col("case"), lambda n: F.col("target"), ["split", "k"], wanted)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from braidset.functions.distributions import t_critical, t_p_value
 from braidset.functions.effects import stars
+from braidset.operators.aggregate import level_product
 from braidset.operators.ranking import attach
 
 # Factors and metrics of the standard correlation table.
@@ -236,6 +237,14 @@ def with_t_value(fit: DataFrame) -> DataFrame:
     return fit.withColumn("t_value", t_critical(F.col("n") - 2))
 
 
+def with_slope_test(fit: DataFrame) -> DataFrame:
+    """Add ``r``, ``p`` and the 95 % interval of the slope (``slope_low``, ``slope_high``) to a line with ``t_value``."""
+    r = F.signum("slope") * F.sqrt("r2")
+    reach = F.col("t_value") * F.col("standard_error") / _nz(F.sqrt("ss_x"))
+    tested = fit.withColumn("r", r)
+    return with_p(tested).withColumns({"slope_low": F.col("slope") - reach, "slope_high": F.col("slope") + reach})
+
+
 def ci_band(fit: DataFrame, t_value: Column | None = None, points: int = 100) -> DataFrame:
     """The line and its 95 % band on evenly spaced x from least to greatest."""
     if t_value is None:
@@ -369,10 +378,8 @@ def interaction_ols(df: DataFrame) -> DataFrame:
 
 
 def prediction_grid(df: DataFrame, fit: DataFrame) -> DataFrame:
-    """Fitted time for every context length with every concern count (both few)."""
-    levels = df.agg(F.collect_set("context_len").alias("t"), F.collect_set("concern_count").alias("c"))
-    row = attach(levels, fit, ())
-    grid = row.withColumn("context_len", F.explode("t")).withColumn("concern_count", F.explode("c"))
+    """Fitted time for every context length with every concern count, however many levels they have."""
+    grid = attach(level_product(df, "context_len", "concern_count"), fit, ())
     log_tokens = F.log(F.col("context_len") + LOG_EPSILON)
     y = (
         F.col("intercept")

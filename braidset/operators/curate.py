@@ -1,6 +1,6 @@
 """From raw labelled records to a balanced sample and its train/test split."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -10,6 +10,8 @@ from braidset.operators.ranking import dense_index, seeded_key, seeded_split, se
 from braidset.plans.staging import stage
 from braidset.schemas import LABELS, SAMPLES_PER_TYPE, SEED, TOKEN_LIMIT, TRAIN_SHARE
 
+Counter = Callable[[Column], Column]
+
 # Column names of raw records and their short forms.
 SHORT_NAMES = {
     "masked_commit_message": "message",
@@ -40,14 +42,18 @@ def exclude_existing(df: DataFrame, existing: DataFrame) -> DataFrame:
     return df.join(existing.select("sha"), "sha", "left_anti")
 
 
-def record_tokens(diff: Column, message: Column) -> Column:
-    """Tokens of diff, a space and message, without building the joined text."""
+def record_tokens(diff: Column, message: Column, count: Counter | None = None) -> Column:
+    """Tokens of diff, a space and message; without a counter of one's own the joined text is not built."""
+    if count is not None:
+        return count(F.concat_ws(" ", F.coalesce(diff, F.lit("")), F.coalesce(message, F.lit(""))))
     chars = lambda c: F.length(F.coalesce(c, F.lit("")))
     return tokens_of(chars(diff) + 1 + chars(message))
 
 
-def within_token_limit(df: DataFrame, limit: int = TOKEN_LIMIT, diff="git_diff", message="masked_commit_message"):
-    return df.where(record_tokens(F.col(diff), F.col(message)) <= limit)
+def within_token_limit(
+    df: DataFrame, limit: int = TOKEN_LIMIT, diff="git_diff", message="masked_commit_message", count: Counter | None = None
+):
+    return df.where(record_tokens(F.col(diff), F.col(message), count) <= limit)
 
 
 def valid_types(df: DataFrame, col: str = "annotated_type", counts: Observation | None = None):
@@ -93,8 +99,9 @@ def curate(
     target: int = SAMPLES_PER_TYPE,
     limit: int = TOKEN_LIMIT,
     seed: int = SEED,
+    count: Counter | None = None,
 ) -> DataFrame:
-    """The whole curation: exclusions, normalising, limits, balanced top-up.
+    """The whole curation: exclusions, normalising, limits, balanced top-up. ``count`` counts a text's tokens.
 
     Cheap tests come first: the label test needs no text and trims the rows the
     joins and the length test see. The survivors' keys are written once, so the
@@ -104,12 +111,16 @@ def curate(
         existing_counts = type_counts(valid_types(normalize(existing)))
     clean = valid_types(normalize(pool))
     clean = exclude_existing(exclude_by_sha(clean, excluded), existing)
-    clean = within_token_limit(clean, limit)
+    if count is not None:
+        # A tokenizer is dear: the records it lets through are written with their texts, not counted twice.
+        clean = stage(within_token_limit(clean, limit, count=count), "counted")
+    else:
+        clean = within_token_limit(clean, limit)
     keys = stage(clean.select("annotated_type", "sha"), "keys")
     return topup_sample(clean, existing_counts, target, seed, keys=keys)
 
 
-def curation_counts(pool, excluded, existing, limit: int = TOKEN_LIMIT) -> DataFrame:
+def curation_counts(pool, excluded, existing, limit: int = TOKEN_LIMIT, count: Counter | None = None) -> DataFrame:
     """How many records each step removes, in the order of the steps."""
     mark = lambda df, name: df.select("sha").distinct().withColumn(name, F.lit(True))
     flagged = (
@@ -117,7 +128,7 @@ def curation_counts(pool, excluded, existing, limit: int = TOKEN_LIMIT) -> DataF
         .select(
             "sha",
             F.coalesce(F.col("annotated_type").isin(*LABELS), F.lit(False)).alias("known"),
-            (record_tokens(F.col("git_diff"), F.col("masked_commit_message")) > limit).alias("long"),
+            (record_tokens(F.col("git_diff"), F.col("masked_commit_message"), count) > limit).alias("long"),
         )
         .join(mark(excluded, "ex"), "sha", "left")
         .join(mark(existing, "old"), "sha", "left")
@@ -180,6 +191,7 @@ def type_documents(df: DataFrame, seed: int = SEED) -> DataFrame:
         keyed, [F.substring("_key", 1, 4)], ["_key", "sha"], ["annotated_type"], "_at"
     )
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    # The header lines of a stored document.
     content = F.concat_ws(
         "\n",
         F.concat(F.lit("# Type: "), F.col("annotated_type")),

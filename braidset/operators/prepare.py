@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from braidset.functions.labels import parse_labels
-from braidset.functions.tokens import encoder_count, encoder_truncate, token_count, truncate_equally
+from braidset.functions.tokens import encoder_count, encoder_cuts, token_count, truncate_equally
 from braidset.schemas import CONTEXT_WINDOWS, SHOTS
 
 
@@ -39,35 +39,6 @@ def add_truncated(df: DataFrame, context, include_message) -> DataFrame:
     )
 
 
-def add_truncated_by_encoder(
-    df: DataFrame, context: int, include_message: bool, factory: Callable, key: Sequence[str]
-) -> DataFrame:
-    """``add_truncated`` with a real tokenizer; ``key`` names the columns that tell rows apart."""
-    key = list(key)
-    message = F.coalesce("commit_message", F.lit(""))
-    budget = F.lit(context)
-    if include_message:
-        budget = F.greatest(F.lit(context) - encoder_count(message, factory), F.lit(0))
-    parts = (
-        df.withColumn("_diffs", as_list(df, "diff"))
-        .withColumn("_share", F.floor(budget / F.greatest(F.size("_diffs"), F.lit(1))).cast("int"))
-        .select(*key, "_share", F.posexplode_outer("_diffs").alias("_pos", "_diff"))
-        .withColumn("_cut", encoder_truncate(F.col("_diff"), F.col("_share"), factory))
-    )
-    whole = parts.groupBy(*key).agg(
-        F.max("_share").alias("_share"),
-        F.array_sort(F.collect_list(F.struct("_pos", "_cut"))).alias("_p"),
-    )
-    cut = F.when(F.col("_share") <= 0, F.lit("")).otherwise(F.array_join("_p._cut", "\n"))
-    joined = df.join(whole.select(*key, cut.alias("_cut")), key)
-    text = input_text(message, F.coalesce("_cut", F.lit("")), include_message)
-    return (
-        joined.withColumn("truncated_commit", text)
-        .drop("_cut")
-        .withColumn("token_length", encoder_count(F.col("truncated_commit"), factory))
-    )
-
-
 def with_settings(
     df: DataFrame,
     contexts: Sequence[int] = CONTEXT_WINDOWS,
@@ -84,17 +55,37 @@ def with_settings(
     return df.withColumn("_s", F.explode(grid)).select("*", "_s.*").drop("_s")
 
 
-def truncated_grid(df, contexts=CONTEXT_WINDOWS, with_message=(True, False)) -> DataFrame:
-    spread = with_settings(df, contexts, with_message)
-    return add_truncated(spread, F.col("context_len"), F.col("with_message"))
+def truncated_grid(
+    df, contexts=CONTEXT_WINDOWS, with_message=(True, False), factory: Callable | None = None
+) -> DataFrame:
+    """The cases cut for every setting; ``factory`` makes a tokenizer, without it a token is four characters."""
+    if factory is None:
+        spread = with_settings(df, contexts, with_message)
+        return add_truncated(spread, F.col("context_len"), F.col("with_message"))
+    settings = [(c, m) for m in with_message for c in contexts]
+    message = F.coalesce("commit_message", F.lit(""))
+    # The cuts of all settings come from one pass over the texts, and no text is shuffled.
+    cuts = encoder_cuts(message, as_list(df, "diff"), settings, factory)
+    setting = F.array(*[F.struct(F.lit(c).alias("context_len"), F.lit(m).alias("with_message")) for c, m in settings])
+    rows = df.withColumn("_s", F.explode(F.arrays_zip(setting.alias("s"), cuts.alias("cut"))))
+    rows = rows.select(*df.columns, "_s.s.*", F.col("_s.cut").alias("_cut"))
+    rows = rows.withColumn("truncated_commit", input_text(message, F.col("_cut"), F.col("with_message"))).drop("_cut")
+    return rows.withColumn("token_length", encoder_count(F.col("truncated_commit"), factory))
+
+
+def add_truncated_by_encoder(df: DataFrame, context: int, include_message: bool, factory: Callable) -> DataFrame:
+    """``add_truncated`` with a real tokenizer."""
+    cut = truncated_grid(df, [context], [include_message], factory)
+    added = ("context_len", "with_message")
+    return cut.drop(*[c for c in added if c not in df.columns])
 
 
 def experiment_grid(
-    df, contexts=CONTEXT_WINDOWS, shots=SHOTS, with_message=(True, False)
+    df, contexts=CONTEXT_WINDOWS, shots=SHOTS, with_message=(True, False), factory: Callable | None = None
 ) -> DataFrame:
     """The truncated cases under every shot; truncation runs once, before the shots."""
     shot = F.explode(F.array(*map(F.lit, shots)))
-    return truncated_grid(df, contexts, with_message).withColumn("shot", shot)
+    return truncated_grid(df, contexts, with_message, factory).withColumn("shot", shot)
 
 
 @dataclass(frozen=True)
@@ -167,8 +158,8 @@ def render_chat(
     return df.withColumn("text", F.array_join(F.transform("messages", one), between))
 
 
-def reasoning_prompt(df: DataFrame) -> DataFrame:
-    """Add ``reasoning_prompt`` (fixed format); types that do not parse are used as they are."""
+def reasoning_prompt(df: DataFrame, request: str) -> DataFrame:
+    """Add ``reasoning_prompt``: message, types, diff and the user's ``request``. Types that do not parse are used as they are."""
     types = F.coalesce(
         F.array_join(F.from_json("types", "array<string>"), ", "), F.col("types")
     )
@@ -176,10 +167,7 @@ def reasoning_prompt(df: DataFrame) -> DataFrame:
         F.lit("Commit Message: "), F.coalesce("commit_message", F.lit("")),
         F.lit("\n\nAssigned Types: "), F.coalesce(types, F.lit("")),
         F.lit("\n\nGit Diff:\n"), F.coalesce("diff", F.lit("")),
-        F.lit(
-            "\n\nPlease generate detailed reasoning explaining how you would apply the "
-            "classification instructions to analyze this tangled commit."
-        ),
+        F.lit("\n\n" + request),
     )
     return df.withColumn("reasoning_prompt", text)
 

@@ -30,18 +30,12 @@ class Numbered:
     combos: DataFrame
 
 
-def chars_of(limit: int) -> int:
-    """The most characters of a case within ``limit`` tokens."""
-    return 4 * limit + 3
-
-
-def numbered(pool: DataFrame, counts: Sequence[int], limit: int, seed: int) -> Numbered:
-    """Records and combinations that some set within the limit can hold.
+def numbered(pool: DataFrame, counts: Sequence[int], room: int, seed: int) -> Numbered:
+    """Records and combinations that some set of at most ``room`` (the sum of ``n_chars``) can hold.
 
     A record stays if it fits beside the shortest records of the k - 1 shortest other types; a
     combination if the shortest records of its types fit. What goes is in no set that fits.
     """
-    room = chars_of(limit)
     least = pool.groupBy("split", "type").agg(F.min("n_chars").alias("least"))
     # A row per split, with an entry per label.
     shortest = least.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("type", "least"))).alias("_least"))
@@ -125,8 +119,8 @@ def visits(combos: DataFrame, seed: int) -> DataFrame:
     return rows.select("split", "k", "combo", "number", F.explode(member).alias("m")).select("split", "k", "combo", "number", "m.*")
 
 
-def drawn_sets(records: DataFrame, combos: DataFrame, limit: int, seed: int) -> DataFrame:
-    """Each number's case: ``split, k, _set`` (its shas; NULL where it is over the limit), ``members``."""
+def drawn_sets(records: DataFrame, combos: DataFrame, room: int, seed: int) -> DataFrame:
+    """Each number's case: ``split, k, _set`` (its shas; NULL where it has no room), ``members``."""
     draws = combos.select("split", "k", F.explode("types").alias("type"), (F.col("until") - F.col("since")).alias("n"))
     sizes = records.groupBy("split", "k", "type").agg(F.count(F.lit(1)).alias("size"))
     often = draws.groupBy("split", "k", "type").agg(F.sum("n").alias("n")).join(sizes, ["split", "k", "type"])
@@ -144,6 +138,6 @@ def drawn_sets(records: DataFrame, combos: DataFrame, limit: int, seed: int) ->
     cases = joined.groupBy("split", "k", "combo", "number").agg(
         F.array_sort(F.collect_list(F.struct("pos", "type", "sha"))).alias("members"), F.sum("n_chars").alias("n_chars")
     )
-    fits = F.col("n_chars") <= chars_of(limit)
+    fits = F.col("n_chars") <= room
     shas = F.concat_ws(",", F.array_sort(F.col("members.sha")))
     return cases.select("split", "k", F.when(fits, shas).alias("_set"), F.when(fits, F.col("members")).alias("members"))

@@ -1,6 +1,6 @@
 """The registered queries as plain SQL over the same tables, written independently."""
 
-from braidset.plans.registry import CASE_LIMIT, CASE_TARGET, RECORD_LIMIT, SAMPLE, SYSTEM, T_95, TOP_UP
+from braidset.plans.registry import CASE_LIMIT, CASE_TARGET, RECORD_LIMIT, REQUEST, SAMPLE, SYSTEM, T_95, TOP_UP
 
 SQL: dict[str, str] = {}
 
@@ -195,6 +195,18 @@ add("descriptives", SCORED, " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", {r6(f'avg({c}) AS mean', f'stddev_samp({c}) AS std', f'min({c}) AS min', f'max({c}) AS max')} FROM scored"""
     for c in ("context_len", "inference_time", "concern_count")))
 
+add("box_many_groups", f"""
+q AS (SELECT l_partkey, count(*) AS n, {Q.format(x='l_extendedprice')}, quantile_cont(l_extendedprice, 0.5) AS median FROM lineitem GROUP BY 1),
+placed AS (
+  SELECT s.l_partkey, l_extendedprice AS x, l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
+  FROM lineitem s JOIN q ON s.l_partkey = q.l_partkey),
+ends AS (SELECT l_partkey, min(x) FILTER (inside) AS whisker_low, max(x) FILTER (inside) AS whisker_high, count(*) FILTER (NOT inside) AS fliers FROM placed GROUP BY 1)""",
+    f"SELECT q.l_partkey, n, {r6('q1', 'median', 'q3', 'whisker_low', 'whisker_high')}, fliers FROM q JOIN ends ON q.l_partkey = ends.l_partkey")
+add("iqr_with_nan", RESULTS + f""",
+known AS (SELECT row_id, CASE WHEN row_id % 10 <> 0 AND row_id % 11 <> 0 THEN inference_time END AS x FROM results),
+q AS (SELECT {Q.format(x='x')} FROM known)""", "SELECT row_id, coalesce(x < q1 - 0.4 * (q3 - q1) OR x > q3 + 0.4 * (q3 - q1), false) AS is_outlier FROM known CROSS JOIN q")
+add("evaluation_view_by_sha", VIEW.replace("ORDER BY row_id", "ORDER BY md5(row_id::VARCHAR)"), f"SELECT Test_Index, Predicted_Types, Actual_Types, Status, SHAs, {r6('Case_Precision', 'Case_Recall', 'Case_F1')} FROM shown")
+
 # --- curation
 
 TOKENS = "length(coalesce(git_diff, '') || ' ' || coalesce(masked_commit_message, '')) // 4"
@@ -396,18 +408,29 @@ add("render_chat", CHAT + f""",
 rendered AS (
   SELECT doc_id, '<|im_start|>system<|im_sep|>{SYSTEM}<|im_end|><|im_start|>user<|im_sep|>' || u || '<|im_end|><|im_start|>assistant<|im_sep|>' || a || '<|im_end|>' AS t
   FROM chat)""", "SELECT doc_id, md5(t) AS text_md5, length(t)::INT AS chars FROM rendered")
-add("reasoning_prompt", TANGLED, """
+add("reasoning_prompt", TANGLED, f"""
 SELECT doc_id, md5('Commit Message: ' || commit_message || chr(10) || chr(10) || 'Assigned Types: '
   || CASE WHEN doc_id % 3 = 0 THEN array_to_string(types, '+') ELSE array_to_string(types, ', ') END || chr(10) || chr(10) || 'Git Diff:' || chr(10)
-  || array_to_string(diff, chr(10)) || chr(10) || chr(10)
-  || 'Please generate detailed reasoning explaining how you would apply the classification instructions to analyze this tangled commit.') AS prompt_md5
+  || array_to_string(diff, chr(10)) || chr(10) || chr(10) || '{REQUEST}') AS prompt_md5
 FROM tangled""")
+# A tokenizer of three characters a token.
+THREES = lambda t: f"ceil(length({t}) / 3.0)::BIGINT"
+add("truncate_by_tokenizer", GRID.replace("length(commit_message) // 4", THREES("commit_message")).replace("left(d, 4 * (budget", "left(d, 3 * (budget"),
+    f"SELECT doc_id, context_len, with_message, {THREES('truncated')}::INT AS token_length, md5(truncated) AS text_md5 FROM ready")
+add("curate_by_tokenizer", ATOMIC + f""",
+clean AS (
+  SELECT * FROM atomic WHERE sha NOT IN (SELECT sha FROM excluded) AND sha NOT IN (SELECT sha FROM existing)
+  AND {THREES("coalesce(git_diff, '') || ' ' || coalesce(masked_commit_message, '')")} <= {RECORD_LIMIT}),"""
+    + topped("clean", TOP_UP), "SELECT annotated_type, masked_commit_message, sha, md5(git_diff) AS diff_md5 FROM taken WHERE rn <= need")
+add("cases_by_tokenizer", COMBINE.replace("length(diff) AS n_chars", f"{THREES('diff')} AS n_chars").replace("sum(n_chars) // 4 <=", "sum(n_chars) <="), SQL["rejection_counts"][len(f"WITH {COMBINE.strip()}") :])
 ANSWERS = f"""
 answers AS (SELECT event_id, {label('event_id')} AS l1, {label('event_id + user_id')} AS l2 FROM events)"""
 add("parse_responses", ANSWERS, """
 SELECT event_id, CASE WHEN event_id % 4 < 2 THEN l1 || ',' || l2 ELSE '' END AS types,
        CASE WHEN event_id % 4 < 2 THEN 2 ELSE 0 END::INT AS n FROM answers""")
 add("response_contract", ANSWERS, "SELECT event_id, event_id % 4 = 0 AS valid FROM answers")
+add("strict_responses", ANSWERS, """
+SELECT event_id, CASE WHEN event_id % 8 < 2 THEN l1 || ',' || l2 ELSE '' END AS types, event_id % 8 = 0 AS valid FROM answers""")
 REASONS = """
 reasons AS (
   SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || ' seen' WHEN 1 THEN 'No reasoning in response'
@@ -432,6 +455,7 @@ hist AS (
   FROM names LEFT JOIN ranged USING (token_range) GROUP BY 1, 2)"""
 add("token_table", HIST, "SELECT row_idx, token_count, token_range FROM ranged")
 add("token_histogram", HIST, f"SELECT position, token_range, count, {r6('percentage')} FROM hist")
+add("histogram_by_tokenizer", HIST.replace("(length(text) // 4)::INT", THREES("text")), f"SELECT position, token_range, count, {r6('percentage')} FROM hist")
 add("token_thresholds", HIST, f"SELECT {r6(*[f'sum(percentage) FILTER (position <= {i}) AS le_{n}' for i, n in ((0, 1024), (2, 4096), (3, 8192))])} FROM hist")
 add("token_stats", HIST, """
 SELECT count(*) AS total_samples, trunc(quantile_cont(token_count::DOUBLE, 0.5))::INT AS median_tokens, trunc(avg(token_count))::INT AS mean_tokens,
@@ -460,6 +484,17 @@ add("parseable_types", ANSWERS, "SELECT event_id, 'feat,ci' AS types FROM answer
 add("dataset_manifest", TANGLED, """
 SELECT 'train' AS configuration, count(*) AS num_rows, 'doc_id, commit_message, diff, concern_count, shas, types' AS columns FROM tangled
 UNION ALL SELECT 'original', count(*), 'annotated_type, masked_commit_message, git_diff, sha' FROM documents""")
+add("manifest_with_files", RECORDS, """
+SELECT split AS configuration, count(*) AS num_rows, 'commit_message, diff, concern_count, shas, types' AS columns, 1::BIGINT AS files, false AS missing, true AS sizes_agree FROM splits GROUP BY 1
+UNION ALL SELECT 'original', count(*), 'annotated_type, masked_commit_message, git_diff, sha', 1, false, true FROM documents
+UNION ALL SELECT 'extra', 0, NULL, 0, true, true""")
+SQL["missing_files"] = "SELECT 'original.json' AS file UNION ALL SELECT 'dev.json'"
+add("hub_split", TANGLED, """
+SELECT doc_id, commit_message, concern_count, '["' || array_to_string(types, '","') || '"]' AS types,
+       md5(to_json(diff)::VARCHAR) AS diff_md5 FROM tangled WHERE doc_id % 4 <> 0""")
+add("level_table", SCORED, " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", row_number() OVER (ORDER BY level) - 1 AS position, {r6('level')} FROM (SELECT DISTINCT {c}::DOUBLE AS level FROM scored)"""
+    for c in ("context_len", "concern_count", "inference_time")))
 add("sorted_levels", SCORED, """
 SELECT array_to_string(list_sort(list(DISTINCT context_len)), ',') AS context_len,
        array_to_string(list_sort(list(DISTINCT concern_count)), ',') AS concern_count FROM scored""")
@@ -498,9 +533,6 @@ FIT = """
 SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2,
        greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / (count(*) - 2) AS mse,
        avg(x) AS x_mean, regr_sxx(y, x) AS ss_x, min(x)::DOUBLE AS x_min, max(x)::DOUBLE AS x_max"""
-for x, name in (("context_len", "context"), ("concern_count", "concern"), ("with_message::INT", "message")):
-    add(f"ols_by_{name}", SCORED + f",\nxy AS (SELECT {x} AS x, inference_time AS y FROM scored),\nfit AS ({FIT} FROM xy)",
-        f"SELECT n, {r6('slope', 'intercept', 'r2', 'sqrt(mse) AS standard_error', 'mse', 'x_mean', 'ss_x / n AS x_variance', 'x_min', 'x_max')} FROM fit")
 # The t quantile from the normal one, by its series in the degrees of freedom (here over a thousand).
 _Z = T_95
 T_QUANTILE = (
@@ -597,28 +629,6 @@ SELECT n1, n0, {r6('u AS u_statistic', 'ties AS tie_term',
   '(greatest(u, n1 * n0 - u) - n1 * n0 / 2.0::DOUBLE - 0.5) / sqrt(n1 * n0 / 12.0::DOUBLE * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS z')} FROM u""")
 
 
-def efficiency(x: str, digits: int) -> str:
-    even = lambda e, n, name: f"round_even(({e})::DOUBLE, {n})::DOUBLE AS {name}"
-    return f"""
-q AS (SELECT {Q.format(x='inference_time')} FROM scored),
-fl AS (SELECT {x} AS x, inference_time AS y, inference_time < q1 - 1.5 * (q3 - q1) OR inference_time > q3 + 1.5 * (q3 - q1) AS is_out FROM scored CROSS JOIN q),
-o AS (SELECT count(*) FILTER (is_out) AS k, count(*) AS total FROM fl),
-st AS (SELECT corr(x, y) AS r, avg(x) AS xm, stddev_samp(x) AS xs, avg(y) AS ym, stddev_samp(y) AS ys FROM fl WHERE NOT is_out),
-fit AS ({FIT} FROM fl WHERE NOT is_out)
-SELECT n AS total_samples, k AS outliers_detected, k > 0 AS outliers_removed, x_min, x_max, {even('r', 4, 'coefficient')},
-       CASE WHEN abs(r) >= 0.5 THEN 'large' WHEN abs(r) >= 0.3 THEN 'medium' WHEN abs(r) >= 0.1 THEN 'small' ELSE 'negligible' END AS effect_size,
-       sign(r)::INT AS sign,
-       CASE WHEN r > 0.5 THEN 'Strong positive' WHEN r > 0.3 THEN 'Moderate positive' WHEN r > 0.1 THEN 'Weak positive'
-            WHEN r > -0.1 THEN 'Weak negative' WHEN r > -0.3 THEN 'Moderate negative' ELSE 'Strong negative' END AS direction,
-       {even('slope', digits, 'slope')}, {even('intercept', 4, 'intercept')}, {even('r2', 4, 'r_squared')}, {even('sqrt(mse)', 4, 'standard_error')},
-       {QUALITY.format(r='r2')} AS fit, {even('xm', 2, 'x_mean')}, {even('xs', 2, 'x_std')}, {even('ym', 4, 'y_mean')}, {even('ys', 4, 'y_std')},
-       {even('k * 100.0 / total', 1, 'percentage_of_data')}
-FROM fit CROSS JOIN st CROSS JOIN o"""
-
-
-for x, name, digits in (("context_len", "context", 6), ("concern_count", "concern", 4), ("with_message::INT", "message", 4)):
-    SQL[f"efficiency_by_{name}"] = f"WITH {SCORED.strip()},{efficiency(x, digits)}"
-
 # --- p-values: the density integrated by Simpson's rule from 0 to the statistic
 
 
@@ -637,6 +647,12 @@ def z_p(z: str) -> str:
     return area(z, "exp(-{x} * {x} / 2)", "(1 / sqrt(2 * pi()))")
 
 
+for x, name in (("context_len", "context"), ("concern_count", "concern"), ("with_message::INT", "message")):
+    add(f"ols_by_{name}", SCORED + f",\nxy AS (SELECT {x} AS x, inference_time AS y FROM scored),\nfit AS ({FIT} FROM xy)" + f""",
+more AS (SELECT *, sign(slope) * sqrt(r2) AS r, n - 2 AS v FROM fit),
+tt AS (SELECT *, r * sqrt(v / (1 - r * r)) AS t, {T_QUANTILE} AS t_value FROM more),
+tested AS (SELECT *, {t_p('t', 'v')} AS p, t_value * sqrt(mse / ss_x) AS reach FROM tt)""",
+        f"SELECT n, {r6('slope', 'intercept', 'r2', 'sqrt(mse) AS standard_error', 'mse', 'x_mean', 'ss_x / n AS x_variance', 'x_min', 'x_max', 't_value', 'r', 'p', 'slope - reach AS slope_low', 'slope + reach AS slope_high')} FROM tested")
 STARS = "CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' ELSE '' END"
 add("correlation_report", TABLE + f""",
 tt AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS v FROM tab),
@@ -674,6 +690,12 @@ st AS (
 st_p AS (SELECT *, {t_p('t', 'v')} AS tp, {z_p('z')} AS zp, {t_p('tr', 'v')} AS rp FROM st)"""
 
 
+add("u_exact_small", """
+ranked AS (SELECT s_suppkey < 4 AS first, row_number() OVER (ORDER BY s_acctbal) AS r FROM supplier),
+seen AS (SELECT count(*) FILTER (first) AS n1, count(*) FILTER (NOT first) AS n0, sum(r) FILTER (first) - 10 AS u FROM ranked),
+every AS (SELECT a.r + b.r + c.r + d.r - 10 AS u FROM ranked a JOIN ranked b ON a.r < b.r JOIN ranked c ON b.r < c.r JOIN ranked d ON c.r < d.r)""",
+    f"""SELECT n1, n0, {r6('s.u AS u_statistic')}, 0.0::DOUBLE AS tie_term,
+  {r6('least(1, 2 * least(count(*) FILTER (e.u <= s.u), count(*) FILTER (e.u >= s.u)) / count(*)) AS u_p_value')} FROM every e CROSS JOIN seen s GROUP BY n1, n0, s.u""")
 add("p_values", RESULTS + "," + two_groups("results"), " UNION ALL ".join(
     f"SELECT '{n}' AS test, {r6(s + ' AS statistic', p + ' AS p')} FROM st_p" for n, s, p in (("t", "t", "tp"), ("u", "u", "zp"), ("r", "r", "rp"))))
 SIDES = ", ".join(
@@ -693,6 +715,30 @@ SELECT n AS total_samples, k AS outliers_detected, {EVEN4('r AS coefficient')},
        CASE WHEN abs(d) >= 0.8 THEN 'Large' WHEN abs(d) >= 0.5 THEN 'Medium' WHEN abs(d) >= 0.2 THEN 'Small' ELSE 'Negligible' END AS effect
 FROM st_p CROSS JOIN o CROSS JOIN sides""")
 
+def efficiency(x: str, digits: int) -> str:
+    even = lambda e, n, name: f"round_even(({e})::DOUBLE, {n})::DOUBLE AS {name}"
+    return f"""
+q AS (SELECT {Q.format(x='inference_time')} FROM scored),
+fl AS (SELECT {x} AS x, inference_time AS y, inference_time < q1 - 1.5 * (q3 - q1) OR inference_time > q3 + 1.5 * (q3 - q1) AS is_out FROM scored CROSS JOIN q),
+o AS (SELECT count(*) FILTER (is_out) AS k, count(*) AS total FROM fl),
+st AS (SELECT corr(x, y) AS r, avg(x) AS xm, stddev_samp(x) AS xs, avg(y) AS ym, stddev_samp(y) AS ys FROM fl WHERE NOT is_out),
+fit AS ({FIT} FROM fl WHERE NOT is_out),
+tt AS (SELECT *, n - 2 AS v, {T_QUANTILE.replace('v', '(n - 2)')} AS t_value, r * sqrt((n - 2) / (1 - r * r)) AS t FROM fit CROSS JOIN st),
+tested AS (SELECT *, {t_p('t', 'v')} AS p FROM tt)
+SELECT {r6('p AS p_value')}, p < 0.05 AS significant, 95 AS level, {even('t_value', 4, 't_value')}, n AS total_samples, k AS outliers_detected, k > 0 AS outliers_removed, x_min, x_max, {even('r', 4, 'coefficient')},
+       CASE WHEN abs(r) >= 0.5 THEN 'large' WHEN abs(r) >= 0.3 THEN 'medium' WHEN abs(r) >= 0.1 THEN 'small' ELSE 'negligible' END AS effect_size,
+       sign(r)::INT AS sign,
+       CASE WHEN r > 0.5 THEN 'Strong positive' WHEN r > 0.3 THEN 'Moderate positive' WHEN r > 0.1 THEN 'Weak positive'
+            WHEN r > -0.1 THEN 'Weak negative' WHEN r > -0.3 THEN 'Moderate negative' ELSE 'Strong negative' END AS direction,
+       {even('slope', digits, 'slope')}, {even('intercept', 4, 'intercept')}, {even('r2', 4, 'r_squared')}, {even('sqrt(mse)', 4, 'standard_error')},
+       {QUALITY.format(r='r2')} AS fit, {even('xm', 2, 'x_mean')}, {even('xs', 2, 'x_std')}, {even('ym', 4, 'y_mean')}, {even('ys', 4, 'y_std')},
+       {even('k * 100.0 / total', 1, 'percentage_of_data')}
+FROM tested CROSS JOIN o"""
+
+
+for x, name, digits in (("context_len", "context", 6), ("concern_count", "concern", 4), ("with_message::INT", "message", 4)):
+    SQL[f"efficiency_by_{name}"] = f"WITH {SCORED.strip()},{efficiency(x, digits)}"
+
 # --- comparison of two models
 
 FOUR = ("precision", "recall", "f1", "exact_match")
@@ -700,6 +746,10 @@ PAIRED = SCORED + "," + OTHER + ",\npairs AS (SELECT a.row_id, " + ", ".join(
     f"a.{m}::DOUBLE AS {m}_SLM, b.{m}::DOUBLE AS {m}_LLM, CASE WHEN b.{m}::DOUBLE > a.{m}::DOUBLE THEN 'LLM>SLM' WHEN b.{m}::DOUBLE = a.{m}::DOUBLE THEN 'Equal' ELSE 'SLM>LLM' END AS relation_{m}"
     for m in FOUR) + " FROM scored a JOIN scored2 b ON a.row_id = b.row_id)"
 add("compare_models", PAIRED, "SELECT row_id, " + ", ".join(f"{r6(m + '_SLM', m + '_LLM')}, relation_{m}" for m in FOUR) + " FROM pairs")
+TEXTUAL = {"f1": "CASE WHEN a.row_id % 7 > 1 THEN a.f1 END"}
+add("compare_text_metrics", SCORED + "," + OTHER + ",\npairs AS (SELECT a.row_id, " + ", ".join(
+    f"{TEXTUAL.get(m, 'a.' + m)}::DOUBLE AS {m}_SLM, b.{m}::DOUBLE AS {m}_LLM" for m in FOUR) + " FROM scored a JOIN scored2 b ON a.row_id = b.row_id)",
+    "SELECT row_id, " + ", ".join(f"{r6(m + '_SLM', m + '_LLM')}, CASE WHEN {m}_SLM IS NULL OR {m}_LLM IS NULL THEN 'Unknown' WHEN {m}_LLM > {m}_SLM THEN 'LLM>SLM' WHEN {m}_LLM = {m}_SLM THEN 'Equal' ELSE 'SLM>LLM' END AS relation_{m}" for m in FOUR) + " FROM pairs")
 add("metric_table", PAIRED, " UNION ALL ".join(
     f"SELECT row_id, '{m}' AS metric, {r6(m + '_SLM AS slm', m + '_LLM AS llm')}, relation_{m} AS relation FROM pairs" for m in FOUR))
 WINS = lambda v: " + ".join(f"(relation_{m} = '{v}')::INT" for m in FOUR)

@@ -1,6 +1,5 @@
 """Every operator as a named query over the given tables: ``(spark, root) -> DataFrame``."""
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,6 +26,7 @@ SAMPLE = 100
 CASE_TARGET = {"train": 280, "test": 70}
 T_95 = 1.959963984540054
 SYSTEM = "Name every label that fits."
+REQUEST = "Say why each of these labels was given."
 EXAMPLES = (("first message", "<commit_diff id=1>a</commit_diff>"), ("second message", "<commit_diff id=2>b</commit_diff>"))
 
 
@@ -189,6 +189,39 @@ def descriptives(spark, root):
     return r6(aggregate.descriptives(scored(spark, root), ("context_len", "inference_time", "concern_count")))
 
 
+@query
+def box_many_groups(spark, root):
+    lines = stored(A.table(spark, root, "lineitem"), "l_partkey", "l_extendedprice")
+    return r6(quantiles.box_summary(lines, "l_extendedprice", ["l_partkey"]))
+
+
+def _with_nan(spark, root):
+    """Times of which every tenth is no number and every eleventh missing."""
+    time = F.when(F.col("row_id") % 10 == 0, F.lit(float("nan"))).when(F.col("row_id") % 11 != 0, F.col("inference_time"))
+    return stored(A.results(spark, root).withColumn("inference_time", time), "row_id", "inference_time")
+
+
+@query
+def iqr_with_nan(spark, root):
+    flagged = quantiles.flag_outliers(_with_nan(spark, root), "inference_time", k=0.4)
+    return flagged.select("row_id", "is_outlier")
+
+
+@query
+def evaluation_view_by_sha(spark, root):
+    keyed = scored(spark, root).withColumn("sha", A.sha_of(F.col("row_id")))
+    return r6(score.evaluation_view(keyed, "sha"))
+
+
+@query
+def strict_responses(spark, root):
+    """Answers with more than their object: text behind it in every other, a second object in every fourth."""
+    tail = F.when(F.col("event_id") % 8 < 4, F.lit("")).when(F.col("event_id") % 16 < 8, F.lit("}")).otherwise(F.lit(' {"types": ["ci"]}'))
+    answers = A.responses(spark, root).select("event_id", F.concat("response", tail).alias("response"))
+    types = L.parse_type_response(F.col("response"))
+    return answers.select("event_id", F.array_join(types, ",").alias("types"), L.valid_response(F.col("response")).alias("valid"))
+
+
 # --- curation
 
 
@@ -366,7 +399,7 @@ def reasoning_prompt(spark, root):
     stored = A.tangled(spark, root).withColumns(
         {"diff": F.array_join("diff", "\n"), "types": F.when(F.col("doc_id") % 3 == 0, F.array_join("types", "+")).otherwise(F.to_json("types"))}
     )
-    return prepare.reasoning_prompt(stored).select("doc_id", F.md5("reasoning_prompt").alias("prompt_md5"))
+    return prepare.reasoning_prompt(stored, REQUEST).select("doc_id", F.md5("reasoning_prompt").alias("prompt_md5"))
 
 
 @query
@@ -402,6 +435,43 @@ def predict_labels(spark, root):
     return predict(cases, "diff", _label_word).select("sha", text("predicted_types"), "success")
 
 
+class _Threes:
+    """A tokenizer of three characters a token."""
+
+    def encode(self, text):
+        return [text[i : i + 3] for i in range(0, len(text), 3)]
+
+    def decode(self, ids):
+        return "".join(ids)
+
+
+BY_THREES = tok.encoder_counter(_Threes)
+
+
+@query
+def truncate_by_tokenizer(spark, root):
+    grid = prepare.truncated_grid(A.tangled(spark, root), factory=_Threes)
+    return grid.select("doc_id", "context_len", "with_message", "token_length", F.md5("truncated_commit").alias("text_md5"))
+
+
+@query
+def curate_by_tokenizer(spark, root):
+    kept = curate.curate(
+        A.atomic(spark, root), A.excluded(spark, root), A.existing(spark, root), target=TOP_UP, limit=RECORD_LIMIT, count=BY_THREES
+    )
+    return kept.select("annotated_type", "masked_commit_message", "sha", F.md5("git_diff").alias("diff_md5"))
+
+
+@query
+def histogram_by_tokenizer(spark, root):
+    return r6(aggregate.token_histogram(aggregate.token_table(A.table(spark, root, "documents"), "text", "doc_id", BY_THREES)))
+
+
+@query
+def cases_by_tokenizer(spark, root):
+    return combine.choose_cases(_splits(spark, root), limit=CASE_LIMIT, count=BY_THREES).report
+
+
 # --- tokens and labels
 
 
@@ -463,6 +533,54 @@ def dataset_manifest(spark, root):
     return aggregate.dataset_manifest({"train": A.tangled(spark, root), "original": A.atomic(spark, root)})
 
 
+@query
+def manifest_with_files(spark, root):
+    """Three configurations on disk, one that is not there, their files and sizes."""
+    path = scratch_path(spark, "dataset")
+    one = lambda c: F.array(c).alias(c if c == "diff" else c + "s")
+    cases = _splits(spark, root).select(
+        "split", F.col("message").alias("commit_message"), one("diff"), F.lit(1).alias("concern_count"), one("sha"), one("type")
+    )
+    sinks.write_split(cases.coalesce(1), f"{path}/combined")
+    sinks.append_samples(A.atomic(spark, root).coalesce(1), f"{path}/original")
+    folders = {"train": "combined/split=train", "test": "combined/split=test", "original": "original", "extra": "extra"}
+    tables = {n: readers.read_tangled(spark, f"{path}/{folders[n]}") for n in ("train", "test")}
+    tables["original"] = readers.read_atomic(spark, f"{path}/original")
+    found = readers.discover(spark, path)
+    rows = aggregate.manifest_with_files(tables, found, folders)
+    # The sizes of the listing against the contents.
+    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path)
+    whole = contents.agg(F.sum(F.length("content")).alias("_whole"))
+    rows = attach(rows, rows.agg(F.sum("bytes").alias("_listed")), ())
+    return attach(rows, whole, ()).select("configuration", "num_rows", "columns", "files", "missing", (F.col("_listed") == F.col("_whole")).alias("sizes_agree"))
+
+
+@query
+def missing_files(spark, root):
+    """Files a dataset should have and has not."""
+    path = scratch_path(spark, "required")
+    for name in ("train", "test"):
+        A.existing(spark, root).coalesce(1).write.json(f"{path}/{name}.json")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = found.select(F.regexp_replace("path", r"/[^/]+$", "").alias("path")).distinct()
+    return readers.missing_files(found, ["train.json", "original.json", "test.json", "dev.json"])
+
+
+@query
+def hub_split(spark, root):
+    """A published split, kept as Parquet, read by its name and held to its schema."""
+    path = scratch_path(spark, "hub")
+    cases = A.tangled(spark, root).withColumn("split", F.when(F.col("doc_id") % 4 == 0, "test").otherwise("train"))
+    combine.as_text_columns(cases).write.partitionBy("split").parquet(path)
+    train = schemas.assert_schema(readers.read_parquet_split(spark, path, "split=train"), schemas.TANGLED)
+    return train.select("doc_id", "commit_message", "concern_count", "types", F.md5("diff").alias("diff_md5"))
+
+
+@query
+def level_table(spark, root):
+    return r6(aggregate.level_table(scored(spark, root), ("context_len", "concern_count", "inference_time")))
+
+
 @query
 def sorted_levels(spark, root):
     levels = aggregate.sorted_levels(scored(spark, root), ("context_len", "concern_count"))
@@ -525,7 +643,8 @@ def point_biserial(spark, root):
 
 
 def _line(spark, root, x):
-    fit = correlate.simple_ols(scored(spark, root), F.expr(x), F.col("inference_time"))
+    fit = correlate.with_t_value(correlate.simple_ols(scored(spark, root), F.expr(x), F.col("inference_time")))
+    fit = correlate.with_slope_test(fit)
     return r6(fit.withColumn("ss_x", F.col("ss_x") / F.col("n")).withColumnRenamed("ss_x", "x_variance"))
 
 
@@ -601,6 +720,13 @@ def mann_whitney_u(spark, root):
     return r6(groups.mann_whitney(A.results(spark, root)))
 
 
+@query
+def u_exact_small(spark, root):
+    """Four suppliers against all others: few enough in one group for the exact p-value."""
+    balances = A.table(spark, root, "supplier").select((F.col("s_suppkey") < 4).alias("first"), "s_acctbal")
+    return r6(groups.with_u_p(groups.mann_whitney(balances, "s_acctbal", "first")).drop("z"))
+
+
 @query
 def p_values(spark, root):
     r = stored(A.results(spark, root), "with_message", "inference_time")
@@ -622,8 +748,10 @@ def correlation_report(spark, root):
 
 
 def _efficiency(spark, root, x):
-    d = reports.efficiency_report(scored(spark, root), x, p_values=False)
+    d = reports.efficiency_report(scored(spark, root), x)
     return d.select(
+        F.round("correlation_analysis.p_value", 6).alias("p_value"), "correlation_analysis.significant",
+        "linear_regression.confidence_interval.level", "linear_regression.confidence_interval.t_value",
         "data_summary.total_samples", "data_summary.outliers_detected", "data_summary.outliers_removed",
         F.col("data_summary.x_range.min").alias("x_min"), F.col("data_summary.x_range.max").alias("x_max"),
         "correlation_analysis.coefficient", "correlation_analysis.effect_size", "correlation_analysis.sign",
@@ -697,6 +825,15 @@ def compare_models(spark, root):
     return r6(compare.compare_models(_pairs(spark, root)))
 
 
+@query
+def compare_text_metrics(spark, root):
+    """Metrics as text, some of them no numbers."""
+    slm, llm = scored(spark, root), scored(spark, root, "l_suppkey")
+    words = slm.withColumn("exact_match", F.initcap(F.col("exact_match").cast("string")))
+    words = words.withColumn("f1", F.when(F.col("row_id") % 7 == 0, F.lit("n/a")).when(F.col("row_id") % 7 == 1, F.lit("NaN")).otherwise(F.col("f1").cast("string")))
+    return r6(compare.compare_models(compare.pair_models(words, llm)))
+
+
 @query
 def metric_table(spark, root):
     return r6(compare.metric_table(compare.compare_models(_pairs(spark, root))))
@@ -930,7 +1067,7 @@ def live_macro(spark, root):
     # a pattern, so that the table may be one file or a folder of files
     schema = A.table(spark, root, "lineitem").schema
     lines = live.result_stream(spark, f"{root}/lineitem.parque[t]", schema)
-    name = f"live_{uuid.uuid4().hex}"
-    run = live.start(live.live_macro(score.score(A.line_cases(lines))), name, once=True)
+    path = scratch_path(spark, "live")
+    run = live.start(live.live_macro(score.score(A.line_cases(lines))), path, once=True)
     run.awaitTermination()
-    return r6(spark.table(name))
+    return r6(live.read_latest(spark, path))

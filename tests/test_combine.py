@@ -117,7 +117,7 @@ def test_target_is_met_or_every_set_is_drawn(spark):
 def test_numbers_are_permuted_one_to_one(spark):
     sizes = {"feat": 5, "fix": 3, "docs": 4, "ci": 1}
     df, _ = pool(spark, sizes)
-    plan = unrank.numbered(combine.pool_of(df).drop("records"), (2, 3), 100, 7)
+    plan = unrank.numbered(combine.pool_of(df).drop("records"), (2, 3), 400, 7)
     whole = plan.combos.withColumns({"since": F.lit(0).cast("bigint"), "until": F.col("sets")})
     got = unrank.visits(whole, 7).groupBy("k", "combo", "number").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat("type", F.lit(":"), "idx")))).alias("s")).collect()
     want = sum(math.prod(sizes[t] for t in c) for k in (2, 3) for c in combinations(sizes, k))
@@ -130,7 +130,7 @@ def test_numbers_are_permuted_one_to_one(spark):
 def test_sets_that_cannot_fit_are_not_numbered(spark):
     rows = [("train", "m", "x" * n, f"{t}{n}", t) for t, ns in {"feat": (10, 30, 90), "fix": (10, 95), "docs": (50,)}.items() for n in ns]
     df = spark.createDataFrame(rows, "split string, message string, diff string, sha string, type string")
-    plan = unrank.numbered(combine.pool_of(df).drop("records"), (2, 3), 16, 1)
+    plan = unrank.numbered(combine.pool_of(df).drop("records"), (2, 3), combine.room_of(16), 1)
     kept = {k: sorted(r.sha for r in plan.records.where(F.col("k") == k).collect()) for k in (2, 3)}
     # 67 characters: beside the shortest of another type, or of both.
     assert kept == {2: ["docs50", "feat10", "feat30", "fix10"], 3: []}

@@ -153,20 +153,42 @@ def test_resumable(spark, tmp_path):
 
 
 def test_stream_follows_new_files(spark, tmp_path):
-    src, table = str(tmp_path / "in"), "live_test"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
     df = scored(spark)
+    with pytest.raises(FileNotFoundError):
+        live.read_latest(spark, out)
     df.limit(2).write.mode("append").parquet(src)
     stream = live.result_stream(spark, src, df.schema, max_files=1)
-    run = live.start(live.live_macro(stream), table)
+    run = live.start(live.live_macro(stream), out, str(tmp_path / "ck"))
     run.processAllAvailable()
+    early = live.read_latest(spark, out)
+    before = early.collect()
     df.exceptAll(df.limit(2)).write.mode("append").parquet(src)
     run.processAllAvailable()
     run.stop()
-    assert sorted(map(str, spark.table(table).collect())) == sorted(map(str, macro_by_concern(df).collect()))
-    out = str(tmp_path / "out")
-    again = live.start_to_table(live.live_macro(stream), out, str(tmp_path / "ck"), once=True)
+    assert sorted(map(str, live.read_latest(spark, out).collect())) == sorted(map(str, macro_by_concern(df).collect()))
+    # A table that a reader holds stays as it was.
+    assert early.collect() == before
+    again = live.start(live.live_macro(stream), out, str(tmp_path / "ck"), once=True)
     again.awaitTermination()
-    assert spark.read.parquet(out).count() == 2
+    assert live.read_latest(spark, out).count() == 2
+
+
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    write_ = live.publish(out)
+    write_(spark.range(3), 0)
+    write_(spark.range(5), 1)
+    files = sorted(str(p) for p in (tmp_path / "out").rglob("*"))
+    write_(spark.range(9), 1)
+    write_(spark.range(9), 0)
+    assert sorted(str(p) for p in (tmp_path / "out").rglob("*")) == files
+    assert live.read_latest(spark, out).count() == 5
+    # A version whose pointer was not written yet is not read, and is replaced by the batch that comes again.
+    spark.range(1).write.parquet(f"{out}/version=2")
+    assert live.read_latest(spark, out).count() == 5
+    write_(spark.range(7), 2)
+    assert live.read_latest(spark, out).count() == 7
 
 
 def test_predict(spark):

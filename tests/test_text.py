@@ -2,7 +2,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from braidset.functions import tokens as tok
-from braidset.operators import aggregate, prepare
+from braidset.operators import aggregate, combine, curate, prepare
 
 
 def byte_encoder_factory():
@@ -46,7 +46,7 @@ def test_truncation_reads_text_lists(spark):
 def test_encoder(spark):
     byte_encoder = byte_encoder_factory()
     df = spark.createDataFrame([(1, "mm", ["abcdef", "xy"]), (2, "m" * 9, ["abc"])], "id int, commit_message string, diff array<string>")
-    got = {r.id: r for r in prepare.add_truncated_by_encoder(df, 8, True, byte_encoder, ["id"]).collect()}
+    got = {r.id: r for r in prepare.add_truncated_by_encoder(df, 8, True, byte_encoder).collect()}
     assert got[1].truncated_commit == "- given commit message:\n mm\n Diff: abc\nxy"
     assert got[2].truncated_commit == "- given commit message:\n " + "m" * 9 + "\n Diff: "
     assert got[1].token_length == len(got[1].truncated_commit)
@@ -54,6 +54,65 @@ def test_encoder(spark):
     assert [r.n for r in counts.collect()] == [2, None]
 
 
+def threes():
+    """Three characters a token, and some texts are refused; local, so that it travels with the task."""
+
+    class Threes:
+        def encode(self, text):
+            if "\x00" in text:
+                raise ValueError("refused")
+            return [text[i : i + 3] for i in range(0, len(text), 3)]
+
+        def decode(self, ids):
+            return "".join(ids)
+
+    return lambda: Threes()
+
+
+def test_grid_by_a_tokenizer(spark):
+    """Every setting against one at a time; no text is shuffled; refused texts count by characters."""
+    rows = [(1, "mm", ["abcdefgh" * 9, None, "xy"]), (2, None, []), (3, "m" * 90, None), (4, "a", ["\x00" * 40, "q" * 40]), (5, "", [""])]
+    df = spark.createDataFrame(rows, "id int, commit_message string, diff array<string>")
+    grid = prepare.truncated_grid(df, (4, 20, 1000), (True, False), threes())
+    assert "Exchange" not in grid._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.context_len, r.with_message): (r.truncated_commit, r.token_length) for r in grid.collect()}
+    assert len(got) == 30
+
+    def first(text, n):
+        return text[: 4 * n] if "\x00" in text else text[: 3 * n]
+
+    for id_, message, diffs in rows:
+        for context in (4, 20, 1000):
+            for flag in (True, False):
+                left = max(0, context - -(-len(message or "") // 3)) if flag else context
+                cut = "\n".join(first(d, left // len(diffs)) for d in diffs if d is not None) if diffs and left else ""
+                want = f"- given commit message:\n {message or ''}\n Diff: {cut}" if flag else f"- given commit diff: \n {cut}"
+                n = len(want) // 4 if "\x00" in want else -(-len(want) // 3)
+                assert got[id_, context, flag] == (want, n), (id_, context, flag)
+    one = prepare.add_truncated_by_encoder(df, 20, True, threes())
+    assert one.columns == [*df.columns, "truncated_commit", "token_length"]
+    assert {r.id: r.truncated_commit for r in one.collect()} == {k[0]: v[0] for k, v in got.items() if k[1:] == (20, True)}
+
+
+def test_operators_take_a_tokenizer(spark):
+    count = tok.encoder_counter(threes())
+    pool = spark.createDataFrame([(f"m{i}", "x" * i, f"s{i}", "feat" if i % 2 else "fix") for i in range(12)], "masked_commit_message string, git_diff string, sha string, annotated_type string")
+    kept = curate.within_token_limit(pool, 3, count=count)
+    assert sorted(r.git_diff for r in kept.collect()) == ["x" * i for i in range(7)]
+    none = pool.select("sha").limit(0)
+    taken = curate.curate(pool, none, pool.limit(0), target=3, limit=3, count=count)
+    assert taken.count() == 6 and taken.agg(F.max(F.length("git_diff"))).first()[0] <= 6
+    counts = {r.step: r["count"] for r in curate.curation_counts(pool, none, none, 3, count).collect()}
+    assert counts == {"kept": 7, "over_limit": 5}
+    table = aggregate.token_table(pool, "git_diff", "sha", count)
+    assert {r.row_idx: r.token_count for r in table.collect()} == {f"s{i}": -(-i // 3) for i in range(12)}
+    records = curate.rename_select(pool).withColumn("split", F.lit("train"))
+    cases = combine.combine_to_target(records, 100, counts=(2,), limit=2, count=count).cases.collect()
+    want = {(i, j) for i in range(0, 12, 2) for j in range(1, 12, 2) if -(-i // 3) + -(-j // 3) <= 2}
+    assert {tuple(sorted((int(s[1:]) for s in c.shas), key=lambda n: (n % 2, n))) for c in cases} == want
+    assert combine.choose_cases(records, counts=(1,), limit=2, count=count).report.first().token_rejected == 5
+
+
 def test_grid_size_and_single_truncation(spark):
     df = spark.createDataFrame([("m", ["abc"])], "commit_message string, diff array<string>")
     grid = prepare.experiment_grid(df)
