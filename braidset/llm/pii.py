@@ -18,9 +18,11 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidset.llm.common import written
+
 #: Fixed values of the contract: the kinds in their order, and their patterns (below, in linear-time form).
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -34,8 +36,12 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 LABELS = 1 + len(KINDS)
 FEATURES = 1 << 12
-#: The bound of the documents that the field is fit on.
-SAMPLE = 4000
+#: The bounds of what the field is fit on: documents, and their tokens together.
+SAMPLE, TOKENS = 4000, 50_000
+#: Rounds after which a text's messages stop if they still swing.
+ROUNDS = 200
+#: Features that tell of the words around a token, not of itself (after the bias); and the share of tokens that show only these while fitting.
+CONTEXT, HIDE = (0, 4, 5), 0.3
 
 
 def luhn(digits: str) -> bool:
@@ -118,11 +124,12 @@ def _feature(name: str) -> int:
 def tokens(text: str) -> Tokens:
     """Tokens with a digit or an at sign, without marks around them.
 
-    A skip edge ties a token to the last one before it of the same letters and digits, of the same
-    last seven digits, or of the same at-sign domain, so edges stay as many as tokens.
+    A skip edge ties a token to the first one of the same letters and digits, of the same last seven
+    digits, or of the same at-sign domain: edges stay as many as tokens, and what one repeat
+    knows reaches all others over that hub, however far they are apart.
     """
     out = Tokens([], [], [], [], [])
-    last: dict[tuple, int] = {}
+    hubs: dict[tuple, int] = {}
     previous = -2
     words = list(_TOKEN.finditer(text))
     for n, m in enumerate(words):
@@ -154,10 +161,10 @@ def tokens(text: str) -> Tokens:
             keys.append(("tail", digits[-7:]))
         if "@" in core:
             keys.append(("domain", core.rpartition("@")[2].lower()))
-        for j in {last[k] for k in keys if k in last}:
+        for j in sorted({hubs[k] for k in keys if k in hubs}):
             out.skip.append((j, i))
         for k in keys:
-            last[k] = i
+            hubs.setdefault(k, i)
     return out
 
 
@@ -169,29 +176,37 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, all_tokens: list[Tokens], rounds: int = 15, damp: float = 0.3) -> np.ndarray:
-        """Label probabilities of all tokens of many texts, by loopy message passing in rounds over all edges at once."""
+    def marginals(self, all_tokens: list[Tokens], rounds: int = ROUNDS, damp: float = 0.3, near: float = 1e-4) -> np.ndarray:
+        """Label probabilities of all tokens of many texts, by loopy message passing over all edges at once.
+
+        A text's messages rest once none of them changes by ``near``, whatever the texts beside it do. Loops may keep
+        some swinging: such texts stop after ``rounds``, each for itself.
+        """
         bases = np.cumsum([0] + [len(t.spans) for t in all_tokens])
         n = int(bases[-1])
         flat = np.array([f for t in all_tokens for x in t.features for f in x], np.int64)
         owner = np.repeat(np.arange(n), [len(x) for t in all_tokens for x in t.features])
         node = np.stack([np.bincount(owner, self.nodes[flat, y], n) for y in range(LABELS)], axis=1)
-        edges = [(b + i, b + j, s) for t, b in zip(all_tokens, bases.tolist()) for s, some in ((0, t.chain), (1, t.skip)) for i, j in some]
+        edges = [(b + i, b + j, s, d) for d, (t, b) in enumerate(zip(all_tokens, bases.tolist())) for s, some in ((0, t.chain), (1, t.skip)) for i, j in some]
         if edges:
-            i, j, s = np.array(edges, np.int64).T
+            i, j, s, text = np.array(edges, np.int64).T
             pair = np.where(s[:, None, None] == 1, self.skip, self.chain)
-            source, target = np.concatenate([i, j]), np.concatenate([j, i])
+            source, target, text = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([text, text])
             pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
             message = np.zeros((len(source), LABELS))
+            moving = np.arange(len(source))
             for _ in range(rounds):
                 belief = node.copy()
-                np.add.at(belief, target, message)
-                fresh = _logsum((belief[source] - message[back])[:, :, None] + pair, axis=1)
+                np.add.at(belief, target[moving], message[moving])
+                # Both directions of an edge are of one text, so they move or rest together.
+                fresh = _logsum((belief[source[moving]] - message[back[moving]])[:, :, None] + pair[moving], axis=1)
                 fresh -= _logsum(fresh, axis=1)[:, None]
-                change = np.abs(fresh - message).max()
-                message = damp * message + (1 - damp) * fresh
-                if change < 1e-4:
+                change = np.zeros(len(all_tokens))
+                np.maximum.at(change, text[moving], np.abs(fresh - message[moving]).max(axis=1))
+                message[moving] = damp * message[moving] + (1 - damp) * fresh
+                moving = moving[change[text[moving]] >= near]
+                if not len(moving):
                     break
             np.add.at(node, target, message)
         return np.exp(node - _logsum(node, axis=1)[:, None])
@@ -211,30 +226,66 @@ def _gold(found: Tokens, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return gold
 
 
-def fit_field(texts: list[str], epochs: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field:
-    """Fit to the patterns' labels by pseudo-likelihood: each token given its neighbours' labels."""
+@dataclass
+class Sample:
+    """Tokens of many texts: a row of features and a label each, and the edges between them."""
+
+    features: np.ndarray
+    gold: np.ndarray
+    chain: np.ndarray
+    skip: np.ndarray
+
+
+def _entities(text: str, found: Tokens, gold: np.ndarray) -> np.ndarray:
+    """``gold`` with its labels on every repeat of a long number or an address that patterns caught somewhere in the text."""
+    keys = ["".join(c for c in text[a:b].lower() if c.isalnum()) for a, b in found.spans]
+    known = {k: y for k, y in zip(keys, gold.tolist()) if y}
+    long = [sum(c.isdigit() for c in k) >= 7 or "@" in text[a:b] for k, (a, b) in zip(keys, found.spans)]
+    return np.array([known.get(k, 0) if y == 0 and of else y for k, y, of in zip(keys, gold.tolist(), long)], np.int64)
+
+
+def sampled(texts: list[str]) -> Sample:
+    """The tokens of whole texts with the labels of the patterns, and these carried to the repeats of what they caught."""
     found = [t for t in ((tokens(x), x) for x in texts) if t[0].spans]
+    bases = np.cumsum([0] + [len(t.spans) for t, _ in found])
+    features = np.array([x for t, _ in found for x in t.features], np.int64).reshape(int(bases[-1]), -1)
+    gold = np.concatenate([_entities(x, t, _gold(t, base_spans(x))) for t, x in found]) if found else np.zeros(0, np.int64)
+    edges = [np.array([(b + i, b + j) for (t, _), b in zip(found, bases.tolist()) for i, j in getattr(t, kind)], np.int64).reshape(-1, 2) for kind in ("chain", "skip")]
+    return Sample(features, gold, *edges)
+
+
+def fit_sample(sample: Sample, epochs: int = 400, rate: float = 1.5, decay: float = 1e-3, hide: float = HIDE, seed: int = 11) -> Field:
+    """Fit to the patterns' labels by pseudo-likelihood: each token given its neighbours' labels.
+
+    Patterns see a token's own signs alone. So that the field learns what they can't, a share ``hide`` of the tokens, drawn anew each
+    epoch, is shown without these: their neighbours' words and the tokens they are tied to have to do. A token without a
+    label, tied to one with a label, is neither personal nor not: nothing is learnt of it.
+    """
     field = Field(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
-    if not found:
+    n = len(sample.gold)
+    if not n:
         field.nodes[_feature("bias"), 0] = 10.0
         return field
-    gold = np.concatenate([_gold(t, base_spans(x)) for t, x in found])
-    bases = np.cumsum([0] + [len(t.spans) for t, _ in found])
-    n = len(gold)
-    width = max(len(x) for t, _ in found for x in t.features)
-    feats = np.array([x for t, _ in found for x in t.features], np.int64).reshape(n, width)
-    chain = np.array([(b + i, b + j) for (t, _), b in zip(found, bases.tolist()) for i, j in t.chain], np.int64).reshape(-1, 2)
-    skip = np.array([(b + i, b + j) for (t, _), b in zip(found, bases.tolist()) for i, j in t.skip], np.int64).reshape(-1, 2)
+    gold, chain, skip = sample.gold, sample.chain, sample.skip
+    doubtful = np.zeros(n, bool)
+    for a, b in (skip.T, skip.T[::-1]):
+        doubtful[a[(gold[a] == 0) & (gold[b] > 0)]] = True
+    chain, skip = (e[~doubtful[e].any(axis=1)] for e in (chain, skip))
+    counted = (~doubtful)[:, None] / max(1, int((~doubtful).sum()))
+    width = sample.features.shape[1]
+    own = np.array([k not in CONTEXT for k in range(width)])
     hot = np.eye(LABELS)[gold]
+    rng = np.random.default_rng(seed)
     sums = [np.full_like(x, 1e-6) for x in (field.nodes, field.chain, field.skip)]
     for _ in range(epochs):
-        score = field.nodes[feats].sum(axis=1)
+        shown = np.where((rng.random(n) < hide)[:, None] & own, 0.0, 1.0)
+        score = (field.nodes[sample.features] * shown[:, :, None]).sum(axis=1)
         for edges, table in ((chain, field.chain), (skip, field.skip)):
             np.add.at(score, edges[:, 0], table[:, gold[edges[:, 1]]].T)
             np.add.at(score, edges[:, 1], table[gold[edges[:, 0]]])
-        error = (np.exp(score - _logsum(score, axis=1)[:, None]) - hot) / n
-        grad = np.zeros_like(field.nodes)
-        np.add.at(grad, feats.reshape(-1), np.repeat(error, width, axis=0))
+        error = (np.exp(score - _logsum(score, axis=1)[:, None]) - hot) * counted
+        pull, at = (error[:, None, :] * shown[:, :, None]).reshape(-1, LABELS), sample.features.reshape(-1)
+        grad = np.stack([np.bincount(at, pull[:, y], FEATURES) for y in range(LABELS)], axis=1)
         grads = [grad]
         for edges in (chain, skip):
             g = np.zeros((LABELS, LABELS))
@@ -248,16 +299,44 @@ def fit_field(texts: list[str], epochs: int = 60, rate: float = 0.3, decay: floa
     return field
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Field:
-    """A field fit on the documents of the least hashed ids, at most ``sample``, that hold a digit or an at sign."""
+def fit_field(texts: list[str], **options) -> Field:
+    return fit_sample(sampled(texts), **options)
+
+
+def _sampled(batches):
+    """Each text's tokens as flat lists, and how many they are."""
+    for batch in batches:
+        rows = []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            s = sampled([text or ""])
+            rows.append((key, len(s.gold), s.features.ravel().tolist(), s.gold.tolist(), s.chain.ravel().tolist(), s.skip.ravel().tolist()))
+        kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "n", "features", "gold", "chain", "skip"])
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, most: int = TOKENS, key: str = "doc_id", text: str = "text") -> Field:
+    """A field fit on documents that hold a digit or an at sign: those of the least hashed ids, at most ``sample``, and of them, in that
+    order, those whose tokens are together at most ``most``; a document is taken whole or not at all, and one of each id.
+
+    Tasks find the tokens and their labels; no text leaves them.
+    """
     pairs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     some = pairs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).select(F.col("doc_id").alias("_id")).distinct()
     some = some.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = pairs.join(F.broadcast(some), F.col("doc_id") == F.col("_id"), "left_semi")
-    # Only what tokens and their neighbours hold leaves the executors: the lines around digits and at signs.
-    near = F.regexp_extract_all(F.col("text"), F.lit(r"[^\n]{0,200}[0-9@][^\n]{0,200}"), F.lit(0))
-    texts = sorted(r[0] for r in rows.select(F.array_join(F.slice(near, 1, 50), "\n")).collect() if r[0])
-    return fit_field(texts)
+    found = rows.mapInArrow(_sampled, "id long, n long, features array<int>, gold array<int>, chain array<int>, skip array<int>")
+    one = found.groupBy("id").agg(F.min(F.struct("n", "features", "gold", "chain", "skip")).alias("s")).select("id", "s.*")
+    one = written(one.where("n > 0"), "pii-sample")
+    # A row for each sampled document, at most.
+    order = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = one.select("id", "n").withColumn("_upto", F.sum("n").over(order)).where(F.col("_upto") <= most).select(F.col("id").alias("_kept"))
+    got = one.join(F.broadcast(within), F.col("id") == F.col("_kept")).orderBy(F.xxhash64("id"), "id").toArrow()
+    width = len(tokens("0").features[0])
+    bases = np.concatenate([[0], np.cumsum(got.column("n").to_numpy())]).astype(np.int64)
+    flat = {c: [np.asarray(x.values, dtype=np.int64) for x in got.column(c)] for c in ("features", "gold", "chain", "skip")}
+    whole = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+    shifted = lambda c: whole([x + b for x, b in zip(flat[c], bases)]).reshape(-1, 2)
+    return fit_sample(Sample(whole(flat["features"]).reshape(-1, width), whole(flat["gold"]), shifted("chain"), shifted("skip")))
 
 
 def find(texts: list[str], field: Field, sure: float = 0.9) -> list[tuple[list, list]]:
