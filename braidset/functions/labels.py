@@ -1,5 +1,7 @@
 """Label lists: normalising, parsing, and reading a model's answer."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from braidset.schemas import LABELS
@@ -13,6 +15,9 @@ WHITESPACE = "".join(
 NO_REASONING = "No reasoning generated"
 NO_REASONING_KEY = "No reasoning in response"
 
+# White space between JSON tokens.
+JSON_SPACE = " \t\n\r"
+
 _STRICT_JSON = {"allowSingleQuotes": "false"}
 
 
@@ -37,14 +42,21 @@ def parseable_labels(col: Column) -> Column:
     return F.from_json(col, "array<string>").isNotNull()
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with ``value`` worked out once a row, however often ``of`` uses it, in conditions too."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _sole_types(text: Column) -> Column:
-    """``types`` of a text that is one object; NULL if anything follows it.
+    """``types`` of a text that starts and ends with braces and is one object; NULL if it is not.
 
-    The reader stops behind the first complete value. As the only entry of a list, an object
-    with more behind it is either broken or not the only one.
+    The reader stops behind the first complete value. A text with no other brace can hold no second object. As
+    the only entry of a list, an object with more behind it is either broken or not the only one.
     """
+    plain = (F.locate("{", text, 2) == 0) & (F.locate("}", text) == F.length(text))
+    at_once = F.from_json(text, "struct<types:array<string>>", _STRICT_JSON)["types"]
     listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<struct<types:array<string>>>", _STRICT_JSON)
-    return F.when(F.size(listed) == 1, F.element_at(listed, 1)["types"])
+    return F.when(plain, at_once).otherwise(once(listed, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))["types"])))
 
 
 def _types_of(text: Column) -> Column:
@@ -66,15 +78,19 @@ def parse_type_response(text: Column) -> Column:
 
     A text that is an object is its own outer object, so one parse serves both.
     """
-    return F.coalesce(_types_of(outer_object(text)), empty_labels())
+    return once(outer_object(text), lambda x: F.coalesce(_types_of(x), empty_labels()))
 
 
 def valid_response(text: Column) -> Column:
     """True when the answer is one object that holds only ``types``, all of them known."""
-    types = _sole_types(text)
-    keys = F.json_object_keys(text)
-    known = F.size(F.array_except(types, label_array())) == 0
-    return F.coalesce((keys == F.array(F.lit("types"))) & known, F.lit(False))
+    trimmed = F.btrim(text, F.lit(JSON_SPACE))
+
+    def valid(x: Column) -> Column:
+        known = F.size(F.array_except(_sole_types(x), label_array())) == 0
+        # Most answers that are no object at all are told by their first sign.
+        return F.when(x.startswith("{"), (F.json_object_keys(x) == F.array(F.lit("types"))) & known)
+
+    return F.coalesce(once(trimmed, valid), F.lit(False))
 
 
 def parse_reasoning_response(text: Column) -> Column:

@@ -11,11 +11,10 @@ def label_bits(labels: Column) -> Column:
     return F.when(labels.isNotNull(), sum(bits[1:], bits[0]))
 
 
-def confusion(predicted: Column, actual: Column) -> dict[str, Column]:
-    """Sizes over the sets of known labels; unknown labels and repeats do not count."""
-    p, a = label_bits(predicted), label_bits(actual)
-    tp = F.bit_count(p.bitwiseAND(a))
-    return {"tp": tp, "fp": F.bit_count(p) - tp, "fn": F.bit_count(a) - tp}
+def confusion(predicted_bits: Column, actual_bits: Column) -> dict[str, Column]:
+    """Sizes over two sets of known labels as bits; unknown labels and repeats do not count."""
+    tp = F.bit_count(predicted_bits.bitwiseAND(actual_bits))
+    return {"tp": tp, "fp": F.bit_count(predicted_bits) - tp, "fn": F.bit_count(actual_bits) - tp}
 
 
 def ratio(num: Column, den: Column) -> Column:

@@ -3,15 +3,20 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from braidset.functions.labels import empty_labels, joined
-from braidset.functions.scoring import confusion, exact_match, metrics_from
+from braidset.functions.scoring import confusion, exact_match, label_bits, metrics_from
 from braidset.operators.ranking import dense_index, number_level
 
 
-def score(df: DataFrame) -> DataFrame:
-    """Add ``tp, fp, fn``, the metrics and ``concern_count`` to predicted and actual arrays."""
+def score(df: DataFrame, bits: tuple[str, str] | None = None) -> DataFrame:
+    """Add ``tp, fp, fn``, the metrics and ``concern_count`` to predicted and actual arrays.
+
+    ``bits`` names columns that already hold both sets of known labels as bits; they are dropped.
+    """
     p = F.coalesce("predicted_types", empty_labels())
     a = F.coalesce("actual_types", empty_labels())
-    counted = df.withColumns(confusion(p, a))
+    # Each set becomes bits once a row; all that follows is arithmetic on them.
+    sets = {"_p": F.col(bits[0]), "_a": F.col(bits[1])} if bits else {"_p": label_bits(p), "_a": label_bits(a)}
+    counted = df.withColumns(sets).withColumns(confusion(F.col("_p"), F.col("_a"))).drop("_p", "_a", *(bits or ()))
     metrics = metrics_from(F.col("tp"), F.col("fp"), F.col("fn"))
     return counted.withColumns(
         {**metrics, "exact_match": exact_match(p, a), "concern_count": F.size(a)}

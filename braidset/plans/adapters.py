@@ -4,6 +4,8 @@ Every adapter reads whole tables and whole texts and stays row by row, except
 ``results``, which groups lines by order with a fixed-size state.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from braidset.functions.labels import empty_labels, label_array
@@ -26,6 +28,9 @@ def sha_of(id_: Column) -> Column:
     return F.md5(id_.cast("string"))
 
 
+# The columns of label sets as bits.
+BITS = ("predicted_bits", "actual_bits")
+
 # Label sets as bits, in alphabetical order so that unpacking needs no sort.
 _SORTED = sorted(LABELS)
 
@@ -35,7 +40,7 @@ _SETS = [[x for i, x in enumerate(_SORTED) if m >> i & 1] for m in range(1 << le
 
 def labels_in(mask: Column) -> Column:
     """The labels whose bit is set, sorted: one look into the list of all sets, which Spark folds to a constant."""
-    sets = F.array(*[F.array(*map(F.lit, s)).cast("array<string>") for s in _SETS])
+    sets = F.from_json(F.lit(json.dumps(_SETS)), "array<array<string>>")
     at = mask.cast("int").bitwiseAND(F.lit(len(_SETS) - 1))
     return F.coalesce(F.element_at(sets, at + 1), F.array().cast("array<string>"))
 
@@ -109,7 +114,7 @@ def _bit(n: Column) -> Column:
 
 
 def results(spark, root, predicted_by: str = "l_partkey", model: str = "alpha") -> DataFrame:
-    """One answered case per order. Label sets are kept as bits while lines are grouped."""
+    """One answered case per order. Label sets are kept as bits while lines are grouped, and beside the lists."""
     masks = table(spark, root, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.bit_or(_bit(F.col("l_linenumber"))).alias("a"), F.bit_or(_bit(F.col(predicted_by))).alias("p")
     )
@@ -131,16 +136,20 @@ def results(spark, root, predicted_by: str = "l_partkey", model: str = "alpha")
         contexts[(key % 5).cast("int")].alias("context_len"),
         (key % 2 == 0).alias("with_message"),
         F.lit(model).alias("model"),
+        F.when(key % 50 == 0, 0).otherwise(F.col("p")).alias("predicted_bits"),
+        F.col("a").alias("actual_bits"),
     )
 
 
 def line_cases(lines: DataFrame) -> DataFrame:
     """One answered case per line, row by row: works on a stream of lines as well."""
-    return lines.select(
-        labels_in(canonical_bits(F.col("l_suppkey") % 128)).alias("predicted_types"),
-        labels_in(canonical_bits(F.col("l_partkey") % 127 + 1)).alias("actual_types"),
+    bits = lines.select(
+        canonical_bits(F.col("l_suppkey") % 128).alias("predicted_bits"),
+        canonical_bits(F.col("l_partkey") % 127 + 1).alias("actual_bits"),
         (F.col("l_extendedprice") / SCALE).alias("inference_time"),
     )
+    lists = {"predicted_types": labels_in(F.col("predicted_bits")), "actual_types": labels_in(F.col("actual_bits"))}
+    return bits.withColumns(lists)
 
 
 def responses(spark, root) -> DataFrame:

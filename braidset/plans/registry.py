@@ -45,7 +45,7 @@ def text(col: str) -> Column:
 
 
 def scored(spark, root, predicted_by="l_partkey") -> DataFrame:
-    return score.score(A.results(spark, root, predicted_by))
+    return score.score(A.results(spark, root, predicted_by), A.BITS)
 
 
 def stored(df: DataFrame, *cols: str) -> DataFrame:
@@ -1068,6 +1068,6 @@ def live_macro(spark, root):
     schema = A.table(spark, root, "lineitem").schema
     lines = live.result_stream(spark, f"{root}/lineitem.parque[t]", schema)
     path = scratch_path(spark, "live")
-    run = live.start(live.live_macro(score.score(A.line_cases(lines))), path, once=True)
+    run = live.start(live.live_macro(score.score(A.line_cases(lines), A.BITS)), path, once=True)
     run.awaitTermination()
     return r6(live.read_latest(spark, path))
