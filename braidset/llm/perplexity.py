@@ -23,6 +23,8 @@ ORDER = 5
 HALVES = ((2_147_483_647, 1_000_003), (2_147_483_629, 1_618_033_989))
 #: Marks before and after a word; neither occurs in a word.
 BEGIN, END = "\x0a", "\x0d"
+#: The limits of the bands, in robust deviations below and above the median of a language.
+LOWER, UPPER = 3.8, 5.0
 #: Words whose score a worker remembers.
 WORDS = 400_000
 
@@ -254,12 +256,15 @@ def _measured(shared):
     return run
 
 
-def judge(docs: DataFrame, width: float = 6.0, floor: float = 0.02, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def judge(
+    docs: DataFrame, lower: float = LOWER, upper: float = UPPER, floor: float = 0.02, key: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, log_perplexity, base_failed, kept.
 
     ``base_failed``: fewer than 50 words, or over half of them in repeated windows of three words.
-    ``kept``: not failed, and log perplexity a character within ``width`` robust deviations (at
-    least ``floor``) of the median of its language, over all its documents that did not fail.
+    ``kept``: not failed, and the log perplexity of a character neither more than ``lower`` robust deviations below the
+    median of its language nor more than ``upper`` above it. Each side of a language has a deviation of its own (at least
+    ``floor``), over all its documents that did not fail: text too plain and text too strange stray differently.
 
     Null and empty texts have no words, no perplexity, and fail; a null language is a language of
     its own; null and repeated keys keep a row each; an empty table gives no row. Other columns play
@@ -275,10 +280,12 @@ def judge(docs: DataFrame, width: float = 6.0, floor: float = 0.02, key: str = "
     sound = rows.where(~F.col("base_failed"))
     middle = sound.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"))
     middle = middle.withColumnRenamed("lang", "_lang")
-    spread = sound.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "middle")
-    spread = spread.agg((F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000) * 1.4826).alias("spread"))
+    off = F.col("log_perplexity") - F.col("middle")
+    half = lambda side, name: (F.percentile_approx(F.when(side >= 0, side), 0.5, 10000) * 1.4826).alias(name)
+    spread = sound.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "middle").agg(half(-off, "below"), half(off, "above"))
     out = rows.join(spread, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    inside = F.abs(F.col("log_perplexity") - F.col("middle")) <= F.greatest(F.col("spread"), F.lit(floor)) * width
+    reach = lambda name, width: F.greatest(F.col(name), F.lit(floor)) * width
+    inside = (-off <= reach("below", lower)) & (off <= reach("above", upper))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "base_failed",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),

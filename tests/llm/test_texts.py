@@ -222,6 +222,29 @@ def test_perplexity_model_keeps_every_ngram(spark):
         assert len(model.grams[n - 1][0]) == len(want)
 
 
+def test_perplexity_limits_each_side(spark):
+    """Letters scrambled inside words are too strange, a few of the commonest words in any order too plain; ordinary text stays."""
+    r = random.Random(21)
+    syllables = ["ba", "ne", "ti", "ro", "su", "la", "men", "tor", "qui", "ver"]
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    weights = [1 / (i + 3) for i in range(400)]
+    plain = [" ".join(r.choices(words, weights, k=r.randint(80, 160))) for _ in range(300)]
+    scrambled = [" ".join("".join(r.sample(w, len(w))) for w in plain[i].split()) for i in range(3)]
+    easy = sorted(words[:40], key=len)[-14:]
+    bare = [" ".join(r.choices(easy, k=100)) for _ in range(3)]
+    rows_ = list(enumerate([*plain, *scrambled, *bare]))
+    df = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("lang", F.lit("xx"))
+    got = {x.doc_id: x for x in perplexity.judge(df).collect()}
+    assert not any(got[i].base_failed for i in range(306))
+    assert sum(got[i].kept for i in range(300)) >= 295
+    assert not any(got[i].kept for i in range(300, 306))
+    # Each limit alone lets the other side through.
+    open_ = {x.doc_id: x.kept for x in perplexity.judge(df, lower=1e9).collect()}
+    assert not any(open_[i] for i in (300, 301, 302)) and all(open_[i] for i in (303, 304, 305))
+    open_ = {x.doc_id: x.kept for x in perplexity.judge(df, upper=1e9).collect()}
+    assert all(open_[i] for i in (300, 301, 302)) and not any(open_[i] for i in (303, 304, 305))
+
+
 def test_perplexity_bands_reject_strange_text(spark):
     r = random.Random(8)
     plain = [" ".join(r.choice("the house stands near water under green trees while people walk along slowly".split()) + str(i % 9) for _ in range(80)) for i in range(60)]
