@@ -60,11 +60,13 @@ def write_tokens(
     documents, and the narrow columns are read without the ids.
 
     Null texts are empty; a document of no ids has ``end`` alone. Null keys come first; repeated
-    keys stay, ordered by text. An empty table gives a table of no rows. Other columns play no part.
+    keys stay, ordered by a hash of the text. An empty table gives a table of no rows. Other columns play no part.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # The texts are dealt and sorted before they are encoded: the sampling pass costs a scan only.
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The texts are dealt and sorted before they are encoded: the sampling pass costs a scan only. Rows of
+    # one key, or of none, are dealt by their texts, so that no task gets all of them.
+    first, tie = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    dealt = rows.repartitionByRange(first, tie).sortWithinPartitions(first, tie, "text")
     encoded = dealt.mapInArrow(_encode(tokenizer or tokens.default_path(), end), FIELDS).withColumn("shard", F.spark_partition_id())
     (
         encoded.write.mode("errorifexists")

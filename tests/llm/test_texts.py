@@ -9,6 +9,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,6 +69,46 @@ def test_token_files_round_trip(spark, tmp_path, library):
     assert "ids" not in plan
 
 
+def test_token_files_have_the_stated_layout(spark, tmp_path):
+    """Dictionary for ids, delta for narrow columns, row groups and pages of bounded size, with indexes."""
+    path = str(tmp_path / "tokens")
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of document "), F.col("id")).alias("text")).coalesce(1)
+    tokenfiles.write_tokens(many, path, row_group_mb=1, page_kb=4)
+    narrow, groups, pages = {"row", "doc_id", "local_start", "n_tokens"}, 0, 0
+    for file in (tmp_path / "tokens").rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size < 3 << 20
+            for c in range(group.num_columns):
+                column = group.column(c)
+                assert column.has_column_index and column.has_offset_index
+                if column.path_in_schema in narrow:
+                    assert "DELTA_BINARY_PACKED" in column.encodings and not column.has_dictionary_page
+                else:
+                    assert column.has_dictionary_page and "RLE_DICTIONARY" in column.encodings
+                    assert pq.ParquetFile(file).schema_arrow.field("ids").type.value_type == pa.int32()
+    assert groups >= 1
+
+
+def test_null_and_repeated_keys_are_dealt_to_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    key = F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, F.lit(7))
+    some = spark.range(2400).select(key.alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokenfiles.write_tokens(some, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    table = tokenfiles.read_tokens(spark, path)
+    sizes = sorted(r["count"] for r in table.groupBy("shard").count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 3 * sizes[4] and sum(sizes) == 2400
+    ordered = tokenfiles.digests(table).orderBy("start").collect()
+    keys = [-1 if r.doc_id is None else r.doc_id for r in ordered]
+    assert keys == sorted(keys) and [r.start for r in ordered[1:]] == [a.start + a.n_tokens for a in ordered[:-1]]
+
+
 def test_token_files_empty(spark, tmp_path):
     path = str(tmp_path / "tokens")
     tokenfiles.write_tokens(docs(spark).limit(0), path)
