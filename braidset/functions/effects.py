@@ -1,37 +1,44 @@
 """Names for sizes and signs of statistics."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
+# Published limits and the names they give, strictest first; the last name is for all the rest.
+STARS = ((0.001, "***"), (0.01, "**"), (0.05, "*"), (None, ""))
+CORRELATION_SIZES = ((0.5, "large"), (0.3, "medium"), (0.1, "small"), (None, "negligible"))
+CORRELATION_DIRECTIONS = (
+    (0.5, "Strong positive"),
+    (0.3, "Moderate positive"),
+    (0.1, "Weak positive"),
+    (-0.1, "Weak negative"),
+    (-0.3, "Moderate negative"),
+    (None, "Strong negative"),
+)
+FIT_QUALITIES = ((0.9, "Excellent fit"), (0.7, "Good fit"), (0.5, "Moderate fit"), (0.3, "Weak fit"), (None, "Poor fit"))
+GROUP_EFFECTS = ((0.8, "Large"), (0.5, "Medium"), (0.2, "Small"), (None, "Negligible"))
+
+
+def _named(limits: Sequence[tuple[float | None, str]], meets) -> Column:
+    """The first name whose limit ``meets`` holds for."""
+    *limited, (_, rest) = limits
+    out = F.lit(rest)
+    for limit, name in reversed(limited):
+        out = F.when(meets(limit), F.lit(name)).otherwise(out)
+    return out
+
 
 def stars(p: Column) -> Column:
-    return (
-        F.when(p < 0.001, F.lit("***"))
-        .when(p < 0.01, F.lit("**"))
-        .when(p < 0.05, F.lit("*"))
-        .otherwise(F.lit(""))
-    )
+    return _named(STARS, lambda limit: p < limit)
 
 
 def correlation_size(r: Column) -> Column:
-    a = F.abs(r)
-    return (
-        F.when(a >= 0.5, F.lit("large"))
-        .when(a >= 0.3, F.lit("medium"))
-        .when(a >= 0.1, F.lit("small"))
-        .otherwise(F.lit("negligible"))
-    )
+    return _named(CORRELATION_SIZES, lambda limit: F.abs(r) >= limit)
 
 
 def correlation_direction(r: Column) -> Column:
     """The six published names; see ``correlation_sign`` for the true sign of a weak one."""
-    return (
-        F.when(r > 0.5, F.lit("Strong positive"))
-        .when(r > 0.3, F.lit("Moderate positive"))
-        .when(r > 0.1, F.lit("Weak positive"))
-        .when(r > -0.1, F.lit("Weak negative"))
-        .when(r > -0.3, F.lit("Moderate negative"))
-        .otherwise(F.lit("Strong negative"))
-    )
+    return _named(CORRELATION_DIRECTIONS, lambda limit: r > limit)
 
 
 def correlation_sign(r: Column) -> Column:
@@ -39,20 +46,8 @@ def correlation_sign(r: Column) -> Column:
 
 
 def fit_quality(r2: Column) -> Column:
-    return (
-        F.when(r2 >= 0.9, F.lit("Excellent fit"))
-        .when(r2 >= 0.7, F.lit("Good fit"))
-        .when(r2 >= 0.5, F.lit("Moderate fit"))
-        .when(r2 >= 0.3, F.lit("Weak fit"))
-        .otherwise(F.lit("Poor fit"))
-    )
+    return _named(FIT_QUALITIES, lambda limit: r2 >= limit)
 
 
 def group_effect(d: Column) -> Column:
-    a = F.abs(d)
-    return (
-        F.when(a >= 0.8, F.lit("Large"))
-        .when(a >= 0.5, F.lit("Medium"))
-        .when(a >= 0.2, F.lit("Small"))
-        .otherwise(F.lit("Negligible"))
-    )
+    return _named(GROUP_EFFECTS, lambda limit: F.abs(d) >= limit)
