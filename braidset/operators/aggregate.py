@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from braidset.functions.labels import parse_labels
 from braidset.functions.tokens import token_count, token_range
+from braidset.operators.quantiles import exact_quantiles
 from braidset.operators.ranking import attach, dense_index, number_level
 from braidset.plans.staging import stage
 from braidset.schemas import RESULT_METRICS, TOKEN_RANGES
@@ -73,14 +74,15 @@ def token_thresholds(histogram: DataFrame) -> DataFrame:
 
 
 def token_stats(tokens: DataFrame) -> DataFrame:
-    """The token count has few distinct values, so the built-in exact percentile serves."""
-    return tokens.agg(
+    """Rows, median, mean and range of the token counts, whole numbers; the median is found by counting."""
+    whole = tokens.agg(
         F.count(F.lit(1)).alias("total_samples"),
-        F.percentile("token_count", 0.5).cast("int").alias("median_tokens"),
         F.avg("token_count").cast("int").alias("mean_tokens"),
         F.min("token_count").alias("min_tokens"),
         F.max("token_count").alias("max_tokens"),
     )
+    median = exact_quantiles(tokens, "token_count", {"median": 0.5}).select(F.col("median").cast("int").alias("median_tokens"))
+    return attach(whole, median, ()).select("total_samples", "median_tokens", "mean_tokens", "min_tokens", "max_tokens")
 
 
 def label_combinations(df: DataFrame, types: str = "types") -> DataFrame:

@@ -152,3 +152,20 @@ def test_published_histogram(spark):
     df = spark.createDataFrame(list(enumerate(counts)), "row_idx bigint, token_count int")
     hist = aggregate.token_histogram(df.withColumn("token_range", tok.token_range(F.col("token_count"))))
     assert [r.percentage for r in hist.orderBy("position").collect()] == [49.0, 24.3, 15.2, 10.5, 1.0, 0.0, 0.0]
+
+
+def test_token_stats(spark):
+    counts = [5, 1, 9, 4, 1000, 4]
+    stats = aggregate.token_stats(spark.createDataFrame([(c,) for c in counts], "token_count int")).first()
+    assert tuple(stats) == (6, 4, 170, 1, 1000)
+    assert tuple(aggregate.token_stats(spark.createDataFrame([], "token_count int")).first()) == (0, None, None, None, None)
+
+
+def test_levels_as_rows(spark):
+    """A product of a thousand levels with three, in rows, none of them in one list."""
+    df = spark.range(3000).select((F.col("id") % 1000).cast("int").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    grid = aggregate.level_product(df.unionByName(spark.createDataFrame([(None, None)], df.schema)), "a", "b")
+    assert grid.dtypes == [("a", "int"), ("b", "double")] and grid.distinct().count() == grid.count() == 3000
+    table = aggregate.level_table(df, ("b", "a")).where("column = 'a'").orderBy("position").collect()
+    assert [(r.position, r.level) for r in table] == [(i, float(i)) for i in range(1000)]
+    assert aggregate.level_product(df.limit(0), "a", "b").isEmpty()
