@@ -426,5 +426,9 @@ def _redact(field: Field, sure: float, text: str):
 
 
 def redact(docs: DataFrame, field: Field, sure: float = 0.9, text: str = "text") -> DataFrame:
-    """``docs`` with all spans of personal data replaced by their kinds. One pass, no shuffle."""
+    """``docs`` with all spans of personal data replaced by their kinds. One pass, no shuffle.
+
+    Null texts stay null and empty ones empty; texts without spans stay as they are. Keys play no part; all columns stay,
+    whatever their names; an empty table gives no row.
+    """
     return docs.mapInArrow(_redact(field, sure, text), docs.schema)

@@ -328,5 +328,9 @@ def _reject(model: Machine, threshold: float, bits: int, text: str):
 
 
 def keep_civil(docs: DataFrame, model: Machine, threshold: float = 0.7, bits: int = BITS, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, in one pass without a shuffle."""
+    """The rows of ``docs`` that score below ``threshold``, in one pass without a shuffle.
+
+    Null and empty texts have the score of no terms. Keys play no part, so null and repeated ones, and rows equal in
+    every column, are each judged by their text; all columns stay, whatever their names; an empty table gives no row.
+    """
     return docs.mapInArrow(_reject(model, threshold, bits, text), docs.schema)
