@@ -68,7 +68,8 @@ def numbered(pool: DataFrame, counts: Sequence[int], room: int, seed: int) -> Nu
 
 def reach(combos: DataFrame, goal: DataFrame, draws: float) -> DataFrame:
     """``combos`` with ``until``: numbers visited once ``draws`` times the target are shared out by the combinations' sizes."""
-    whole = combos.groupBy("split", "k").agg(F.sum("sets").cast("double").alias("_all"))
+    # Ten combinations of very many sets are more than a bigint holds.
+    whole = combos.groupBy("split", "k").agg(F.sum(F.col("sets").cast("decimal(19,0)")).cast("double").alias("_all"))
     share = F.ceil(F.col("target") * F.lit(float(draws)) / F.col("_all") * F.col("sets")).cast("bigint")
     return combos.join(whole, ["split", "k"]).join(goal, "split").withColumn("until", F.least(share, F.col("sets"))).drop("_all", "target")
 

@@ -156,3 +156,11 @@ def test_hot_records_copies_and_shared_shas(spark, monkeypatch):
         r = report[k]
         assert r.exhausted and r.attempts == r.token_rejected + r.duplicate_rejected + r.distinct_cases and r.distinct_cases == len(want[k])
     assert combine.combine_to_target(df.limit(0), 5).cases.count() == 0
+
+
+def test_very_many_sets_are_shared_out(spark):
+    """Ten combinations at the bound of numbers: their sum is beyond a bigint."""
+    rows = [("train", 5, i, ["feat"], [1], unrank.MOST) for i in range(10)]
+    combos = spark.createDataFrame(rows, "split string, k int, combo int, types array<string>, radix array<bigint>, sets bigint")
+    goal = spark.createDataFrame([("train", 280)], "split string, target bigint")
+    assert {r.until for r in unrank.reach(combos, goal, 2).collect()} == {56}
