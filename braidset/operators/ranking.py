@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from braidset.plans.staging import stage
 from braidset.schemas import SEED
 
 _PREFIX = 4
@@ -164,6 +165,8 @@ def seeded_split(
         (F.col("rank") + 1 - F.col("below")).alias("_take"),
         F.col("ties").alias("_ties"),
     )
+    # As a table whose size Spark knows: few cuts are broadcast, and the rows are not dealt out by their groups.
+    cuts = stage(cuts, "cuts")
     placed = attach(keyed, cuts, by)
     at_cut = F.col("_key") == F.col("_cut")
     torn = at_cut & (F.col("_take") < F.col("_ties"))

@@ -131,3 +131,16 @@ def test_valid_types_are_counted(spark):
     seen = Observation("types")
     assert curate.valid_types(df, counts=seen).count() == 1
     assert seen.get == {"kept": 1, "dropped": 2}
+
+
+def test_a_split_shuffles_no_texts(spark):
+    """Seven groups are few cuts: rows are flagged where they lie, not dealt to a task for each group."""
+    from braidset.operators.curate import split_by_type
+
+    df = spark.range(0, 4000, 1, 6).select(F.col("id").cast("string").alias("sha"), F.concat(F.lit("t"), F.col("id") % 7).alias("type"), F.repeat(F.lit("x"), 50).alias("diff"))
+    out = split_by_type(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert out.where("split = 'train'").count() == sum(len(range(t, 4000, 7)) * 8 // 10 for t in range(7))
+    # No row was read from a shuffle.
+    assert out.select("sha", F.spark_partition_id().alias("p")).groupBy("p").count().count() == 6
