@@ -5,7 +5,7 @@ generation. A real tokenizer can be plugged in through ``encoder_count`` and
 ``encoder_cuts`` (Arrow batches, one encoder per Python worker).
 """
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -14,6 +14,8 @@ from pyspark.sql import Column, functions as F
 from braidset.schemas import TOKEN_RANGES
 
 CHARS_PER_TOKEN = 4
+# Cuts go back to Spark once their texts hold about as many characters together.
+STEP_CHARS = 4 << 20
 
 
 def tokens_of(chars: Column) -> Column:
@@ -99,29 +101,44 @@ def encoder_cuts(message: Column, diffs: Column, settings: Sequence[tuple[int, b
     """For each (context, include message) of ``settings`` the diffs cut to equal shares of the budget, joined with newlines.
 
     One pass over the row's texts: each diff is encoded once, however many settings there are, and a cut that
-    several settings share is made once. The message's tokens come off the budget where it is included.
+    several settings share is made once. The message's tokens come off the budget where it is included. A batch's
+    cuts, many times its texts, leave the worker in steps of ``STEP_CHARS``.
     """
     settings = list(settings)
 
+    def cut_row(encoder, message, texts) -> list[str]:
+        taken = _count(encoder, message or "") if any(flag for _, flag in settings) else 0
+        cutters = [_Cutter(encoder, t) for t in texts or [] if t is not None]
+        made: dict[int, str] = {}
+        row = []
+        for context, flag in settings:
+            budget = max(context - taken, 0) if flag else context
+            share = budget // len(texts) if texts else 0
+            if budget <= 0 or not texts:
+                row.append("")
+                continue
+            if share not in made:
+                made[share] = "\n".join(c.first(share) for c in cutters)
+            row.append(made[share])
+        return row
+
     @F.arrow_udf("array<string>")
-    def cuts(messages: pa.Array, lists: pa.Array) -> pa.Array:
+    def cuts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encoder = _encoder(factory)
-        out = []
-        for message, texts in zip(messages.to_pylist(), lists.to_pylist()):
-            taken = _count(encoder, message or "") if any(flag for _, flag in settings) else 0
-            cutters = [_Cutter(encoder, t) for t in texts or [] if t is not None]
-            made: dict[int, str] = {}
-            row = []
-            for context, flag in settings:
-                budget = max(context - taken, 0) if flag else context
-                share = budget // len(texts) if texts else 0
-                if budget <= 0 or not texts:
-                    row.append("")
-                    continue
-                if share not in made:
-                    made[share] = "\n".join(c.first(share) for c in cutters)
-                row.append(made[share])
-            out.append(row)
-        return pa.array(out, pa.list_(pa.string()))
+        for messages, lists in batches:
+            yield from in_steps(cut_row(encoder, m.as_py(), t.as_py()) for m, t in zip(messages, lists))
 
     return cuts(message, diffs)
+
+
+def in_steps(rows: Iterator[list[str]]) -> Iterator[pa.Array]:
+    """The rows as arrays whose texts hold about ``STEP_CHARS`` together, one row at least; one empty array for no rows."""
+    out, chars, sent = [], 0, False
+    for row in rows:
+        out.append(row)
+        chars += sum(map(len, row))
+        if chars >= STEP_CHARS:
+            yield pa.array(out, pa.list_(pa.string()))
+            out, chars, sent = [], 0, True
+    if out or not sent:
+        yield pa.array(out, pa.list_(pa.string()))

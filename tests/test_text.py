@@ -169,3 +169,13 @@ def test_levels_as_rows(spark):
     table = aggregate.level_table(df, ("b", "a")).where("column = 'a'").orderBy("position").collect()
     assert [(r.position, r.level) for r in table] == [(i, float(i)) for i in range(1000)]
     assert aggregate.level_product(df.limit(0), "a", "b").isEmpty()
+
+
+def test_cuts_leave_the_worker_in_steps(spark, monkeypatch):
+    """A batch's cuts, many times its texts, are never one array."""
+    monkeypatch.setattr(tok, "STEP_CHARS", 100)
+    sent = list(tok.in_steps(iter([["x" * 60] * 2] * 5 + [["y"]] * 3)))
+    assert [len(a) for a in sent] == [1, 1, 1, 1, 1, 3] and [len(a) for a in tok.in_steps(iter([]))] == [0]
+    df = spark.range(50).select("id", F.lit("m").alias("commit_message"), F.array(F.lit("q" * 40)).alias("diff")).coalesce(1)
+    grid = prepare.truncated_grid(df, (4, 20), (True, False), threes())
+    assert grid.count() == 200 and grid.select("id").distinct().count() == 50
