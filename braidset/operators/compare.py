@@ -1,8 +1,6 @@
 """Row-by-row comparison of two models on the same cases."""
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
@@ -53,24 +51,23 @@ def pair_logs(
     """
     key = list(key)
 
-    def side(df, tag, names):
+    def side(df, tag):
         values = [f"{m}_{tag}" for m in metrics]
-        rows = df.select(*[F.col(c).alias(n) for c, n in zip(key, names)], *[numeric(df, m).alias(v) for m, v in zip(metrics, values)])
-        groups = rows.groupBy(*names, *values).agg(F.count(F.lit(1)).alias("_n"))
+        # Structs are equal where they hold NULLs, and the join takes the window's partitions as they are.
+        rows = df.select(F.struct(*key).alias("_key"), *[numeric(df, m).alias(v) for m, v in zip(metrics, values)])
+        groups = rows.groupBy("_key", *values).agg(F.count(F.lit(1)).alias("_n"))
         # As many rows as a key has different outcomes.
-        upto = Window.partitionBy(*names).orderBy(*values).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = Window.partitionBy("_key").orderBy(*values).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         last = F.sum("_n").over(upto)
         return groups.withColumns({f"_to_{tag}": last, f"_from_{tag}": last - F.col("_n")}).drop("_n")
 
-    other = [f"_{c}" for c in key]
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(key, other)])
     first, last = F.greatest("_from_SLM", "_from_LLM"), F.least("_to_SLM", "_to_LLM")
-    met = side(slm, "SLM", key).join(side(llm, "LLM", other), same & (first < last))
+    met = side(slm, "SLM").join(side(llm, "LLM"), "_key").where(first < last)
     # In chunks: no row holds the list of all its copies.
     pairs = (
         met.withColumn("_at", F.explode(F.sequence(first, last - 1, F.lit(COPY_CHUNK))))
         .withColumn("copy", F.explode(F.sequence("_at", F.least(F.col("_at") + COPY_CHUNK, last) - 1)))
-        .select(*key, "copy", *[f"{m}_{tag}" for tag in ("SLM", "LLM") for m in metrics])
+        .select("_key.*", "copy", *[f"{m}_{tag}" for tag in ("SLM", "LLM") for m in metrics])
     )
     if counts is not None:
         pairs = pairs.observe(counts, F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("copy") > 0).alias("repeats"))

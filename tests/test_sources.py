@@ -123,3 +123,57 @@ def test_logs_pair_one_to_one(spark):
     assert flat == want and max(want.values()) == 1
     assert counts.get == {"pairs": len(got), "repeats": sum(x.copy > 0 for x in got)}
     assert compare.compare_models(compare.pair_logs(spark.createDataFrame(a, schema).limit(0), spark.createDataFrame(b, schema))).isEmpty()
+
+
+def test_log_files_are_told_without_a_pattern(spark):
+    """The test runs on every row of a log: it is two suffixes, and the folder if one is named."""
+    names = ["/r/a.csv", "/r/a_macro.csv", "/r/a_macro_by_concern.csv", "/r/_macro.csv", "/r/a_macro.csv.gz", "/r/analysis/b.csv", "/r/analysis.csv"]
+    df = spark.createDataFrame([(n,) for n in names], "path string")
+    kept = df.where(readers._log_files(F.col("path"), "csv", "analysis"))
+    assert [r.path for r in kept.collect()] == ["/r/a.csv", "/r/a_macro.csv.gz", "/r/analysis.csv"]
+    assert "regexp" not in kept._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_written_files_are_bounded(spark, tmp_path, monkeypatch):
+    """A file with line breaks is one task's work, so that sinks cut what one task writes into files."""
+    monkeypatch.setattr(sinks, "LOG_ROWS", 40)
+    monkeypatch.setattr(sinks, "TEXT_ROWS", 30)
+    one = scored(spark).where("row_id = 1").withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("_i").coalesce(1)
+    sinks.append_results(one, str(tmp_path / "logs"))
+    texts = spark.range(100).coalesce(1).select(F.lit("feat").alias("annotated_type"), F.lit("m").alias("masked_commit_message"), F.lit("a\nb").alias("git_diff"), F.col("id").cast("string").alias("sha"))
+    sinks.append_samples(texts, str(tmp_path / "texts"))
+    cases = texts.select(F.lit("train").alias("split"), F.lit("m").alias("commit_message"), F.array("git_diff").alias("diff"), F.lit(1).alias("concern_count"), F.array("sha").alias("shas"), F.array("annotated_type").alias("types"))
+    sinks.write_split(cases, str(tmp_path / "split"))
+    found = readers.discover(spark, str(tmp_path))
+    tables = {r.path.rsplit("/", 2)[1]: (r.n, r.bytes) for r in found.groupBy(readers.folder_of(F.col("path")).alias("path")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()}
+    assert {k: n for k, (n, _) in tables.items()} == {"logs": 3, "texts": 4, "split=train": 4}
+    assert {r.path.rsplit("/", 2)[1]: r.bytes for r in readers.written_tables(found).collect()} == {k: b for k, (_, b) in tables.items()}
+    assert readers.read_results(spark, str(tmp_path / "logs"))[0].count() == 100
+    assert readers.read_atomic(spark, str(tmp_path / "texts")).select("sha").distinct().count() == 100
+    assert readers.read_tangled(spark, str(tmp_path / "split")).select("shas").distinct().count() == 100
+
+
+def test_tables_in_parts(spark, monkeypatch):
+    """Queries that write and read files write no table as one file, and count the parts of one folder as one."""
+    from braidset.plans import registry
+
+    root = "/root/testdata/sf0.001"
+    monkeypatch.setattr(sinks, "LOG_ROWS", 20)
+    monkeypatch.setattr(sinks, "TEXT_ROWS", 20)
+    assert len(registry._two_files(spark, root)) > 2
+    assert registry.union_with_lineage(spark, root).count() == 2
+    assert [r.files for r in registry.skipped_files(spark, root).collect()] == [1]
+    assert {r.configuration: (r.files, r.sizes_agree) for r in registry.manifest_with_files(spark, root).collect()} == {"train": (1, True), "test": (1, True), "original": (1, True), "extra": (0, True)}
+
+
+def test_logs_pair_in_the_partitions_of_their_keys(spark):
+    """One shuffle to count and one to number each side; the join needs none of its own. NULLs in a key are equal."""
+    rows = [("s", 1024, None, ["a"], 0.5, 0.5, 0.5, True), ("t", None, True, None, 0.1, 0.2, 0.3, False)]
+    df = spark.createDataFrame(rows, "x string, context_len int, with_message boolean, shas array<string>, precision double, recall double, f1 double, exact_match boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs = compare.pair_logs(df, df)
+        assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert pairs.columns[:4] == ["context_len", "with_message", "shas", "copy"] and pairs.count() == 2
