@@ -82,7 +82,11 @@ def summaries_from_files(
     ``sinks.write_summary_json`` stores them. Rows without a prediction count as samples but not in the metrics.
     """
     results, _ = readers.read_results(spark, root, analysis_dir, fmt)
-    return run_summary(with_model(results, root), date=date)
+    # Models are named once a file, not once a row.
+    files = readers.result_files(spark, root, analysis_dir, fmt)
+    files = files.select(F.col("path").alias("source_path"), F.substring_index("path", "/", -1).alias("source_file"))
+    models = stage(with_model(files, root).select("source_path", "model"), "models")
+    return run_summary(results.join(models, "source_path"), date=date)
 
 
 def _kept(remove: bool):

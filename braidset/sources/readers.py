@@ -131,6 +131,16 @@ def discover(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFram
     return listed(spark, root, pattern, recursive=True).orderBy("path")
 
 
+def folder_of(path: Column) -> Column:
+    """The folder of a file, with its last slash: where a table written in parts lies, it names the table."""
+    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)))
+
+
+def written_tables(found: DataFrame) -> DataFrame:
+    """``path, bytes`` of the tables in a listing: the parts of one folder count as one file, named by the folder."""
+    return found.groupBy(folder_of(F.col("path")).alias("path")).agg(F.sum("bytes").alias("bytes"))
+
+
 def missing_files(found: DataFrame, required: Sequence[str]) -> DataFrame:
     """Required file names that ``discover`` did not find."""
     names = found.select(F.element_at(F.split("path", "/"), -1).alias("file"))
@@ -139,11 +149,10 @@ def missing_files(found: DataFrame, required: Sequence[str]) -> DataFrame:
 
 
 def _log_files(path: Column, fmt: str, analysis_dir: str | None) -> Column:
-    """True for raw result logs: no summaries, nothing from the analysis folder."""
-    stem = F.regexp_extract(path, rf"([^/]+)\.{fmt}$", 1)
+    """True for raw result logs: no summaries, nothing from the analysis folder. Tested on every row, so no pattern."""
     keep = F.lit(True)
     for suffix in SUMMARY_SUFFIXES:
-        keep = keep & ~stem.endswith(suffix)
+        keep = keep & ~path.endswith(f"{suffix}.{fmt}")
     if analysis_dir:
         keep = keep & ~F.contains(path, F.lit(f"/{analysis_dir.strip('/')}/"))
     return keep
@@ -160,7 +169,7 @@ def _parse_lists(df: DataFrame) -> DataFrame:
 
 
 def _with_lineage(df: DataFrame) -> DataFrame:
-    name = F.element_at(F.split("_path", "/"), -1)
+    name = F.substring_index("_path", "/", -1)
     return _parse_lists(df).withColumns({"source_file": name, "source_path": F.col("_path")}).drop("_path")
 
 
@@ -193,9 +202,11 @@ def read_results(
     return _with_lineage(rows), headers.where("NOT usable").select("path", "missing")
 
 
-def union_with_lineage(spark: SparkSession, paths: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Named columns of many result files plus ``source_file``; raises on a missing column."""
-    return _named_files(spark, paths, cols).select(*cols, "source_file")
+def union_with_lineage(
+    spark: SparkSession, paths: Sequence[str], cols: Sequence[str], lineage: Sequence[str] = ("source_file",)
+) -> DataFrame:
+    """Named columns of many result files plus ``source_file`` (and ``source_path`` if ``lineage`` has it); raises on a missing column."""
+    return _named_files(spark, paths, cols).select(*cols, *lineage)
 
 
 def concat_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

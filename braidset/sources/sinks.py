@@ -22,8 +22,14 @@ CSV_WRITE_OPTIONS = {
 }
 
 
-def _writer(df: DataFrame, mode: str, fmt: str):
-    writer = df.write.mode(mode).format(fmt)
+# Rows of one file. Records with line breaks can only be read from a file's start, so that a file is one task's work:
+# this keeps it to some 100 MB of narrow rows (logs) or of texts.
+LOG_ROWS = 250_000
+TEXT_ROWS = 10_000
+
+
+def _writer(df: DataFrame, mode: str, fmt: str, rows: int = TEXT_ROWS):
+    writer = df.write.mode(mode).format(fmt).option("maxRecordsPerFile", rows)
     return writer.options(**CSV_WRITE_OPTIONS) if fmt == "csv" else writer
 
 
@@ -52,7 +58,7 @@ def append_results(scored: DataFrame, path: str, fmt: str = "csv", by: Sequence[
     declared = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RESULTS.fields]
 
     def writer_of(df):
-        writer = _writer(df, "append", fmt)
+        writer = _writer(df, "append", fmt, LOG_ROWS)
         return writer.partitionBy(*copies) if copies else writer
 
     stored = stored.select(*declared, *copies)
@@ -76,7 +82,7 @@ def write_summary_json(summary: DataFrame, path: str) -> None:
 
 
 def export_evaluation(view: DataFrame, path: str) -> None:
-    _writer(export_view(view), "overwrite", "csv").save(path)
+    _writer(export_view(view), "overwrite", "csv", LOG_ROWS).save(path)
 
 
 def write_resumable(df: DataFrame, path: str, key: Sequence[str]) -> None:
