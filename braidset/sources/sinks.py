@@ -28,8 +28,8 @@ LOG_ROWS = 250_000
 TEXT_ROWS = 10_000
 
 
-def _writer(df: DataFrame, mode: str, fmt: str, rows: int = TEXT_ROWS):
-    writer = df.write.mode(mode).format(fmt).option("maxRecordsPerFile", rows)
+def _writer(df: DataFrame, mode: str, fmt: str, rows: int | None = None):
+    writer = df.write.mode(mode).format(fmt).option("maxRecordsPerFile", rows or TEXT_ROWS)
     return writer.options(**CSV_WRITE_OPTIONS) if fmt == "csv" else writer
 
 
