@@ -131,14 +131,14 @@ def encoder_cuts(message: Column, diffs: Column, settings: Sequence[tuple[int, b
     return cuts(message, diffs)
 
 
-def in_steps(rows: Iterator[list[str]]) -> Iterator[pa.Array]:
+def in_steps(rows: Iterator[list], kind: pa.DataType = pa.string()) -> Iterator[pa.Array]:
     """The rows as arrays whose texts hold about ``STEP_CHARS`` together, one row at least; one empty array for no rows."""
     out, chars, sent = [], 0, False
     for row in rows:
         out.append(row)
         chars += sum(map(len, row))
         if chars >= STEP_CHARS:
-            yield pa.array(out, pa.list_(pa.string()))
+            yield pa.array(out, pa.list_(kind))
             out, chars, sent = [], 0, True
     if out or not sent:
-        yield pa.array(out, pa.list_(pa.string()))
+        yield pa.array(out, pa.list_(kind))

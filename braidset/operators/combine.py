@@ -1,15 +1,16 @@
 """Combine single-label records into multi-label cases without repeats.
 
 Candidates are derived from the pool itself, so their number follows the data.
-Only keys and lengths travel until the cases are chosen; texts join last.
+Only keys and lengths travel until the cases are chosen; texts join last, packed, and go to the longest text of their case.
 """
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from braidset.functions.packing import packed, unpacked
 from braidset.functions.tokens import CHARS_PER_TOKEN
 from braidset.operators import unrank
 from braidset.operators.curate import Counter
@@ -20,6 +21,8 @@ from braidset.schemas import CONCERN_COUNTS, LABELS, SEED, TOKEN_LIMIT
 # A record drawn more often than this gets its draws spread over several copies.
 TRY_CHUNK = 100_000
 DRAWS_PER_COPY = 10_000
+# Cases are put together in so many partitions that their texts have about as many characters in each.
+PART_CHARS = 64 << 20
 
 
 @dataclass
@@ -30,12 +33,16 @@ class Combined:
 
 @dataclass
 class Chosen:
-    """Cases by their keys, the report, the split sizes, and whether any sha repeats."""
+    """Cases by their keys, the report, the split sizes, whether any sha repeats, and the most characters of a text in a case.
+
+    ``room`` is None where tokens are counted.
+    """
 
     cases: DataFrame
     report: DataFrame
     sizes: DataFrame
     repeats: bool
+    room: int | None
 
 
 def pool_of(atomics: DataFrame, count: Counter | None = None) -> DataFrame:
@@ -91,7 +98,10 @@ def _salt(case, type_, copies):
 
 
 def draw_candidates(pool, sizes, counts: Sequence[int], seed: int) -> DataFrame:
-    """``split, k, case, members, n_chars``: k records of k distinct types each."""
+    """``split, k, case, members, home, n_chars``: k records of k distinct types each; ``home`` is the longest one's place.
+
+    ``case`` is a key's bytes: they sort as its text does and are half as long.
+    """
     many = [k for k in counts if k > 1]
     # Narrow rows become many candidates: spread them first, over a stated number of
     # partitions, since by their size alone they would be drawn together into few.
@@ -121,18 +131,29 @@ def draw_candidates(pool, sizes, counts: Sequence[int], seed: int) -> DataFrame:
         ),
     )
     drawn = seeds.select("split", "k", "case", "copies", F.explode(draws).alias("d")).select(
-        "split", "k", "case", "d.*", _salt(F.col("case"), F.col("d.type"), F.col("copies")).alias("salt")
+        "split", "k", F.unhex("case").alias("case"), "d.*", _salt(F.col("case"), F.col("d.type"), F.col("copies")).alias("salt")
     )
     keyed = pool.withColumn("_key", seeded_key(F.col("sha"), seed=seed))
     records = dense_index(
         keyed, [F.substring("_key", 1, 4)], ["_key", "sha"], ["split", "type"], "idx"
     ).drop("_key")
+    places = F.col("members")
+    # One with a sha, since texts are found by it.
+    longest = F.array_max(F.transform(places, lambda m: F.struct(m["sha"].isNotNull().alias("named"), m["n_chars"].alias("n"), m["pos"].alias("pos"))))
     return (
         drawn.join(_spread(records, sizes), ["split", "type", "idx", "salt"])
+        # Dealt out as they are: few of a case meet earlier, and sums begun for each draw would be wider than the draw.
+        .select("split", "k", "case", "pos", "type", "sha", "n_chars")
+        .repartition("split", "k", "case")
         .groupBy("split", "k", "case")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("pos", "type", "sha"))).alias("members"),
-            F.sum("n_chars").alias("n_chars"),
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "type", "sha", "n_chars"))).alias("members"))
+        .select(
+            "split",
+            "k",
+            "case",
+            F.transform(places, lambda m: F.struct(m["pos"].alias("pos"), m["type"].alias("type"), m["sha"].alias("sha"))).alias("members"),
+            longest["pos"].alias("home"),
+            F.aggregate(places, F.lit(0).cast("bigint"), lambda n, m: n + m["n_chars"]).alias("n_chars"),
         )
     )
 
@@ -155,14 +176,16 @@ def choose_cases(
     pool = stage(pool_of(atomics, count), "pool")
     repeats = not pool.where("records > 1").isEmpty()
     pool = pool.drop("records")
-    sizes = _sizes(pool, counts, oversample, target)
+    # As a table whose size Spark knows: few splits are broadcast, and nothing is dealt out by split.
+    sizes = stage(_sizes(pool, counts, oversample, target), "sizes")
     drawn = draw_candidates(pool, sizes, counts, seed)
     if 1 in counts:
         single = pool.select(
             "split",
             F.lit(1).alias("k"),
-            seeded_key(F.lit(1), F.col("type"), F.col("sha"), seed=seed).alias("case"),
+            F.unhex(seeded_key(F.lit(1), F.col("type"), F.col("sha"), seed=seed)).alias("case"),
             F.array(F.struct(F.lit(0).alias("pos"), "type", "sha")).alias("members"),
+            F.lit(0).alias("home"),
             "n_chars",
         )
         drawn = single.unionByName(drawn)
@@ -173,21 +196,22 @@ def choose_cases(
         .groupBy("split", "k", "_set")
         .agg(
             F.min("case").alias("case"),
-            F.min_by("members", "case").alias("members"),
+            F.min_by(F.struct("members", "home", "n_chars"), "case").alias("_first"),
             F.count(F.lit(1)).alias("tries"),
         )
+        .select("split", "k", F.col("_set").isNotNull().alias("fits"), F.lower(F.hex("case")).alias("case"), "_first.*", "tries")
     )
     by_set = stage(by_set, "cases")
-    distinct = by_set.where(F.col("_set").isNotNull()).select("split", "k", "case", "members")
+    distinct = by_set.where("fits").select("split", "k", "case", "members", "home", "n_chars")
     goal = sizes.select("split", "target")
     per_k = distinct.select("split", "k").distinct().join(goal, "split")
     chosen = seeded_take(distinct, F.col("case"), lambda n: F.col("target"), ["split", "k"], per_k)
     wanted = goal.withColumn("k", F.explode(F.array(*map(F.lit, counts))))
     tally = by_set.groupBy("split", "k").agg(
         F.sum("tries").alias("attempts"),
-        F.coalesce(F.sum(F.when(F.col("_set").isNull(), F.col("tries"))), F.lit(0).cast("bigint")).alias("token_rejected"),
-        F.coalesce(F.sum(F.when(F.col("_set").isNotNull(), F.col("tries") - 1)), F.lit(0).cast("bigint")).alias("duplicate_rejected"),
-        F.count("_set").alias("distinct_cases"),
+        F.coalesce(F.sum(F.when(~F.col("fits"), F.col("tries"))), F.lit(0).cast("bigint")).alias("token_rejected"),
+        F.coalesce(F.sum(F.when(F.col("fits"), F.col("tries") - 1)), F.lit(0).cast("bigint")).alias("duplicate_rejected"),
+        F.count_if("fits").alias("distinct_cases"),
     )
     zero = F.lit(0).cast("bigint")
     numbers = ("attempts", "token_rejected", "duplicate_rejected", "distinct_cases")
@@ -202,36 +226,85 @@ def choose_cases(
             F.greatest(zero, F.col("target") - F.col("distinct_cases")).alias("shortfall"),
         )
     )
-    return Chosen(chosen, report, sizes, repeats)
+    return Chosen(chosen, report, sizes, repeats, None if count else room_of(limit))
 
 
 def with_texts(chosen: Chosen, atomics: DataFrame) -> DataFrame:
     """Bring the texts of the chosen members in: messages join with commas, the rest are lists.
 
-    Only when some sha repeats are its texts brought down to one, the shortest.
+    A case is put together where its longest text lies, so that only the others travel, packed. Texts that are
+    longer than a case may be stay behind. Only when some sha repeats are its texts brought down to one, the shortest.
     """
-    sizes = chosen.sizes
-    text = F.struct(F.length("diff").alias("n"), "diff", "message").alias("_text")
-    texts = atomics.where(F.col("type").isin(*LABELS)).select("split", "type", "sha", text)
+    sizes = chosen.sizes.select("split", "copies")
+    spark = atomics.sparkSession
+    chars = chosen.cases.agg(F.sum("n_chars")).first()[0] or 0
+    if chosen.room is None:
+        chars *= CHARS_PER_TOKEN
+    parts = max(spark.sparkContext.defaultParallelism, -(-chars // PART_CHARS))
+    keys = ["split", "type", "sha", "salt"]
+    records = atomics.where(F.col("type").isin(*LABELS))
+    if chosen.room is not None:
+        records = records.where(F.coalesce(F.length("diff"), F.lit(0)) <= chosen.room)
     if chosen.repeats:
-        texts = texts.groupBy("split", "type", "sha").agg(F.min("_text").alias("_text"))
-    members = (
-        chosen.cases.join(sizes.select("split", "copies"), "split")
-        .select("split", "k", "case", "copies", F.explode("members").alias("m"))
-        .select("split", "k", "case", "m.*", _salt(F.col("case"), F.col("m.type"), F.col("copies")).alias("salt"))
+        text = F.struct(F.length("diff").alias("n"), "diff", "message")
+        records = records.groupBy("split", "type", "sha").agg(F.min(text).alias("_text"))
+        records = records.select("split", "type", "sha", "_text.diff", "_text.message")
+    texts = records.select("split", "type", "sha", "message", packed(F.coalesce("diff", F.lit(""))).alias("diff"))
+    texts = _spread(texts, sizes).repartition(parts, *keys)
+
+    def at(m: Column) -> Column:
+        salt = _salt(F.hex("case"), m["type"], F.col("copies"))
+        return F.struct(m["type"].alias("type"), m["sha"].alias("sha"), salt.alias("salt"))
+
+    placed = chosen.cases.join(sizes, "split").select(
+        "split", "k", F.unhex("case").alias("case"), "members", "home", at(F.get("members", "home")).alias("to"), "copies"
     )
-    return _cases(members.join(_spread(texts, sizes), ["split", "type", "sha", "salt"]))
+    # The text at home has no row of its own: its place is held by one without a diff.
+    holders = placed.select(
+        "split", "to.*", "k", "case",
+        F.struct(F.col("home").alias("pos"), "to.type", "to.sha", F.lit("").alias("message"), F.lit(None).cast("binary").alias("diff")).alias("m"),
+    )
+    others = (
+        placed.select("split", "k", "case", "to", "copies", F.explode(F.filter("members", lambda m: m["pos"] != F.col("home"))).alias("m"))
+        .select("split", at(F.col("m")).alias("from"), "k", "case", "to", "m.pos")
+        .select("split", "from.*", "k", "case", "to", "pos")
+        .repartition(parts, *keys)
+    )
+    arrivals = others.join(texts, keys).select(
+        "split", "to.*", "k", "case", F.struct("pos", "type", "sha", F.coalesce("message", F.lit("")).alias("message"), "diff").alias("m")
+    )
+    gathered = (
+        holders.unionByName(arrivals)
+        .repartition(parts, *keys)
+        .groupBy(*keys, "k", "case")
+        .agg(F.array_sort(F.collect_list("m")).alias("p"))
+        .join(texts.withColumnsRenamed({"message": "_message", "diff": "_diff"}), keys)
+    )
+    whole = F.transform(
+        "p",
+        lambda m: F.struct(
+            F.when(m["diff"].isNull(), F.col("_message")).otherwise(m["message"]).alias("message"),
+            F.coalesce(m["diff"], F.col("_diff")).alias("diff"),
+            m["sha"].alias("sha"),
+            m["type"].alias("type"),
+        ),
+    )
+    return _stored(gathered.select("split", "k", whole.alias("p")), unpacked(F.col("p.diff")))
 
 
 def _cases(joined: DataFrame) -> DataFrame:
     """The stored form of cases, from a row per member with its text."""
     part = F.struct("pos", F.col("_text.message").alias("message"), F.col("_text.diff").alias("diff"), "sha", "type")
     cases = joined.groupBy("split", "k", "case").agg(F.array_sort(F.collect_list(part)).alias("p"))
-    text = lambda f: F.transform(F.col(f"p.{f}"), lambda x: F.coalesce(x, F.lit("")))
+    return _stored(cases, F.transform("p.diff", lambda x: F.coalesce(x, F.lit(""))))
+
+
+def _stored(cases: DataFrame, diffs: Column) -> DataFrame:
+    messages = F.transform("p.message", lambda x: F.coalesce(x, F.lit("")))
     return cases.select(
         "split",
-        F.array_join(text("message"), ",").alias("commit_message"),
-        text("diff").alias("diff"),
+        F.array_join(messages, ",").alias("commit_message"),
+        diffs.alias("diff"),
         F.col("k").alias("concern_count"),
         F.col("p.sha").alias("shas"),
         F.col("p.type").alias("types"),

@@ -2,9 +2,13 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+DROPS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
@@ -30,12 +34,28 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of a query that runs inside when the query ends."""
+    before = spark.conf.get(DROPS_SHUFFLES, None)
+    spark.conf.set(DROPS_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROPS_SHUFFLES)
+        else:
+            spark.conf.set(DROPS_SHUFFLES, before)
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and go on from the files, for tables several branches read.
 
-    Parquet rather than a checkpoint, so that every branch still prunes columns.
+    Parquet rather than a checkpoint, so that every branch still prunes columns. What was shuffled to write
+    the files is not needed again and leaves the disks at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

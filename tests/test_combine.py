@@ -1,13 +1,16 @@
 """Generated cases against brute force on small pools."""
 
 import math
+import time
 from collections import Counter
 from itertools import combinations, product
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from braidset.operators import combine, unrank
+from braidset.plans import staging
 from braidset.schemas import LABELS
 
 
@@ -91,6 +94,68 @@ def test_same_result_on_any_partitioning(spark):
     assert key(df.repartition(1)) == key(df.repartition(7))
 
 
+def _shuffled(plan) -> int:
+    """Bytes of rows that the exchanges of a plan that has run dealt out."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _shuffled(plan.executedPlan())
+    if "QueryStage" in name:
+        return _shuffled(plan.plan())
+    if name.startswith("ReusedExchange"):
+        return 0
+    own = plan.metrics().apply("dataSize").value() if name == "Exchange" else 0
+    return own + sum(_shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_the_longest_text_of_a_case_stays_where_it_is(spark):
+    """Texts of one label are some hundred times those of the others, and do not pack well."""
+    long = {f"feat-{i}": "".join(chr(0x4E00 + (j * j * 31 + j * (i + 7) * 13) % 20_000) for j in range(12_000)) for i in range(20)}
+    short = {f"{t}-{i}": f"{t}{i}" * 5 for t in LABELS if t != "feat" for i in range(20)}
+    rows = [("train", f"m{s}", d, s, s.rpartition("-")[0]) for s, d in (long | short).items()]
+    df = spark.createDataFrame(rows, "split string, message string, diff string, sha string, type string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cases = combine.combine_cases(df, counts=(2, 3, 4)).cases
+        found = cases.collect()
+        moved = _shuffled(cases._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_sha = {r[3]: r for r in rows}
+    for c in found:
+        assert c.diff == [by_sha[s][2] for s in c.shas] and c.commit_message == ",".join(by_sha[s][1] for s in c.shas)
+        assert c.types == [by_sha[s][4] for s in c.shas] and len(c.types) == c.concern_count
+    assert Counter(c.concern_count for c in found) == {k: len(rows) for k in (2, 3, 4)}
+    assert moved < sum(len(d.encode()) for c in found for d in c.diff) / 2
+
+
+def test_texts_that_are_missing_odd_or_under_a_missing_key(spark):
+    rows = [
+        ("train", None, None, "a", "feat"),
+        ("train", "m", "", "b", "fix"),
+        ("train", "é", "x\x00\U0001f600\n", "c", "docs"),
+        ("train", "lost", "no key", None, "ci"),
+        ("train", "long", "x" * 500, "d", "test"),
+    ]
+    df = spark.createDataFrame(rows, "split string, message string, diff string, sha string, type string")
+    found = combine.combine_cases(df, counts=(1, 2, 3), limit=20, oversample=20).cases.collect()
+    by_sha = {r[3]: r for r in rows}
+    for c in found:
+        assert "d" not in c.shas and None not in c.shas and c.shas
+        assert c.diff == [by_sha[s][2] or "" for s in c.shas] and c.commit_message == ",".join(by_sha[s][1] or "" for s in c.shas)
+    assert {("a",), ("b",), ("c",), ("a", "b"), ("a", "c"), ("b", "c"), ("a", "b", "c")} == {tuple(sorted(c.shas)) for c in found}
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {str(p) for d in disks for p in Path(d).glob("*/shuffle_*")}
+    before, drops = files(), spark.conf.get(staging.DROPS_SHUFFLES, None)
+    made = staging.stage(spark.range(1000).repartition(4, "id").groupBy("id").count(), "few")
+    deadline = time.monotonic() + 30
+    while files() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not files() - before and made.count() == 1000 and spark.conf.get(staging.DROPS_SHUFFLES, None) == drops
+
+
 # --- drawing to a target, without replacement
 
 
